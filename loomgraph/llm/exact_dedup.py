@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import slices
@@ -101,15 +101,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keep_rows(docs, keep, id_col, text_col)
 
 
-def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of docs whose (id, SHA-256 of the text) is in keep(__id, __sha), each pair once."""
-    from pyspark.sql import Window
-
+def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str, digits: int = 64) -> DataFrame:
+    """Rows of docs whose (id, first digits of the text's SHA-256) is in keep(__id, __sha), each once."""
+    sha = F.substr(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.lit(1), F.lit(digits))
     mine = docs.withColumn("__k", F.xxhash64(F.col(id_col).cast("string")))
     theirs = keep.withColumn("__k", F.xxhash64(F.col("__id").cast("string")))
-    same = F.col("__id").eqNullSafe(F.col(id_col)) & (F.col("__sha") == F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    same = F.col("__id").eqNullSafe(F.col(id_col)) & (F.col("__sha") == sha)
     out = mine.join(theirs.withColumnRenamed("__k", "__k2"), (F.col("__k") == F.col("__k2")) & same, "left_semi")
-    one = Window.partitionBy("__k", id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).orderBy(F.lit(1))
+    one = Window.partitionBy("__k", id_col, sha).orderBy(F.lit(1))
     return out.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
 
 
