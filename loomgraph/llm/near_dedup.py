@@ -6,11 +6,13 @@ latest minimum of its text; equal components then estimate the probability Jacca
 seven components (44 of them: a pair at 0.8 is missed with probability 3e-5) are buckets.
 
 No bucket is expanded into all pairs. First every member is compared with the bucket's leader. Then
-components are formed, and only buckets that still hold texts of several components go on: up to
-eight members outside the bucket's largest component are compared with the members of other
-components, and leave. This ends when each pair of a bucket has been compared or is known to be in
-one component, so the classes are those of all bucket pairs. Each comparison computes J_P exactly
-from the two texts.
+components are formed, and only buckets that still hold texts of several components go on: a bounded
+number of members outside the bucket's largest component is compared with members of other
+components, and leaves. A parity sketch of 1024 bits, one flip per shingle, comes first: the bits in
+which two sketches differ are never more than the shingles in which the texts differ, so it bounds
+their similarity from above, and pairs whose bound is below the threshold are not compared. This ends
+when each pair of a bucket has been compared, ruled out by the bound, or is known to be in one
+component, so the classes are those of all bucket pairs. Each comparison computes J_P exactly.
 
 Texts that are equal byte for byte are one node throughout (their rows are combined before the shuffle),
 so thousands of copies cost no comparison.
@@ -35,7 +37,7 @@ from loomgraph.llm.components import components
 from loomgraph.llm.exact_dedup import keep_rows
 from loomgraph.session import materialise, table
 
-WORDS, THRESHOLD, ROWS, BANDS, LEADERS = 5, 0.8, 7, 44, 8
+WORDS, THRESHOLD, ROWS, BANDS, LEADERS = 5, 0.8, 7, 44, 512
 #: A list of at most so many 16-byte text digests is sent to all executors; a longer one is joined.
 BROADCAST_ROWS = 200_000
 _U = np.uint64
@@ -130,6 +132,39 @@ def _verifier(words: int, threshold: float):
     return run
 
 
+_SKETCH = [f"p{i}" for i in range(16)]
+
+
+def _sketches(words: int):
+    """Of each text: n distinct shingles, extra (their weight above n) and its parity sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, off in slices(batch, "text"):
+                text, element, count = shingles(buf, off, words)
+                size = len(off) - 1
+                bit = (mix64(element + _U(9)) % _U(64 * len(_SKETCH))).astype(np.int64)
+                odd = (np.bincount(text * (64 * len(_SKETCH)) + bit, minlength=size * 64 * len(_SKETCH)) & 1).astype(np.uint8)
+                packed = np.packbits(odd.reshape(size, -1), axis=1).view(np.int64)
+                n = np.bincount(text, minlength=size)
+                extra = np.bincount(text, weights(count), size) - n
+                yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(n), pa.array(extra), *(pa.array(packed[:, i].copy()) for i in range(len(_SKETCH)))], ["th", "n", "extra", *_SKETCH])
+
+    return run
+
+
+def _bound(threshold: float):
+    """Whether J_P of a row and its leader can reach the threshold.
+
+    J_P is at most (|x and y| + both extras) / |x or y|, and the sketches bound |x minus y| + |y minus x|.
+    """
+    differ = F.lit(0)
+    for p in _SKETCH:
+        differ = differ + F.bit_count(F.col(p).bitwiseXOR(F.col(f"lead_{p}")))
+    n = F.col("n") + F.col("lead_n")
+    return (n - differ) / 2 + F.col("extra") + F.col("lead_extra") >= threshold * (n + differ) / 2 - 1e-9
+
+
 def _digest(text_col: str):
     return F.unhex(F.substr(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.lit(1), F.lit(32)))
 
@@ -144,6 +179,10 @@ class _Texts:
         src = src.join(F.broadcast(nodes) if small else nodes, "th", "left_semi")
         self.texts = materialise(src.groupBy("th").agg(F.first("text").alias("text")), "candidate-texts")
 
+    def sketches(self, nodes: DataFrame, words: int) -> DataFrame:
+        text = self.texts.join(nodes, "th", "left_semi")
+        return materialise(text.mapInArrow(_sketches(words), "th binary, n long, extra double, " + ", ".join(f"{p} long" for p in _SKETCH)), "sketches")
+
     def verify(self, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
         """pairs(a, b) with ok: whether the two texts are similar."""
         a = self.texts.select(F.col("th").alias("a"), F.col("text").alias("ta"))
@@ -168,25 +207,33 @@ def text_classes(docs: DataFrame, signed: DataFrame, text_col: str, words: int,
     seen = texts.verify(first, words, threshold)
     links = seen.filter("ok").select("a", "b")
     label = components(links)
-    open_rows = bucket.filter("th != leader").select("key", "th")
+    open_rows, sketch = bucket.filter("th != leader").select("key", "th"), None
     while True:
-        rows = open_rows.join(label.withColumnRenamed("node", "th"), "th", "left").select("key", "th", F.coalesce("comp", "th").alias("comp"))
-        rows = materialise(rows, "open")
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-        rows = materialise(rows.join(mixed, "key"), "open")
+        rows = materialise(_several(open_rows, label), "open")
         if rows.isEmpty():
             return label
+        if sketch is None:
+            sketch = texts.sketches(rows.select("th").distinct(), words)
         largest = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
         turn = Window.partitionBy("key").orderBy("th")
         leaders = rows.join(largest, "key").filter("comp != largest").withColumn("__n", F.row_number().over(turn)).filter(F.col("__n") <= LEADERS)
-        leaders = materialise(leaders.select("key", F.col("th").alias("lead"), F.col("comp").alias("lead_comp")), "leaders")
-        pairs = rows.join(leaders, "key").filter("comp != lead_comp").select(F.least("th", "lead").alias("a"), F.greatest("th", "lead").alias("b")).distinct()
+        leaders = materialise(leaders.select("key", "th", "comp"), "leaders")
+        other = leaders.join(sketch, "th").select(*[F.col(c).alias(f"lead_{c}") for c in ("key", "th", "comp", "n", "extra", *_SKETCH)])
+        met = rows.join(sketch, "th").join(other, (F.col("key") == F.col("lead_key")) & (F.col("comp") != F.col("lead_comp")) & _bound(threshold))
+        pairs = met.select(F.least("th", "lead_th").alias("a"), F.greatest("th", "lead_th").alias("b")).distinct()
         found = texts.verify(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), words, threshold)
         seen = seen.unionByName(found)
         if not found.filter("ok").isEmpty():
             links = links.unionByName(found.filter("ok").select("a", "b"))
             label = components(links)
-        open_rows = rows.select("key", "th").join(leaders.select("key", F.col("lead").alias("th")), ["key", "th"], "left_anti")
+        open_rows = rows.select("key", "th").join(leaders.select("key", "th"), ["key", "th"], "left_anti")
+
+
+def _several(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with comp, of the buckets that hold more than one component."""
+    rows = rows.join(label.withColumnRenamed("node", "th"), "th", "left").withColumn("comp", F.coalesce("comp", "th"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    return rows.join(mixed, "key")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
