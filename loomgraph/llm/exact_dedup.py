@@ -104,11 +104,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str, digits: int = 64) -> DataFrame:
     """Rows of docs whose (id, first digits of the text's SHA-256) is in keep(__id, __sha), each once."""
     sha = F.substr(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.lit(1), F.lit(digits))
-    mine = docs.withColumn("__k", F.xxhash64(F.col(id_col).cast("string")))
-    theirs = keep.withColumn("__k", F.xxhash64(F.col("__id").cast("string")))
-    same = F.col("__id").eqNullSafe(F.col(id_col)) & (F.col("__sha") == sha)
-    out = mine.join(theirs.withColumnRenamed("__k", "__k2"), (F.col("__k") == F.col("__k2")) & same, "left_semi")
-    one = Window.partitionBy("__k", id_col, sha).orderBy(F.lit(1))
+    # one key column, so that the window finds the rows where the join has put them
+    key = lambda i, h: F.sha2(F.concat(F.coalesce(F.concat(F.lit("k"), i.cast("string")), F.lit("null")), F.lit("|"), h), 256)
+    mine = docs.withColumn("__k", key(F.col(id_col), sha))
+    out = mine.join(keep.select(key(F.col("__id"), F.col("__sha")).alias("__k")), "__k", "left_semi")
+    one = Window.partitionBy("__k").orderBy(F.lit(1))
     return out.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
 
 

@@ -144,15 +144,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs, each as often as it is taken, with docs' columns."""
     levels = [x for x in settings.get("levels", LEVELS) if x in docs.columns]
     chosen = mix(docs, id_col=id_col, text_col=text_col, **settings)
-    same = [id_col, *levels]
-    chosen = chosen.groupBy(*[F.col(c).alias(f"__{c}") for c in same], F.col("text_hash").alias("__t")).agg(F.sum("copies").alias("__s"), F.count(F.lit(1)).alias("__m"))
-    chosen = chosen.filter("__s > 0").withColumn("__k", F.xxhash64(*[f"__{c}" for c in same], "__t"))
-    mine = docs.withColumn("__t2", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__k2", F.xxhash64(*same, "__t2"))
-    on = (F.col("__k") == F.col("__k2")) & (F.col("__t") == F.col("__t2"))
-    for c in same:
-        on = on & F.col(f"__{c}").eqNullSafe(F.col(c))
-    turn = Window.partitionBy("__k2", "__t2", *same).orderBy(F.lit(1))
-    out = mine.join(chosen, on).withColumn("__n", F.row_number().over(turn))
+    # one key column, so that the window finds the rows where the join has put them
+    key = lambda text: F.sha2(F.concat_ws("|", *[_node(c).alias(c) for c in (id_col, *levels)], text.cast("string")), 256)
+    chosen = chosen.groupBy(key(F.col("text_hash")).alias("__k")).agg(F.sum("copies").alias("__s"), F.count(F.lit(1)).alias("__m")).filter("__s > 0")
+    mine = docs.withColumn("__k", key(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    out = mine.join(chosen, "__k").withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(F.lit(1))))
     out = out.withColumn("__c", F.floor((F.col("__s") + F.col("__m") - F.col("__n")) / F.col("__m"))).filter("__c > 0")
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__c"))).alias("__e")).select(*docs.columns)
 
