@@ -2,7 +2,7 @@ r"""Chat formatting over reply trees.
 
 Messages form trees (tree, msg, parent). Iterative self-joins enumerate root-to-leaf paths: each
 round joins the table of jumps with itself and so doubles their length, so a tree of depth d takes
-log2(d) rounds. Branches are ranked by the mean score along the path; the best `branches` leaves of a
+log2(d) rounds; trees whose messages have all met their root leave. Branches are ranked by the mean score along the path; the best `branches` leaves of a
 tree are chosen, the jumps are walked back from these leaves only, and each chosen path is formatted
 as one conversation.
 
@@ -20,6 +20,8 @@ longest one must fit in memory.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,16 +65,22 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # jump: the ancestor `steps` above, null beyond the root; total: scores of the nodes passed
     jump = up.select("tree", "msg", F.when(F.col("known"), F.col("parent")).alias("to"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
     jump = materialise(jump, "jumps")
-    levels = [jump]
+    levels, rooted = [jump], []
     most = node.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while (1 << (len(levels) - 1)) <= most and not jump.filter("to is not null").isEmpty():
-        right = jump.select("tree", F.col("msg").alias("to"), F.col("to").alias("to2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        jump = jump.join(right, ["tree", "to"], "left").select(
-            "tree", "msg", F.col("to2").alias("to"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")
+    while (1 << (len(levels) - 1)) <= most:
+        live = jump.filter("to is not null")
+        trees = materialise(live.select("tree").distinct(), "trees")
+        if trees.isEmpty():
+            break
+        rooted.append(jump.join(trees, "tree", "left_anti"))  # trees whose messages have all met their root
+        state = jump.join(trees, "tree", "left_semi")
+        right = state.select("tree", F.col("msg").alias("to"), F.col("to").alias("to2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
+        moved = live.join(right, ["tree", "to"]).select(
+            "tree", "msg", F.col("to2").alias("to"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps")
         )
-        jump = materialise(jump, "jumps")
+        jump = materialise(moved.unionByName(state.filter("to is null")), "jumps")
         levels.append(jump)
-    rooted = jump.filter("to is null")  # the rest is on or below a cycle
+    rooted = reduce(DataFrame.unionByName, rooted, jump.filter("to is null"))  # the rest is on or below a cycle
     leaf = rooted.join(up.filter("known").select("tree", F.col("parent").alias("msg")).distinct(), ["tree", "msg"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "msg")
     chosen = (
