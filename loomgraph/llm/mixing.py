@@ -136,7 +136,7 @@ def mix(
     offsets = sums.select(*nodes, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
     inside = Window.partitionBy(*nodes, "__b").orderBy("__h", "id", "n_tokens", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     out = placed.join(offsets, [*nodes, "__b"]).withColumn("__e", F.col("__o") + F.sum("n_tokens").over(inside))
-    copies = F.col("whole") + F.when((F.col("total") > 0) & (F.col("__e") <= F.col("rest")), 1).otherwise(0)
+    copies = F.col("whole") + F.when((F.col("rest") > 0) & (F.col("__e") <= F.col("rest")), 1).otherwise(0)
     return out.select(F.col("id").alias(id_col), *levels, "n_tokens", "text_hash", copies.cast("int").alias("copies"))
 
 
@@ -195,5 +195,5 @@ ORACLE = {
     p AS (SELECT *, CASE WHEN total > 0 THEN alloc // total ELSE 0 END AS whole FROM n3 JOIN leaf USING (domain, lang, source)),
     e AS (SELECT r.*, total, whole, alloc - whole * total AS rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
             ORDER BY sha256('{SEED}:' || whole || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS e FROM r JOIN p USING (domain, lang, source))
-    SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN total > 0 AND e <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM e"""
+    SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN rest > 0 AND e <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM e"""
 }
