@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.config import CODE_FORMATS, Settings, embedding_signature, extraction_signature, index_signature
@@ -54,17 +54,10 @@ def _concepts(extracted: DataFrame) -> DataFrame:
     return rows.select("c.*", F.col("seq").cast("long").alias("seq"))
 
 
-def _ordered(rows: DataFrame) -> DataFrame:
-    """seq that goes on over the sources in sorted order, so a later source writes last."""
-    n = rows.groupBy("source_file").agg((F.max("seq") + 1).alias("n"))
-    base = n.select("source_file", F.coalesce(F.sum("n").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(base, "source_file").withColumn("seq", F.col("seq") + F.col("base")).drop("base")
-
-
 def _tables(edges: DataFrame, concepts: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """All tables that follow from edges and concepts."""
     edges = materialise(graph.upsert_edges(edges), "edges")
-    bare = graph.merge_nodes(_ordered(concepts), edges)
+    bare = graph.merge_nodes(concepts, edges, ("source_file", "seq"))  # a later source writes last
     nodes = materialise(graph.with_fallbacks(materialise(bare, "nodes"), edges, settings.fallback_description_max_edges), "nodes")
     member = materialise(community.membership(nodes, edges, settings.leiden_symmetrize, settings.leiden_seed), "members")
     return {"edges": edges, "concepts": concepts, "nodes": nodes, "communities": community.communities(nodes, edges, member), "keywords": keywords.keyword_index(nodes)}

@@ -21,14 +21,14 @@ def remove_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return edges.join(keys.select(*EDGE_KEY).distinct(), list(EDGE_KEY), "left_anti")
 
 
-def merge_nodes(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes of all concepts and edge ends; the last concept (seq) gives the attributes.
+def merge_nodes(concepts: DataFrame, edges: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Nodes of all concepts and edge ends; the last concept in this order gives the attributes.
 
     An empty `extra` keeps the last one that was not empty. Ends without a concept have no description.
     """
     full = F.size(F.coalesce("extra", F.create_map().cast("map<string,string>"))) > 0
     said = concepts.groupBy("name").agg(
-        F.max_by(F.struct("description", "source_file", "confidence", "node_type"), "seq").alias("x"), F.max_by("extra", F.when(full, F.col("seq"))).alias("extra")
+        F.max_by(F.struct("description", "source_file", "confidence", "node_type"), F.struct(*order)).alias("x"), F.max_by("extra", F.when(full, F.struct(*order))).alias("extra")
     )
     ends = edges.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
     return ends.join(said, "name", "full_outer").select("name", "x.description", "x.source_file", "x.confidence", "x.node_type", "extra")

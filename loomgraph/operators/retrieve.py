@@ -144,7 +144,12 @@ def dedup_hits(hits: DataFrame) -> DataFrame:
 
 
 def budget(ranked: DataFrame, tokens: Column, most: int, order: list, spent: int = 0) -> DataFrame:
-    """The first rows in this order whose tokens fit; at least one."""
+    """The first rows in this order whose tokens fit; at least one.
+
+    A line has at least one token, so no more than `most` rows can fit: they are picked by a
+    distributed top-k, and only they come together for the running sum.
+    """
+    ranked = ranked.orderBy(*order).limit(max(1, most))
     rank = Window.orderBy(*order)
     upto = rank.rowsBetween(Window.unboundedPreceding, 0)
     out = ranked.withColumn("__t", tokens).withColumns({"__n": F.row_number().over(rank), "__s": F.sum("__t").over(upto)})
