@@ -80,12 +80,19 @@ class Engine:
         for k, v in (*ranks.items(), *((k.encode(), v) for k, v in special.items())):
             self.bytes[v] = k
         self.names = [str(i) for i in range(size)]
+        self.width = np.uint16 if size <= 65536 else np.uint32
 
     def encode(self, text: str) -> list[int]:
         if self.fast is None or _OTHER.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode(text, allowed_special=self.special)
 
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.width).tobytes()
+
+    def unpack(self, packed: bytes) -> list[int]:
+        return np.frombuffer(packed, self.width).tolist()
+
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -115,10 +122,6 @@ class Engine:
         return len(ids), hashlib.sha256(",".join(map(self.names.__getitem__, ids)).encode()).digest(), hashlib.sha256(self.decode(ids).encode()).digest()
 
 
-def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, np.uint16 if not ids or max(ids) < 65536 else np.uint32).tobytes()
-
-
 def _chunks(buf: np.ndarray, off: np.ndarray) -> list[list[int]]:
     """Chunk ends of each text, moved on to the next start of a character."""
     out = []
@@ -161,7 +164,7 @@ _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(
 _NAMES = [x.split()[0] for x in _PART.split(", ")]
 
 
-def _encoder(path: str, shared):
+def _encoder(path: str, shared, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = Engine.of(path)
         hi, lo, rank = shared.value
@@ -176,37 +179,38 @@ def _encoder(path: str, shared):
                     at = np.minimum(np.searchsorted(hi, both[:, 0]), max(len(hi) - 1, 0))
                     known = (hi[at] == both[:, 0]) & (lo[at] == both[:, 1]) if len(hi) else np.zeros(len(both), bool)
                     if not known.any():
-                        out.append((uid, None, None, None, None, *engine.summary(engine.encode(text.decode("utf-8")))))
+                        ids = engine.encode(text.decode("utf-8"))
+                        out.append((uid, None, None, None, engine.pack(ids) if with_ids else None, *engine.summary(ids)))
                         continue
                     start, begun = 0, 0
                     for k, end in enumerate(ends):
                         if known[k]:
                             if begun < start:
-                                out.append((uid, k - 1, None, None, _pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
+                                out.append((uid, k - 1, None, None, engine.pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
                             out.append((uid, k, int(both[k, 0]), int(both[k, 1]), None, None, None, None))
                             if rank[at[k]] == ranks[k]:
-                                out.append((None, None, int(both[k, 0]), int(both[k, 1]), _pack(engine.encode(text[start:end].decode("utf-8"))), None, None, None))
+                                out.append((None, None, int(both[k, 0]), int(both[k, 1]), engine.pack(engine.encode(text[start:end].decode("utf-8"))), None, None, None))
                             begun = end
                         start = end
                     if begun < start:
-                        out.append((uid, len(ends), None, None, _pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
+                        out.append((uid, len(ends), None, None, engine.pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
 
     return run
 
 
-def _assembler(path: str):
+def _assembler(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = Engine.of(path)
-        width = np.uint16 if len(engine.names) <= 65536 else np.uint32
         for batch in batches:
             for row in range(batch.num_rows):
                 ids: list[int] = []
                 for part in batch.column("parts")[row].as_py():
-                    ids = engine.join(ids, np.frombuffer(part["ids"], width).tolist())
+                    ids = engine.join(ids, engine.unpack(part["ids"]))
                 n, a, b = engine.summary(ids)
-                yield pa.RecordBatch.from_arrays([batch.column("uid").slice(row, 1), pa.array([n], pa.int64()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["uid", "n_tokens", "ids_sha", "text_sha"])
+                packed = pa.array([engine.pack(ids) if with_ids else None], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("uid").slice(row, 1), packed, pa.array([n], pa.int64()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["uid", "ids", "n_tokens", "ids_sha", "text_sha"])
 
     return run
 
@@ -218,8 +222,12 @@ def shared_chunks(docs: DataFrame) -> DataFrame:
     return many.filter("n > 1 and lo = lo2").select("hi", "lo", "rank", "n")
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256 and decoded_sha256 (of the decoded ids)."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per document: id, n_tokens, ids_sha256 and decoded_sha256 (of the decoded ids).
+
+    with_ids adds ids, the token ids as little-endian numbers of two bytes (four for
+    vocabularies of more than 65536 ids), for `decode_documents` and for writers of training shards.
+    """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = materialise(shared_chunks(src.select("key", "text")), "chunks")
@@ -230,8 +238,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     order = np.argsort(arrays[0])
     held = spark.sparkContext.broadcast([x[order] for x in arrays])
     numbered = src.select("id", F.monotonically_increasing_id().alias("uid"), "key", "text")
-    parts = materialise(_with_id(numbered, _encoder(path, held)), "encoded")
-    whole = parts.filter("seg is null and uid is not null").select("id", "n_tokens", "ids_sha", "text_sha")
+    parts = materialise(_with_id(numbered, _encoder(path, held, with_ids)), "encoded")
+    names = ["id", "ids", "n_tokens", "ids_sha", "text_sha"]
+    whole = parts.filter("seg is null and uid is not null").select(*names)
     chunk = parts.filter("uid is null").groupBy("hi", "lo").agg(F.first("ids").alias("ids"))
     piece = parts.filter("seg is not null")
     own = piece.filter("hi is null").select("uid", "seg", "ids")
@@ -240,11 +249,25 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         own.unionByName(reused)
         .groupBy("uid")
         .agg(F.array_sort(F.collect_list(F.struct("seg", "ids"))).alias("parts"))
-        .mapInArrow(_assembler(path), "uid long, n_tokens long, ids_sha binary, text_sha binary")
+        .mapInArrow(_assembler(path, with_ids), "uid long, ids binary, n_tokens long, ids_sha binary, text_sha binary")
     )
-    names = piece.groupBy("uid").agg(F.first("id").alias("id"))
-    out = whole.unionByName(built.join(names, "uid").select("id", "n_tokens", "ids_sha", "text_sha"))
-    return out.select(F.col("id").alias(id_col), "n_tokens", F.lower(F.hex("ids_sha")).alias("ids_sha256"), F.lower(F.hex("text_sha")).alias("decoded_sha256"))
+    keys = piece.groupBy("uid").agg(F.first("id").alias("id"))
+    out = whole.unionByName(built.join(keys, "uid").select(*names))
+    return out.select(F.col("id").alias(id_col), *["ids"] * with_ids, "n_tokens", F.lower(F.hex("ids_sha")).alias("ids_sha256"), F.lower(F.hex("text_sha")).alias("decoded_sha256"))
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded, a table with ids, with the column decoded in place of ids."""
+    rest = [f for f in encoded.schema if f.name != "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = Engine.of(path)
+        for batch in batches:
+            out = [None if ids is None else engine.decode(engine.unpack(ids)) for ids in batch.column("ids").to_pylist()]
+            kept = batch.drop_columns(["ids"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.string())], [*kept.schema.names, "decoded"])
+
+    return encoded.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "decoded string"]))
 
 
 def _with_id(numbered: DataFrame, run) -> DataFrame:

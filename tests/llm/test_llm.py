@@ -105,6 +105,8 @@ def test_bpe_equals_library(spark, odd, empty):
         want.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(exact.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted(got) == sorted(want)
     assert bpe.encode_documents(empty, path).count() == 0
+    back = bpe.decode_documents(bpe.encode_documents(odd, path, with_ids=True), path)
+    assert sorted(r["decoded"] for r in back.collect()) == sorted(t or "" for _, t in texts_of(odd))
     engine, rng = bpe.Engine.of(path), random.Random(2)
     parts = ["a", " b", "  ", "\n", "'s", "é", "1", ",", "<|endoftext|>", " ", "日", " the", "😀", "\x1c", "zzzzzz"]
     for _ in range(3000):
