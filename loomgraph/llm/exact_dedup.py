@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import slices
@@ -104,12 +104,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str, digits: int = 64) -> DataFrame:
     """Rows of docs whose (id, first digits of the text's SHA-256) is in keep(__id, __sha), each once."""
     sha = F.substr(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.lit(1), F.lit(digits))
-    # one key column, so that the window finds the rows where the join has put them
+    # one key column, so that the join finds the rows where the aggregation has put them
     key = lambda i, h: F.sha2(F.concat(F.coalesce(F.concat(F.lit("k"), i.cast("string")), F.lit("null")), F.lit("|"), h), 256)
-    mine = docs.withColumn("__k", key(F.col(id_col), sha))
-    out = mine.join(keep.select(key(F.col("__id"), F.col("__sha")).alias("__k")), "__k", "left_semi")
-    one = Window.partitionBy("__k").orderBy(F.lit(1))
-    return out.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    # repeated rows are combined before the shuffle, so a row that is a third of the table is no hot key
+    mine = docs.withColumn("__k", key(F.col(id_col), sha)).dropDuplicates(["__k"])
+    return mine.join(keep.select(key(F.col("__id"), F.col("__sha")).alias("__k")), "__k", "left_semi").select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ one small task; scoring is a map over all whole texts without a shuffle. Labels,
 never enter a score: equal texts get equal scores.
 
 Defined results: a null text is empty; an empty text has only the constant feature; rows whose label
-is null don't count; of repeated labels for an id the largest counts; without labels every score is
-0.5, and with labels of one class alone every score is that label; an empty table gives an empty
+is null don't count; of repeated labels for an id the largest counts, of repeated rows the least text;
+without labels every score is 0.5, and with labels of one class alone every score is that label; an empty table gives an empty
 result; further columns are not read.
 """
 
@@ -181,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         .limit(sample_rows)
     )
     # the sample is bounded by a parameter, so it can be sent to every executor
-    rows = docs.select(key.alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "__id").select("rank", "label", "text")
+    rows = docs.select(key.alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "__id")
+    rows = rows.groupBy("__id", "rank", "label").agg(F.min("text").alias("text")).select("rank", "label", "text")
     got = rows.mapInArrow(_extract, "rank long, label int, features binary").repartition(1).mapInArrow(_train, "ratio binary, weight binary, a double, b double").first()
     if got is None:
         return fit([], np.zeros(0, np.int64))

@@ -129,6 +129,20 @@ def test_quality_held_out_accuracy(spark):
     assert (good[:, None] > bad[None, :]).mean() > 0.97 and (got.predicted == got.quality).mean() > 0.97
 
 
+def test_quality_repeated_rows_train_once(spark):
+    text = lambda i: f"word{i} and more {i % 3} words" if i % 2 else f"JUNK {i} !!! $$$"
+    rows = [(i, text(i), "en", "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once, often = quality.train(docs(spark, rows), labels), quality.train(docs(spark, rows + rows[:1] * 50), labels)
+    assert np.array_equal(once.weight, often.weight) and (once.a, once.b) == (often.a, often.b)
+
+
+def test_keep_rows_leaves_one_of_repeated_rows(spark):
+    rows = [(1, "a", "en", "s")] * 40 + [(None, None, None, None)] * 40 + [(2, "b", "en", "s"), (3, "b", "en", "s")]
+    got = exact_dedup.exact_dedup(docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, got))) == ["(1, 'a')", "(3, 'b')", "(None, None)"]
+
+
 def test_quality_odd_inputs(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (5, 0), (None, 1), (8, None)], "doc_id long, quality int")
     model = quality.train(odd, labels)
