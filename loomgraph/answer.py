@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from loomgraph.functions.tokens import quarter_count
 from loomgraph.operators import retrieve, vectors
 from loomgraph.progress import now
 from loomgraph.schemas import HITS
-from loomgraph.session import ship
+from loomgraph.session import materialise, ship
 from loomgraph.snapshot import Store
 from loomgraph.sources.files import scan
 
@@ -81,17 +83,19 @@ class Session:
         names = [r for r in ROUTES[mode] if mode != "query" or r == "graph" or (r == "vector" and self.s.enable_vector_recall) or (r == "community" and self.s.enable_community_recall)]
         found = question_entities(self.client, question) if {"graph", "community"} & set(names) else []
         entities = self.spark.createDataFrame([(x,) for x in dict.fromkeys(found)], "name string")
-        runs = {"graph": lambda: retrieve.graph_hits(self.table("nodes"), self.table("edges"), entities, self.s), "vector": lambda: self._vector(question), "community": lambda: retrieve.community_hits(self.table("communities"), entities)}
+        runs: dict[str, Callable[[], DataFrame]] = {"graph": lambda: retrieve.graph_hits(self.table("nodes"), self.table("edges"), entities, self.s), "vector": lambda: self._vector(question), "community": lambda: retrieve.community_hits(self.table("communities"), entities)}
+        if mode == "query":
+            runs |= {name: partial(recall, question, entities) for name, recall in self.extra.items()}
+            names += self.extra
         out = []
         for name in names:
             try:
-                if name != "vector" and not found:
+                if name in ("graph", "community") and not found:
                     continue
-                out.append(runs[name]())
-            except Exception:  # a broken route must not stop the others
-                continue
-        if mode == "query":
-            out += [recall(question, entities) for recall in self.extra.values()]
+                # hits are few; written here, so that a route that fails when it runs fails alone
+                out.append(materialise(runs[name](), "hits"))
+            except Exception as e:  # a broken route must not stop the others
+                logging.getLogger(__name__).warning("route %s failed: %s", name, e)
         return out
 
     def hits(self, question: str, mode: str = "query") -> DataFrame:

@@ -87,11 +87,13 @@ def compile_base(
     try:
         wanted = changes.to_process(changed)
         documents, rejects = load(files.join(wanted, "path", "left_semi"), loaders)
-        documents = documents.withColumn("key", F.sha2(F.concat_ws("|", "sha256", F.lit(state["extraction_config"]), F.lit(settings.llm_model), "path"), 256))
+        # of the path only the file name decides (modules are named by it), so a moved file is still known
+        documents = documents.withColumn("key", F.sha2(F.concat_ws("|", "sha256", F.lit(state["extraction_config"]), F.lit(settings.llm_model), F.substring_index("path", "/", -1)), 256))
         documents = materialise(documents, "documents")
         progress.stage("extract", extract={"total": documents.count(), "skipped": rejects.count()})
         cache = materialise(store.read_cache("extraction_cache", CACHE).dropDuplicates(["key"]), "cache")
-        known = documents.join(cache, "key").select(F.col("path").alias("source_file"), "triples", "concepts")
+        here_now = [F.transform(c, lambda x: x.withField("source_file", F.col("path"))).alias(c) for c in ("triples", "concepts")]
+        known = documents.join(cache, "key").select(F.col("path").alias("source_file"), *here_now)
         todo = documents.join(cache, "key", "left_anti")
         made = materialise(extract(todo, settings, client, tokenizer), "extracted")  # model calls run once
         sound = made.filter("not failed").join(documents.select(F.col("path").alias("source_file"), "key"), "source_file")

@@ -65,6 +65,23 @@ def test_cache_is_used_when_only_the_index_changes(spark, base):
     assert got.modified == 3 and got.cached == 3 and got.extracted == 0
 
 
+def test_moved_file_is_known_and_keeps_its_new_path(spark, base, tmp_path):
+    compile_base(spark, base)
+    (tmp_path / "raw" / "a.md").rename(tmp_path / "raw" / "sub" / "a.md")
+    got = compile_base(spark, base)
+    assert (got.added, got.deleted, got.cached, got.extracted) == (2, 1, 1, 0)  # bad.md is tried again
+    edges, _ = graph_of(spark, base)
+    assert ("sub/a.md", "Transformer", "uses", "Attention") in edges and not [e for e in edges if e[0] == "a.md"]
+
+
+def test_broken_route_stops_no_other(spark, base):
+    compile_base(spark, base)
+    session = Session(spark, base)
+    session.register("late", lambda question, entities: spark.sql("SELECT raise_error('broken') AS pos"))
+    session.register("early", lambda question, entities: 1 / 0)
+    assert session.answer("What does Transformer use?").citations
+
+
 def test_watch_sees_add_change_delete_when_settled(spark, tmp_path):
     raw, seen = tmp_path / "raw", []
     raw.mkdir()
