@@ -34,8 +34,10 @@ from loomgraph.llm.arrays import slices
 from loomgraph.llm.cdc import cuts
 from loomgraph.session import materialise, table
 
-#: Most shared chunks that are broadcast (24 bytes each). Beyond it the most used ones are reused and the others are encoded where they occur, with the same result.
+#: Most shared chunks that are broadcast (28 bytes each). Beyond it the most used ones are reused and the others are encoded where they occur, with the same result.
 REUSED_CHUNKS = 1_000_000
+#: The uses of a chunk that meet its ids in one task; a chunk of more uses is dealt to several, with a copy of its ids in each.
+USES_A_PART = 1_000
 
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏΑ-Ωα-ωА-я‐-‧‰-⁞€]")
 
@@ -159,18 +161,19 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ranks, pa.int64())], ["hi", "lo", "rank"])
 
 
-_PART = "uid long, seg int, hi long, lo long, ids binary, n_tokens long, ids_sha binary, text_sha binary"
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+_PART = "uid long, seg int, hi long, lo long, part int, ids binary, n_tokens long, ids_sha binary, text_sha binary"
+_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 _NAMES = [x.split()[0] for x in _PART.split(", ")]
 
 
 def _encoder(path: str, shared, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = Engine.of(path)
-        hi, lo, rank = shared.value
+        hi, lo, rank, parts = shared.value
         for batch in batches:
             for rows, buf, off in slices(batch, "text"):
-                # uid with seg null: a whole result; uid and seg: part of a document; uid null: a shared chunk
+                # uid with seg null: a whole result; uid and seg: part of a document, a use of a chunk with the
+                # part it is dealt to; uid null: a shared chunk with its number of parts
                 out: list[tuple] = []
                 for i, (key, uid, ends) in enumerate(zip(rows.column("key").to_pylist(), rows.column("uid").to_pylist(), _chunks(buf, off), strict=True)):
                     text = buf[off[i] : off[i + 1]].tobytes()
@@ -180,20 +183,21 @@ def _encoder(path: str, shared, with_ids: bool):
                     known = (hi[at] == both[:, 0]) & (lo[at] == both[:, 1]) if len(hi) else np.zeros(len(both), bool)
                     if not known.any():
                         ids = engine.encode(text.decode("utf-8"))
-                        out.append((uid, None, None, None, engine.pack(ids) if with_ids else None, *engine.summary(ids)))
+                        out.append((uid, None, None, None, None, engine.pack(ids) if with_ids else None, *engine.summary(ids)))
                         continue
                     start, begun = 0, 0
                     for k, end in enumerate(ends):
                         if known[k]:
                             if begun < start:
-                                out.append((uid, k - 1, None, None, engine.pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
-                            out.append((uid, k, int(both[k, 0]), int(both[k, 1]), None, None, None, None))
+                                out.append((uid, k - 1, None, None, None, engine.pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
+                            n = int(parts[at[k]])
+                            out.append((uid, k, int(both[k, 0]), int(both[k, 1]), (uid + k) % n, None, None, None, None))
                             if rank[at[k]] == ranks[k]:
-                                out.append((None, None, int(both[k, 0]), int(both[k, 1]), engine.pack(engine.encode(text[start:end].decode("utf-8"))), None, None, None))
+                                out.append((None, None, int(both[k, 0]), int(both[k, 1]), n, engine.pack(engine.encode(text[start:end].decode("utf-8"))), None, None, None))
                             begun = end
                         start = end
                     if begun < start:
-                        out.append((uid, len(ends), None, None, engine.pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
+                        out.append((uid, len(ends), None, None, None, engine.pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
 
@@ -233,18 +237,19 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     shared = materialise(shared_chunks(src.select("key", "text")), "chunks")
     if shared.count() > REUSED_CHUNKS:
         shared = shared.orderBy(F.desc("n"), "hi").limit(REUSED_CHUNKS)
-    got = shared.select("hi", "lo", "rank").toArrow()
-    arrays = [got.column(k).to_numpy() for k in ("hi", "lo", "rank")]
+    got = shared.select("hi", "lo", "rank", F.floor(F.col("n") / USES_A_PART + 1).cast("int").alias("parts")).toArrow()
+    arrays = [got.column(k).to_numpy() for k in ("hi", "lo", "rank", "parts")]
     order = np.argsort(arrays[0])
     held = spark.sparkContext.broadcast([x[order] for x in arrays])
     numbered = src.select("id", F.monotonically_increasing_id().alias("uid"), "key", "text")
     parts = materialise(_with_id(numbered, _encoder(path, held, with_ids)), "encoded")
     names = ["id", "ids", "n_tokens", "ids_sha", "text_sha"]
     whole = parts.filter("seg is null and uid is not null").select(*names)
-    chunk = parts.filter("uid is null").groupBy("hi", "lo").agg(F.first("ids").alias("ids"))
+    chunk = parts.filter("uid is null").groupBy("hi", "lo").agg(F.first("ids").alias("ids"), F.first("part").alias("n"))
+    chunk = chunk.select("hi", "lo", "ids", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
     piece = parts.filter("seg is not null")
     own = piece.filter("hi is null").select("uid", "seg", "ids")
-    reused = piece.filter("hi is not null").select("uid", "seg", "hi", "lo").join(chunk, ["hi", "lo"]).select("uid", "seg", "ids")
+    reused = piece.filter("hi is not null").select("uid", "seg", "hi", "lo", "part").join(chunk, ["hi", "lo", "part"]).select("uid", "seg", "ids")
     built = (
         own.unionByName(reused)
         .groupBy("uid")

@@ -119,6 +119,17 @@ def test_bpe_equals_library(spark, odd, empty):
         assert joined == ids
 
 
+def test_bpe_hot_chunk_is_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "USES_A_PART", 5)
+    rows = [(i, LONG[:20_000] + f" and {i}", "en", "s") for i in range(40)] + [(99, "alone", "en", "s")]
+    path = bpe.vocabulary_path()
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode_documents(bpe.encode_documents(docs(spark, rows), path, with_ids=True), path).collect()}
+    assert got == {i: t for i, t, *_ in rows}
+    engine = bpe.Engine.of(path)
+    ids = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode_documents(docs(spark, rows), path).collect()}
+    assert ids == {i: hashlib.sha256(",".join(map(str, engine.exact.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t, *_ in rows}
+
+
 # 3 quality
 
 
