@@ -14,6 +14,7 @@ from loomgraph.functions.text import confidence, confidence_rank, confidence_wei
 from loomgraph.functions.tokens import quarter_count
 from loomgraph.operators import graph
 from loomgraph.operators.community import overlap
+from loomgraph.session import numbered
 
 HEADER = "已知知识点："
 
@@ -86,10 +87,9 @@ def _concept() -> Column:
 def _hits(rows: DataFrame, source: str, order: list, score: Column, triple: Column | None = None, concept: Column | None = None, summary: Column | None = None) -> DataFrame:
     t = "struct<head:string,relation:string,tail:string,confidence:string,source_file:string,track:string,chunk_index:int>"
     c = "struct<name:string,description:string,source_file:string,confidence:string,node_type:string,extra:map<string,string>>"
-    pos = F.row_number().over(Window.orderBy(*order)).cast("long")  # hits of one question, a bounded set
     null = F.lit(None)
-    return rows.select(
-        pos.alias("pos"),
+    return numbered(rows, order).select(
+        "pos",
         F.lit(source).alias("source"),
         score.cast("double").alias("score"),
         (null if triple is None else triple).cast(t).alias("triple"),
@@ -124,7 +124,7 @@ def union_routes(routes: list[DataFrame]) -> DataFrame:
     for i, hits in enumerate(routes):
         part = hits.withColumn("route", F.lit(i))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("pos", F.row_number().over(Window.orderBy("route", "pos")).cast("long")).drop("route")
+    return numbered(out.withColumnRenamed("pos", "__own"), ["route", "__own"]).select("pos", *[c for c in out.columns if c not in ("pos", "route")])
 
 
 def hit_confidence() -> Column:
@@ -160,8 +160,9 @@ def fuse(hits: DataFrame, most_tokens: int = 4000, count: Callable[[Column], Col
     """Without repeats, by confidence weight times score, cut to the budget; rank from 1."""
     line = render_hit(F.col("triple"), F.col("concept"), F.col("community_summary"))
     ranked = dedup_hits(hits).withColumns({"weighted": confidence_weight(hit_confidence()) * F.col("score"), "line": line}).filter("line != ''")
-    order = [F.desc("weighted"), F.col("pos")]
-    return budget(ranked, count(F.col("line")), most_tokens, order).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    # a top-k of every partition would be merged in one task; numbered rows are cut where they are
+    ranked = numbered(ranked, [F.desc("weighted"), F.col("pos")], "rank").withColumn("rank", F.col("rank").cast("int"))
+    return budget(ranked.filter(F.col("rank") <= max(1, most_tokens)), count(F.col("line")), most_tokens, [F.col("rank")])
 
 
 def context(fused: DataFrame, most_tokens: int = 4000, count: Callable[[Column], Column] = quarter_count, header_tokens: int = 1) -> DataFrame:

@@ -258,6 +258,49 @@ def review_flag(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.review(_fixture_hits(spark, d), Settings()).drop("entities")
 
 
+def _whole_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every triple as a hit, twice; the repeats come after all first ones at any size."""
+    score = F.when(F.col("relation") == "part_of", 0.9).when(F.col("relation") == "located_in", 0.7).otherwise(0.8)
+    hits = retrieve._hits(triples(spark, d), "graph", ["source_file", "head", "relation", "tail"], score, triple=retrieve._triple())
+    return hits.unionByName(hits.withColumn("pos", F.col("pos") + (1 << 40)))
+
+
+_WHOLE_HITS = f"""{ORACLE_TRIPLES}, h AS (SELECT *, CASE relation WHEN 'part_of' THEN 0.9 WHEN 'located_in' THEN 0.7 ELSE 0.8 END AS score,
+    CASE confidence WHEN 'INFERRED' THEN 0.6 WHEN 'AMBIGUOUS' THEN 0.3 ELSE 1.0 END AS cw, row_number() OVER (ORDER BY source_file, head, relation, tail) AS pos,
+    {_LINE} AS line FROM triples)"""
+_WHOLE_RANKS = f"""{_WHOLE_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY CAST(cw AS DOUBLE) * CAST(score AS DOUBLE) DESC, pos) AS rank FROM h),
+  s AS (SELECT *, sum(greatest(1, length(line) // 4)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS t FROM r)"""
+
+
+@query("fuse_truncate_whole", f"WITH {_WHOLE_RANKS} SELECT CAST(rank AS INTEGER) AS rank, line FROM s WHERE rank = 1 OR t <= 4000")
+def fuse_truncate_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.fuse(_whole_hits(spark, d), Settings().max_context_tokens).select("rank", "line")
+
+
+@query("compile_context_whole", f"""WITH {_WHOLE_RANKS}
+  SELECT '已知知识点：' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS context FROM s WHERE t <= 4000 AND (rank = 1 OR t + 1 <= 4000)""")
+def compile_context_whole(spark: SparkSession, d: str) -> DataFrame:
+    most = Settings().max_context_tokens
+    return retrieve.context(retrieve.fuse(_whole_hits(spark, d), most), most)
+
+
+@query("dedup_hits_whole", f"WITH {_WHOLE_HITS} SELECT pos, head, tail FROM h")
+def dedup_hits_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.dedup_hits(_whole_hits(spark, d)).select("pos", "triple.head", "triple.tail")
+
+
+@query("route_counts_whole", f"WITH {_WHOLE_HITS} SELECT 'graph' AS source, 2 * count(*) AS n FROM h")
+def route_counts_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.route_counts(_whole_hits(spark, d))
+
+
+@query("review_flag_whole", f"""WITH {_WHOLE_HITS} SELECT count(*) < 3 OR max(score) < 0.3 OR bool_or(confidence = 'AMBIGUOUS') AS flagged,
+  CASE WHEN count(*) < 3 THEN 'low_hit_count' WHEN max(score) < 0.3 THEN 'low_confidence_score' ELSE 'ambiguous_conflict' END AS reason,
+  bool_or(confidence IN ('INFERRED', 'AMBIGUOUS')) AS used_inferred, 'EXTRACTED' AS confidence FROM h""")
+def review_flag_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.review(_whole_hits(spark, d), Settings()).drop("entities")
+
+
 @query("citations", r"""SELECT doc_id, array_to_string(regexp_extract_all('see ^[' || source || '/' || doc_id || '.md] and ^[' || lang || '].', '\^\[([^\]]+)\]', 1), ',') AS cited FROM documents""")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.lit("see ^["), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md] and ^["), "lang", F.lit("]."))

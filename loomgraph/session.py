@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -44,5 +45,22 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str | Column], name: str = "pos") -> DataFrame:
+    """df with name: each row's place in this order, from 1.
+
+    Rows are sorted in ranges and numbered within them; only the sizes of the ranges come to the driver.
+    """
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    i = F.col("__i")
+    held = materialise(ranges.withColumn("__i", F.monotonically_increasing_id()), "numbered").withColumn("__p", F.shiftright(i, 33))
+    starts, start = [], 0
+    for r in held.groupBy("__p").count().orderBy("__p").collect():
+        starts.append((r["__p"], start))
+        start += r["count"]
+    first = spark.createDataFrame(starts, "__p long, __s long")
+    return held.join(F.broadcast(first), "__p").withColumn(name, F.col("__s") + i.bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__i", "__p", "__s")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
