@@ -337,7 +337,7 @@ def session_debounce(spark: SparkSession, d: str) -> DataFrame:
 
 @query("community_sizes")
 def community_sizes(spark: SparkSession, d: str) -> DataFrame:
-    edges = materialise(triples(spark, d).filter("relation <> 'supplies'"), "edges")
+    edges = materialise(triples(spark, d), "edges")
     nodes = node_table(edges)
     return community.communities(nodes, edges, community.membership(nodes, edges)).select("id", "size", "summary")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph.plans import catalog
-from loomgraph.plans.fixture import triples
+from loomgraph.plans.fixture import node_table, triples
 from loomgraph.session import numbered, table
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +23,8 @@ def test_hits_are_all_triples(spark):
     hits = catalog.QUERIES["dedup_hits_whole"](spark, SF)
     assert hits.count() == n and hits.agg(F.max("pos")).first()[0] == n
     assert catalog.QUERIES["fuse_truncate_whole"](spark, SF).count() > catalog.QUERIES["fuse_truncate"](spark, SF).count()
+
+
+def test_communities_hold_every_node(spark):
+    sizes = catalog.QUERIES["community_sizes"](spark, SF)
+    assert sizes.agg(F.sum("size")).first()[0] == node_table(triples(spark, SF)).count()
