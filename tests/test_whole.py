@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import community
 from loomgraph.plans import catalog
 from loomgraph.plans.fixture import node_table, triples
 from loomgraph.session import numbered, table
@@ -28,3 +29,21 @@ def test_hits_are_all_triples(spark):
 def test_communities_hold_every_node(spark):
     sizes = catalog.QUERIES["community_sizes"](spark, SF)
     assert sizes.agg(F.sum("size")).first()[0] == node_table(triples(spark, SF)).count()
+
+
+def test_both_community_routes_find_long_chains_and_large_groups(spark):
+    rows = [(f"c{i:02}", f"c{i + 1:02}", 1) for i in range(39)]
+    rows += [(f"{g}{i:02}", f"{g}{j:02}", 1) for g in "xy" for i in range(25) for j in range(i)] + [("x00", "y00", 1), ("z", "z", 3)]
+    pairs = spark.createDataFrame(rows, "a string, b string, weight long")
+    nodes = spark.createDataFrame([(x,) for x in sorted({v for r in rows for v in r[:2]} | {"alone"})], "name string")
+    links = {}
+    for a, b, w in rows:
+        links.setdefault(a, {})[b] = links.setdefault(b, {})[a] = w
+    links["alone"] = {}
+    of = {r["node"]: r["id"] for r in community.modular_moves(nodes, pairs).collect()}
+    assert set(of) == set(links)
+    for g in "xy":
+        assert len({of[f"{g}{i:02}"] for i in range(25)}) == 1
+    best = community.modularity(links, community.leiden(rows, list(links)))
+    assert community.modularity(links, of) > best - 0.01
+    assert {r["id"] for r in community.modular_moves(nodes, pairs.limit(0)).collect()} == {0}
