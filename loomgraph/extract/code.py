@@ -120,9 +120,10 @@ def _scan(source: str, out: Structure, language: str) -> None:
             pending = ("class", after)
         elif re.match(r"[A-Za-z_$]", t) and after == "(" and t not in _NOT_CALLED and i + 1 in closing:
             end = closing[i + 1]
-            follow = [x[0] for x in tokens[end + 1 : end + 12]]
-            if language == "java" and follow[:1] == ["throws"]:
-                follow = follow[follow.index("{") :] if "{" in follow else [";"]
+            at = end + 1
+            if language == "java" and at < len(tokens) and tokens[at][0] == "throws":
+                at = next((j for j in range(at, len(tokens)) if tokens[j][0] in "{;"), len(tokens))
+            follow = [tokens[at][0]] if at < len(tokens) else []
             in_class = bool(out.scopes) and out.scopes[-1][0] == "class" and bool(opened) and opened[-1] == depth
             if follow[:1] == ["{"] and (before == "function" or in_class):
                 pending = ("function", t, _spaces(source[tokens[i + 1][2] : tokens[end][1]]))

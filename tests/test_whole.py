@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph.extract.code import extract_code
 from loomgraph.operators import community
 from loomgraph.plans import catalog
 from loomgraph.plans.fixture import node_table, triples
@@ -47,3 +48,10 @@ def test_both_community_routes_find_long_chains_and_large_groups(spark):
     best = community.modularity(links, community.leiden(rows, list(links)))
     assert community.modularity(links, of) > best - 0.01
     assert {r["id"] for r in community.modular_moves(nodes, pairs.limit(0)).collect()} == {0}
+
+
+def test_java_method_with_a_long_throws_clause():
+    java = "class A { void f() throws java.io.IOException, java.sql.SQLException, a.b.C, d.e.F { g(); } abstract void k() throws a.b.C, d.e.F, g.h.I, j.k.L, m.n.O; void l() { } }"
+    triples, concepts = extract_code("p/A.java", java)
+    assert {(t["head"], t["relation"], t["tail"]) for t in triples} == {("A", "contains", "f"), ("f", "calls", "g"), ("A", "contains", "l")}
+    assert "method A.f()" in {c["description"] for c in concepts}
