@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.extract.clients import LLMClient
 from loomgraph.functions.text import community_summary, normalize_entity
 from loomgraph.operators.graph import symmetrize, weighted_pairs
 from loomgraph.session import materialise, numbered
 
+SYSTEM = "You are a knowledge graph community summarizer."
+
 #: Leiden needs the graph in one task's memory; graphs with more pairs use modular_moves.
 LEIDEN_PAIRS = 2_000_000
 
@@ -211,15 +214,35 @@ def membership(nodes: DataFrame, edges: DataFrame, strategy: str = "sum", seed:
     return pairs.select("a", "b", "weight").unionByName(alone).coalesce(1).mapInPandas(_leiden_task(seed), "node string, id int")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, member: DataFrame) -> DataFrame:
-    """id, members (sorted), size, summary and source_files of each community."""
+def _summaries(client: LLMClient):
+    """The model's sentence on a community's first members; what is there stays if it fails or says nothing."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for some, plain in zip(frame["some"], frame["summary"], strict=True):
+                try:
+                    said = client.complete(SYSTEM, f"Summarize the shared theme of the following knowledge graph nodes in one concise sentence: {', '.join(some)}. Reply in the same language as the nodes.", "text", 0.0).strip()
+                except Exception:
+                    said = ""
+                out.append(said or plain)
+            yield frame[["id"]].assign(summary=out)
+
+    return run
+
+
+def communities(nodes: DataFrame, edges: DataFrame, member: DataFrame, client: LLMClient | None = None) -> DataFrame:
+    """id, members (sorted), size, summary and source_files of each community; with a client it writes the summaries."""
     own = member.join(nodes.select(F.col("name").alias("node"), "source_file"), "node").select("id", "source_file")
     end = edges.select(F.explode(F.array("head", "tail")).alias("node"), "source_file").distinct()
     sources = own.unionByName(member.join(end, "node").select("id", "source_file")).filter("source_file != ''")
     files = sources.groupBy("id").agg(F.sort_array(F.collect_set("source_file")).alias("source_files"))
     group = member.groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("members"), F.count(F.lit(1)).cast("int").alias("size"))
-    out = group.join(files, "id", "left")
-    return out.select("id", "members", "size", community_summary(F.col("members"), F.col("size")).alias("summary"), F.coalesce("source_files", F.array().cast("array<string>")).alias("source_files"))
+    out = group.join(files, "id", "left").withColumn("summary", community_summary(F.col("members"), F.col("size")))
+    if client is not None:
+        asked = out.select("id", F.slice("members", 1, 20).alias("some"), "summary").mapInPandas(_summaries(client), "id int, summary string")
+        out = out.drop("summary").join(materialise(asked, "summaries"), "id")  # model calls run once
+    return out.select("id", "members", "size", "summary", F.coalesce("source_files", F.array().cast("array<string>")).alias("source_files"))
 
 
 def overlap(found: DataFrame, entities: DataFrame) -> DataFrame:

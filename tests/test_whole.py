@@ -2,11 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph.build import compile_base
+from loomgraph.config import Settings
+from loomgraph.extract.clients import OfflineClient
 from loomgraph.extract.code import extract_code
 from loomgraph.operators import community
 from loomgraph.plans import catalog
 from loomgraph.plans.fixture import node_table, triples
-from loomgraph.session import numbered, table
+from loomgraph.session import numbered
+from loomgraph.snapshot import Store
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +59,29 @@ def test_java_method_with_a_long_throws_clause():
     triples, concepts = extract_code("p/A.java", java)
     assert {(t["head"], t["relation"], t["tail"]) for t in triples} == {("A", "contains", "f"), ("f", "calls", "g"), ("A", "contains", "l")}
     assert "method A.f()" in {c["description"] for c in concepts}
+
+
+class Summarizer(OfflineClient):
+    def complete(self, system, user, response_format="json", temperature=0.0):
+        if "summarizer" not in system:
+            return super().complete(system, user, response_format, temperature)
+        if "Python" in user:
+            raise RuntimeError("no answer")
+        return " All about " + user.split("sentence: ")[1].split(". Reply")[0] + " "
+
+
+def test_summaries_are_the_models_or_the_heuristic(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.md").write_text("Transformer uses Attention.")
+    (raw / "b.md").write_text("Python is a Language.")
+    s = Settings(raw_dir=str(raw), out_dir=str(tmp_path / "out"))
+    compile_base(spark, s, Summarizer())  # as in the reference, a build does not ask for summaries
+    store = Store(spark, s.out_dir)
+    plain = {"Attention": "Community of: Attention, Transformer", "Language": "Community of: Language, Python"}
+    said = lambda found: {r["members"][0]: r["summary"] for r in found.collect()}
+    assert said(store.read("communities")) == plain
+    nodes, edges = store.read("nodes"), store.read("edges")
+    member = community.membership(nodes, edges)
+    assert said(community.communities(nodes, edges, member, OfflineClient())) == plain  # an empty answer
+    assert said(community.communities(nodes, edges, member, Summarizer())) == plain | {"Attention": "All about Attention, Transformer"}
