@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.config import Settings
+from loomgraph.extract import semantic
 from loomgraph.functions import text as tx
 from loomgraph.functions import tokens as tk
 from loomgraph.operators import changes, community, graph, keywords, retrieve, vectors
@@ -310,8 +311,20 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 @query("concept_merge_last", """SELECT source_file, name, description FROM (SELECT source AS source_file, lang AS name, substr(text, 1, 40) AS description,
   row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS rn FROM documents) WHERE rn = 1""")
 def concept_merge_last(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").groupBy(F.col("source").alias("source_file"), F.col("lang").alias("name"))
-    return docs.agg(F.max_by(F.substring("text", 1, 40), "doc_id").alias("description"))
+    return _merged(spark, d).select("source_file", "c.name", F.substring("c.description", 1, 40).alias("description"))
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    """The concepts (lang) of each source with whole texts as descriptions, in the order of documents; place counts from 1."""
+    docs = table(spark, d, "documents")
+    each = docs.select(F.col("source").alias("source_file"), F.col("doc_id").alias("chunk_index"), F.lit(0).alias("pos"), F.col("lang").alias("name"), F.col("text").alias("description"), F.lit("concept").alias("node_type"))
+    return semantic.merge_concepts(each, "last_write_wins").select("source_file", F.posexplode("concepts").alias("place", "c")).withColumn("place", F.col("place") + 1)
+
+
+@query("concept_merge_whole", """SELECT source AS source_file, lang AS name, sha256(arg_max(text, doc_id)) AS sha256, CASE WHEN count(*) > 1 THEN CAST(max(doc_id) AS VARCHAR) END AS last_chunk_index,
+  CAST(row_number() OVER (PARTITION BY source ORDER BY min(doc_id)) AS INTEGER) AS place FROM documents GROUP BY source, lang""")
+def concept_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).select("source_file", "c.name", F.sha2("c.description", 256).alias("sha256"), F.col("c.extra")["last_chunk_index"].alias("last_chunk_index"), "place")
 
 
 @query("concept_sentences", r"""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?;\n])', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '')) AS INTEGER) AS n FROM documents""")

@@ -85,3 +85,12 @@ def test_summaries_are_the_models_or_the_heuristic(spark, tmp_path):
     member = community.membership(nodes, edges)
     assert said(community.communities(nodes, edges, member, OfflineClient())) == plain  # an empty answer
     assert said(community.communities(nodes, edges, member, Summarizer())) == plain | {"Attention": "All about Attention, Transformer"}
+
+
+def test_concepts_merge_whole_texts_by_the_operator(spark, monkeypatch):
+    seen = []
+    merge = catalog.semantic.merge_concepts
+    monkeypatch.setattr(catalog.semantic, "merge_concepts", lambda each, strategy: seen.append(each.agg(F.max(F.length("description"))).first()[0]) or merge(each, strategy))
+    for name in ("concept_merge_last", "concept_merge_whole"):
+        assert catalog.QUERIES[name](spark, SF).count()
+    assert len(seen) == 2 and min(seen) > 40
