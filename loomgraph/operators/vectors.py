@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.schemas import VECTORS
+from loomgraph.session import numbered
 
 Embed = Callable[[list[str]], list[list[float]]]
 CACHE = "key string, model string, dim int, embedding array<float>"
@@ -40,6 +42,42 @@ def search(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "l
     return near.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
 
 
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 256) -> DataFrame:
+    """(query, id, distance, rank): the k nearest vectors of each query (query, embedding) by squared L2, then id.
+
+    Exact. Blocks of queries are sent to all vectors; only the best k of each batch are shuffled.
+    """
+    spark = vectors.sparkSession
+    asked = numbered(queries.select("query", "embedding"), ["query"])
+    out = None
+    for at in range(0, max(1, asked.count()), block):
+        rows = asked.filter(F.col("pos").between(at + 1, at + block)).collect()
+        held = spark.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)))
+        part = vectors.select("id", "embedding").mapInPandas(_nearest(held, k), "query string, id string, distance double")
+        out = part if out is None else out.unionByName(part)
+    best = Window.partitionBy("query").orderBy("distance", "id")
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _nearest(held, k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, wanted = held.value
+        for frame in frames:
+            if not len(frame) or not len(names):
+                continue
+            ids, rows = frame["id"].to_numpy(), np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+            place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+            far = np.zeros((len(names), len(ids)))
+            for d in range(rows.shape[1]):  # summed in the order of SQL
+                far += (rows[:, d] - wanted[:, d, None]) ** 2
+            for name, own in zip(names, far, strict=True):
+                near = np.flatnonzero(own <= np.partition(own, min(k, len(own)) - 1)[min(k, len(own)) - 1])
+                near = near[np.lexsort((place[near], own[near]))[:k]]
+                yield pd.DataFrame({"query": name, "id": ids[near], "distance": own[near]})
+
+    return run
+
+
 def cache_key(text: Column, model: str, dim: int) -> Column:
     return F.sha2(F.concat(F.sha2(text, 256), F.lit(f"|{model}|{dim}")), 256)
 

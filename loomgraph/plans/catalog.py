@@ -156,6 +156,16 @@ def vector_topk_l2(spark: SparkSession, d: str) -> DataFrame:
     return vectors.search(rows, list(asked), 10).select("id", F.round("distance", 6).alias("distance"))
 
 
+@query("vector_topk_l2_whole", """WITH f AS (SELECT CAST(q.vec_id AS VARCHAR) AS query, CAST(v.vec_id AS VARCHAR) AS id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))) AS far
+    FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
+  SELECT query, id, round(far, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY far, id) AS rank FROM f) WHERE rank <= 10""")
+def vector_topk_l2_whole(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query"), "embedding")
+    near = vectors.search_many(v.select(F.col("vec_id").cast("string").alias("id"), "embedding"), asked, 10)
+    return near.select("query", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("vector_delete_source", "SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE label <> 1")
 def vector_delete_source(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("source_file"))

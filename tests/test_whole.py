@@ -6,7 +6,7 @@ from loomgraph.build import compile_base
 from loomgraph.config import Settings
 from loomgraph.extract.clients import OfflineClient
 from loomgraph.extract.code import extract_code
-from loomgraph.operators import community
+from loomgraph.operators import community, vectors
 from loomgraph.plans import catalog
 from loomgraph.plans.fixture import node_table, triples
 from loomgraph.session import numbered
@@ -94,3 +94,12 @@ def test_concepts_merge_whole_texts_by_the_operator(spark, monkeypatch):
     for name in ("concept_merge_last", "concept_merge_whole"):
         assert catalog.QUERIES[name](spark, SF).count()
     assert len(seen) == 2 and min(seen) > 40
+
+
+def test_search_of_many_queries_with_ties(spark):
+    rows = spark.createDataFrame([(str(i), [float(i % 7), 1.0]) for i in range(300)], "id string, embedding array<float>")
+    asked = spark.createDataFrame([(f"q{i}", [float(i), 1.0]) for i in range(5)], "query string, embedding array<float>")
+    got = vectors.search_many(rows, asked, 10, block=2).collect()
+    for i in range(5):
+        want = sorted(((i - j % 7) ** 2, str(j)) for j in range(300))[:10]
+        assert [(r["distance"], r["id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == f"q{i}"] == want
