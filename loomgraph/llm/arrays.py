@@ -6,6 +6,7 @@ texts, so memory is bounded by the slice size or by the longest single text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,37 +34,57 @@ def byte_table(seed: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93) + _U(seed))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def eights(buf: np.ndarray) -> np.ndarray:
+    """Every eight bytes of the buffer as one number, so exactly."""
+    out = np.empty(max(0, len(buf) - 7), np.uint64)
+    for s in range(8):
+        n = (len(buf) - s) // 8
+        if n > 0:
+            out[s::8] = buf[s : s + 8 * n].view("<u8")
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n."""
-    size = 1 << max(21, int(n).bit_length())
-    up, down = _powers(size)
-    return up[:n], down[:n]
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The identifier of two neighbours, from theirs."""
+    return mix64(a * _U(_BASE) + b)
 
 
-class Rolling:
-    """Polynomial fingerprints of any ranges of a byte buffer, from one running sum."""
+def doubled(ids: np.ndarray, have: int, width: int) -> np.ndarray:
+    """Identifiers of every `width` bytes (at most 2 * have) from those of every `have` bytes."""
+    step = width - have
+    return pair(ids[: max(0, len(ids) - step)], ids[step:])
 
-    def __init__(self, buf: np.ndarray, seed: int = 1) -> None:
-        up, self.down = powers(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(byte_table(seed)[buf] * up[: len(buf)], out=self.sums[1:])
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start])
+def windows(buf: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Identifiers of every `width` bytes (8 at least), by doubling from eight bytes on."""
+    ids, have = mix64(eights(buf) ^ mix64(np.array([seed + 1], np.uint64))), 8
+    while have < width:
+        wide = min(2 * have, width)
+        ids, have = doubled(ids, have, wide), wide
+    return ids
 
-    def windows(self, q: int) -> np.ndarray:
-        """The fingerprint of every q bytes."""
-        n = len(self.sums) - q
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        return mix64((self.sums[q:] - self.sums[:n]) * self.down[:n])
+
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+LONG_RANGE = 128
+
+
+def fingerprints(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Fingerprints of ranges of a buffer: eight bytes a step through a mixer, BLAKE2b beyond LONG_RANGE bytes.
+
+    Ranges of one length up to eight bytes never collide; no family of strings is known to.
+    """
+    size = end - start
+    h = mix64(size.astype(np.uint64) * _U(_BASE) + _U(seed))
+    eight = eights(np.concatenate((buf, np.zeros(8, np.uint8))))
+    todo, at = np.flatnonzero((size > 0) & (size <= LONG_RANGE)), 0
+    while len(todo):
+        left = size[todo] - at
+        block = eight[start[todo] + at] & _MASK[np.minimum(left, 8)]
+        h[todo] = mix64((h[todo] ^ block) * _U(_BASE))
+        at, todo = at + 8, todo[left > 8]
+    for i in np.flatnonzero(size > LONG_RANGE).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=seed.to_bytes(4, "big")).digest(), "little")
+    return h
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +139,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     after[first[1:] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
     text = np.searchsorted(off, start, "right") - 1
-    return Rolling(_LOWER[buf], 7).ranges(start, end), text, start
+    return fingerprints(_LOWER[buf], start, end, 7), text, start
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrays import Rolling, mix64, slices
+from loomgraph.llm.arrays import fingerprints, mix64, slices
 from loomgraph.session import table
 
 BITS = 18
@@ -51,7 +51,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         solid = kind[start] > 0
         start, end = start[solid], end[solid]
         text = np.searchsorted(off, start, "right") - 1
-        token = Rolling(_LOWER[buf], 3).ranges(start, end)
+        token = fingerprints(_LOWER[buf], start, end, 3)
 
         def share(lo: int, hi: int) -> np.ndarray:
             seen = np.concatenate(([0], np.cumsum((buf >= lo) & (buf <= hi), dtype=np.int32)))

@@ -1,23 +1,29 @@
 """Removal of repeated substrings by bucket-pointer refinement of suffixes.
 
 Every start of a `length`-byte window is a suffix to be sorted to that depth. The initial bucket of a
-suffix is named by a q-gram: the smallest q-gram fingerprint in its window, so suffixes in equal windows
-are in equal buckets, and a run of neighbouring suffixes shares a bucket. Buckets are refined on
-identifiers of later offsets, and only where needed, each level reusing the last:
+suffix is named by a q-gram: the q-gram of least identifier in its window, so suffixes of equal windows
+are in equal buckets, and a run of neighbouring suffixes shares a bucket.
 
-1. q-gram buckets: runs are counted by bucket; suffixes alone in a bucket are unique. A Bloom filter of
-   bounded size brings the buckets with company to all tasks; where it errs a run is only looked at again.
-2. run level: the identifier of all later offsets of a run (its whole string) splits the bucket. A run
-   whose string occurs again repeats as a whole; one of its occurrences goes on to stand for it.
-3. suffix level: in what is left each suffix gets the identifier of its window, from the same running
-   sum of q-gram fingerprints, and buckets are sorted on it. Equal neighbours repeat.
+1. Runs are counted by bucket; suffixes alone in a bucket are unique and leave. Buckets with company are
+   joined to their runs, at any number of buckets.
+2. Runs whose whole string occurs again (by bucket and a 128-bit BLAKE2b name) repeat as a whole; one
+   occurrence goes on to stand for them.
+3. What is left of a bucket is refined in one place, from the bytes of its runs: identifiers of 8 bytes,
+   which are the bytes themselves, are doubled with those of later offsets to 16, 32, 64, ... up to `length`
+   bytes, each level reusing the last. Suffixes are sorted on the identifiers of 64 bytes on, and
+   those alone in theirs leave before the next level. Equal neighbours of the last level are compared
+   byte for byte, so a collision of identifiers never removes a byte.
 
-Only names of runs are shuffled at levels 1 and 2, 8 bytes for each suffix that is left at level 3, and
-texts once, to meet their runs. Hot buckets are split by window identifier.
+A bucket of more than HOT_RUNS runs is dealt to several tasks by the window's identifier; there
+the identifiers themselves travel, in 128 bits, and are not compared with bytes again.
+
+Only rows about runs are shuffled at levels 1 and 2, each distinct text once, to meet its runs, and the bytes
+of the runs that level 3 needs.
 
 Defined results: a null text is empty; texts shorter than `length` keep all bytes; repeats within a
-text and overlapping ones count; copies of a text are repeats of each other; null ids and repeated rows
-each keep their row; an empty table gives an empty result; further columns are not read.
+text and overlapping ones count; copies of a text are repeats of each other; a text of any length is
+taken whole (one text must fit in a task); with ties (equal windows) all go; null ids and repeated rows
+each keep their row; an empty table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrays import Rolling, mix64, owners, slices
+from loomgraph.llm.arrays import doubled, eights, mix64, owners, slices, windows
+from loomgraph.llm.skew import join_counted
 from loomgraph.session import materialise, table
 
 LENGTH, GRAM = 200, 32
-BLOOM_WORDS = 1 << 20
-#: A bucket of more runs than this is split; at most HOT_KEYS such buckets, the largest, are known to all tasks.
-HOT_RUNS, HOT_KEYS = 20_000, 100_000
-_FLUSH = 1 << 21
+#: A bucket of more runs than this is dealt to several tasks.
+HOT_RUNS = 2_000
+_FLUSH = 1 << 20
 _U = np.uint64
 
 
@@ -52,22 +58,19 @@ def _slide(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one bucket: (fingerprints, text, first, last, bucket), places in buf.
-
-    The bucket of a window is the least fingerprint of its q-grams.
-    """
-    sums = Rolling(buf, 21)
+def runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one bucket: (identifiers of q-grams, text, first, last, bucket), places in buf."""
+    h = windows(buf, gram)
     none = np.zeros(0, np.int64)
     if len(buf) < length:
-        return sums, none, none, none, np.zeros(0, np.uint64)
-    low = _slide(sums.windows(gram), length - gram + 1)
+        return h, none, none, none, np.zeros(0, np.uint64)
+    low = _slide(h, length - gram + 1)
     text = owners(off)[: len(low)]
     valid = np.arange(len(low)) + length <= off[1:][text]
     edge = np.concatenate(([True], (low[1:] != low[:-1]) | (text[1:] != text[:-1])))
     first = np.flatnonzero(valid & (edge | ~np.concatenate(([False], valid[:-1]))))
     last = np.flatnonzero(valid & np.concatenate((edge[1:] | ~valid[1:], [True])))
-    return sums, text[first], first, last, low[first]
+    return h, text[first], first, last, low[first]
 
 
 def _twice(h: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
@@ -82,113 +85,162 @@ def _twice(h: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.ndarra
     return out
 
 
-def _bits(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return bucket % _U(BLOOM_WORDS * 64), mix64(bucket + _U(3)) % _U(BLOOM_WORDS * 64)
-
-
 def _buckets(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, buf, off in slices(batch, "text"):
-                sums, _, first, last, bucket = runs(buf, off, length, gram)
+                h, _, first, last, bucket = runs(buf, off, length, gram)
                 if len(first):
-                    again = _twice(sums.windows(gram), first, last, bucket, length - gram + 1)
+                    again = _twice(h, first, last, bucket, length - gram + 1)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(1 + again.astype(np.int32))], ["v", "n"])
 
     return run
 
 
-def _run_names(length: int, gram: int, held):
+def _run_names(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = held.value
         for batch in batches:
             for rows, buf, off in slices(batch, "text"):
-                sums, text, first, last, bucket = runs(buf, off, length, gram)
-                a, b = _bits(bucket)
-                maybe = ((bloom[a >> _U(6)] >> (a & _U(63))) & (bloom[b >> _U(6)] >> (b & _U(63))) & _U(1)).astype(bool)
-                if maybe.any():
-                    text, first, last, bucket = text[maybe], first[maybe], last[maybe], bucket[maybe]
-                    name = sums.ranges(first, last + length)
-                    columns = [pa.array(bucket.view(np.int64)), pa.array(name.view(np.int64)), rows.column("th").take(pa.array(text)), pa.array((first - off[text]).astype(np.int32)), pa.array((last - off[text]).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["v", "name", "th", "first", "last"])
+                _, text, first, last, bucket = runs(buf, off, length, gram)
+                if len(first):
+                    view = memoryview(np.ascontiguousarray(buf))
+                    names = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+                    place = (first - off[text] << 32) | (last - off[text])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(names, pa.binary()), rows.column("th").take(pa.array(text)), pa.array(place)], ["v", "name", "th", "place"])
 
     return run
 
 
-def _suffixes(length: int, hot):
-    """Windows of the runs that go on: (v, part, th, stands, first, ids, at)."""
-    names = ["v", "part", "th", "stands", "first", "ids", "at"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+_SUFFIXES = "v long, part int, th binary, stands boolean, first int, n int, data binary, at binary"
+_NAMES = [x.split()[0] for x in _SUFFIXES.split(", ")]
+_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def _suffixes(length: int):
+    """The runs that go on: their bytes, or for a hot bucket the identifiers of their windows, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, parts = hot.value
-        done = None
         for batch in batches:
             for rows, buf, off in slices(batch, "text"):
                 out: list[tuple] = []
-                ids = Rolling(buf, 23).windows(length)
+                lanes: list[np.ndarray] = []
                 for i, (th, found) in enumerate(zip(rows.column("th").to_pylist(), rows.column("runs").to_pylist(), strict=True)):
-                    if found is None or th == done:
-                        continue
-                    done = th
-                    for x in found:
+                    for x in found or ():
                         if x["state"] == 1:
                             continue
-                        own = ids[off[i] + x["first"] : off[i] + x["last"] + 1]
-                        k = int(np.searchsorted(keys, x["v"])) if len(keys) else 0
-                        n = int(parts[k]) if k < len(keys) and keys[k] == x["v"] else 1
-                        if n == 1:
-                            out.append((x["v"], 0, th, x["state"] == 2, x["first"], own.tobytes(), None))
+                        first, n = x["place"] >> 32, (x["place"] & 0xFFFFFFFF) - (x["place"] >> 32) + 1
+                        at = int(off[i]) + first
+                        if x["parts"] == 1:
+                            out.append((x["v"], 0, th, x["state"] == 2, first, n, buf[at : at + n + length - 1].tobytes(), None))
                             continue
-                        to = own % _U(n)
-                        for part in np.unique(to):
-                            at = np.flatnonzero(to == part)
-                            out.append((x["v"], int(part), th, x["state"] == 2, x["first"], own[at].tobytes(), at.astype(np.int32).tobytes()))
+                        lanes = lanes or [windows(buf, length, 1), windows(buf, length, 2)]
+                        own = np.stack([lane[at : at + n] for lane in lanes], axis=1)
+                        to = (own[:, 0] % _U(x["parts"])).astype(np.int64)
+                        for part in np.unique(to).tolist():
+                            mine = np.flatnonzero(to == part)
+                            out.append((x["v"], part, th, x["state"] == 2, first, len(mine), own[mine].tobytes(), mine.astype(np.int32).tobytes()))
                 for k in range(0, len(out), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[k : k + 4096], strict=True), types, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[k : k + 4096], strict=True), _TYPES, strict=True)], _NAMES)
 
     return run
 
 
+def _company(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts ids, and for each place of it whether it equals the one before."""
+    order = np.argsort(ids, kind="stable")
+    return order, np.concatenate(([False], ids[order][1:] == ids[order][:-1]))
+
+
+def _both(order: np.ndarray, same: np.ndarray, n: int) -> np.ndarray:
+    """Which of n suffixes equal the one before or after them in the order."""
+    out = np.zeros(n, bool)
+    out[order[same]] = True
+    out[order[:-1][same[1:]]] = True
+    return out
+
+
+def refine(buf: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Which of the suffixes that start there have an equal window of `length` bytes among them."""
+    exact = eights(buf)
+    ids, have, alive = mix64(exact), 8, np.arange(len(start))
+    while have < length and len(alive):
+        wide = min(2 * have, length)
+        ids, have = doubled(ids, have, wide), wide
+        if 64 <= have < length:
+            alive = alive[_both(*_company(ids[start[alive]]), len(alive))]
+    out = np.zeros(len(start), bool)
+    if len(alive) < 2:
+        return out
+    at = start[alive]
+    order, same = _company(ids[at])
+    while True:
+        follow = np.flatnonzero(same)
+        a, b = at[order[follow - 1]], at[order[follow]]
+        equal = np.ones(len(follow), bool)
+        for k in (*range(0, length - 8, 8), length - 8):
+            equal &= exact[a + k] == exact[b + k]
+        if equal.all():
+            out[alive[_both(order, same, len(at))]] = True
+            return out
+        # different windows under one identifier: sort these by their bytes
+        group = np.cumsum(~same)
+        for g in np.unique(group[follow[~equal]]).tolist():
+            span = np.flatnonzero(group == g)
+            keys = [buf[p : p + length].tobytes() for p in at[order[span]].tolist()]
+            by = sorted(range(len(span)), key=keys.__getitem__)
+            order[span] = order[span][by]
+            same[span] = [j > 0 and keys[by[j]] == keys[by[j - 1]] for j in range(len(span))]
+
+
 def _spans(places: np.ndarray) -> np.ndarray:
     """(first, last) of each stretch of consecutive numbers."""
     cut = np.flatnonzero(np.diff(places) != 1)
     return np.stack((places[np.concatenate(([0], cut + 1))], places[np.concatenate((cut, [len(places) - 1]))]), axis=1).astype(np.int32)
 
 
-def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_suffixes(length: int):
     """Rows come sorted by (v, part); whole buckets are gathered until there is enough to sort."""
-    held: list[tuple] = []
-    size, last = 0, None
-
-    def flush() -> pa.RecordBatch | None:
-        ids = np.frombuffer(b"".join(x[4] for x in held), np.uint64)
-        n = np.array([len(x[4]) // 8 for x in held])
-        v = np.repeat(np.array([x[0] for x in held], np.int64), n)
-        order = np.argsort(ids, kind="stable")
-        same = (ids[order][1:] == ids[order][:-1]) & (v[order][1:] == v[order][:-1])
-        dup = np.zeros(len(ids), bool)
-        dup[order[1:]] = same
-        dup[order[:-1]] |= same
-        out, start = [], 0
-        for (_, th, stands, first, _, at), k in zip(held, n.tolist(), strict=True):
-            if not stands and dup[start : start + k].any():
-                places = np.flatnonzero(dup[start : start + k])
-                out.append((th, _spans(first + (places if at is None else np.frombuffer(at, np.int32)[places])).tobytes()))
-            start += k
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*out, strict=True)], ["th", "spans"]) if out else None
-
-    for batch in batches:
-        for v, part, th, stands, first, ids, at in zip(*(batch.column(c).to_pylist() for c in ("v", "part", "th", "stands", "first", "ids", "at")), strict=True):
-            if size > _FLUSH and (v, part) != last:
-                if (got := flush()) is not None:
-                    yield got
-                held, size = [], 0
-            held.append((v, th, stands, first, ids, at))
-            size += len(ids) // 8
-            last = (v, part)
-    if held and (got := flush()) is not None:
-        yield got
+
+    def repeats(held: list[tuple]) -> Iterator[tuple]:
+        n = np.array([x[3] for x in held])
+        if held[0][5] is None:
+            size = np.array([len(x[4]) for x in held])
+            base = np.cumsum(size) - size
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            dup = refine(np.frombuffer(b"".join(x[4] for x in held), np.uint8), np.repeat(base, n) + inside, length)
+        else:
+            ids = np.frombuffer(b"".join(x[4] for x in held), np.uint64).reshape(-1, 2)
+            order = np.lexsort((ids[:, 1], ids[:, 0]))
+            dup = _both(order, np.concatenate(([False], (ids[order][1:] == ids[order][:-1]).all(axis=1))), len(ids))
+        for (th, stands, first, _, _, at), mine in zip(held, np.split(dup, np.cumsum(n)[:-1]), strict=True):
+            if not stands and mine.any():
+                places = np.flatnonzero(mine)
+                yield th, _spans(first + (places if at is None else np.frombuffer(at, np.int32)[places])).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        size, last = {False: 0, True: 0}, None
+
+        def flush(kind: bool) -> Iterator[pa.RecordBatch]:
+            out = list(repeats(held[kind])) if held[kind] else []
+            held[kind], size[kind] = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*out, strict=True)], ["th", "spans"])
+
+        for batch in batches:
+            for v, part, *row in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
+                if (v, part) != last:
+                    for kind in held:
+                        if size[kind] > _FLUSH:
+                            yield from flush(kind)
+                kind = row[5] is not None
+                held[kind].append(tuple(row))
+                size[kind] += len(row[4]) // (16 if kind else 1)
+                last = (v, part)
+        for kind in held:
+            yield from flush(kind)
+
+    return run
 
 
 def _cut(length: int):
@@ -199,7 +251,7 @@ def _cut(length: int):
                 for i, (whole, single) in enumerate(zip(rows.column("runs").to_pylist(), rows.column("spans").to_pylist(), strict=True)):
                     text = buf[off[i] : off[i + 1]]
                     step = np.zeros(len(text) + 1, np.int32)
-                    both = np.array([(x["first"], x["last"]) for x in whole or () if x["state"]], np.int64).reshape(-1, 2)
+                    both = np.array([(x["place"] >> 32, x["place"] & 0xFFFFFFFF) for x in whole or () if x["state"]], np.int64).reshape(-1, 2)
                     both = np.concatenate((both, np.frombuffer(b"".join(single or ()), np.int32).reshape(-1, 2)))
                     np.add.at(step, both[:, 0], 1)
                     np.add.at(step, both[:, 1] + length, -1)
@@ -207,55 +259,39 @@ def _cut(length: int):
                     spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(text) else 0
                     out.append((len(text), int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes()).hexdigest(), text[~gone].tobytes()))
                 n, removed, spans, sha, kept = (list(c) for c in zip(*out, strict=True))
-                columns = [rows.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                columns = [rows.column("th"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def _bloom(shared: DataFrame) -> np.ndarray:
-    """Bits of the shared buckets; the result has BLOOM_WORDS words however many there are."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _bits(batch.column("v").to_numpy().view(np.uint64))
-            bit = np.concatenate((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array((bit >> _U(6)).astype(np.int32)), pa.array((_U(1) << (bit & _U(63))).view(np.int64))], ["word", "bits"])
-
-    got = shared.mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_WORDS, np.uint64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (remaining bytes).
 
     Removed is each byte of a `length`-byte string that also starts anywhere else.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), F.unhex(F.substr(F.sha2(text, 256), F.lit(1), F.lit(32))).alias("th"), text.alias("text"))
     counted = src.select("text").mapInArrow(_buckets(length, gram), "v long, n int").groupBy("v").agg(F.sum("n").alias("n"))
     shared = materialise(counted.filter("n > 1"), "buckets")
-    bloom = spark.sparkContext.broadcast(_bloom(shared))
-    large = shared.filter(F.col("n") > HOT_RUNS).orderBy(F.desc("n"), "v").limit(HOT_KEYS).orderBy("v").toArrow()
-    hot = spark.sparkContext.broadcast((large.column("v").to_numpy(), np.minimum(large.column("n").to_numpy() // HOT_RUNS + 1, 1 << 20)))
-    named = src.select("th", "text").mapInArrow(_run_names(length, gram, bloom), "v long, name long, th binary, first int, last int")
-    named = materialise(named, "runs")
-    place = F.struct("th", "first")
-    again = named.groupBy("v", "name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("stands")).filter("n > 1").drop("n")
+    named = src.select("th", "text").mapInArrow(_run_names(length, gram), "v long, name binary, th binary, place long")
+    named = materialise(join_counted(named, shared, ["v"], ["th", "place"], "n"), "runs")
+    place = F.struct("th", "place")
+    again = materialise(named.groupBy("v", "name").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("stands")).filter("m > 1"), "repeated-runs")
     # 0: undecided, 1: repeats as a whole, 2: so does this one, and it stands for the others
     state = F.when(F.col("stands").isNull(), 0).when(F.col("stands") == place, 2).otherwise(1)
-    known = named.join(materialise(again, "repeated-runs"), ["v", "name"], "left").select("th", F.struct("v", "first", "last", state.alias("state")).alias("run"))
+    parts = F.floor((F.col("n") - 1) / HOT_RUNS).cast("int") + 1
+    known = join_counted(named, again, ["v", "name"], ["th", "place"], "m", "left").select("th", F.struct("v", "place", parts.alias("parts"), state.alias("state")).alias("run"))
     per_text = materialise(known.groupBy("th").agg(F.collect_set("run").alias("runs")), "text-runs")
-    met = src.join(per_text, "th", "left")
-    suffixes = met.select("id", "th", "text", "runs").mapInArrow(_suffixes(length, hot), "v long, part int, th binary, stands boolean, first int, ids binary, at binary")
-    single = suffixes.repartition("v", "part").sortWithinPartitions("v", "part").mapInArrow(_sort_suffixes, "th binary, spans binary")
+    met = src.groupBy("th").agg(F.first("text").alias("text")).join(per_text, "th", "left")
+    suffixes = met.select("th", "text", "runs").mapInArrow(_suffixes(length), _SUFFIXES)
+    single = suffixes.repartition("v", "part").sortWithinPartitions("v", "part").mapInArrow(_sort_suffixes(length), "th binary, spans binary")
     single = single.groupBy("th").agg(F.collect_list("spans").alias("spans"))
-    kind = src.schema["id"].dataType.simpleString()
-    out = met.join(single, "th", "left").select("id", "text", "runs", "spans").mapInArrow(_cut(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    cut = met.join(single, "th", "left").select("th", "text", "runs", "spans").mapInArrow(_cut(length), "th binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    copies = materialise(src.groupBy("th").agg(F.count(F.lit(1)).alias("m")), "copies")
+    rows = src.select("id", "th", F.monotonically_increasing_id().alias("uid"))
+    wide = join_counted(rows, cut, ["th"], ["uid"], "m", counted=copies)
+    return wide.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
