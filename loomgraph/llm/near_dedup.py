@@ -15,11 +15,13 @@ when each pair of a bucket has been compared, ruled out by the bound, or is know
 component, so the classes are those of all bucket pairs. Each comparison computes J_P exactly.
 
 Texts that are equal byte for byte are one node throughout (their rows are combined before the shuffle),
-so thousands of copies cost no comparison.
+so thousands of copies cost no comparison. Pairs are sorted by leader, so a leader's text travels once for
+some thousand pairs; the pairs of one leader and the members of one bucket are dealt to several tasks.
 
 Defined results: a null text is empty; a text of fewer than five words is one shingle; a text without
-words is only in the class of its equal texts; a null id counts as the smallest; exactly one row of a
-class stays, the one with the largest id; an empty table gives an empty result; further columns are not read.
+words is only in the class of its equal texts; a text of any length is taken whole (a pair of them must fit in a
+task); a null id counts as the smallest; exactly one row of a class stays, the one with the largest id, and of
+repeated rows of that id any; an empty table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,11 +37,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm.arrays import mix64, shingles, slices
 from loomgraph.llm.components import components
 from loomgraph.llm.exact_dedup import keep_rows
+from loomgraph.llm.skew import join_counted
 from loomgraph.session import materialise, table
 
 WORDS, THRESHOLD, ROWS, BANDS, LEADERS = 5, 0.8, 7, 44, 512
-#: A list of at most so many 16-byte text digests is sent to all executors; a longer one is joined.
-BROADCAST_ROWS = 200_000
+#: The pairs of one leader that are compared in one task; more are dealt to several.
+PAIRS_A_PART = 2_000
+#: The members of one bucket that meet its leaders in one task.
+MEMBERS_A_PART = 1_000
 _U = np.uint64
 
 
@@ -112,22 +117,21 @@ def _signer(words: int, rows: int, bands: int):
 
 def _verifier(words: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes, tuple] | None = None
-
-        def profiles(buf, off):
-            text, element, count = shingles(buf, off, words)
-            at = np.searchsorted(text, np.arange(len(off)))
-            return [(element[at[i] : at[i + 1]], weights(count[at[i] : at[i + 1]])) for i in range(len(off) - 1)]
-
+        leader: tuple | None = None  # the first row of each (a, part) has the leader's own text and no b
         for batch in batches:
-            for part, buf, off in slices(batch, "tb"):
-                ok = []
-                for a, ta, right in zip(part.column("a").to_pylist(), part.column("ta"), profiles(buf, off), strict=True):
-                    if held is None or held[0] != a:
-                        raw = np.frombuffer(ta.as_py().encode(), np.uint8)
-                        held = (a, profiles(raw, np.array([0, len(raw)]))[0])
-                    ok.append(probability_jaccard(held[1], right) >= threshold - 1e-12)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok)], ["a", "b", "ok"])
+            for rows, buf, off in slices(batch, "text"):
+                text, element, count = shingles(buf, off, words)
+                at, weight = np.searchsorted(text, np.arange(len(off))), weights(count)
+                out = []
+                for i, (a, b) in enumerate(zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True)):
+                    own = element[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]
+                    if b is None:
+                        leader = own
+                    else:
+                        out.append((a, b, probability_jaccard(leader, own) >= threshold - 1e-12))
+                if out:
+                    a, b, ok = (list(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(ok)], ["a", "b", "ok"])
 
     return run
 
@@ -173,10 +177,8 @@ class _Texts:
     """Whole texts by digest, for the candidates only."""
 
     def __init__(self, docs: DataFrame, text_col: str, nodes: DataFrame) -> None:
-        nodes = materialise(nodes, "candidates")
-        small = nodes.count() <= BROADCAST_ROWS
         src = docs.select(_digest(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        src = src.join(F.broadcast(nodes) if small else nodes, "th", "left_semi")
+        src = src.join(materialise(nodes, "candidates"), "th", "left_semi")
         self.texts = materialise(src.groupBy("th").agg(F.first("text").alias("text")), "candidate-texts")
 
     def sketches(self, nodes: DataFrame, words: int) -> DataFrame:
@@ -184,11 +186,21 @@ class _Texts:
         return materialise(text.mapInArrow(_sketches(words), "th binary, n long, extra double, " + ", ".join(f"{p} long" for p in _SKETCH)), "sketches")
 
     def verify(self, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-        """pairs(a, b) with ok: whether the two texts are similar."""
-        a = self.texts.select(F.col("th").alias("a"), F.col("text").alias("ta"))
-        b = self.texts.select(F.col("th").alias("b"), F.col("text").alias("tb"))
-        both = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-        return materialise(both.mapInArrow(_verifier(words, threshold), "a binary, b binary, ok boolean"), "verified")
+        """pairs(a, b) with ok: whether the two texts are similar.
+
+        The pairs of a leader a are dealt to parts of some PAIRS_A_PART; its text goes once to each part,
+        not to each pair.
+        """
+        pairs = materialise(pairs, "pairs")
+        parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS_A_PART).cast("int"))
+        parts = materialise(parts, "leaders")
+        dealt = join_counted(pairs, parts, ["a"], ["b"], "n").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+        # a text is a member of at most one pair for each of its buckets and leaders, so b is not hot
+        members = dealt.select("a", "part", "b").join(self.texts.withColumnRenamed("th", "b"), "b")
+        leaders = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(self.texts.withColumnRenamed("th", "a"), "a")
+        both = members.select("a", "part", "b", "text").unionByName(leaders.withColumn("b", F.lit(None).cast("binary")))
+        sorted_ = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        return materialise(sorted_.select("a", "b", "text").mapInArrow(_verifier(words, threshold), "a binary, b binary, ok boolean"), "verified")
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -218,8 +230,14 @@ def text_classes(docs: DataFrame, signed: DataFrame, text_col: str, words: int,
         turn = Window.partitionBy("key").orderBy("th")
         leaders = rows.join(largest, "key").filter("comp != largest").withColumn("__n", F.row_number().over(turn)).filter(F.col("__n") <= LEADERS)
         leaders = materialise(leaders.select("key", "th", "comp"), "leaders")
-        other = leaders.join(sketch, "th").select(*[F.col(c).alias(f"lead_{c}") for c in ("key", "th", "comp", "n", "extra", *_SKETCH)])
-        met = rows.join(sketch, "th").join(other, (F.col("key") == F.col("lead_key")) & (F.col("comp") != F.col("lead_comp")) & _bound(threshold))
+        # members of a bucket are dealt to parts; the leaders, at most LEADERS a bucket, go to each part
+        parts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        parts = materialise(parts.withColumn("parts", F.ceil(F.col("size") / MEMBERS_A_PART).cast("int")), "bucket-parts")
+        dealt = join_counted(rows, parts, ["key"], ["th"], "size").withColumn("part", F.pmod(F.xxhash64("th"), "parts").cast("int"))
+        lead = leaders.join(sketch, "th").join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        other = lead.select(*[F.col(c).alias(f"lead_{c}") for c in ("key", "part", "th", "comp", "n", "extra", *_SKETCH)])
+        here = (F.col("key") == F.col("lead_key")) & (F.col("part") == F.col("lead_part"))
+        met = dealt.join(sketch, "th").join(other, here & (F.col("comp") != F.col("lead_comp")) & _bound(threshold))
         pairs = met.select(F.least("th", "lead_th").alias("a"), F.greatest("th", "lead_th").alias("b")).distinct()
         found = texts.verify(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), words, threshold)
         seen = seen.unionByName(found)

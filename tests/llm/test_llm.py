@@ -475,9 +475,33 @@ def test_near_groups_of_spread_copies(spark, monkeypatch):
         rows.append((i, " ".join(words), "en", "s"))
     check_groups(docs(spark, rows))
     monkeypatch.setattr(near_dedup, "LEADERS", 5)
+    monkeypatch.setattr(near_dedup, "PAIRS_A_PART", 4)
+    monkeypatch.setattr(near_dedup, "MEMBERS_A_PART", 7)
+    monkeypatch.setattr(skew, "ROWS", 3)
     check_groups(docs(spark, rows))
 
 
+def test_near_groups_tell_long_words_apart(spark):
+    """Seven common words and one long word each, Thue-Morse strings and their complements: similarity 3 / 5."""
+    rows = []
+    for n in (512, 1024, 2048, 4096):
+        t = thue_morse(n)
+        rows += [(2 * n, f"{t} a b c d e f g", "en", "s"), (2 * n + 1, f"{t.translate(str.maketrans('ab', 'ba'))} a b c d e f g", "en", "s")]
+    got = near_dedup.near_groups(docs(spark, rows)).collect()
+    assert len(got) == 8 and {r["group_size"] for r in got} == {1}
+
+
+def test_join_counted_spreads_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS", 5)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 60 + ["b", "c", None, "d"])], "k string, i long")
+    right = spark.createDataFrame([("hot", 60, 1), ("b", 1, 2), ("x", 3, 3)], "k string, n long, w int")
+    inner = skew.join_counted(rows, right, ["k"], ["i"], "n")
+    assert sorted((r["k"], r["i"], r["w"]) for r in inner.collect()) == sorted([("hot", i, 1) for i in range(60)] + [("b", 60, 2)])
+    left = skew.join_counted(rows, right, ["k"], ["i"], "n", "left")
+    assert left.count() == 64 and left.filter("w is null").count() == 3
+    assert skew.join_counted(rows.limit(0), right.limit(0), ["k"], ["i"], "n").count() == 0
+
+
 def test_components(spark):
     links = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("a", "b"), ("c", "b"), ("z", "z")]
     got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a string, b string")).collect()}
