@@ -15,7 +15,8 @@ are in equal buckets, and a run of neighbouring suffixes shares a bucket.
    byte for byte, so a collision of identifiers never removes a byte.
 
 A bucket of more than HOT_RUNS runs is dealt to several tasks by the window's identifier; there
-the identifiers themselves travel, in 128 bits, and are not compared with bytes again.
+the identifiers themselves travel, in 128 bits, and are not compared with bytes again. Equal ones of one
+slice are decided there, and one of them goes on.
 
 Only rows about runs are shuffled at levels 1 and 2, each distinct text once, to meet its runs, and the bytes
 of the runs that level 3 needs.
@@ -117,13 +118,45 @@ _TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(
 
 
 def _suffixes(length: int):
-    """The runs that go on: their bytes, or for a hot bucket the identifiers of their windows, by part."""
+    """The runs that go on, as bytes; for hot buckets the identifiers of windows, by part.
+
+    Of equal identifiers in a slice one goes on to stand for the others, so a window that is in every text
+    is not one row for each. The spans that this decides are rows without data.
+    """
+
+    def hot_rows(buf: np.ndarray, found: list[tuple]) -> Iterator[tuple]:
+        n = np.array([x[4] for x in found])
+        region = np.concatenate([buf[x[5] : x[5] + x[4] + length - 1] for x in found])
+        base = np.cumsum(n + length - 1) - (n + length - 1)
+        run = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ids = np.stack([windows(region, length, seed)[base[run] + inside] for seed in (1, 2)], axis=1)
+        v, parts = (np.array([x[k] for x in found], np.int64)[run] for k in (0, 1))
+        part = (ids[:, 0] % parts.astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((ids[:, 1], ids[:, 0]))
+        same = np.concatenate(([False], (ids[order][1:] == ids[order][:-1]).all(axis=1)))
+        dup, lead = _both(order, same, len(ids)), np.zeros(len(ids), bool)
+        lead[order[:-1][same[1:] & ~same[:-1]]] = True
+
+        def groups(at: np.ndarray, a: np.ndarray) -> Iterator[np.ndarray]:
+            at = at[np.lexsort((part[at], a[at]))]
+            cut = np.flatnonzero((a[at][1:] != a[at][:-1]) | (part[at][1:] != part[at][:-1])) + 1
+            return iter(np.split(at, cut)) if len(at) else iter(())
+
+        for at in groups(np.flatnonzero(lead), v):
+            yield int(v[at[0]]), int(part[at[0]]), b"", True, 0, len(at), ids[at].tobytes(), b""
+        for at in groups(np.flatnonzero(~dup), run):
+            _, _, th, stands, *_, first = found[run[at[0]]]
+            yield int(v[at[0]]), int(part[at[0]]), th, stands, first, len(at), ids[at].tobytes(), inside[at].astype(np.int32).tobytes()
+        for k in np.unique(run[dup]).tolist():
+            _, _, th, *_, first = found[k]
+            yield int.from_bytes(th[:8], "big", signed=True), -1, th, False, 0, 0, None, _spans(first + inside[dup & (run == k)]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in slices(batch, "text"):
                 out: list[tuple] = []
-                lanes: list[np.ndarray] = []
+                hot: list[tuple] = []
                 for i, (th, found) in enumerate(zip(rows.column("th").to_pylist(), rows.column("runs").to_pylist(), strict=True)):
                     for x in found or ():
                         if x["state"] == 1:
@@ -132,13 +165,10 @@ def _suffixes(length: int):
                         at = int(off[i]) + first
                         if x["parts"] == 1:
                             out.append((x["v"], 0, th, x["state"] == 2, first, n, buf[at : at + n + length - 1].tobytes(), None))
-                            continue
-                        lanes = lanes or [windows(buf, length, 1), windows(buf, length, 2)]
-                        own = np.stack([lane[at : at + n] for lane in lanes], axis=1)
-                        to = (own[:, 0] % _U(x["parts"])).astype(np.int64)
-                        for part in np.unique(to).tolist():
-                            mine = np.flatnonzero(to == part)
-                            out.append((x["v"], part, th, x["state"] == 2, first, len(mine), own[mine].tobytes(), mine.astype(np.int32).tobytes()))
+                        else:
+                            hot.append((x["v"], x["parts"], th, x["state"] == 2, n, at, first))
+                if hot:
+                    out.extend(hot_rows(buf, hot))
                 for k in range(0, len(out), 4096):
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[k : k + 4096], strict=True), _TYPES, strict=True)], _NAMES)
 
@@ -219,7 +249,7 @@ def _sort_suffixes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[tuple]] = {False: [], True: []}
-        size, last = {False: 0, True: 0}, None
+        size, last, decided = {False: 0, True: 0}, None, []
 
         def flush(kind: bool) -> Iterator[pa.RecordBatch]:
             out = list(repeats(held[kind])) if held[kind] else []
@@ -233,12 +263,20 @@ def _sort_suffixes(length: int):
                     for kind in held:
                         if size[kind] > _FLUSH:
                             yield from flush(kind)
+                last = (v, part)
+                if row[4] is None:
+                    decided.append((row[0], row[5]))
+                    if len(decided) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*decided, strict=True)], ["th", "spans"])
+                        decided = []
+                    continue
                 kind = row[5] is not None
                 held[kind].append(tuple(row))
                 size[kind] += len(row[4]) // (16 if kind else 1)
-                last = (v, part)
         for kind in held:
             yield from flush(kind)
+        if decided:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*decided, strict=True)], ["th", "spans"])
 
     return run
 
