@@ -1,9 +1,9 @@
 """Byte-level BPE with content-defined chunk reuse.
 
-Texts are cut where a rolling hash says so. Chunks that occur more than once are found by their
-digests (only digests are shuffled), and one occurrence of each is encoded, once for all documents.
-Documents without a shared chunk are encoded where they are read. In the others the ids of shared
-chunks and of the runs between them are put together, and each join is repaired: the nearest places
+Each distinct text is taken once and cut where a rolling hash says so. Chunks that occur more than once are
+found by their digests (128 bits of BLAKE2b), at any number of chunks by joins, and one occurrence of each is
+encoded, once for all documents. Texts without a shared chunk are encoded whole. In the others the ids of
+shared chunks and of the runs between them are put together, and each join is repaired: the nearest places
 on both sides where a word ends and a space and a letter follow are token boundaries in every
 encoding, so the bytes between them are encoded again and must agree with the ids outside. Where a
 chunk has no such place the window grows over all of it.
@@ -13,8 +13,9 @@ implementation of the same byte-pair ranks; texts with other characters, where U
 libraries might differ, go through the tokenizers library itself.
 
 Defined results: a null text is empty and has no tokens; special tokens in a text are encoded as such,
-as the tokenizers library does; repeated rows and null ids each keep their own result; an empty
-table gives an empty result; only the id and text columns are read.
+as the tokenizers library does; a text of any length is taken whole (one text and its ids must fit in a task);
+of equal chunks the first by text digest is encoded; repeated rows and null ids each keep their own result; an
+empty table gives an empty result; only the id and text columns are read, so no further one can clash.
 """
 
 from __future__ import annotations
@@ -23,19 +24,18 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import slices
 from loomgraph.llm.cdc import cuts
+from loomgraph.llm.skew import join_counted
 from loomgraph.session import materialise, table
 
-#: Most shared chunks that are broadcast (28 bytes each). Beyond it the most used ones are reused and the others are encoded where they occur, with the same result.
-REUSED_CHUNKS = 1_000_000
 #: The uses of a chunk that meet its ids in one task; a chunk of more uses is dealt to several, with a copy of its ids in each.
 USES_A_PART = 1_000
 
@@ -61,17 +61,14 @@ class Engine:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
         self.special = set(special)
         merged = [a + b for a, b in ((x.split(" ") if isinstance(x, str) else x) for x in spec["model"]["merges"])]
         by_rank = [spec["model"]["vocab"][x] for x in merged]
@@ -84,6 +81,16 @@ class Engine:
         self.names = [str(i) for i in range(size)]
         self.width = np.uint16 if size <= 65536 else np.uint32
 
+    @cached_property
+    def exact(self):
+        """The library's own tokenizer, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def encode(self, text: str) -> list[int]:
         if self.fast is None or _OTHER.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
@@ -138,92 +145,84 @@ def _chunks(buf: np.ndarray, off: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _marks(key: str | None, ends: list[int], text: bytes) -> tuple[list[bytes], list[int]]:
-    """Digest of each chunk, and the number by which one occurrence of it is chosen."""
-    digests, ranks, start = [], [], 0
-    view, seed = memoryview(text), xxhash.xxh3_64_intdigest(repr(key))
-    for k, end in enumerate(ends):
-        digests.append(xxhash.xxh3_128_digest(view[start:end]))
-        ranks.append(xxhash.xxh3_64_intdigest(k.to_bytes(8, "big"), seed) - (1 << 63))
-        start = end
-    return digests, ranks
-
-
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, buf, off in slices(batch, "text"):
-            digests, ranks = [], []
-            for i, (key, ends) in enumerate(zip(rows.column("key").to_pylist(), _chunks(buf, off), strict=True)):
-                d, r = _marks(key, ends, buf[off[i] : off[i + 1]].tobytes())
-                digests += d
-                ranks += r
-            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ranks, pa.int64())], ["hi", "lo", "rank"])
-
-
-_PART = "uid long, seg int, hi long, lo long, part int, ids binary, n_tokens long, ids_sha binary, text_sha binary"
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+            text, start, stop, digests = [], [], [], []
+            for i, ends in enumerate(_chunks(buf, off)):
+                view, at = memoryview(np.ascontiguousarray(buf[off[i] : off[i + 1]])), 0
+                for end in ends:
+                    digests.append(hashlib.blake2b(view[at:end], digest_size=16).digest())
+                    text.append(i)
+                    start.append(at)
+                    stop.append(end)
+                    at = end
+            if text:
+                both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                columns = [rows.column("th").take(pa.array(text)), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["th", "start", "stop", "hi", "lo"])
+
+
+_PART = "th binary, seg int, hi long, lo long, part int, ids binary, n_tokens long, ids_sha binary, text_sha binary"
+_TYPES = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 _NAMES = [x.split()[0] for x in _PART.split(", ")]
 
 
-def _encoder(path: str, shared, with_ids: bool):
+def _encoder(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = Engine.of(path)
-        hi, lo, rank, parts = shared.value
         for batch in batches:
             for rows, buf, off in slices(batch, "text"):
-                # uid with seg null: a whole result; uid and seg: part of a document, a use of a chunk with the
-                # part it is dealt to; uid null: a shared chunk with its number of parts
+                # th with seg null: a whole result; th and seg: part of a text, a use of a chunk with the part it
+                # is dealt to; th null: a shared chunk with its number of parts
                 out: list[tuple] = []
-                for i, (key, uid, ends) in enumerate(zip(rows.column("key").to_pylist(), rows.column("uid").to_pylist(), _chunks(buf, off), strict=True)):
+                for i, (th, uses) in enumerate(zip(rows.column("th").to_pylist(), rows.column("uses").to_pylist(), strict=True)):
                     text = buf[off[i] : off[i + 1]].tobytes()
-                    digests, ranks = _marks(key, ends, text)
-                    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                    at = np.minimum(np.searchsorted(hi, both[:, 0]), max(len(hi) - 1, 0))
-                    known = (hi[at] == both[:, 0]) & (lo[at] == both[:, 1]) if len(hi) else np.zeros(len(both), bool)
-                    if not known.any():
+                    packed = lambda a, b, text=text: engine.pack(engine.encode(text[a:b].decode("utf-8")))
+                    if not uses:
                         ids = engine.encode(text.decode("utf-8"))
-                        out.append((uid, None, None, None, None, engine.pack(ids) if with_ids else None, *engine.summary(ids)))
+                        out.append((th, None, None, None, None, engine.pack(ids) if with_ids else None, *engine.summary(ids)))
                         continue
-                    start, begun = 0, 0
-                    for k, end in enumerate(ends):
-                        if known[k]:
-                            if begun < start:
-                                out.append((uid, k - 1, None, None, None, engine.pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
-                            n = int(parts[at[k]])
-                            out.append((uid, k, int(both[k, 0]), int(both[k, 1]), (uid + k) % n, None, None, None, None))
-                            if rank[at[k]] == ranks[k]:
-                                out.append((None, None, int(both[k, 0]), int(both[k, 1]), n, engine.pack(engine.encode(text[start:end].decode("utf-8"))), None, None, None))
-                            begun = end
-                        start = end
-                    if begun < start:
-                        out.append((uid, len(ends), None, None, None, engine.pack(engine.encode(text[begun:start].decode("utf-8"))), None, None, None))
+                    begun = 0
+                    for x in sorted(uses, key=lambda x: x["start"]):
+                        if begun < x["start"]:
+                            out.append((th, begun, None, None, None, packed(begun, x["start"]), None, None, None))
+                        out.append((th, x["start"], x["hi"], x["lo"], x["part"], None, None, None, None))
+                        if x["own"]:
+                            out.append((None, None, x["hi"], x["lo"], x["parts"], packed(x["start"], x["stop"]), None, None, None))
+                        begun = x["stop"]
+                    if begun < len(text):
+                        out.append((th, begun, None, None, None, packed(begun, len(text)), None, None, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
 
     return run
 
 
+_BUILT = "th binary, ids binary, n_tokens long, ids_sha binary, text_sha binary"
+
+
 def _assembler(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = Engine.of(path)
         for batch in batches:
+            out = []
             for row in range(batch.num_rows):
                 ids: list[int] = []
                 for part in batch.column("parts")[row].as_py():
                     ids = engine.join(ids, engine.unpack(part["ids"]))
-                n, a, b = engine.summary(ids)
-                packed = pa.array([engine.pack(ids) if with_ids else None], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("uid").slice(row, 1), packed, pa.array([n], pa.int64()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["uid", "ids", "n_tokens", "ids_sha", "text_sha"])
+                out.append((engine.pack(ids) if with_ids else None, *engine.summary(ids)))
+            if out:
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("th"), *columns], ["th", "ids", "n_tokens", "ids_sha", "text_sha"])
 
     return run
 
 
-def shared_chunks(docs: DataFrame) -> DataFrame:
-    """(hi, lo, rank, n): digests of the chunks that occur more than once, and the chosen occurrence."""
-    found = docs.mapInArrow(_find, "hi long, lo long, rank long")
-    many = found.groupBy("hi").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("lo").alias("lo2"), F.min("rank").alias("rank"))
-    return many.filter("n > 1 and lo = lo2").select("hi", "lo", "rank", "n")
+def shared_chunks(found: DataFrame) -> DataFrame:
+    """(hi, lo, n, first): digests of the chunks that occur more than once in found, and the occurrence to encode."""
+    many = found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "start")).alias("first"))
+    return many.filter("n > 1")
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -232,32 +231,24 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     with_ids adds ids, the token ids as little-endian numbers of two bytes (four for
     vocabularies of more than 65536 ids), for `decode_documents` and for writers of training shards.
     """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = materialise(shared_chunks(src.select("key", "text")), "chunks")
-    if shared.count() > REUSED_CHUNKS:
-        shared = shared.orderBy(F.desc("n"), "hi").limit(REUSED_CHUNKS)
-    got = shared.select("hi", "lo", "rank", F.floor(F.col("n") / USES_A_PART + 1).cast("int").alias("parts")).toArrow()
-    arrays = [got.column(k).to_numpy() for k in ("hi", "lo", "rank", "parts")]
-    order = np.argsort(arrays[0])
-    held = spark.sparkContext.broadcast([x[order] for x in arrays])
-    numbered = src.select("id", F.monotonically_increasing_id().alias("uid"), "key", "text")
-    parts = materialise(_with_id(numbered, _encoder(path, held, with_ids)), "encoded")
-    names = ["id", "ids", "n_tokens", "ids_sha", "text_sha"]
-    whole = parts.filter("seg is null and uid is not null").select(*names)
-    chunk = parts.filter("uid is null").groupBy("hi", "lo").agg(F.first("ids").alias("ids"), F.first("part").alias("n"))
-    chunk = chunk.select("hi", "lo", "ids", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
-    piece = parts.filter("seg is not null")
-    own = piece.filter("hi is null").select("uid", "seg", "ids")
-    reused = piece.filter("hi is not null").select("uid", "seg", "hi", "lo", "part").join(chunk, ["hi", "lo", "part"]).select("uid", "seg", "ids")
-    built = (
-        own.unionByName(reused)
-        .groupBy("uid")
-        .agg(F.array_sort(F.collect_list(F.struct("seg", "ids"))).alias("parts"))
-        .mapInArrow(_assembler(path, with_ids), "uid long, ids binary, n_tokens long, ids_sha binary, text_sha binary")
-    )
-    keys = piece.groupBy("uid").agg(F.first("id").alias("id"))
-    out = whole.unionByName(built.join(keys, "uid").select(*names))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    th = F.unhex(F.substr(F.sha2(text, 256), F.lit(1), F.lit(32)))
+    src = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), th.alias("th"), text.alias("text"))
+    texts = src.groupBy("th").agg(F.first("text").alias("text"))
+    found = materialise(texts.select("th", "text").mapInArrow(_find, "th binary, start int, stop int, hi long, lo long"), "chunks")
+    shared = materialise(shared_chunks(found), "shared-chunks")
+    dealt = F.floor(F.col("n") / USES_A_PART + 1).cast("int")
+    use = F.struct("start", "stop", "hi", "lo", dealt.alias("parts"), F.pmod(F.xxhash64("th", "start"), dealt).cast("int").alias("part"), (F.col("first") == F.struct("th", "start")).alias("own"))
+    uses = join_counted(found, shared, ["hi", "lo"], ["th", "start"], "n").select("th", use.alias("use")).groupBy("th").agg(F.collect_list("use").alias("uses"))
+    parts = materialise(texts.join(uses, "th", "left").select("th", "text", "uses").mapInArrow(_encoder(path, with_ids), _PART), "encoded")
+    chunk = parts.filter("th is null").select("hi", "lo", "ids", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part"))
+    piece = parts.filter("th is not null and seg is not null")
+    own = piece.filter("hi is null").select("th", "seg", "ids")
+    reused = piece.filter("hi is not null").select("th", "seg", "hi", "lo", "part").join(chunk, ["hi", "lo", "part"]).select("th", "seg", "ids")
+    built = own.unionByName(reused).groupBy("th").agg(F.array_sort(F.collect_list(F.struct("seg", "ids"))).alias("parts")).mapInArrow(_assembler(path, with_ids), _BUILT)
+    done = parts.filter("th is not null and seg is null").select("th", "ids", "n_tokens", "ids_sha", "text_sha").unionByName(built)
+    copies = materialise(src.groupBy("th").agg(F.count(F.lit(1)).alias("m")), "copies")
+    out = join_counted(src.select("id", "uid", "th"), done, ["th"], ["uid"], "m", counted=copies)
     return out.select(F.col("id").alias(id_col), *["ids"] * with_ids, "n_tokens", F.lower(F.hex("ids_sha")).alias("ids_sha256"), F.lower(F.hex("text_sha")).alias("decoded_sha256"))
 
 
@@ -275,21 +266,6 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "decoded string"]))
 
 
-def _with_id(numbered: DataFrame, run) -> DataFrame:
-    """Run the encoder and put each document's id beside its rows."""
-    kind = numbered.schema["id"].dataType.simpleString()
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, uids = batch.column("id"), batch.column("uid").to_numpy()
-            for out in run([batch]):
-                # uids grow within a batch; a shared chunk has none and takes any row's place
-                at = np.searchsorted(uids, out.column("uid").fill_null(int(uids[0])).to_numpy())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *out.columns], ["id", *_NAMES])
-
-    return numbered.mapInArrow(both, f"id {kind}, {_PART}")
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
