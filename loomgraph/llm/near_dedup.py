@@ -178,7 +178,8 @@ class _Texts:
 
     def __init__(self, docs: DataFrame, text_col: str, nodes: DataFrame) -> None:
         src = docs.select(_digest(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        src = src.join(materialise(nodes, "candidates"), "th", "left_semi")
+        # the same join at every size; the aggregation finds the rows where it has put them
+        src = src.join(materialise(nodes, "candidates").hint("merge"), "th", "left_semi")
         self.texts = materialise(src.groupBy("th").agg(F.first("text").alias("text")), "candidate-texts")
 
     def sketches(self, nodes: DataFrame, words: int) -> DataFrame:
