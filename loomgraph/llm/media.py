@@ -7,7 +7,10 @@ valid files further in are carved: their type, offset and length are listed.
 
 Defined results: a null blob is empty and has no type; a blob without a valid signature keeps its
 declared type and is marked invalid; bytes after a valid file are reported as trailing; equal blobs give
-equal results; repeated rows and null ids each keep their row; an empty table gives an empty result.
+equal results; of two valid files at one place the longer comes first; a blob of any length is taken whole (one
+must fit in a task); repeated rows and null ids each keep their row; an empty table gives an empty result;
+`store_texts` reads no further columns, `sniff_media` passes them on (its own names must not be among them).
+The query stores the media column as a Parquet table in the shared folder and sniffs what it reads back.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import slices
-from loomgraph.session import table
+from loomgraph.session import materialise, table
 
 UNIT = 576
 
@@ -272,7 +275,8 @@ def sniff_media(media: DataFrame) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sniff_media(store_texts(table(spark, sf_dir, "documents")))
+    stored = materialise(store_texts(table(spark, sf_dir, "documents")), "media")
+    got = sniff_media(stored)
     feature = F.concat_ws(";", "media_type", F.when(F.col("corrected"), F.concat(F.lit("was "), "declared")).otherwise("as declared"), F.format_string("mean=%.6f", "mean"), F.concat(F.lit("carved="), F.size("carved")))
     return got.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
