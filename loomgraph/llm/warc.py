@@ -6,12 +6,14 @@ of JSON lines (record id, type, target, offset, length). One task handles a file
 however long the file or a record is. File names hold a random part, and the list of files is a
 table written by the attempts that succeeded, so a lost executor leaves orphans, never wrong data.
 
-Payloads repeat as revisit records: the digests that occur more than once are a table of their own, and
-only digests are shuffled to find them.
+Payloads repeat as revisit records: payloads are equal when their SHA-256 are (the SHA-1 is only the
+record's digest); those that occur more than once are a table of their own, and only digests are shuffled to
+find them. A payload of very many pages is dealt to several tasks.
 
 Defined results: a null payload is empty; a null url is left out; rows without an id never win while
-a row with an id has the same payload; rows that repeat the winning id are responses as well; an empty
-table makes no file and an empty result; further columns are not read.
+a row with an id has the same payload; rows that repeat the winning id are responses as well; a payload of any
+length is taken whole (one must fit in a task); an empty table makes no file and an empty result; further
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.files import create, open_file, open_stream
+from loomgraph.llm.skew import join_counted
 from loomgraph.session import materialise, shared_dir, table
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -88,9 +91,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
 
     Returns the table of (path, records).
     """
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    twice = materialise(src.groupBy(F.sha1("html").alias("sha")).agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "payloads")
-    marked = src.withColumn("sha", F.sha1("html")).join(twice.withColumn("dup", F.lit(True)), "sha", "left").drop("sha")
+    html = F.coalesce("html", F.lit(""))
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha2(html, 256)).alias("sha"), F.monotonically_increasing_id().alias("uid"))
+    twice = materialise(src.groupBy("sha").agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "payloads")
+    marked = join_counted(src, twice, ["sha"], ["uid"], "n", "left").select("page_id", "url", "html", "keep_id", F.col("n").isNotNull().alias("dup"))
     return materialise(marked.mapInArrow(_writer(folder, date, level), "path string, records long"), "archives")
 
 
