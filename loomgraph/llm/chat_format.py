@@ -13,9 +13,10 @@ spans of the assistant texts.
 
 Defined results: a null role or text is empty; a null tree is one tree of its own; a null or unknown
 parent makes a root; messages on a parent cycle have no root and are on no path; repeated (tree, msg)
-keep one row, the first by role and text; turns of equal number are ordered by role and text; an empty
-table gives an empty result. Only the named columns are read. A conversation is one value, so the
-longest one must fit in memory.
+keep one row, the first by role and text; turns of equal number are ordered by role and text, null being
+empty there too; branches of equal score are ranked by message; an empty table gives an empty result. Only the
+named columns are read, so further ones, whatever their names, do not clash. A text of any length is taken
+whole; a conversation is one value, so the longest one must fit in memory.
 """
 
 from __future__ import annotations
@@ -146,15 +147,17 @@ def tree_key(key: Column) -> Column:
 
 def linear_trees(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Conversations of numbered rows as trees: each row replies to the row before it."""
-    order = Window.partitionBy("tree").orderBy(turn, "role", "text")
+    order = Window.partitionBy("tree").orderBy(turn, F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     out = turns.select(tree_key(F.col(conv)).alias("tree"), turn, "role", "text").withColumn("msg", F.row_number().over(order).cast("long"))
     return out.select("tree", "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
     """Chosen paths of reply trees (tree, msg, parent, role, text, score) as conversations."""
-    one = Window.partitionBy("tree", "msg").orderBy("role", "text")
-    messages = materialise(messages.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n"), "messages")
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    one = Window.partitionBy("tree", "msg").orderBy("role", "text", "parent", F.desc("score"))
+    own = messages.select("tree", "msg", "parent", role, text, "score", F.row_number().over(one.orderBy(role, text, "parent", F.desc("score"))).alias("n"))
+    messages = materialise(own.filter("n = 1").drop("n"), "messages")
     return format_paths(paths(messages, branches), messages)
 
 
