@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import slices
 from loomgraph.llm.cdc import cuts
+from loomgraph.llm.names import own_columns, unused
 from loomgraph.session import materialise, table
 
 _SKETCH = "uid long, sha string, n_bytes long, rk binary, recipe array<struct<d:binary,c:binary>>"
@@ -107,8 +108,9 @@ def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str, digi
     # one key column, so that the join finds the rows where the aggregation has put them
     key = lambda i, h: F.sha2(F.concat(F.coalesce(F.concat(F.lit("k"), i.cast("string")), F.lit("null")), F.lit("|"), h), 256)
     # repeated rows are combined before the shuffle, so a row that is a third of the table is no hot key
-    mine = docs.withColumn("__k", key(F.col(id_col), sha)).dropDuplicates(["__k"])
-    return mine.join(keep.select(key(F.col("__id"), F.col("__sha")).alias("__k")), "__k", "left_semi").select(*docs.columns)
+    k = unused(docs) + "k"
+    mine = docs.withColumn(k, key(F.col(id_col), sha)).dropDuplicates([k])
+    return mine.join(keep.select(key(F.col("__id"), F.col("__sha")).alias(k)), k, "left_semi").select(*own_columns(docs))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ single task. Texts are not shuffled.
 
 Defined results: null levels are nodes of their own; a null text has no tokens; nodes without a
 weight get 1, those of weight 0 get nothing; documents of a leaf without tokens are not selected;
-repeated rows count and are selected each by itself; an empty table gives an empty result.
+repeated rows count and are selected each by itself; with ties in the hash the smaller id, then the smaller
+text goes first; a text of any length counts whole; an empty table gives an empty result; `mix` reads only the
+id, text and level columns, `mixed_documents` passes further ones on, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.names import own_columns, unused
 from loomgraph.session import materialise, table
 
-ROWS_A_BLOCK = 200_000
+#: Rows of a leaf that are ordered in one task; one window then orders a leaf's block sums, 24 bytes each.
+ROWS_A_BLOCK = 2_000
 LEVELS = ("domain", "lang", "source")
 #: Production weights: whole numbers for the nodes of each level.
 WEIGHTS: dict[str, dict[str, int]] = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}, "source": {}}
@@ -123,13 +127,13 @@ def mix(
     nodes = [f"__{x}" for x in levels]
     rows = docs.select(F.col(id_col).alias("id"), *levels, tokens(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     rows = materialise(rows.withColumns({f"__{x}": _node(x) for x in levels}), "mix-rows")
-    leaves = materialise(rows.groupBy(*nodes).agg(F.sum("n_tokens").alias("total")), "mix-leaves")
+    leaves = materialise(rows.groupBy(*nodes).agg(F.sum("n_tokens").alias("total"), F.count(F.lit(1)).alias("n_rows")), "mix-leaves")
     plan = budgets(leaves, levels, weights, budget, max_epochs)
     whole = F.when(F.col("total") > 0, F.floor(F.col("alloc") / F.col("total"))).otherwise(0).cast("long")
     plan = materialise(plan.withColumn("whole", whole).withColumn("rest", F.col("alloc") - F.col("whole") * F.col("total")), "mix-plan")
-    blocks = max(1, -(-rows.count() // ROWS_A_BLOCK))
     key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    placed = rows.join(plan.select(*nodes, "total", "whole", "rest"), nodes).withColumn("__h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), key), 256))
+    placed = rows.join(plan.select(*nodes, "n_rows", "total", "whole", "rest"), nodes).withColumn("__h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), key), 256))
+    blocks = F.ceil(F.col("n_rows") / ROWS_A_BLOCK)
     placed = placed.withColumn("__b", F.floor(F.conv(F.substr("__h", F.lit(1), F.lit(8)), 16, 10).cast("long") * blocks / (1 << 32)))
     sums = placed.groupBy(*nodes, "__b").agg(F.sum("n_tokens").alias("__s"))
     before = Window.partitionBy(*nodes).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,11 +150,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = mix(docs, id_col=id_col, text_col=text_col, **settings)
     # one key column, so that the window finds the rows where the join has put them
     key = lambda text: F.sha2(F.concat_ws("|", *[_node(c).alias(c) for c in (id_col, *levels)], text.cast("string")), 256)
-    chosen = chosen.groupBy(key(F.col("text_hash")).alias("__k")).agg(F.sum("copies").alias("__s"), F.count(F.lit(1)).alias("__m")).filter("__s > 0")
-    mine = docs.withColumn("__k", key(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
-    out = mine.join(chosen, "__k").withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(F.lit(1))))
-    out = out.withColumn("__c", F.floor((F.col("__s") + F.col("__m") - F.col("__n")) / F.col("__m"))).filter("__c > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__c"))).alias("__e")).select(*docs.columns)
+    k, s, m, n, c, e = (unused(docs) + x for x in "ksmnce")
+    chosen = chosen.groupBy(key(F.col("text_hash")).alias(k)).agg(F.sum("copies").alias(s), F.count(F.lit(1)).alias(m)).filter(F.col(s) > 0)
+    mine = docs.withColumn(k, key(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    out = mine.join(chosen, k).withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy(F.lit(1))))
+    out = out.withColumn(c, F.floor((F.col(s) + F.col(m) - F.col(n)) / F.col(m))).filter(F.col(c) > 0)
+    return out.select(*own_columns(docs), F.explode(F.sequence(F.lit(1), F.col(c))).alias(e)).select(*own_columns(docs))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
