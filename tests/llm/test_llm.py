@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import math
 import random
 import zlib
 
@@ -90,6 +91,17 @@ def test_chat_branches_cycles_and_odd_rows(spark):
     assert got["null"]["n"] == 300 and got["k1"]["n"] == 1
 
 
+def test_chat_ties_order_null_as_empty(spark):
+    rows = [(1, 1, None, "b"), (1, 1, "", "a"), (1, 1, "", None), (2, 1, "user", LONG), (2, 2, "assistant", LONG)]
+    turns = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "conv_id long, turn long, role string, text string, tree string, msg int, __n int")
+    out = chat_format.format_chats(chat_format.linear_trees(turns)).select("tree", chat_format.parse(F.col("text")).alias("t"), chat_format.masked(F.col("text"), F.col("loss_spans")).alias("m")).collect()
+    got = {r["tree"]: r for r in out}
+    assert [tuple(x) for x in got["k1"]["t"]] == [("", ""), ("", "a"), ("", "b")]
+    assert [tuple(x) for x in got["k2"]["t"]] == [("user", LONG), ("assistant", LONG)] and got["k2"]["m"] == LONG
+    tree = spark.createDataFrame([("t", 1, None, "user", "q", None, 7, "x"), ("t", 2, 1, None, "a", 1.0, 7, "x")], "tree string, msg long, parent long, role string, text string, score double, n int, __n string")
+    assert chat_format.format_chats(tree).first()["text"] == "<turn>user\nq</turn>\n<turn>\na</turn>\n"
+
+
 # 2 byte-pair encoding
 
 
@@ -121,6 +133,7 @@ def test_bpe_equals_library(spark, odd, empty):
 
 def test_bpe_hot_chunk_is_dealt_to_parts(spark, monkeypatch):
     monkeypatch.setattr(bpe, "USES_A_PART", 5)
+    monkeypatch.setattr(skew, "ROWS", 4)
     rows = [(i, LONG[:20_000] + f" and {i}", "en", "s") for i in range(40)] + [(99, "alone", "en", "s")]
     path = bpe.vocabulary_path()
     got = {r["doc_id"]: r["decoded"] for r in bpe.decode_documents(bpe.encode_documents(docs(spark, rows), path, with_ids=True), path).collect()}
@@ -140,6 +153,51 @@ def test_quality_held_out_accuracy(spark):
     assert (good[:, None] > bad[None, :]).mean() > 0.97 and (got.predicted == got.quality).mean() > 0.97
 
 
+def dense_model(texts, y):
+    """NB-SVM with dense matrices: ratios, unit rows, hinge loss by dual coordinate descent, logistic fit."""
+    rows = []
+    for t in texts:
+        b = np.frombuffer(t.encode(), np.uint8)
+        rows.append(set(quality.features(b, np.array([0, len(b)]))[1].tolist()))
+    names = sorted(set().union(*rows))
+    x = np.array([[n in r for n in names] for r in rows], float)
+    held = np.arange(len(y)) % 5 == 4
+    use = ~held
+    d = 1 << quality.BITS
+    counts = [1 + x[use & (y == c)].sum(axis=0) for c in (0, 1)]
+    sums = [d + x[use & (y == c)].sum() for c in (0, 1)]
+    ratio = np.log(counts[1] / sums[1]) - np.log(counts[0] / sums[0])
+    ratio[names.index(0)] = 1.0
+    z = x * ratio
+    z /= np.sqrt((z**2).sum(axis=1, keepdims=True))
+    sign, zu = np.where(y[use] > 0, 1.0, -1.0), z[use]
+    alpha, rng = np.zeros(use.sum()), np.random.default_rng(5)
+    for _ in range(12):
+        before = alpha.copy()
+        for i in rng.permutation(len(alpha)):
+            alpha[i] = np.clip(alpha[i] - (sign[i] * (zu[i] @ (zu.T @ (alpha * sign))) - 1), 0, 1)
+        if abs(alpha - before).max() < 1e-3:
+            break
+    w = zu.T @ (alpha * sign)
+    return dict(zip(names, zip(ratio, w * ratio, strict=True), strict=True)), quality.logistic_fit(z[held] @ w, y[held])
+
+
+def test_quality_scores_against_dense_brute_force(spark):
+    text = lambda i: f"word{i % 7} and more {i % 3} words, plainly." if i % 3 else f"JUNK {i % 5} !!! $$$ {'#' * (i % 4)}"
+    rows = [(i, text(i), "en", "s") for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 and i % 11 > 0)) for i in range(80)], "doc_id long, quality int")
+    frame = docs(spark, rows + [(100, None, "en", "s"), (101, "words of JUNK, more!", "de", "t")])
+    rank = labels.select("doc_id", "quality", F.xxhash64(F.lit(29), F.col("doc_id").cast("string")).alias("rank")).collect()
+    train = sorted((r["rank"], r["quality"], text(r["doc_id"])) for r in rank if zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    weight, (a, b) = dense_model([t for *_, t in train], np.array([q for _, q, _ in train]))
+    for r in quality.score(frame, quality.train(frame, labels)).join(frame, "doc_id").collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        own = [weight.get(f) for f in quality.features(raw, np.array([0, len(raw)]))[1].tolist()]
+        if None not in own:
+            margin = sum(w for _, w in own) / math.sqrt(sum(q * q for q, _ in own))
+            assert r["score"] == pytest.approx(1 / (1 + math.exp(-(a * margin + b))), abs=1e-4)
+
+
 def test_quality_repeated_rows_train_once(spark):
     text = lambda i: f"word{i} and more {i % 3} words" if i % 2 else f"JUNK {i} !!! $$$"
     rows = [(i, text(i), "en", "s") for i in range(60)]
@@ -217,10 +275,32 @@ def test_sharding(spark, odd, empty):
         sharding.rendezvous(F.col("id"), [0.0])
 
 
-def test_sharding_query(spark):
+def spark_hash(seed, key, shard):
+    """Spark's xxhash64 of (int, string, int): each value is hashed with the last hash as the seed, an int as four bytes."""
+    import xxhash
+
+    h = 42
+    for part in (seed.to_bytes(4, "little"), key.encode(), shard.to_bytes(4, "little")):
+        h = xxhash.xxh64_intdigest(part, h)
+    return h
+
+
+def test_sharding_query_against_brute_force(spark):
+    def winner(key, weights):
+        draws = [(w / -math.log(((spark_hash(17, f"k{key}", s) >> 11) + 0.5) * 2.0**-53), -s) for s, w in enumerate(weights)]
+        return -max(draws)[1]
+
     got = QUERIES["op5_rendezvous_sharding"](spark, SF).collect()
-    text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in text.items()}
+    seen = {r["doc_id"]: r for r in got}
+    assert len(seen) == len(got)
+    for i, t in texts_of(spark.read.parquet(f"{SF}/documents.parquet")):
+        b = (t or "").encode()
+        r = seen.pop(i)
+        assert (r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) == (len(b) + 1, zlib.crc32(b), "key", winner(i, [1.0] * 8), winner(i, [1.0] * 9))
+    assert not seen
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
 
 
 # 6 repeated substrings
@@ -321,6 +401,18 @@ def test_exact_dedup(spark, odd, empty):
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_clashing_helper_names_are_kept(spark):
+    rows = [(1, "a b c d e f", "en", "s", "k1", 1, 2, 3, 4, 5, 6), (2, "a b c d e f", "en", "s", "k2", 1, 2, 3, 4, 5, 6), (2, "a b c d e f", "en", "s", "k2", 1, 2, 3, 4, 5, 6), (3, None, None, None, None, 9, 9, 9, 9, 9, 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __k string, __n int, __c int, __e int, __s int, __m int, `a.b` int")
+    kept = exact_dedup.exact_dedup(frame)
+    assert kept.columns == frame.columns and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, (rows[2], rows[3])))
+    near = near_dedup.near_dedup(frame)
+    assert near.columns == frame.columns and {r["__k"] for r in near.collect()} == {"k2", None}
+    mixed = mixing.mixed_documents(frame, budget=(2, 1))
+    assert mixed.columns == frame.columns
+    assert collections.Counter((r["doc_id"], r["__k"], r["__m"], r["a.b"]) for r in mixed.collect()) == {(1, "k1", 5, 6): 2, (2, "k2", 5, 6): 4}
+
+
 def test_chunk_identifiers_split_on_disagreement(spark):
     rows = [("r1", [(b"d", b"1"), (b"e", b"1")]), ("r2", [(b"d", b"2"), (b"e", b"1")])]
     frame = spark.createDataFrame(rows, "rk string, recipe array<struct<d:binary,c:binary>>")
@@ -375,6 +467,24 @@ def test_media_round_trip(spark, odd, empty):
     assert media.sniff_media(media.store_texts(empty)).count() == 0
 
 
+def test_media_query_against_brute_force(spark):
+    """Bytes stored and the whole feature column, from the formats' public descriptions."""
+    kinds = {"wav": "audio/wav", "png": "image/png", "bmp": "image/bmp", "pgm": "image/x-portable-graymap", "au": "audio/basic"}
+    order, want = ["wav", "png", "bmp", "pgm", "au"], []
+    for i, t in texts_of(spark.read.parquet(f"{SF}/documents.parquet")):
+        b = (t or "").encode()
+        p = b + b"\xff" * (-len(b) % 576 if b else 576)
+        pick = hashlib.sha256(p).digest()
+        blob, kind, told = media.encode(p, order[pick[0] % 5]), kinds[order[pick[0] % 5]], kinds[order[pick[1] % 5]]
+        carved = sum(media.FORMATS[n][2](blob, at) is not None for n, (magic, _, _) in media.FORMATS.items() for at in range(1, len(blob)) if blob.startswith(magic, at))
+        feature = [kind, "as declared" if kind == told else f"was {told}", pytest.approx(sum(p) / len(p), abs=1e-6), f"carved={carved}"]
+        want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature))
+    got = sorted(map(tuple, QUERIES["op9_media"](spark, SF).collect()))
+    for row, expected in zip(got, sorted(want, key=lambda x: x[0]), strict=True):
+        kind, told, mean, carved = row[-1].split(";")
+        assert (*row[:-1], [kind, told, float(mean.removeprefix("mean=")), carved]) == expected
+
+
 def test_media_sniffs_corrects_and_carves(spark):
     payload = bytes(range(256)) * 9
     files = {n: media.encode(payload, n) for n in ("wav", "png", "bmp", "pgm", "au")}
