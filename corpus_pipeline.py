@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return
 the columns of documents. The result can't be stated in SQL (a trained model and sketches decide).
+
+Defined results of every stage: a null text is empty, a null id is an id of its own, texts of any length are taken
+whole, ties go to the larger id, an empty table gives an empty one, and further columns of documents are
+passed on whatever their names (the last stage reads only id and text).
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    return bpe.encode_documents(docs, bpe.vocabulary_path())
+    """doc_id, ids (the token ids, two little-endian bytes each), n_tokens, ids_sha256 and decoded_sha256 of each row."""
+    return bpe.encode_documents(docs, bpe.vocabulary_path(), with_ids=True)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
