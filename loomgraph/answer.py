@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.config import Settings
 from loomgraph.extract.clients import EmbeddingClient, LLMClient, make_embedder, make_llm, question_entities
-from loomgraph.functions.tokens import quarter_count
+from loomgraph.functions.tokens import RankTokenizer, quarter_count, token_counter
 from loomgraph.operators import retrieve, vectors
-from loomgraph.progress import now
+from loomgraph.progress import NullProgressReporter, ProgressReporter, now
 from loomgraph.schemas import HITS
 from loomgraph.session import materialise, ship
 from loomgraph.snapshot import Store
@@ -55,8 +55,10 @@ def compose(question: str, context: str, verdict: dict, client: LLMClient) -> An
 class Session:
     """Tables are read once and kept; a route that fails gives no hits."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, client: LLMClient | None = None, embedder: EmbeddingClient | None = None, count: Callable = quarter_count) -> None:
-        self.spark, self.s, self.count = ship(spark), settings, count
+    def __init__(self, spark: SparkSession, settings: Settings, client: LLMClient | None = None, embedder: EmbeddingClient | None = None, count: Callable | None = None, reporter: ProgressReporter | None = None) -> None:
+        self.spark, self.s, self.reporter = ship(spark), settings, reporter or NullProgressReporter()
+        # exact counts where the settings name a file of ranks
+        self.count = count or (token_counter(RankTokenizer(settings.token_ranks)) if settings.token_ranks else quarter_count)
         self.store = Store(spark, settings.out_dir)
         self.client, self.embedder = client or make_llm(settings), embedder or make_embedder(settings)
         self.held: dict[str, DataFrame] = {}
@@ -104,10 +106,14 @@ class Session:
 
     def answer(self, question: str, mode: str = "query") -> Answer:
         self._check()
-        fused = retrieve.fuse(self.hits(question, mode), self.s.max_context_tokens, self.count).persist()
-        context = retrieve.context(fused, self.s.max_context_tokens, self.count).first()["context"]
-        verdict = retrieve.review(fused, self.s).first().asDict()
-        out = compose(question, context, verdict, self.client)
+        with self.reporter.stage("recall"):
+            hits = self.hits(question, mode)
+        with self.reporter.stage("fuse"):
+            fused = retrieve.fuse(hits, self.s.max_context_tokens, self.count).persist()
+            context = retrieve.context(fused, self.s.max_context_tokens, self.count).first()["context"]
+            verdict = retrieve.review(fused, self.s).first().asDict()
+        with self.reporter.stage("answer"):
+            out = compose(question, context, verdict, self.client)
         if verdict["flagged"]:
             self.store.flag(question, verdict["reason"], verdict["entities"], now())
         fused.unpersist()

@@ -40,7 +40,7 @@ def extract(documents: DataFrame, settings: Settings, client: LLMClient, tokeniz
     prose = documents.filter(~F.col("suffix").isin(*CODE_FORMATS)).withColumn("source_file", F.col("path"))
     cut = chunk_words if tokenizer is None else lambda d, m, o: chunk_tokens(d, m, o, tokenizer)
     chunks = cut(prose, settings.chunk_max_tokens, settings.chunk_overlap_tokens)
-    said = semantic_track(chunks, client, settings.concept_description_strategy)
+    said = semantic_track(chunks, client, settings.concept_description_strategy, settings.extract_concurrency)
     return code_track(documents, settings.code_languages).unionByName(said)
 
 
@@ -86,7 +86,7 @@ def compile_base(
     progress = Progress(store, force)
     try:
         wanted = changes.to_process(changed)
-        documents, rejects = load(files.join(wanted, "path", "left_semi"), loaders)
+        documents, rejects = load(materialise(files.join(wanted, "path", "left_semi"), "files"), loaders)  # contents are read once
         # of the path only the file name decides (modules are named by it), so a moved file is still known
         documents = documents.withColumn("key", F.sha2(F.concat_ws("|", "sha256", F.lit(state["extraction_config"]), F.lit(settings.llm_model), F.substring_index("path", "/", -1)), 256))
         documents = materialise(documents, "documents")
@@ -108,20 +108,23 @@ def compile_base(
         old_edges, old_concepts = (store.read(t).limit(0) if force else store.read(t).join(replaced, "source_file", "left_anti") for t in ("edges", "concepts"))
         tables = _tables(old_edges.unionByName(_edges(extracted)), old_concepts.unionByName(_concepts(extracted)), settings)
         progress.stage("vector")
+        progress.update_vector(total=tables["nodes"].count())
         dim = probe_dim(embedder)
-        kept = store.read("vectors").join(replaced, "source_file", "left_anti")
-        kept = kept.filter(F.size("embedding") == dim).limit(0) if force else kept.filter(F.size("embedding") == dim)
+        # vectors leave only with their source, or for those of a dimension that the embedder has just given
+        kept = store.read("vectors").join(replaced, "source_file", "left_anti").filter(F.size("embedding") == dim)
+        kept = kept.limit(0) if force else kept
         ends = graph.source_nodes(tables["edges"].join(replaced, "source_file", "left_semi"))
         said = ends.join(tables["nodes"].select(F.col("name").alias("node"), "description"), "node").select("source_file", "node", "description")
         held = store.read_cache("embedding_cache", vectors.CACHE) if settings.enable_embed_cache else None
         texts = said.select(F.col("description").alias("text")).filter(F.trim("text") != "")
-        embedded, fresh = vectors.embed_texts(texts, embedder.embed, settings.embedding_model, dim, held, settings.embedding_batch)
+        embedded, fresh = vectors.embed_texts(texts, embedder.embed, settings.embedding_model, dim, held, settings.embedding_batch, settings.embed_concurrency)
         embedded = materialise(embedded, "embedded")
-        if settings.enable_embed_cache and dim:
+        if settings.enable_embed_cache:
             keys = embedded.select(vectors.cache_key(F.col("text"), settings.embedding_model, dim).alias("key"), F.lit(settings.embedding_model).alias("model"), F.lit(dim).alias("dim"), "embedding")
             keys = keys if held is None else keys.join(held, "key", "left_anti")
             materialise(keys, "fresh").write.mode("append").parquet(f"{store.out}/embedding_cache")
         tables["vectors"] = materialise(vectors.upsert(kept, vectors.index_nodes(said, embedded)), "vectors")
+        progress.update_vector(indexed=tables["vectors"].select("node").distinct().count(), flush=True)
         progress.stage("index")
         ts = now()
         rows = here.join(good.withColumnRenamed("source_file", "path"), "path", "left_semi").select(
@@ -131,9 +134,11 @@ def compile_base(
         tables["manifest"] = manifest.join(gone, "path", "left_anti").unionByName(rows)
         progress.stage("finalize")
         version = store.write(tables)
+        if settings.graph_serialization:
+            store.export_graph(settings.graph_serialization)
         t, c = f"array<struct<{_T}>>", f"array<struct<{_C}>>"
-        upserts = extracted.select(F.lit(VERSION).alias("schema_version"), F.lit("upsert").alias("op"), "source_file", F.lit(ts).alias("ts"), F.col("triples").cast(t).alias("triples"), F.col("concepts").cast(c).alias("concepts"))
-        deletes = out.select(F.lit(VERSION).alias("schema_version"), F.lit("delete").alias("op"), "source_file", F.lit(ts).alias("ts"), F.array().cast(t).alias("triples"), F.array().cast(c).alias("concepts"))
+        upserts = extracted.select(F.lit(VERSION).alias("schema_version"), F.lit("upsert").alias("op"), "source_file", F.lit(ts).alias("ts"), F.col("triples").cast(t).alias("triples"), F.col("concepts").cast(c).alias("concepts"), F.lit(version).cast("long").alias("seq"))
+        deletes = out.select(F.lit(VERSION).alias("schema_version"), F.lit("delete").alias("op"), "source_file", F.lit(ts).alias("ts"), F.array().cast(t).alias("triples"), F.array().cast(c).alias("concepts"), F.lit(version).cast("long").alias("seq"))
         store.append("triples_log", upserts.unionByName(deletes))
         fallbacks = tables["nodes"].filter("node_type = 'entity'").count()
         result = BuildResult(count.get("added", 0), count.get("modified", 0), count.get("deleted", 0), n_made, n_known, rejects.count(), fallbacks, version)

@@ -12,7 +12,10 @@ from loomgraph import progress as pg
 from loomgraph.answer import Answer, ColdStartError, Session
 from loomgraph.build import BuildResult, compile_base, replay
 from loomgraph.config import Settings
+from loomgraph.extract.clients import EmbedderError
 from loomgraph.functions.text import elapsed
+from loomgraph.logs import setup_logging
+from loomgraph.session import clean
 from loomgraph.snapshot import Store, review_lines
 from loomgraph.streaming.watch import Watch
 
@@ -37,7 +40,7 @@ def status(spark: SparkSession, s: Settings) -> list[str]:
     store = Store(spark, s.out_dir)
     state = pg.read_progress(store)
     if state:
-        alive = pg.check_alive(store)
+        alive = pg.check_alive_shown(store, pg.TerminalProgressReporter())
         head = "interrupted" if state["stage"] == "interrupted" else "running" if alive else "dead: its process has ended"
         lines = [f"{head} since {state['started_at']}"]
         for stage in pg.STAGES[:6]:
@@ -64,6 +67,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, setti
     args = top.parse_args(argv)
     spark = spark or SparkSession.builder.appName("loomgraph").getOrCreate()
     s = settings or Settings.from_env()
+    setup_logging(s.out_dir if "://" not in s.out_dir else None)
     try:
         if args.command == "build":
             began = time.time()
@@ -79,7 +83,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, setti
                 watch = Watch(spark, s.raw_dir, lambda paths: print(len(paths), "changed:", summary(compile_base(spark, s))))
                 watch.start().awaitTermination()
         elif args.command in ("query", "ask"):
-            _show(Session(spark, s).answer(args.question, args.command))
+            _show(Session(spark, s, reporter=pg.TerminalProgressReporter()).answer(args.question, args.command))
         elif args.command == "search":
             for r in Session(spark, s).search(args.question).orderBy("pos").collect():
                 print(f"{r['score']:.2f} {r['community_summary']}")
@@ -94,8 +98,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, setti
     except ColdStartError as e:
         print(e, file=sys.stderr)
         return 1
+    except EmbedderError as e:
+        print(e, file=sys.stderr)
+        return 1
     except KeyboardInterrupt:
         return 130
+    finally:
+        clean(spark)
     return 0
 
 

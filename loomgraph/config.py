@@ -22,6 +22,9 @@ class Settings:
     llm_api_key: str | None = None
     llm_base_url: str | None = None
     llm_max_retries: int = 6
+    extract_concurrency: int = 4
+    embed_concurrency: int = 4
+    token_ranks: str | None = None
     llm_request_interval: float = 0.0
     llm_rate_limit_retries: int = 3
     embedding_provider: str = "offline"
@@ -47,13 +50,13 @@ class Settings:
     min_confidence_score: float = 0.3
     max_subgraph_edges: int = 0
     vector_metric: str = "l2"
-    graph_serialization: str = "json"
+    graph_serialization: str = ""
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None, env_file: str | None = ".env", **given) -> Settings:
         found: dict[str, str] = {}
-        if env_file and os.path.exists(env_file):
-            with open(env_file, encoding="utf-8") as f:
+        if env_file and (path := find_env_file(env_file)):
+            with open(path, encoding="utf-8") as f:
                 found |= dict(x.strip().split("=", 1) for x in f if "=" in x and not x.startswith("#"))
         found |= os.environ if env is None else env
         values: dict = {}
@@ -64,6 +67,18 @@ class Settings:
         return replace(cls(), **(values | given))
 
 
+def find_env_file(name: str = ".env", start: str | None = None) -> str | None:
+    """The file of this name in the folder, or in the nearest one above it."""
+    here = os.path.abspath(start or os.getcwd())
+    while True:
+        if os.path.isfile(path := os.path.join(here, name)):
+            return path
+        above = os.path.dirname(here)
+        if above == here:
+            return None
+        here = above
+
+
 def _signature(**payload) -> str:
     return hashlib.sha256(json.dumps(payload, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 

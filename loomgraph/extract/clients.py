@@ -17,11 +17,38 @@ from loomgraph.config import Settings
 class LLMClient(Protocol):
     def complete(self, system: str, user: str, response_format: str = "json", temperature: float = 0.0) -> str: ...
 
+    def count_tokens(self, text: str) -> int: ...
+
 
 class EmbeddingClient(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class EmbedderError(RuntimeError):
+    """The embedder did not answer, so the dimension of its vectors is not known."""
+
+
+def count_tokens(text: str, model: str = "", path: str | None = None) -> int:
+    """Tokens of a text with the ranks of a file in tiktoken's format, or the encoding that tiktoken knows for the model.
+
+    Without either (no file, no network) a quarter of the characters, at least one.
+    """
+    if path:
+        from loomgraph.functions.tokens import RankTokenizer
+
+        return len(RankTokenizer(path).encode(text))
+    try:
+        import tiktoken
+
+        try:
+            encoding = tiktoken.encoding_for_model(model)
+        except KeyError:
+            encoding = tiktoken.get_encoding("cl100k_base")
+        return len(encoding.encode(text, disallowed_special=()))
+    except Exception:  # the tables of tiktoken come from the network
+        return max(1, len(text) // 4)
+
+
 class OfflineClient:
     """Rules instead of a model, with the same answers for the same input."""
 
@@ -40,6 +67,9 @@ class OfflineClient:
         concepts = [{"name": n, "description": f"{n} in the text.", "node_type": "concept"} for n in names]
         return json.dumps({"triples": triples, "concepts": concepts})
 
+    def count_tokens(self, text: str) -> int:
+        return len(text.split())
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
@@ -76,8 +106,9 @@ def backoff(attempt: int) -> float:
 class HttpClient:
     """provider: openai (and compatible services), anthropic or ollama. Picklable, used on executors."""
 
-    def __init__(self, provider: str, model: str, key: str | None, url: str | None, interval: float = 0.0, retries: int = 3, batch: int = 64) -> None:
+    def __init__(self, provider: str, model: str, key: str | None, url: str | None, interval: float = 0.0, retries: int = 3, batch: int = 64, faults: int = 0) -> None:
         self.provider, self.model, self.key, self.retries, self.batch, self.limit = provider, model, key, retries, batch, RateLimiter(interval)
+        self.faults = faults
         self.url = (url or {"openai": "https://api.openai.com/v1", "anthropic": "https://api.anthropic.com/v1", "ollama": "http://localhost:11434"}[provider]).rstrip("/")
 
     def _post(self, path: str, body: dict) -> dict:
@@ -86,16 +117,29 @@ class HttpClient:
             head |= {"x-api-key": self.key or "", "anthropic-version": "2023-06-01"}
         elif self.key:
             head["Authorization"] = f"Bearer {self.key}"
-        for attempt in range(self.retries + 1):
+        limited = failed = 0
+        while True:
             self.limit.acquire()
             try:
                 with urllib.request.urlopen(urllib.request.Request(self.url + path, json.dumps(body).encode(), head), timeout=300) as f:
                     return json.load(f)
             except urllib.error.HTTPError as e:
-                if e.code != 429 or attempt == self.retries:
+                if e.code == 429 and limited < self.retries:
+                    time.sleep(backoff(limited))
+                    limited += 1
+                elif e.code >= 500 and failed < self.faults:
+                    time.sleep(min(2.0**failed, 30.0))
+                    failed += 1
+                else:
+                    raise
+            except urllib.error.URLError:
+                if failed == self.faults:
                     raise
-                time.sleep(backoff(attempt))
-        raise AssertionError
+                time.sleep(min(2.0**failed, 30.0))
+                failed += 1
+
+    def count_tokens(self, text: str) -> int:
+        return count_tokens(text, self.model)
 
     def complete(self, system: str, user: str, response_format: str = "json", temperature: float = 0.0) -> str:
         as_json = response_format == "json"
@@ -128,7 +172,7 @@ def make_llm(s: Settings) -> LLMClient:
         return OfflineClient()
     if s.llm_provider != "ollama" and not s.llm_api_key:
         raise SystemExit(2)
-    return HttpClient(s.llm_provider, s.llm_model, s.llm_api_key, s.llm_base_url, s.llm_request_interval, s.llm_rate_limit_retries)
+    return HttpClient(s.llm_provider, s.llm_model, s.llm_api_key, s.llm_base_url, s.llm_request_interval, s.llm_rate_limit_retries, faults=s.llm_max_retries)
 
 
 def make_embedder(s: Settings) -> EmbeddingClient:
@@ -137,15 +181,18 @@ def make_embedder(s: Settings) -> EmbeddingClient:
     key = s.embedding_api_key or s.llm_api_key
     if s.embedding_provider != "ollama" and not key:
         raise SystemExit(2)
-    return HttpClient(s.embedding_provider, s.embedding_model, key, s.embedding_base_url or s.llm_base_url, 0.0, s.llm_rate_limit_retries, s.embedding_batch)
+    return HttpClient(s.embedding_provider, s.embedding_model, key, s.embedding_base_url or s.llm_base_url, 0.0, s.llm_rate_limit_retries, s.embedding_batch, s.llm_max_retries)
 
 
 def probe_dim(client: EmbeddingClient) -> int:
-    """Length of the client's vectors; 0 if it does not answer."""
+    """Length of the client's vectors. A client that does not answer is an error, never a dimension."""
     try:
-        return len(client.embed(["dimension"])[0])
-    except Exception:
-        return 0
+        found = len(client.embed(["dimension"])[0])
+    except Exception as e:
+        raise EmbedderError(f"the embedder does not answer: {e}") from e
+    if not found:
+        raise EmbedderError("the embedder gives empty vectors")
+    return found
 
 
 NER = 'List the named things of the question as JSON: {"entities": [text, ...]}.'

@@ -102,6 +102,13 @@ def _scan(source: str, out: Structure, language: str) -> None:
         elif t == ")" and stack:
             closing[stack.pop()] = i
     depth, opened, pending = 0, [], None
+
+    def annotated(i: int) -> bool:
+        """Whether the dotted name that ends here follows an at sign of Java."""
+        while i > 1 and tokens[i - 1][0] == ".":
+            i -= 2
+        return language == "java" and source[: tokens[i][1]].rstrip().endswith("@")
+
     for i, (t, _, _) in enumerate(tokens):
         before = tokens[i - 1][0] if i else ""
         after = tokens[i + 1][0] if i + 1 < len(tokens) else ""
@@ -127,20 +134,39 @@ def _scan(source: str, out: Structure, language: str) -> None:
             in_class = bool(out.scopes) and out.scopes[-1][0] == "class" and bool(opened) and opened[-1] == depth
             if follow[:1] == ["{"] and (before == "function" or in_class):
                 pending = ("function", t, _spaces(source[tokens[i + 1][2] : tokens[end][1]]))
-            elif before not in ("new", "function") and not (in_class and language == "java" and follow[:1] == [";"]):
+            elif before not in ("new", "function", "@") and not annotated(i) and not (in_class and language == "java" and follow[:1] == [";"]):
                 out.call(t)
 
 
+def parse_python(text: str) -> ast.Module:
+    """The syntax tree; a line that can't be parsed is left out (a block's head becomes a plain one), the rest stays."""
+    lines = text.split("\n")
+    for _ in range(2 * len(lines) + 1):
+        try:
+            return ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+            while at > 0 and not lines[at].strip():
+                at -= 1  # an error at the end belongs to the last line with text
+            line = lines[at]
+            if not line.strip():
+                break
+            indent = line[: len(line) - len(line.lstrip())]
+            plain = f"{indent}if True:" if line.rstrip().endswith(":") else f"{indent}pass"
+            lines[at] = "" if line == plain or isinstance(e, IndentationError) and "unindent" in str(e) else plain
+    return ast.Module([], [])
+
+
 def extract_code(path: str, text: str, languages: tuple[str, ...] = ("python", "javascript", "java")) -> tuple[list[dict], list[dict]]:
-    """(triples, concepts) of a source file; a disabled language or a syntax error gives none."""
+    """(triples, concepts) of a source file; a disabled language gives none, a line with a syntax error is left out."""
     language = CODE_FORMATS.get("." + path.rsplit(".", 1)[-1].lower())
     if language not in languages:
         return [], []
     out = Structure(re.sub(r"(?<=.)\.[^.]*$", "", path.rsplit("/", 1)[-1]))
     if language == "python":
         try:
-            _Python(out, text).visit(ast.parse(text))
-        except (SyntaxError, ValueError, RecursionError):
+            _Python(out, text).visit(parse_python(text))
+        except (ValueError, RecursionError):
             return [], []
     else:
         _scan(text, out, language)

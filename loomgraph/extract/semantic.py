@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,21 +50,25 @@ def clean(found: dict) -> tuple[list[tuple], list[tuple]]:
 _ANSWER = "source_file string, chunk_index int, failed boolean, triples array<struct<head:string,relation:string,tail:string,confidence:string>>, concepts array<struct<name:string,description:string,node_type:string>>"
 
 
-def semantic_track(chunks: DataFrame, client: LLMClient, strategy: str = "last_write_wins") -> DataFrame:
+def semantic_track(chunks: DataFrame, client: LLMClient, strategy: str = "last_write_wins", concurrency: int = 1) -> DataFrame:
     """chunks (source_file, index, text) to one row per file: source_file, triples, concepts, failed.
 
+    A task asks for `concurrency` chunks at a time, so model calls in flight are that times the running tasks.
+
     A chunk without a valid answer gives one AMBIGUOUS triple. Chunks are merged in their order,
     whatever the order in which they were answered.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for where, index, text in zip(frame["source_file"], frame["index"], frame["text"], strict=True):
-                found = ask(client, text)
-                t, c = clean(found) if found else ([], [])
-                rows.append((where, index, found is None, [dict(zip(("head", "relation", "tail", "confidence"), x, strict=True)) for x in t], [dict(zip(("name", "description", "node_type"), x, strict=True)) for x in c]))
-            yield pd.DataFrame(rows, columns=["source_file", "chunk_index", "failed", "triples", "concepts"])
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            yield from (answered(frame, pool) for frame in frames)
+
+    def answered(frame: pd.DataFrame, pool: ThreadPoolExecutor) -> pd.DataFrame:
+        rows = []
+        for where, index, found in zip(frame["source_file"], frame["index"], pool.map(lambda text: ask(client, text), frame["text"]), strict=True):
+            t, c = clean(found) if found else ([], [])
+            rows.append((where, index, found is None, [dict(zip(("head", "relation", "tail", "confidence"), x, strict=True)) for x in t], [dict(zip(("name", "description", "node_type"), x, strict=True)) for x in c]))
+        return pd.DataFrame(rows, columns=["source_file", "chunk_index", "failed", "triples", "concepts"])
 
     answers = chunks.select("source_file", "index", "text").mapInPandas(run, _ANSWER)
     lost = F.array(F.struct(stem(F.col("source_file")).alias("head"), F.lit("extraction_failed").alias("relation"), F.concat(F.lit("chunk_"), "chunk_index").alias("tail"), F.lit("AMBIGUOUS").alias("confidence")))

@@ -21,10 +21,11 @@ CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
 
 def normalize_entity(name: Column) -> Column:
     """Runs of Unicode white space become one space; trimmed and in lower case."""
-    return F.lower(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")))
+    return F.lower(collapse_spaces(name))
 
 
 def collapse_spaces(text: Column) -> Column:
+    """Runs of Unicode white space become one space; trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
@@ -134,30 +135,14 @@ def elapsed(seconds: float | None) -> str:
 
 
 def parse_json_loose(raw: str | None) -> dict | None:
-    """The text as a JSON object, else its first balanced {...}; None if neither is an object."""
+    """The text as a JSON object, else the object that starts at its first brace; None if neither is one."""
     if not raw:
         return None
     try:
         found = json.loads(raw)
-        return found if isinstance(found, dict) else None
     except ValueError:
-        pass
-    start = raw.find("{")
-    depth, quoted, skip = 0, False, False
-    for i in range(max(start, 0), len(raw) if start >= 0 else 0):
-        c = raw[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                try:
-                    found = json.loads(raw[start : i + 1])
-                except ValueError:
-                    return None
-                return found if isinstance(found, dict) else None
-    return None
+        try:
+            found, _ = json.JSONDecoder().raw_decode(raw, raw.index("{"))
+        except ValueError:
+            return None
+    return found if isinstance(found, dict) else None

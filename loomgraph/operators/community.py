@@ -1,13 +1,19 @@
-"""Communities: Leiden on bounded graphs in one task, distributed local moves of modularity beyond."""
+"""Communities by Leiden's steps: local moves of modularity, refinement inside communities, aggregation.
+
+One rule at every size. In a round each node looks for the label among its neighbours' that gains most (ties by
+a hash of the label); about half of the nodes may move, others each time, since moves made at once can undo each
+other. A graph of up to ONE_TASK pairs is worked on in one task with arrays, a larger one by DataFrames; both
+take the same decisions, so results don't depend on the size. Numbers go by size, largest first, then by the
+first member.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.extract.clients import LLMClient
@@ -17,8 +23,10 @@ from loomgraph.session import materialise, numbered
 
 SYSTEM = "You are a knowledge graph community summarizer."
 
-#: Leiden needs the graph in one task's memory; graphs with more pairs use modular_moves.
-LEIDEN_PAIRS = 2_000_000
+#: Pairs that one task holds as arrays, some 100 bytes each; it decides where the work is done, not the result.
+ONE_TASK = 2_000_000
+IDLE_ROUNDS, LEAST_GAIN = 4, 1e-9
+_U = np.uint64
 
 
 def modularity(links: dict[int, dict[int, float]], of: dict[int, int]) -> float:
@@ -27,7 +35,7 @@ def modularity(links: dict[int, dict[int, float]], of: dict[int, int]) -> float:
     total = sum(degree.values())
     if not total:
         return 0.0
-    inside, whole = defaultdict(float), defaultdict(float)
+    inside, whole = dict.fromkeys(of.values(), 0.0), dict.fromkeys(of.values(), 0.0)
     for v, near in links.items():
         whole[of[v]] += degree[v]
         for u, w in near.items():
@@ -36,184 +44,226 @@ def modularity(links: dict[int, dict[int, float]], of: dict[int, int]) -> float:
     return sum(inside[c] / total - (whole[c] / total) ** 2 for c in whole)
 
 
-def _degrees(links: list[dict[int, float]]) -> list[float]:
-    return [sum(w * (2 if u == v else 1) for u, w in near.items()) for v, near in enumerate(links)]
+def hash_long(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """XXH64 of 8-byte numbers, signed: what Spark's xxhash64 gives (fixed values: its five primes and its rotations)."""
+    p1, p2, p3, p4, p5 = map(_U, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def rotate(v: np.ndarray, by: int) -> np.ndarray:
+        return (v << _U(by)) | (v >> _U(64 - by))
+
+    x = np.asarray(x, np.int64).view(_U)
+    h = np.asarray(seed, np.int64).view(_U) + p5 + _U(8)
+    h = h ^ (rotate(x * p2, 31) * p1)
+    h = rotate(h, 27) * p1 + p4
+    h = (h ^ (h >> _U(33))) * p2
+    h = (h ^ (h >> _U(29))) * p3
+    return (h ^ (h >> _U(32))).view(np.int64)
+
+
+# one task
+
 
+def _sums(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of the weights of each."""
+    bits = int(w.max()).bit_length() if len(w) else 0
+    if (w == np.floor(w)).all() and int(key.max()).bit_length() + bits < 63:
+        both = np.sort((key << bits) | w.astype(np.int64))  # sorting values is many times faster than an order
+        key, w = both >> bits, (both & ((1 << bits) - 1)).astype(float)
+    else:
+        order = np.argsort(key)
+        key, w = key[order], w[order]
+    first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    return key[first], np.add.reduceat(w, first)
 
-def _move(links: list[dict[int, float]], of: list[int], rng: np.random.Generator, within: list[int] | None = None) -> bool:
-    """Queue of local moves to the best community; with `within`, only singletons move, inside their part."""
-    n, degree = len(links), _degrees(links)
-    total = sum(degree)
+
+def _settle_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, label: np.ndarray, degree: np.ndarray, total: float, loops: float, seed: int) -> tuple[np.ndarray, float]:
+    """The best labels that rounds of moves over links (a, b, w) reach, and their modularity."""
+    n = len(label)
+    best, most, idle, k = label, -np.inf, 0, 0
+    own = np.arange(n)
+    spread, links = hash_long(own, 42), np.concatenate((w, np.zeros(n)))
+    while True:
+        mass = np.bincount(label, degree, n)
+        key, weight = _sums(np.concatenate((a * n + label[b], own * n + label)), links)
+        node, to = key // n, key % n
+        stays = to == label[node]
+        gain = weight - degree[node] * (mass[to] - np.where(stays, degree[node], 0.0)) / total
+        first = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1))  # keys are sorted, and each node has one
+        best_here = np.flatnonzero(gain == np.repeat(np.maximum.reduceat(gain, first), np.diff(np.concatenate((first, [len(node)])))))
+        ties = best_here[np.lexsort((spread[to[best_here]], node[best_here]))]
+        last = ties[np.concatenate((node[ties][1:] != node[ties][:-1], [True]))]
+        now, inside = gain[stays], weight[stays].sum()
+        wants = gain[last] > now + LEAST_GAIN
+        q = (inside + loops) / total - float((mass / total) @ (mass / total))
+        if q > most + LEAST_GAIN:
+            best, most, idle = label, q, 0
+        else:
+            idle += 1
+        if not wants.any() or idle == IDLE_ROUNDS:
+            return best, most
+        turn = (hash_long(np.full(n, k + seed), hash_long(np.arange(n))) & 1) == 0
+        label = np.where(turn & wants, to[last], label)
+        k += 1
+
+
+def leiden_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
+    """The label of each of n nodes; pairs (a, b, w) are undirected, each once."""
+    other = a != b
+    a, b, w = np.concatenate((a, b[other])), np.concatenate((b, a[other])), np.concatenate((np.where(other, w, 2 * w), w[other])).astype(float)
+    total = w.sum()
     if not total:
-        return False
-    mass, size = [0.0] * n, [0] * n
-    for v in range(n):
-        mass[of[v]] += degree[v]
-        size[of[v]] += 1
-    queue, waiting, moved = rng.permutation(n).tolist(), [True] * n, False
-    at = 0
-    while at < len(queue):
-        v = queue[at]
-        at += 1
-        waiting[v] = False
-        own = of[v]
-        if within is not None and size[own] > 1:
-            continue
-        to: dict[int, float] = defaultdict(float)
-        for u, w in links[v].items():
-            if u != v and (within is None or within[u] == within[v]):
-                to[of[u]] += w
-        mass[own] -= degree[v]
-        best, gain = own, to.get(own, 0.0) - degree[v] * mass[own] / total
-        for c in sorted(to):
-            if (g := to[c] - degree[v] * mass[c] / total) > gain + 1e-12:
-                best, gain = c, g
-        mass[best] += degree[v]
-        if best != own:
-            of[v], moved = best, True
-            size[own] -= 1
-            size[best] += 1
-            if within is None:
-                for u in links[v]:
-                    if of[u] != best and not waiting[u]:
-                        waiting[u] = True
-                        queue.append(u)
-    return moved
-
-
-def _number(of: list[int]) -> list[int]:
-    names: dict[int, int] = {}
-    return [names.setdefault(c, len(names)) for c in of]
-
-
-def leiden(pairs: list[tuple[str, str, float]], nodes: list[str], seed: int = 42) -> dict[str, int]:
-    """Community of each node: local moves, refinement inside communities, aggregation, until stable.
-
-    Nodes are taken in sorted order and the generator is seeded, so equal graphs give equal results.
-    Numbers go by size, largest first, then by the first member. Without edges all are in community 0.
-    """
-    names = sorted(set(nodes))
-    place = {x: i for i, x in enumerate(names)}
-    links: list[dict[int, float]] = [defaultdict(float) for _ in names]
-    for a, b, w in sorted(pairs):
-        links[place[a]][place[b]] += w
-        if a != b:
-            links[place[b]][place[a]] += w
-    if not any(links):
-        return dict.fromkeys(names, 0)
-    rng = np.random.default_rng(seed)
-    member = list(range(len(names)))  # node to node of the present level
-    of = list(range(len(names)))
+        return np.zeros(n, np.int64)
+    top, label, reached = np.arange(n), np.arange(n), -np.inf
     while True:
-        moved = _move(links, of, rng)
-        of = _number(of)
-        if not moved or len(set(of)) == len(links):
-            break
-        fine = list(range(len(links)))
-        _move(links, fine, rng, within=of)
-        fine = _number(fine)
-        if len(set(fine)) == len(links):
-            fine = of
-        smaller: list[dict[int, float]] = [defaultdict(float) for _ in range(max(fine) + 1)]
-        start = [0] * len(smaller)
-        for v, near in enumerate(links):
-            start[fine[v]] = of[v]
-            for u, w in near.items():
-                if fine[u] != fine[v]:
-                    smaller[fine[v]][fine[u]] += w
-                elif u >= v:
-                    smaller[fine[v]][fine[v]] += w
-        member = [fine[x] for x in member]
-        links, of = smaller, _number(start)
-    groups = defaultdict(list)
-    for name, x in zip(names, member, strict=True):
-        groups[of[x]].append(name)
-    ordered = sorted(groups.values(), key=lambda g: (-len(g), g[0]))
-    return {name: i for i, g in enumerate(ordered) for name in g}
+        size = len(label)
+        degree, loop = np.bincount(a, w, size), a == b
+        x, y, v = a[~loop], b[~loop], w[~loop]
+        found, q = _settle_arrays(x, y, v, label, degree, total, w[loop].sum(), seed)
+        if q <= reached + LEAST_GAIN:
+            return label[top]
+        reached, label = q, found
+        same = label[x] == label[y]
+        fine, _ = _settle_arrays(x[same], y[same], v[same], np.arange(size), degree, total, w[loop].sum(), seed)
+        if len(np.unique(fine)) == size:
+            fine = label
+        names, place = np.unique(fine, return_inverse=True)
+        # a part is named by its label, and its community by the part of the same name or else by a number beyond
+        own, community = np.unique(label, return_inverse=True)
+        of = np.zeros(len(names), np.int64)
+        of[place] = community
+        first = np.full(len(own), len(names))
+        np.minimum.at(first, of, np.arange(len(names)))
+        key, w = _sums(place[a] * len(names) + place[b], w)
+        a, b, top, label = key // len(names), key % len(names), place[top], first[of]
+
+
+def leiden(a: np.ndarray, b: np.ndarray, weight: np.ndarray, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(names, numbers) of all ends of named pairs; a pair of weight 0 only names its ends. Names are in byte order."""
+    ends = sorted(set(a) | set(b), key=lambda x: x.encode())
+    place = {x: i for i, x in enumerate(ends)}
+    x, y = (np.array([place[v] for v in side], np.int64) for side in (a, b))
+    w = np.asarray(weight, float)
+    return np.array(ends, object), rank_labels(leiden_arrays(x[w > 0], y[w > 0], w[w > 0], len(ends), seed))
 
 
 def _leiden_task(seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = pd.concat(list(frames) or [pd.DataFrame({"a": [], "b": [], "weight": []})])
-        linked = whole[whole["weight"] > 0]
-        got = leiden(list(zip(linked["a"], linked["b"], linked["weight"].astype(float), strict=True)), [*whole["a"], *whole["b"]], seed)
-        yield pd.DataFrame({"node": list(got), "id": list(got.values())}).astype({"id": "int32"})
+        names, number = leiden(whole["a"].to_numpy(object), whole["b"].to_numpy(object), whole["weight"].to_numpy(), seed)
+        yield pd.DataFrame({"node": names, "id": number}).astype({"id": "int32"})
 
     return run
 
 
-def _settle(links: DataFrame, label: DataFrame, total: float) -> tuple[DataFrame, float]:
-    """Local moves until none gains, or four rounds in a row don't raise modularity: the best labels and their modularity.
+def rank_labels(label: np.ndarray) -> np.ndarray:
+    """Numbers by size, largest first, then by the first member."""
+    _, first, at, size = np.unique(label, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.lexsort((first, -size))] = np.arange(len(first))
+    return rank[at]
+
+
+# DataFrames
 
-    links (a, b, w) has both directions, and a self-loop once with twice its weight; label is (node, label, degree).
-    In a round about half of the nodes may move, others each time, since moves made at once can undo each other.
-    """
-    loops = links.filter("a = b").agg(F.sum("w")).first()[0] or 0.0
+
+def _settle(links: DataFrame, label: DataFrame, total: float, loops: float, seed: int) -> tuple[DataFrame, float]:
+    """As _settle_arrays: links (a, b, w) without self-loops, label (node, label, degree)."""
     best, most, idle, k = label, float("-inf"), 0, 0
     while True:
         mass = label.groupBy("label").agg(F.sum("degree").alias("mass"))
-        to = links.filter("a != b").join(label.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", "w")
+        to = links.join(label.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", "w")
         to = to.unionByName(label.select("node", "label", F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
         to = to.join(label.select("node", F.col("label").alias("own"), "degree"), "node").join(mass, "label")
         stays = F.col("label") == F.col("own")
         to = to.withColumn("gain", F.col("w") - F.col("degree") * (F.col("mass") - F.when(stays, F.col("degree")).otherwise(0.0)) / total)
         choice = to.groupBy("node").agg(F.max_by("label", F.struct("gain", F.xxhash64("label"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(stays, F.col("gain"))).alias("now"), F.max(F.when(stays, F.col("w"))).alias("inside"), F.first("own").alias("own"), F.first("degree").alias("degree"))
         choice = materialise(choice, "choice")
-        wants = F.col("gain") > F.col("now") + 1e-9
+        wants = F.col("gain") > F.col("now") + LEAST_GAIN
         one = choice.agg(F.sum("inside").alias("inside"), F.count_if(wants).alias("wants")).first()
         spread = mass.agg(F.sum(F.pow(F.col("mass") / total, F.lit(2.0)))).first()[0]
         q = ((one["inside"] or 0.0) + loops) / total - spread
-        if q > most + 1e-9:
+        if q > most + LEAST_GAIN:
             best, most, idle = label, q, 0
         else:
             idle += 1
-        if not one["wants"] or idle == 4:
+        if not one["wants"] or idle == IDLE_ROUNDS:
             return best, most
-        turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
+        turn = F.xxhash64("node", F.lit(k + seed).cast("long")).bitwiseAND(F.lit(1)) == 0
         label = materialise(choice.select("node", F.when(turn & wants, F.col("to")).otherwise(F.col("own")).alias("label"), "degree"), "labels")
         k += 1
 
 
-def modular_moves(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, id) by local moves and aggregation on DataFrames, level by level until modularity rises no more.
+def _renamed(links: DataFrame, of: DataFrame) -> DataFrame:
+    """links between the parts that of (node, part) gives."""
+    ends = links.join(of.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
+    return ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
+
 
-    Numbers go as in `leiden`. There is no refinement, so a community can be badly connected.
-    """
+def leiden_frames(nodes: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
+    """(node, id) for nodes (name) and pairs (a, b, weight), by the same steps as leiden_arrays."""
+    name = materialise(numbered(nodes.select(F.col("name").alias("node")), ["node"], "i").select("node", (F.col("i") - 1).alias("i")), "numbers")
     w = F.col("weight").cast("double")
-    back = pairs.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), w.alias("w"))
-    links = materialise(pairs.select("a", "b", F.when(F.col("a") == F.col("b"), 2 * w).otherwise(w).alias("w")).unionByName(back), "links")
+    ends = pairs.filter("weight > 0").join(name.select(F.col("node").alias("a"), F.col("i").alias("x")), "a").join(name.select(F.col("node").alias("b"), F.col("i").alias("y")), "b")
+    ends = ends.select(F.col("x").alias("a"), F.col("y").alias("b"), w.alias("w"))
+    back = ends.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")
+    links = materialise(ends.withColumn("w", F.when(F.col("a") == F.col("b"), 2 * F.col("w")).otherwise(F.col("w"))).unionByName(back), "links")
     total = links.agg(F.sum("w")).first()[0]
     if not total:
-        return nodes.select(F.col("name").alias("node"), F.lit(0).alias("id"))
-    member, reached = nodes.select(F.col("name").alias("node"), F.col("name").alias("top")), float("-inf")
+        return name.select("node", F.lit(0).alias("id"))
+    label = name.select(F.col("i").alias("node"), F.col("i").alias("label"))
+    member, reached = name.select("node", F.col("i").alias("top")), float("-inf")
     while True:
         degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
-        label, q = _settle(links, materialise(degree.select("node", F.col("node").alias("label"), "degree"), "labels"), total)
-        if q <= reached + 1e-9:
+        label = materialise(label.join(degree, "node", "left").select("node", "label", F.coalesce("degree", F.lit(0.0)).alias("degree")), "labels")
+        loops = links.filter("a = b").agg(F.sum("w")).first()[0] or 0.0
+        other = links.filter("a != b")
+        found, q = _settle(other, label, total, loops, seed)
+        if q <= reached + LEAST_GAIN:
             break
-        reached = q
-        of = label.select(F.col("node").alias("top"), "label")
-        member = materialise(member.join(of, "top", "left").select("node", F.coalesce("label", "top").alias("top")), "members")
-        links = links.join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-        links = materialise(links.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "links")
-    size = member.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    number = numbered(size, [F.desc("n"), "first"], "id").select("top", (F.col("id") - 1).cast("int").alias("id"))
-    return member.join(number, "top").select("node", "id")
-
-
-def membership(nodes: DataFrame, edges: DataFrame, strategy: str = "sum", seed: int = 42, leiden_pairs: int = LEIDEN_PAIRS) -> DataFrame:
-    """(node, id) for each node; fewer than two nodes give nothing."""
+        reached, label = q, found
+        of = label.select("node", "label")
+        same = other.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").filter("x = y")
+        fine, _ = _settle(materialise(same.select("a", "b", "w"), "inner"), label.withColumn("label", F.col("node")), total, loops, seed)
+        if fine.select("label").distinct().count() == fine.count():
+            fine = label
+        # parts and then communities get numbers from 0, in the order of their labels
+        parts = materialise(numbered(fine.select("label").distinct(), ["label"], "part").select("label", (F.col("part") - 1).alias("part")), "parts")
+        place = materialise(fine.select("node", "label").join(parts, "label").select("node", "part"), "places")
+        part_of = place.join(of, "node").groupBy("part").agg(F.first("label").alias("community"))
+        first = part_of.groupBy("community").agg(F.min("part").alias("label"))
+        links = materialise(_renamed(links, place), "links")
+        member = materialise(member.join(place.withColumnRenamed("node", "top"), "top").select("node", F.col("part").alias("top")), "members")
+        label = part_of.join(first, "community").select(F.col("part").alias("node"), "label")
+    own = member.join(label.select(F.col("node").alias("top"), "label"), "top").select("node", "label")
+    size = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    number = numbered(size, [F.desc("n"), "first"], "id").select("label", (F.col("id") - 1).cast("int").alias("id"))
+    return own.join(number, "label").select("node", "id")
+
+
+def membership(nodes: DataFrame, edges: DataFrame, strategy: str = "sum", seed: int = 42, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, id) for each node; fewer than two nodes give nothing, and without edges all are in community 0."""
     nodes = materialise(nodes.select("name").distinct(), "nodes")
     pairs = materialise(symmetrize(weighted_pairs(edges), strategy), "pairs")
     n = nodes.count()
     if n < 2:
         return nodes.select(F.col("name").alias("node"), F.lit(0).alias("id")).limit(0)
-    if max(n, pairs.count()) > leiden_pairs:
-        return modular_moves(nodes, pairs)
+    if max(n, pairs.count()) > one_task:
+        return leiden_frames(nodes, pairs, seed)
     alone = nodes.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(0).cast("long").alias("weight"))
     return pairs.select("a", "b", "weight").unionByName(alone).coalesce(1).mapInPandas(_leiden_task(seed), "node string, id int")
 
 
+def frame_modularity(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """One row, modularity: of undirected pairs (a, b, weight) and member (node, id)."""
+    of = lambda end, name: member.select(F.col("node").alias(end), F.col("id").alias(name))
+    w = F.col("weight").cast("double")
+    ends = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y", w.alias("w"))
+    mass = ends.select(F.explode(F.array("x", "y")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("mass"))
+    inside = ends.agg(F.sum(F.when(F.col("x") == F.col("y"), 2 * F.col("w")).otherwise(0.0)).alias("inside"), (2 * F.sum("w")).alias("total"))
+    squares: Callable[[], Column] = lambda: F.sum(F.col("mass") * F.col("mass"))
+    return mass.agg(squares().alias("s")).join(F.broadcast(inside)).select((F.col("inside") / F.col("total") - F.col("s") / (F.col("total") * F.col("total"))).alias("modularity"))
+
+
 def _summaries(client: LLMClient):
     """The model's sentence on a community's first members; what is there stays if it fails or says nothing."""
 

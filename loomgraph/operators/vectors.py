@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -82,10 +84,11 @@ def cache_key(text: Column, model: str, dim: int) -> Column:
     return F.sha2(F.concat(F.sha2(text, 256), F.lit(f"|{model}|{dim}")), 256)
 
 
-def embed_texts(texts: DataFrame, embed: Embed, model: str, dim: int, cache: DataFrame | None = None, batch: int = 64) -> tuple[DataFrame, DataFrame]:
+def embed_texts(texts: DataFrame, embed: Embed, model: str, dim: int, cache: DataFrame | None = None, batch: int = 64, concurrency: int = 1) -> tuple[DataFrame, DataFrame]:
     """(text, embedding) for each distinct text, and the rows to add to the cache.
 
-    A text is embedded once, in batches; cached ones of this model and dimension not at all.
+    A text is embedded once, in batches, `concurrency` of them at a time in a task; cached ones of this model and
+    dimension not at all.
     """
     need = texts.select("text").distinct().withColumn("key", cache_key(F.col("text"), model, dim))
     known = None
@@ -96,13 +99,13 @@ def embed_texts(texts: DataFrame, embed: Embed, model: str, dim: int, cache: Dat
         missing = need
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                got = embed(part["text"].tolist())
-                if len(got) != len(part):
-                    raise ValueError(f"{len(got)} vectors for {len(part)} texts")
-                yield part.assign(embedding=[list(map(float, x)) for x in got])
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for frame in frames:
+                parts = [frame.iloc[at : at + batch] for at in range(0, len(frame), batch)]
+                for part, got in zip(parts, pool.map(lambda x: embed(x["text"].tolist()), parts), strict=True):
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} vectors for {len(part)} texts")
+                    yield part.assign(embedding=[list(map(float, x)) for x in got])
 
     made = missing.mapInPandas(run, "text string, key string, embedding array<float>")
     every = made.select("text", "embedding") if known is None else made.select("text", "embedding").unionByName(need.join(known, "key").select("text", "embedding"))
@@ -118,13 +121,37 @@ def index_nodes(nodes: DataFrame, embedded: DataFrame) -> DataFrame:
 
 
 def upsert(vectors: DataFrame, new: DataFrame) -> DataFrame:
-    return vectors.join(new.select("id"), "id", "left_anti").unionByName(new.dropDuplicates(["id"]))
+    """vectors with the rows of new in the place of equal ids; of repeated new ids the largest row counts."""
+    rest = [c for c in new.columns if c != "id"]
+    one = new.groupBy("id").agg(F.max(F.struct(*rest)).alias("x")).select("id", *[f"x.{c}" for c in rest])
+    return vectors.join(new.select("id").distinct(), "id", "left_anti").unionByName(one)
 
 
 def delete_sources(vectors: DataFrame, sources: DataFrame) -> DataFrame:
     return vectors.join(sources, "source_file", "left_anti")
 
 
+class VectorStoreBackend(Protocol):
+    """What a store of vectors of one's own must do; TableStore is the default."""
+
+    def delete_by_source(self, sources: DataFrame) -> None: ...
+
+    def index_nodes(self, nodes: DataFrame, embedded: DataFrame) -> None: ...
+
+
+class TableStore:
+    """Vectors as a DataFrame that is replaced by each change."""
+
+    def __init__(self, vectors: DataFrame) -> None:
+        self.vectors = vectors
+
+    def delete_by_source(self, sources: DataFrame) -> None:
+        self.vectors = delete_sources(self.vectors, sources)
+
+    def index_nodes(self, nodes: DataFrame, embedded: DataFrame) -> None:
+        self.vectors = upsert(self.vectors, index_nodes(nodes, embedded))
+
+
 def list_ids(vectors: DataFrame) -> DataFrame:
     return vectors.select("id")
 

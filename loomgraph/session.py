@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +25,40 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where unset) a local one."""
+    """The folder all executors share: spark.checkpoint.dir, or (only where unset, with a local master) a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        folder = tempfile.mkdtemp(prefix="loomgraph-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        path = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _local_folder()
     return path.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="loomgraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; `clean` removes it."""
+    return f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application: call it when results have been written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
     The files outlive lost executors; unlike a local checkpoint nothing has to be recomputed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

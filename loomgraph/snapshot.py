@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,17 @@ from loomgraph.schemas import COMMUNITIES, EDGES, KEYWORDS, LOG, MANIFEST, NODES
 TABLES = {"nodes": NODES, "edges": EDGES, "concepts": f"{NODES}, seq long", "communities": COMMUNITIES, "keywords": KEYWORDS, "vectors": VECTORS, "manifest": MANIFEST}
 
 
+def replace_with_retry(replace: Callable[[], None], retries: int = 10, delay: float = 0.005) -> None:
+    """Run replace; a refusal (another program has the file open) is tried again, the last one raised."""
+    for attempt in range(retries):
+        try:
+            return replace()
+        except (PermissionError, Py4JJavaError) as e:
+            if attempt == retries - 1 or (isinstance(e, Py4JJavaError) and "AccessDenied" not in str(e.java_exception) and "AccessControl" not in str(e.java_exception)):
+                raise
+            time.sleep(delay)
+
+
 class Store:
     """The tables below out_dir, on any file system that Spark reaches."""
 
@@ -46,7 +60,7 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(self.jvm.fs.Options.Rename, 1)
         options[0] = self.jvm.fs.Options.Rename.OVERWRITE
         context = self.jvm.fs.FileContext.getFileContext(fs.makeQualified(path).toUri(), self.conf)
-        context.rename(fs.makeQualified(new), fs.makeQualified(path), options)
+        replace_with_retry(lambda: context.rename(fs.makeQualified(new), fs.makeQualified(path), options))
 
     @property
     def version(self) -> int:
@@ -63,8 +77,23 @@ class Store:
         for name in TABLES:
             tables[name].write.mode("overwrite").parquet(f"{self.out}/v={new}/{name}")
         self.write_text("CURRENT", str(new))
+        # readers of the last version may still be at work; older ones go
+        fs, old = self._path(f"v={new - 2}")
+        fs.delete(old, True)
         return new
 
+    def export_graph(self, kind: str = "json") -> None:
+        """The current graph as lines below graph.json or graph.graphml, for other programs."""
+        nodes, edges = self.read("nodes"), self.read("edges")
+        if kind == "graphml":
+            rows = graphml(nodes, edges).select("value")
+        elif kind == "json":
+            tagged = [df.select(F.lit(what).alias("kind"), F.struct(*df.columns).alias(what)) for what, df in (("node", nodes), ("link", edges))]
+            rows = tagged[0].unionByName(tagged[1], allowMissingColumns=True).select(F.to_json(F.struct("kind", "node", "link")).alias("value"))
+        else:
+            raise ValueError(f"unknown serialization {kind}")
+        rows.write.mode("overwrite").text(f"{self.out}/graph.{kind}")
+
     def exists(self, name: str) -> bool:
         fs, path = self._path(name)
         return fs.exists(path)
@@ -73,11 +102,11 @@ class Store:
         rows.write.mode("append").json(f"{self.out}/{name}")
 
     def read_log(self) -> DataFrame:
-        """All log records with pos; a malformed line is an error."""
+        """All log records with pos, the build that wrote them; a malformed line is an error."""
         if not self.exists("triples_log"):
             return self.spark.createDataFrame([], LOG).withColumn("pos", F.lit(0).cast("long"))
         rows = self.spark.read.schema(LOG).option("mode", "FAILFAST").json(f"{self.out}/triples_log")
-        return rows.withColumn("pos", F.monotonically_increasing_id())
+        return rows.withColumn("pos", F.coalesce("seq", F.lit(0).cast("long")))
 
     def read_cache(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.out}/{name}") if self.exists(name) else self.spark.createDataFrame([], schema)

@@ -1,5 +1,8 @@
 """Queries and operators over whole inputs."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.build import compile_base
@@ -45,13 +48,51 @@ def test_both_community_routes_find_long_chains_and_large_groups(spark):
     for a, b, w in rows:
         links.setdefault(a, {})[b] = links.setdefault(b, {})[a] = w
     links["alone"] = {}
-    of = {r["node"]: r["id"] for r in community.modular_moves(nodes, pairs).collect()}
+    of = {r["node"]: r["id"] for r in community.leiden_frames(nodes, pairs).collect()}
     assert set(of) == set(links)
     for g in "xy":
         assert len({of[f"{g}{i:02}"] for i in range(25)}) == 1
-    best = community.modularity(links, community.leiden(rows, list(links)))
-    assert community.modularity(links, of) > best - 0.01
-    assert {r["id"] for r in community.modular_moves(nodes, pairs.limit(0)).collect()} == {0}
+    names, number = community.leiden(*zip(*rows, ("alone", "alone", 0), strict=True))
+    assert dict(zip(names, number, strict=True)) == of
+    member = spark.createDataFrame(list(of.items()), "node string, id int")
+    assert abs(community.frame_modularity(pairs, member).first()[0] - community.modularity(links, of)) < 1e-12
+    assert community.modularity(links, of) > 0.55
+    assert {r["id"] for r in community.leiden_frames(nodes, pairs.limit(0)).collect()} == {0}
+
+
+def test_community_routes_take_the_same_decisions(spark):
+    """Random graphs of several kinds, weighted and with self-loops, in one task and by DataFrames."""
+    rng = random.Random(11)
+    seen = {}
+    for size, dense in ((30, 0.1), (24, 0.5)):
+        for a in range(size):
+            for b in range(a + 1):
+                if rng.random() < dense * (3 if a % 4 == b % 4 else 0.3):
+                    seen[f"g{size}n{a:02}", f"g{size}n{b:02}"] = rng.randint(1, 5)
+    rows = [(a, b, w) for (a, b), w in seen.items()]
+    pairs = spark.createDataFrame(rows, "a string, b string, weight long")
+    nodes = spark.createDataFrame([(x,) for x in sorted({v for r in rows for v in r[:2]})], "name string")
+    names, number = community.leiden(*zip(*rows, strict=True))
+    got = {r["node"]: r["id"] for r in community.leiden_frames(nodes, pairs).collect()}
+    assert dict(zip(names, number, strict=True)) == got
+    hashed = {r["x"]: r["h"] for r in spark.range(-50, 50).select(F.col("id").alias("x"), F.xxhash64("id", F.lit(3).cast("long")).alias("h")).collect()}
+    x = np.arange(-50, 50)
+    assert community.hash_long(np.full(100, 3), community.hash_long(x)).tolist() == [hashed[i] for i in x.tolist()]
+
+
+def test_python_with_broken_lines_keeps_the_rest():
+    text = "import os\ndef good(a):\n    return helper(a)\nx = = 3\nclass Box:\n    def put(self, y:\n        pass\n    def take(self):\n        return good(1)\n"
+    triples, _ = extract_code("m.py", text)
+    found = {(t["head"], t["relation"], t["tail"]) for t in triples}
+    assert {("m", "defines", "good"), ("good", "calls", "helper"), ("Box", "contains", "take"), ("take", "calls", "good")} <= found
+    assert extract_code("m.py", "(((\n")[0] == [] and extract_code("m.py", "")[0] == []
+
+
+def test_java_annotations_are_no_calls():
+    java = 'class B { @Get("x") @a.b.Put(value = f(1)) void k() { run(); } }'
+    triples, _ = extract_code("p/B.java", java)
+    found = {(t["head"], t["relation"], t["tail"]) for t in triples}
+    assert ("k", "calls", "run") in found and not any(t in ("Get", "Put") for _, _, t in found)
 
 
 def test_java_method_with_a_long_throws_clause():
