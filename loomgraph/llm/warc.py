@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.files import create, open_file, open_stream
 from loomgraph.llm.skew import join_counted
-from loomgraph.session import materialise, shared_dir, table
+from loomgraph.session import materialise, table, work_dir
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PIECE = 1 << 18
@@ -235,7 +235,7 @@ def read_archives(members: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
     whole = write_archives(table(spark, sf_dir, "pages"), folder)
     members = normalise(whole)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
