@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.extract.clients import LLMClient
-from loomgraph.functions.text import concat_dedup, parse_json_loose, stem
+from loomgraph.functions.text import parse_json_loose, sentences, stem
 
 SYSTEM = (
     "Turn the text into a knowledge graph. Answer with one JSON object alone: "
@@ -88,13 +88,20 @@ def merged_type() -> str:
     return f"array<struct<{_C}>>"
 
 
+def concat_dedup(each: DataFrame) -> DataFrame:
+    """(source_file, name, description): the sentences of all descriptions in order, each once whatever its case."""
+    said = each.select("source_file", "name", "chunk_index", "pos", F.posexplode(sentences(F.col("description"))).alias("i", "s"))
+    first = said.groupBy("source_file", "name", F.lower("s").alias("low")).agg(F.min(F.struct("chunk_index", "pos", "i", "s")).alias("x"))
+    return first.groupBy("source_file", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), " ").alias("description"))
+
+
 def merge_concepts(each: DataFrame, strategy: str) -> DataFrame:
     """(source_file, concepts): one concept per name; the last description, or all their sentences once."""
     order = F.struct("chunk_index", "pos")
     group = each.groupBy("source_file", "name")
     if strategy == "concat_dedup":
-        texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "pos", "description"))), lambda x: x["description"])
-        one = group.agg(concat_dedup(texts).alias("description"), F.min_by("node_type", order).alias("node_type"), F.count(F.lit(1)).alias("n"), F.max("chunk_index").alias("last"), F.min(order).alias("at"))
+        one = group.agg(F.min_by("node_type", order).alias("node_type"), F.count(F.lit(1)).alias("n"), F.max("chunk_index").alias("last"), F.min(order).alias("at"))
+        one = one.join(concat_dedup(each), ["source_file", "name"], "left").withColumn("description", F.coalesce("description", F.lit("")))
     elif strategy == "last_write_wins":
         one = group.agg(F.max_by("description", order).alias("description"), F.max_by("node_type", order).alias("node_type"), F.count(F.lit(1)).alias("n"), F.max("chunk_index").alias("last"), F.min(order).alias("at"))
     else:

@@ -83,14 +83,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
-def concat_dedup(texts: Column) -> Column:
-    """Sentences of an ordered array of texts, each once whatever its case, joined by spaces."""
-    every = F.flatten(F.transform(F.filter(texts, lambda x: x.isNotNull()), sentences))
-    low = F.transform(every, F.lower)
-    first = F.filter(every, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
-    return F.array_join(first, " ")
-
-
 def citations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\^\[([^\]]+)\]"), F.lit(1))
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.config import Settings
@@ -12,11 +10,10 @@ from loomgraph.extract import semantic
 from loomgraph.functions import text as tx
 from loomgraph.functions import tokens as tk
 from loomgraph.operators import changes, community, graph, keywords, retrieve, vectors
-from loomgraph.plans.fixture import ORACLE_TRIPLES, node_table, raw_triples, triples
+from loomgraph.plans.fixture import ORACLE_TRIPLES, node_table, triples
+from loomgraph.plans.registry import ORACLE, QUERIES, query
 from loomgraph.session import materialise, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 _WORDS = f"list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]+'), lambda x: lower(x)), lambda x: NOT list_contains([{_STOP}], x))"
 _TOKENS = f"list_distinct(list_concat({_WORDS}, regexp_extract_all(text, '[0-9]{{3,}}')))"
@@ -24,16 +21,6 @@ _PAIRS = "pairs AS (SELECT head, tail, count(*) AS weight FROM triples GROUP BY
 _LINE = "'[' || head || ']--' || relation || '-->[' || tail || '] (来源:' || source_file || ')'"
 
 
-def query(name: str, sql: str | None = None):
-    def add(run):
-        QUERIES[name] = run
-        if sql:
-            ORACLE[name] = sql
-        return run
-
-    return add
-
-
 @query("graph_hubs", f"""WITH {ORACLE_TRIPLES}, {_PAIRS}, s AS (SELECT least(head, tail) AS a, greatest(head, tail) AS b, sum(weight) AS w FROM pairs GROUP BY ALL),
   e AS (SELECT a AS node, w FROM s UNION ALL SELECT b, w FROM s WHERE a <> b)
   SELECT node, CAST(sum(w) AS BIGINT) AS degree, count(*) AS neighbours FROM e GROUP BY node ORDER BY degree DESC, node LIMIT 20""")
@@ -106,11 +93,6 @@ def normalize_entity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.normalize_entity(name).alias("norm"))
 
 
-@query("content_hash", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
-def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-
-
 @query("chunk_overlap", r"""WITH w AS (SELECT source || '/' || doc_id || '.md' AS source_file, text, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE trim(text) <> ''),
   k AS (SELECT *, unnest(range(0, 1 + CAST(greatest(0, ceil((len(w) - 100) / 80)) AS BIGINT))) AS k FROM w)
   SELECT source_file, CAST(k AS INTEGER) AS index, CASE WHEN len(w) <= 100 THEN text ELSE array_to_string(w[k * 80 + 1 : k * 80 + 100], ' ') END AS text,
@@ -226,90 +208,55 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.fuzzy_matches(typed, nodes).select("entity_norm", "norm", F.round("ratio", 6).alias("ratio"), "rank")
 
 
-def _fixture_hits(spark: SparkSession, d: str) -> DataFrame:
-    rows = triples(spark, d).filter("relation <> 'supplies'").unionByName(triples(spark, d).filter("source_file = 'lineitem/F' and head = 'supplier:1'"))
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every triple as a hit, twice; the repeats come after all first ones at any size."""
     score = F.when(F.col("relation") == "part_of", 0.9).when(F.col("relation") == "located_in", 0.7).otherwise(0.8)
-    hits = retrieve._hits(rows, "graph", ["source_file", "head", "relation", "tail"], score, triple=retrieve._triple())
-    return hits.unionByName(hits.withColumn("pos", F.col("pos") + 1_000_000))
+    hits = retrieve._hits(triples(spark, d), "graph", ["source_file", "head", "relation", "tail"], score, triple=retrieve._triple())
+    return hits.unionByName(hits.withColumn("pos", F.col("pos") + (1 << 40)))
 
 
 _HITS = f"""{ORACLE_TRIPLES}, h AS (SELECT *, CASE relation WHEN 'part_of' THEN 0.9 WHEN 'located_in' THEN 0.7 ELSE 0.8 END AS score,
     CASE confidence WHEN 'INFERRED' THEN 0.6 WHEN 'AMBIGUOUS' THEN 0.3 ELSE 1.0 END AS cw, row_number() OVER (ORDER BY source_file, head, relation, tail) AS pos,
-    {_LINE} AS line FROM triples WHERE relation <> 'supplies' OR (source_file = 'lineitem/F' AND head = 'supplier:1'))"""
+    {_LINE} AS line FROM triples)"""
+_RANKS = f"""{_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY CAST(cw AS DOUBLE) * CAST(score AS DOUBLE) DESC, pos) AS rank FROM h),
+  s AS (SELECT *, sum(greatest(1, length(line) // 4)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS t FROM r)"""
 
 
-@query("fuse_truncate", f"""WITH {_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY CAST(cw AS DOUBLE) * CAST(score AS DOUBLE) DESC, pos) AS rank FROM h),
-  s AS (SELECT *, sum(greatest(1, length(line) // 4)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS t FROM r)
-  SELECT CAST(rank AS INTEGER) AS rank, line FROM s WHERE rank = 1 OR t <= 400""")
+@query("fuse_truncate", f"WITH {_RANKS} SELECT CAST(rank AS INTEGER) AS rank, line FROM s WHERE rank = 1 OR t <= 4000")
 def fuse_truncate(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.fuse(_fixture_hits(spark, d), 400).select("rank", "line")
+    return retrieve.fuse(_hits(spark, d), Settings().max_context_tokens).select("rank", "line")
 
 
-@query("compile_context", f"""WITH {_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY CAST(cw AS DOUBLE) * CAST(score AS DOUBLE) DESC, pos) AS rank FROM h),
-  s AS (SELECT *, sum(greatest(1, length(line) // 4)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS t FROM r)
-  SELECT '已知知识点：' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS context FROM s WHERE t <= 400 AND (rank = 1 OR t + 1 <= 200)""")
+@query("compile_context", f"""WITH {_RANKS}
+  SELECT '已知知识点：' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS context FROM s WHERE t <= 4000 AND (rank = 1 OR t + 1 <= 4000)""")
 def compile_context(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.context(retrieve.fuse(_fixture_hits(spark, d), 400), 200)
+    most = Settings().max_context_tokens
+    return retrieve.context(retrieve.fuse(_hits(spark, d), most), most)
 
 
 @query("dedup_hits", f"WITH {_HITS} SELECT pos, head, tail FROM h")
 def dedup_hits(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.dedup_hits(_fixture_hits(spark, d)).select("pos", "triple.head", "triple.tail")
+    return retrieve.dedup_hits(_hits(spark, d)).select("pos", "triple.head", "triple.tail")
 
 
 @query("route_counts", f"WITH {_HITS} SELECT 'graph' AS source, 2 * count(*) AS n FROM h")
 def route_counts(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.route_counts(_fixture_hits(spark, d))
+    return retrieve.route_counts(_hits(spark, d))
 
 
 @query("review_flag", f"""WITH {_HITS} SELECT count(*) < 3 OR max(score) < 0.3 OR bool_or(confidence = 'AMBIGUOUS') AS flagged,
   CASE WHEN count(*) < 3 THEN 'low_hit_count' WHEN max(score) < 0.3 THEN 'low_confidence_score' ELSE 'ambiguous_conflict' END AS reason,
   bool_or(confidence IN ('INFERRED', 'AMBIGUOUS')) AS used_inferred, 'EXTRACTED' AS confidence FROM h""")
 def review_flag(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.review(_fixture_hits(spark, d), Settings()).drop("entities")
-
-
-def _whole_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Every triple as a hit, twice; the repeats come after all first ones at any size."""
-    score = F.when(F.col("relation") == "part_of", 0.9).when(F.col("relation") == "located_in", 0.7).otherwise(0.8)
-    hits = retrieve._hits(triples(spark, d), "graph", ["source_file", "head", "relation", "tail"], score, triple=retrieve._triple())
-    return hits.unionByName(hits.withColumn("pos", F.col("pos") + (1 << 40)))
-
-
-_WHOLE_HITS = f"""{ORACLE_TRIPLES}, h AS (SELECT *, CASE relation WHEN 'part_of' THEN 0.9 WHEN 'located_in' THEN 0.7 ELSE 0.8 END AS score,
-    CASE confidence WHEN 'INFERRED' THEN 0.6 WHEN 'AMBIGUOUS' THEN 0.3 ELSE 1.0 END AS cw, row_number() OVER (ORDER BY source_file, head, relation, tail) AS pos,
-    {_LINE} AS line FROM triples)"""
-_WHOLE_RANKS = f"""{_WHOLE_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY CAST(cw AS DOUBLE) * CAST(score AS DOUBLE) DESC, pos) AS rank FROM h),
-  s AS (SELECT *, sum(greatest(1, length(line) // 4)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS t FROM r)"""
-
-
-@query("fuse_truncate_whole", f"WITH {_WHOLE_RANKS} SELECT CAST(rank AS INTEGER) AS rank, line FROM s WHERE rank = 1 OR t <= 4000")
-def fuse_truncate_whole(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.fuse(_whole_hits(spark, d), Settings().max_context_tokens).select("rank", "line")
-
-
-@query("compile_context_whole", f"""WITH {_WHOLE_RANKS}
-  SELECT '已知知识点：' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS context FROM s WHERE t <= 4000 AND (rank = 1 OR t + 1 <= 4000)""")
-def compile_context_whole(spark: SparkSession, d: str) -> DataFrame:
-    most = Settings().max_context_tokens
-    return retrieve.context(retrieve.fuse(_whole_hits(spark, d), most), most)
-
-
-@query("dedup_hits_whole", f"WITH {_WHOLE_HITS} SELECT pos, head, tail FROM h")
-def dedup_hits_whole(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.dedup_hits(_whole_hits(spark, d)).select("pos", "triple.head", "triple.tail")
-
+    return retrieve.review(_hits(spark, d), Settings()).drop("entities")
 
-@query("route_counts_whole", f"WITH {_WHOLE_HITS} SELECT 'graph' AS source, 2 * count(*) AS n FROM h")
-def route_counts_whole(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.route_counts(_whole_hits(spark, d))
 
-
-@query("review_flag_whole", f"""WITH {_WHOLE_HITS} SELECT count(*) < 3 OR max(score) < 0.3 OR bool_or(confidence = 'AMBIGUOUS') AS flagged,
-  CASE WHEN count(*) < 3 THEN 'low_hit_count' WHEN max(score) < 0.3 THEN 'low_confidence_score' ELSE 'ambiguous_conflict' END AS reason,
-  bool_or(confidence IN ('INFERRED', 'AMBIGUOUS')) AS used_inferred, 'EXTRACTED' AS confidence FROM h""")
-def review_flag_whole(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.review(_whole_hits(spark, d), Settings()).drop("entities")
+@query("review_entities", f"""WITH {_RANKS}, k AS (SELECT rank, head, tail FROM s WHERE rank = 1 OR t <= 4000),
+  e AS (SELECT head AS x, min(pos) * 2 AS o FROM k JOIN (SELECT rank, pos FROM s) USING (rank) GROUP BY 1 UNION ALL SELECT tail, min(pos) * 2 + 1 FROM k JOIN (SELECT rank, pos FROM s) USING (rank) GROUP BY 1)
+  SELECT string_agg(x, ', ' ORDER BY o) AS entities FROM (SELECT x, min(o) AS o FROM e GROUP BY x)""")
+def review_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entities of the hits that fit the budget, as the review queue gets them."""
+    return retrieve.review(retrieve.fuse(_hits(spark, d), Settings().max_context_tokens), Settings()).select("entities")
 
 
 @query("citations", r"""SELECT doc_id, array_to_string(regexp_extract_all('see ^[' || source || '/' || doc_id || '.md] and ^[' || lang || '].', '\^\[([^\]]+)\]', 1), ',') AS cited FROM documents""")
@@ -318,12 +265,6 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(tx.citations(line), ",").alias("cited"))
 
 
-@query("concept_merge_last", """SELECT source_file, name, description FROM (SELECT source AS source_file, lang AS name, substr(text, 1, 40) AS description,
-  row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS rn FROM documents) WHERE rn = 1""")
-def concept_merge_last(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d).select("source_file", "c.name", F.substring("c.description", 1, 40).alias("description"))
-
-
 def _merged(spark: SparkSession, d: str) -> DataFrame:
     """The concepts (lang) of each source with whole texts as descriptions, in the order of documents; place counts from 1."""
     docs = table(spark, d, "documents")
@@ -331,9 +272,9 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
     return semantic.merge_concepts(each, "last_write_wins").select("source_file", F.posexplode("concepts").alias("place", "c")).withColumn("place", F.col("place") + 1)
 
 
-@query("concept_merge_whole", """SELECT source AS source_file, lang AS name, sha256(arg_max(text, doc_id)) AS sha256, CASE WHEN count(*) > 1 THEN CAST(max(doc_id) AS VARCHAR) END AS last_chunk_index,
+@query("concept_merge", """SELECT source AS source_file, lang AS name, sha256(arg_max(text, doc_id)) AS sha256, CASE WHEN count(*) > 1 THEN CAST(max(doc_id) AS VARCHAR) END AS last_chunk_index,
   CAST(row_number() OVER (PARTITION BY source ORDER BY min(doc_id)) AS INTEGER) AS place FROM documents GROUP BY source, lang""")
-def concept_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+def concept_merge(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d).select("source_file", "c.name", F.sha2("c.description", 256).alias("sha256"), F.col("c.extra")["last_chunk_index"].alias("last_chunk_index"), "place")
 
 
@@ -342,22 +283,6 @@ def concept_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n"))
 
 
-@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
-def json_props(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
-@query("session_debounce", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
-  SELECT user_id, CAST(k AS BIGINT) AS session, count(*) AS n FROM s GROUP BY ALL""")
-def session_debounce(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.col("ts").cast("timestamp").cast("double")
-    gap = at - F.lag(at).over(order)
-    rows = table(spark, d, "events").withColumn("new", F.when(gap <= 1800, 0).otherwise(1))
-    return rows.withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("community_sizes")
 def community_sizes(spark: SparkSession, d: str) -> DataFrame:
     edges = materialise(triples(spark, d), "edges")
@@ -365,11 +290,4 @@ def community_sizes(spark: SparkSession, d: str) -> DataFrame:
     return community.communities(nodes, edges, community.membership(nodes, edges)).select("id", "size", "summary")
 
 
-@query("document_count", "SELECT source, count(*) AS n FROM documents GROUP BY source")
-def document_count(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("raw_writes", f"WITH {ORACLE_TRIPLES} SELECT source_file, confidence, count(*) AS n FROM raw GROUP BY ALL")
-def raw_writes(spark: SparkSession, d: str) -> DataFrame:
-    return raw_triples(spark, d).groupBy("source_file", "confidence").agg(F.count(F.lit(1)).alias("n"))
+from loomgraph.plans import pieces  # noqa: E402, F401  registers its queries

@@ -45,6 +45,27 @@ def scan(spark: SparkSession, raw_dir: str, formats: tuple[str, ...] = FORMATS)
     return rows.select(relative_path(F.regexp_replace("path", "^file:/+", "file:///"), root).alias("path"), "content", F.sha2("content", 256).alias("sha256"), "suffix", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def write_texts(rows: DataFrame, folder: str) -> int:
+    """Write rows (path, text) as UTF-8 files below a folder that all executors share; the number of files. A null text is empty."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        at, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        made: set[str] = set()
+        for frame in frames:
+            for path, text in zip(frame["path"], frame["text"], strict=True):
+                above, name = f"{root}/{path}".rsplit("/", 1)
+                if above not in made:
+                    at.create_dir(above, recursive=True)
+                    made.add(above)
+                with at.open_output_stream(f"{above}/{name}", compression=None) as out:
+                    out.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return rows.select("path", "text").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -30,7 +30,6 @@ def test_text_functions(spark):
     assert one(spark, tx.keyword_tokens(t), t="The Graph_1 has 12 and 345 的图 graph_1") == ["graph_1", "345", "图"]
     assert one(spark, tx.node_keywords(t, F.lit(None).cast("string")), t="Is") == []
     assert one(spark, tx.sentences(t), t="One. Two!三。\n four") == ["One.", "Two!", "三。", "four"]
-    assert one(spark, tx.concat_dedup(F.array("a", "b")), a="One. Two.", b="two. Three.") == "One. Two. Three."
     assert one(spark, tx.citations(t), t="x ^[a.md] y ^[b/c.md]") == ["a.md", "b/c.md"]
     assert one(spark, tx.confidence(t), t=" inferred ") == "INFERRED" and one(spark, tx.confidence(t), t="maybe") == "EXTRACTED"
     assert one(spark, tx.description(t, F.lit("n")), t="  ") == "n"

@@ -28,10 +28,9 @@ def test_numbers_without_gaps_in_order(spark):
 def test_hits_are_all_triples(spark):
     edges = triples(spark, SF)
     n = edges.count()
-    assert catalog.QUERIES["route_counts_whole"](spark, SF).first()["n"] == 2 * n
-    hits = catalog.QUERIES["dedup_hits_whole"](spark, SF)
+    assert catalog.QUERIES["route_counts"](spark, SF).first()["n"] == 2 * n
+    hits = catalog.QUERIES["dedup_hits"](spark, SF)
     assert hits.count() == n and hits.agg(F.max("pos")).first()[0] == n
-    assert catalog.QUERIES["fuse_truncate_whole"](spark, SF).count() > catalog.QUERIES["fuse_truncate"](spark, SF).count()
 
 
 def test_communities_hold_every_node(spark):
