@@ -1,4 +1,8 @@
-"""Connected components of a link table, by minimum labels with pointer jumping."""
+"""Connected components of a link table, by minimum labels with pointer jumping.
+
+Defined results: a link of a node to itself gives a component of one; links with a null end meet nothing and give no
+component of their own; repeated links count once; an empty table gives an empty result; further columns are not read.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least label of the neighbours and then the label of the label, so paths
     shrink to half and stars end after two rounds. Labels are written to the shared folder.
     """
+    links = links.filter("a is not null and b is not null")
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:

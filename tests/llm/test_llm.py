@@ -621,6 +621,27 @@ def test_components(spark):
 # pipeline
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline as p
+    from loomgraph.session import materialise
+
+    spark.createDataFrame([(1, 1, None), (2, 1, 0), (5, None, 1), (None, 0, 0), (7, 0, 0), (10, 0, 0), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for frame in (odd, empty):
+        at = frame
+        for name, stage in p.STAGES:
+            last, at = at, materialise(stage(spark, at, str(tmp_path)), name)
+            if name == "encode":
+                assert at.count() == last.count()
+            else:
+                assert at.columns == frame.columns and (name == "mix" or at.count() <= last.count())
+        back = bpe.decode_documents(at, bpe.vocabulary_path()).select("doc_id", "decoded")
+        want = collections.Counter((r["doc_id"], r["text"] or "") for r in last.collect())
+        assert collections.Counter(map(tuple, back.collect())) == want
+    model = quality.fit([], np.zeros(0, np.int64))
+    assert quality.good_documents(odd, model, 0.5).count() == odd.count() and quality.good_documents(empty, model).count() == 0
+    assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as p
     from loomgraph.session import materialise
