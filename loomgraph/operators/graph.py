@@ -36,18 +36,17 @@ def merge_nodes(concepts: DataFrame, edges: DataFrame, order: tuple[str, ...] =
 
 def delete_source(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the edges of these sources (source_file), and without ends that no other edge touches."""
-    gone = edges.join(sources, "source_file", "left_semi")
-    left = edges.join(sources, "source_file", "left_anti")
-    end = lambda e: e.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
-    orphan = end(gone).join(end(left), "name", "left_anti")
-    return nodes.join(orphan, "name", "left_anti"), left
+    marked = edges.join(sources.select("source_file").distinct().withColumn("__gone", F.lit(True)), "source_file", "left")
+    ends = marked.select(F.explode(F.array("head", "tail")).alias("name"), F.col("__gone").isNotNull().alias("gone"))
+    orphan = ends.groupBy("name").agg(F.bool_and("gone").alias("gone")).filter("gone").select("name")
+    return nodes.join(orphan, "name", "left_anti"), edges.join(sources, "source_file", "left_anti")
 
 
 def incidence(edges: DataFrame) -> DataFrame:
     """Each edge seen from both ends: node, dir (0 out, 1 in), neighbour; a self-loop counts twice."""
-    out = edges.select(F.col("head").alias("node"), F.lit(0).alias("dir"), "relation", F.col("tail").alias("neighbour"), "seq")
-    back = edges.select(F.col("tail").alias("node"), F.lit(1).alias("dir"), "relation", F.col("head").alias("neighbour"), "seq")
-    return out.unionByName(back)
+    end = lambda node, way, other: F.struct(F.col(node).alias("node"), F.lit(way).alias("dir"), F.col(other).alias("neighbour"))
+    both = edges.select(F.explode(F.array(end("head", 0, "tail"), end("tail", 1, "head"))).alias("x"), "relation", "seq")
+    return both.select("x.node", "x.dir", "relation", "x.neighbour", "seq")
 
 
 def fallback_descriptions(nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:

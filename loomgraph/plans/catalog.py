@@ -61,7 +61,7 @@ for _how in ("sum", "max"):
   r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY dir, seq, relation, nb) AS rn FROM i WHERE contains(node, ':'))
   SELECT node AS name, node || ': ' || string_agg(relation || ' ' || nb, '; ' ORDER BY rn) AS description FROM r WHERE rn <= 5 GROUP BY node""")
 def graph_fallback_description(spark: SparkSession, d: str) -> DataFrame:
-    edges = triples(spark, d)
+    edges = materialise(triples(spark, d), "edges")  # used several times
     return graph.fallback_descriptions(node_table(edges), edges, 5)
 
 
@@ -70,7 +70,7 @@ def graph_fallback_description(spark: SparkSession, d: str) -> DataFrame:
   every AS (SELECT head AS name FROM triples UNION SELECT tail FROM triples)
   SELECT name FROM every WHERE name NOT IN (SELECT name FROM gone WHERE name NOT IN (SELECT name FROM ends))""")
 def graph_delete_orphans(spark: SparkSession, d: str) -> DataFrame:
-    edges = triples(spark, d)
+    edges = materialise(triples(spark, d), "edges")  # used several times
     gone = edges.filter("source_file = 'lineitem/O'").select("source_file").distinct()
     return graph.delete_source(node_table(edges), edges, gone)[0].select("name")
 
@@ -79,7 +79,7 @@ def graph_delete_orphans(spark: SparkSession, d: str) -> DataFrame:
   SELECT source_file, head, relation, tail FROM triples WHERE head IN (SELECT n FROM f) OR tail IN (SELECT n FROM f)""")
 def graph_bfs_2hop(spark: SparkSession, d: str) -> DataFrame:
     seed = spark.range(1).select(F.lit("ASIA").alias("name"))
-    return graph.expand(triples(spark, d), seed, 2)[1].select("source_file", "head", "relation", "tail")
+    return graph.expand(materialise(triples(spark, d), "edges"), seed, 2)[1].select("source_file", "head", "relation", "tail")
 
 
 @query("graph_source_nodes", f"WITH {ORACLE_TRIPLES} SELECT source_file, head AS node FROM triples UNION SELECT source_file, tail FROM triples")

@@ -14,19 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomgraph.session import materialise
 from loomgraph.sources.files import scan
 
 log = logging.getLogger("loomgraph")
 
 
-def listing(spark: SparkSession, raw_dir: str) -> dict[str, str]:
-    """Fingerprint of each supported path from size and time; contents are not read."""
-    rows = scan(spark, raw_dir).select("path", F.concat_ws("|", "size", "modified").alias("mark"))
-    return {r["path"]: r["mark"] for r in rows.toLocalIterator()}
+def listing(spark: SparkSession, raw_dir: str) -> DataFrame:
+    """(path, mark) of each supported path: size and time; contents are not read."""
+    return scan(spark, raw_dir).select("path", F.concat_ws("|", "size", "modified").alias("mark"))
 
 
-def changed_paths(old: dict[str, str], new: dict[str, str]) -> list[str]:
-    return sorted(p for p in old.keys() | new.keys() if old.get(p) != new.get(p))
+def fingerprint(listed: DataFrame) -> tuple:
+    """One row for a whole listing, whatever its order; no path comes to the driver."""
+    mark = F.xxhash64("path", "mark")
+    return tuple(listed.agg(F.count(F.lit(1)), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)"))).first())
+
+
+def changed_paths(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path: added, changed and deleted ones, by a join of two listings."""
+    both = old.withColumnRenamed("mark", "before").join(new.withColumnRenamed("mark", "after"), "path", "full_outer")
+    return both.filter(~F.col("before").eqNullSafe(F.col("after"))).select("path")
 
 
 class Watch:
@@ -34,16 +42,20 @@ class Watch:
 
     def __init__(self, spark: SparkSession, raw_dir: str, on_change: Callable[[list[str]], None], seconds: float = 0.5) -> None:
         self.spark, self.raw_dir, self.on_change, self.seconds = spark, raw_dir, on_change, seconds
-        self.known = self.seen = listing(spark, raw_dir)
+        self.known = materialise(listing(spark, raw_dir), "listing")
+        self.last = self.seen = fingerprint(self.known)
         self.query: StreamingQuery | None = None
 
     def tick(self) -> list[str]:
-        """One look; the settled paths that were given to the callback."""
-        found = listing(self.spark, self.raw_dir)
+        """One look; the settled paths that were given to the callback. Only changed paths come to the driver."""
+        found = fingerprint(listing(self.spark, self.raw_dir))
         settled, self.seen = found == self.seen, found
-        paths = changed_paths(self.known, found) if settled else []
+        if not settled or found == self.last:
+            return []
+        now = materialise(listing(self.spark, self.raw_dir), "listing")
+        paths = sorted(r["path"] for r in changed_paths(self.known, now).collect())
+        self.known, self.last = now, fingerprint(now)
         if paths:
-            self.known = found
             try:
                 self.on_change(paths)
             except Exception:
@@ -57,7 +69,7 @@ class Watch:
 
     def flush(self) -> list[str]:
         """Without waiting for silence."""
-        self.seen = listing(self.spark, self.raw_dir)
+        self.seen = fingerprint(listing(self.spark, self.raw_dir))
         return self.tick()
 
     def stop(self) -> None:

@@ -11,7 +11,7 @@ from loomgraph.extract.semantic import semantic_track
 from loomgraph.functions import text as tx
 from loomgraph.functions import tokens as tk
 from loomgraph.operators import changes, community, graph, keywords, retrieve, vectors
-from loomgraph.streaming.watch import changed_paths, debounced, moves_as_two
+from loomgraph.streaming.watch import changed_paths, debounced, fingerprint, moves_as_two
 
 EDGE = "source_file string, head string, relation string, tail string, confidence string, seq long, track string, chunk_index int"
 
@@ -210,7 +210,10 @@ def test_debounce(spark):
     rows = spark.createDataFrame([(0.0, "a.md", None), (0.3, "b.md", "c.md"), (5.0, "a.md", None)], "t double, path string, moved_to string")
     got = debounced(moves_as_two(rows.withColumn("ts", F.timestamp_seconds("t")))).orderBy("start").collect()
     assert [r["paths"] for r in got] == [["a.md", "b.md", "c.md"], ["a.md"]]
-    assert changed_paths({"a": "1", "b": "1"}, {"b": "2", "c": "1"}) == ["a", "b", "c"]
+    listed = lambda *rows: spark.createDataFrame(list(rows), "path string, mark string")
+    old, new = listed(("a", "1"), ("b", "1"), ("d", "4")), listed(("b", "2"), ("c", "1"), ("d", "4"))
+    assert sorted(r["path"] for r in changed_paths(old, new).collect()) == ["a", "b", "c"]
+    assert fingerprint(old) == fingerprint(old.orderBy("mark", F.desc("path"))) != fingerprint(new) and fingerprint(old.limit(0))[0] == 0
 
 
 def test_debounce_stream(spark, tmp_path):
