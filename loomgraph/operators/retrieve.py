@@ -14,7 +14,7 @@ from loomgraph.functions.text import confidence, confidence_rank, confidence_wei
 from loomgraph.functions.tokens import quarter_count
 from loomgraph.operators import graph
 from loomgraph.operators.community import overlap
-from loomgraph.session import numbered
+from loomgraph.session import materialise, numbered
 
 HEADER = "已知知识点："
 
@@ -100,8 +100,8 @@ def _hits(rows: DataFrame, source: str, order: list, score: Column, triple: Colu
 
 def graph_hits(nodes: DataFrame, edges: DataFrame, entities: DataFrame, s: Settings) -> DataFrame:
     """Hits of the graph route: edges around the seeds, or the seed nodes if there is no edge."""
-    found = seeds(entities, nodes, s.fuzzy_match_cutoff)
-    _, near = graph.expand(edges, found, s.retrieval_hops, s.max_subgraph_edges)
+    found = materialise(seeds(entities, nodes, s.fuzzy_match_cutoff), "seeds")
+    near = materialise(graph.expand(edges, found, s.retrieval_hops, s.max_subgraph_edges)[1], "near")
     if not near.isEmpty():
         return _hits(near.withColumn("confidence", confidence(F.col("confidence"))), "graph", ["source_file", "head", "relation", "tail"], F.lit(1.0), triple=_triple())
     return _hits(nodes.join(found, "name", "left_semi"), "graph", ["name"], F.lit(1.0), concept=_concept())
@@ -133,14 +133,12 @@ def hit_confidence() -> Column:
 
 def dedup_hits(hits: DataFrame) -> DataFrame:
     """The first hit of each key; the route is part of triple and concept keys, empty hits vanish."""
-    t, c = F.col("triple"), F.col("concept")
-    key = (
-        F.when(t.isNotNull(), F.to_json(F.struct(F.lit("t").alias("k"), t["head"], t["relation"], t["tail"], t["source_file"], F.col("source"))))
-        .when(F.col("community_summary").isNotNull(), F.to_json(F.struct(F.lit("s").alias("k"), F.col("community_summary").alias("x"))))
-        .when(c.isNotNull(), F.to_json(F.struct(F.lit("c").alias("k"), c["name"], F.col("source"))))
-    )
-    first = Window.partitionBy("__k").orderBy("pos")
-    return hits.withColumn("__k", key).filter("__k is not null").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__k", "__n")
+    t, c, s = F.col("triple"), F.col("concept"), F.col("community_summary")
+    kind = F.when(t.isNotNull(), "t").when(s.isNotNull(), "s").when(c.isNotNull(), "c")
+    one = F.when(kind == "t", t["head"]).when(kind == "s", s).otherwise(c["name"])
+    edge = [F.when(kind == "t", t[x]) for x in ("relation", "tail", "source_file")]
+    first = Window.partitionBy(kind, one, *edge, F.when(kind != "s", F.col("source"))).orderBy("pos")
+    return hits.filter(kind.isNotNull()).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
 def budget(ranked: DataFrame, tokens: Column, most: int, order: list, spent: int = 0) -> DataFrame:
