@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.config import FORMATS
 from loomgraph.functions.text import relative_path, suffix
+from loomgraph.sources.pdf import pdf_text
 
 
 class Loaders:
     """Parsers of binary formats by suffix: bytes to text. Text formats need none."""
 
     def __init__(self) -> None:
-        self.parsers: dict[str, Callable[[bytes], str]] = {".docx": docx_text}
+        self.parsers: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".pdf": pdf_text}
 
     def register(self, ending: str, parse: Callable[[bytes], str]) -> Loaders:
         self.parsers[ending.lower()] = parse

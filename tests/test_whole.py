@@ -131,7 +131,7 @@ def test_concepts_merge_whole_texts_by_the_operator(spark, monkeypatch):
     seen = []
     merge = catalog.semantic.merge_concepts
     monkeypatch.setattr(catalog.semantic, "merge_concepts", lambda each, strategy: seen.append(each.agg(F.max(F.length("description"))).first()[0]) or merge(each, strategy))
-    for name in ("concept_merge_last", "concept_merge_whole"):
+    for name in ("concept_merge", "concept_concat_dedup"):
         assert catalog.QUERIES[name](spark, SF).count()
     assert len(seen) == 2 and min(seen) > 40
 
