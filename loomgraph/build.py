@@ -111,7 +111,9 @@ def compile_base(
         progress.update_vector(total=tables["nodes"].count())
         dim = probe_dim(embedder)
         # vectors leave only with their source, or for those of a dimension that the embedder has just given
-        kept = store.read("vectors").join(replaced, "source_file", "left_anti").filter(F.size("embedding") == dim)
+        stored = store.read("vectors")
+        other_dim = not stored.filter(F.size("embedding") != dim).isEmpty()
+        kept = stored.join(replaced, "source_file", "left_anti").filter(F.size("embedding") == dim)
         kept = kept.limit(0) if force else kept
         ends = graph.source_nodes(tables["edges"].join(replaced, "source_file", "left_semi"))
         said = ends.join(tables["nodes"].select(F.col("name").alias("node"), "description"), "node").select("source_file", "node", "description")
@@ -133,7 +135,7 @@ def compile_base(
         gone = replaced.withColumnRenamed("source_file", "path")
         tables["manifest"] = manifest.join(gone, "path", "left_anti").unionByName(rows)
         progress.stage("finalize")
-        version = store.write(tables)
+        version = store.write(tables, None if force or other_dim else replaced)
         if settings.graph_serialization:
             store.export_graph(settings.graph_serialization)
         t, c = f"array<struct<{_T}>>", f"array<struct<{_C}>>"

@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.schemas import COMMUNITIES, EDGES, KEYWORDS, LOG, MANIFEST, NODES, REVIEW, VECTORS
@@ -26,6 +26,15 @@ def replace_with_retry(replace: Callable[[], None], retries: int = 10, delay: fl
             time.sleep(delay)
 
 
+#: Buckets of the tables of sources, by a hash of the source: what a build of a few changed files has to write.
+BUCKETS = 64
+KEYED = {"edges": "source_file", "concepts": "source_file", "vectors": "source_file", "manifest": "path"}
+
+
+def bucket(source: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(source, F.lit(""))), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
     """The tables below out_dir, on any file system that Spark reaches."""
 
@@ -66,22 +75,58 @@ class Store:
     def version(self) -> int:
         return int(self.read_text("CURRENT") or 0)
 
+    def layout(self, version: int) -> dict[str, dict[str, int]]:
+        """Of each table of a version the buckets (one without a name for whole tables) and the version that wrote them."""
+        return json.loads(self.read_text(f"v={version}/LAYOUT.json") or "{}")
+
     def read(self, name: str) -> DataFrame:
-        if not self.version:
+        version = self.version
+        parts = self.layout(version).get(name, {}) if version else {}
+        if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.out}/v={self.version}/{name}")
-
-    def write(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables of a new version, then commit it by the pointer."""
-        new = self.version + 1
+        paths = [f"{self.out}/v={v}/{name}" + (f"/bucket={k}" if k else "") for k, v in parts.items()]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths)
+
+    def write(self, tables: dict[str, DataFrame], touched: DataFrame | None = None) -> int:
+        """Write a new version, then commit it by the pointer.
+
+        Tables of sources are kept in BUCKETS buckets by source. With touched (source_file), the sources that have
+        changed, only their buckets are written; the others stay where an older version has put them.
+        """
+        old = self.version
+        new, before = old + 1, self.layout(old) if old else {}
+        wanted = None if touched is None or not old else {r[0] for r in touched.select(bucket(F.col("source_file"))).distinct().collect()}
+        after: dict[str, dict[str, int]] = {}
         for name in TABLES:
-            tables[name].write.mode("overwrite").parquet(f"{self.out}/v={new}/{name}")
+            path = f"{self.out}/v={new}/{name}"
+            if name not in KEYED:
+                tables[name].write.mode("overwrite").parquet(path)
+                after[name] = {"": new}
+                continue
+            rows = tables[name].withColumn("bucket", bucket(F.col(KEYED[name])))
+            if wanted is not None:
+                rows = rows.filter(F.col("bucket").isin(*wanted)) if wanted else rows.limit(0)
+            rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            written = {str(k): new for k in range(BUCKETS) if self.exists(f"v={new}/{name}/bucket={k}")}
+            after[name] = written | {k: v for k, v in before.get(name, {}).items() if wanted is not None and int(k) not in wanted}
+        self.write_text(f"v={new}/LAYOUT.json", json.dumps(after))
         self.write_text("CURRENT", str(new))
-        # readers of the last version may still be at work; older ones go
-        fs, old = self._path(f"v={new - 2}")
-        fs.delete(old, True)
+        self._sweep(new, before, after)
         return new
 
+    def _sweep(self, new: int, *kept: dict[str, dict[str, int]]) -> None:
+        """Delete what neither this version nor the last one uses; readers of the last may still be at work."""
+        used = {(name, v) for layout in kept for name, parts in layout.items() for v in parts.values()}
+        for v in range(1, new - 1):
+            fs, path = self._path(f"v={v}")
+            if not fs.exists(path):
+                continue
+            for name in TABLES:
+                if (name, v) not in used:
+                    fs.delete(self._path(f"v={v}/{name}")[1], True)
+            if not any(x == v for _, x in used):
+                fs.delete(path, True)
+
     def export_graph(self, kind: str = "json") -> None:
         """The current graph as lines below graph.json or graph.graphml, for other programs."""
         nodes, edges = self.read("nodes"), self.read("edges")

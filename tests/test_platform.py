@@ -22,7 +22,7 @@ from loomgraph.functions.text import parse_json_loose
 from loomgraph.functions.tokens import RankTokenizer
 from loomgraph.logs import setup_logging
 from loomgraph.operators import vectors
-from loomgraph.snapshot import Store, replace_with_retry
+from loomgraph.snapshot import Store, bucket, replace_with_retry
 from loomgraph.sources.files import docx_text
 
 
@@ -72,14 +72,27 @@ def test_only_two_versions_stay_and_the_graph_is_exported(spark, tmp_path):
     for i, kind in enumerate(("json", "graphml", "")):
         (raw / f"{i}.md").write_text(f"Item{i} uses Tool{i}.")
         compile_base(spark, Settings(raw_dir=str(raw), out_dir=str(tmp_path / "out"), graph_serialization=kind))
-    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("v=")) == ["v=2", "v=3"]
+    out, store = tmp_path / "out", Store(spark, str(tmp_path / "out"))
+    assert not (out / "v=1" / "nodes").exists() and (out / "v=2" / "nodes").exists()
+    edges = {r["source_file"] for r in store.read("edges").collect()}
+    assert edges == {"0.md", "1.md", "2.md"} and store.read("manifest").count() == 3
+    mine = spark.range(1).select(bucket(F.lit("2.md"))).first()[0]
+    assert [p.name for p in (out / "v=3" / "edges").iterdir() if p.name.startswith("bucket=")] == [f"bucket={mine}"]
+    assert set(store.layout(3)["edges"].values()) <= {1, 2, 3} and store.layout(3)["edges"][str(mine)] == 3
+    (raw / "0.md").unlink()
+    compile_base(spark, Settings(raw_dir=str(raw), out_dir=str(out)))
+    assert {r["source_file"] for r in store.read("edges").collect()} == {"1.md", "2.md"} == {r["source_file"] for r in store.read("vectors").collect()}
+    compile_base(spark, Settings(raw_dir=str(raw), out_dir=str(out)), force=True)
+    assert {v for parts in store.layout(5).values() for v in parts.values()} == {5} and store.read("manifest").count() == 2
+    compile_base(spark, Settings(raw_dir=str(raw), out_dir=str(out)), force=True)
+    assert sorted(p.name for p in out.iterdir() if p.name.startswith("v=")) == ["v=5", "v=6"]
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out" / "graph.json")).collect()]
     assert {x["kind"] for x in lines} == {"node", "link"} and any(x.get("link", {}).get("head") == "Item0" for x in lines)
     assert spark.read.text(str(tmp_path / "out" / "graph.graphml")).filter("value like '<graphml%'").count() == 1
     with pytest.raises(ValueError):
         Store(spark, str(tmp_path / "out")).export_graph("xml")
     log = Store(spark, str(tmp_path / "out")).read_log()
-    assert {r["pos"] for r in log.collect()} == {1, 2, 3}
+    assert {r["pos"] for r in log.collect()} == {1, 2, 3, 4, 5, 6}
 
 
 def test_shared_folder_and_clean(spark):
