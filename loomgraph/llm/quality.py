@@ -10,8 +10,10 @@ never enter a score: equal texts get equal scores.
 
 Defined results: a null text is empty; an empty text has only the constant feature; rows whose label
 is null don't count; of repeated labels for an id the largest counts, of repeated rows the least text;
-without labels every score is 0.5, and with labels of one class alone every score is that label; an empty table gives an empty
-result; further columns are not read.
+without labels every score is 0.5, and with labels of one class alone every score is that label; a text of any length
+is scored whole (one must fit in a task); equal ranks of the sample go by id, and a score equal to a threshold is good;
+an empty table gives an empty result; `score` reads no further columns, `good_documents` passes them on, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ block offsets are summed, and each block is numbered on its own, so no shard is
 
 Defined results: a null key hashes as its own value; a null text has size 1 and CRC 0; repeated
 rows are counted before the shuffle and expanded after it, each with a slot of its own; an empty table
-gives an empty result; with ties in the draw the lower shard wins.
+gives an empty result; with ties in the draw the lower shard wins, and rows of equal place in the order go by
+their further columns; only the size and CRC of a text of any length move; columns other than the id and the text
+are not read, whatever their names.
 """
 
 from __future__ import annotations
