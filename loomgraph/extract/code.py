@@ -1,4 +1,4 @@
-"""Definitions, containment and calls of source files. Python by its own parser, JavaScript and Java by a scanner."""
+"""Definitions, containment and calls of source files. Python by its own parser, JavaScript and Java by tokens and their brackets."""
 
 from __future__ import annotations
 
@@ -19,24 +19,24 @@ EXTRACTED = f"source_file string, triples array<struct<{_T}>>, concepts array<st
 class Structure:
     """Collects triples and concepts of one file, as definitions and calls come."""
 
-    def __init__(self, module: str) -> None:
-        self.module, self.triples, self.about = module, {}, {module: f"module {module}"}
+    def __init__(self, module: str, suffix: str) -> None:
+        self.module, self.triples, self.about = module, {}, {module: ("module", f"module {module} ({suffix})")}
         self.scopes: list[tuple[str, str]] = []
 
     def _add(self, head: str, relation: str, tail: str) -> None:
         if head != tail:
             self.triples.setdefault((head, relation, tail), None)
 
+    def owner(self) -> str | None:
+        return next((n for k, n in reversed(self.scopes) if k == "class"), None)
+
     def define(self, kind: str, name: str, params: str = "") -> None:
-        owner = next((n for k, n in reversed(self.scopes) if k == "class"), None)
-        if kind == "class":
-            self.about[name] = f"class {name}"
-        elif owner is not None:
-            self.about[name] = f"method {owner}.{name}({params})"
+        """kind is class, method or function; a method need not be in a class (object literals, interfaces)."""
+        owner = self.owner() if kind == "method" else None
+        if owner is not None:
             self._add(owner, "contains", name)
-        else:
-            self.about[name] = f"function {name}({params})"
-        if not self.scopes:
+        self.about[name] = (kind, f"class {name}" if kind == "class" else f"{kind} {owner + '.' if owner else ''}{name}({params})")
+        if not self.scopes and kind != "method":
             self._add(self.module, "defines", name)
         self.scopes.append((kind, name))
 
@@ -44,8 +44,8 @@ class Structure:
         self.scopes.pop()
 
     def call(self, callee: str) -> None:
-        caller = next((n for k, n in reversed(self.scopes) if k == "function"), self.module)
-        self.about.setdefault(callee, f"function {callee}")
+        caller = next((n for k, n in reversed(self.scopes) if k != "class"), self.module)
+        self.about.setdefault(callee, ("function", f"function {callee}"))
         self._add(caller, "calls", callee)
 
 
@@ -68,7 +68,10 @@ class _Python(ast.NodeVisitor):
         return ""
 
     def _define(self, node, kind: str, params: str = "") -> None:
+        for x in node.decorator_list:  # calls of the scope around
+            self.visit(x)
         self.out.define(kind, node.name, params)
+        node.decorator_list = []
         self.generic_visit(node)
         self.out.leave()
 
@@ -76,7 +79,7 @@ class _Python(ast.NodeVisitor):
         self._define(node, "class")
 
     def visit_FunctionDef(self, node) -> None:  # noqa: N802
-        self._define(node, "function", self._params(node))
+        self._define(node, "function" if self.out.owner() is None else "method", self._params(node))
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
@@ -87,55 +90,203 @@ class _Python(ast.NodeVisitor):
         self.generic_visit(node)
 
 
-_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-_TOKEN = re.compile(r"[A-Za-z_$][\w$]*|=>|\S")
-_NOT_CALLED = set("if for while switch catch return function new typeof await throw else do try super synchronized assert case in of instanceof".split())
+_SPACE = r"(?P<space>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))"
+_LITERAL = r"|(?P<literal>\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|\d\w*(?:\.\d\w*)?)"
+_NEXT = re.compile(_SPACE + _LITERAL + r"|(?P<word>#?(?:[^\W\d]|\$)[\w$]*)|(?P<sign>=>|->|\?\.(?!\d)|\.\.\.|\S)", re.S)
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S)
+_OPERAND = {")", "]", "}"}
+#: After these a JavaScript function or class is an expression, and a slash begins a pattern.
+_EXPECT = set("= ( , [ ? : ! & | ^ ~ + - * / % < > => ... return typeof void delete await yield new in of instanceof case throw extends do else".split())
+_JS_WORDS = set("if for while switch catch with return typeof void delete throw in instanceof new function super import yield await case do else".split())
+_JAVA_WORDS = set("if for while switch catch return synchronized try throw else do assert case this super new yield".split())
+_MODIFIERS = set("public protected private static final abstract native synchronized strictfp default".split())
+
+
+class _Tokens:
+    """Tokens of JavaScript or Java without comments; code inside template strings is in brackets of its own."""
+
+    def __init__(self, source: str, language: str) -> None:
+        self.source, self.text, self.kind, self.start, self.end = source, [], [], [], []
+        js, at, depth, held, template = language == "javascript", 0, 0, [], False
+        while at < len(source):
+            if template:
+                at, template = _TEMPLATE.match(source, at).end(), False
+                if source.startswith("${", at):
+                    self._add("(", "sign", at, at + 2)
+                    held.append(depth)
+                    at += 1
+                at += 1
+                continue
+            m = _NEXT.match(source, at)
+            kind, t, after = m.lastgroup, m[0], m.end()
+            if js and t == "/" and (not self.text or self.text[-1] in _EXPECT or self.kind[-1] == "sign" and self.text[-1] not in _OPERAND):
+                found = _REGEX.match(source, at)
+                kind, after = ("literal", found.end()) if found else (kind, after)
+            elif js and t == "`":
+                template = True
+            elif t == "{":
+                depth += 1
+            elif t == "}" and held and held[-1] == depth:
+                held.pop()
+                t, template = ")", True
+            elif t == "}":
+                depth -= 1
+            if kind != "space":
+                self._add(t if kind != "literal" else '"', kind, at, after)
+            at = after
+        self.closing, stack = {}, []
+        for i, t in enumerate(self.text):
+            if t in ("(", "[", "{"):
+                stack.append(i)
+            elif t in _OPERAND:
+                while stack and (self.text[stack[-1]], t) not in (("(", ")"), ("[", "]"), ("{", "}")):
+                    stack.pop()  # never closed
+                if stack:
+                    self.closing[stack.pop()] = i
+
+    def _add(self, t: str, kind: str, start: int, end: int) -> None:
+        for held, x in ((self.text, t), (self.kind, kind), (self.start, start), (self.end, end)):
+            held.append(x)
+
+    def at(self, i: int) -> str:
+        return self.text[i] if 0 <= i < len(self.text) else ""
+
+    def word(self, i: int) -> bool:
+        return 0 <= i < len(self.text) and self.kind[i] == "word"
+
+    def close(self, i: int) -> int:
+        return self.closing.get(i, len(self.text))
+
+    def first(self, i: int, wanted: str) -> int:
+        """The next of the wanted signs from i on, outside of round brackets."""
+        while i < len(self.text) and self.text[i] not in wanted:
+            i = self.close(i) + 1 if self.text[i] == "(" else i + 1
+        return i
+
+    def dotted(self, i: int) -> int:
+        """Where the dotted name that ends at i begins."""
+        while self.at(i - 1) in (".", "?.") and self.word(i - 2):
+            i -= 2
+        return i
+
+    def params(self, i: int) -> str:
+        return _spaces(self.source[self.end[i] : self.start[self.closing[i]]])
 
 
 def _scan(source: str, out: Structure, language: str) -> None:
-    text = _BLANK.sub(lambda m: " " * len(m[0]) if m[0][0] == "/" else '"' + " " * (len(m[0]) - 2) + '"', source)
-    tokens = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    closing, stack = {}, []
-    for i, (t, _, _) in enumerate(tokens):
-        if t == "(":
-            stack.append(i)
-        elif t == ")" and stack:
-            closing[stack.pop()] = i
-    depth, opened, pending = 0, [], None
-
-    def annotated(i: int) -> bool:
-        """Whether the dotted name that ends here follows an at sign of Java."""
-        while i > 1 and tokens[i - 1][0] == ".":
-            i -= 2
-        return language == "java" and source[: tokens[i][1]].rstrip().endswith("@")
-
-    for i, (t, _, _) in enumerate(tokens):
-        before = tokens[i - 1][0] if i else ""
-        after = tokens[i + 1][0] if i + 1 < len(tokens) else ""
-        if t == "{":
-            depth += 1
-            if pending is not None:
-                out.define(*pending)
-                opened.append(depth)
-                pending = None
-        elif t == "}":
-            if opened and opened[-1] == depth:
-                opened.pop()
-                out.leave()
-            depth -= 1
-        elif t in ("class", "interface", "enum") and before != "." and re.match(r"[A-Za-z_$]", after):
-            pending = ("class", after)
-        elif re.match(r"[A-Za-z_$]", t) and after == "(" and t not in _NOT_CALLED and i + 1 in closing:
-            end = closing[i + 1]
-            at = end + 1
-            if language == "java" and at < len(tokens) and tokens[at][0] == "throws":
-                at = next((j for j in range(at, len(tokens)) if tokens[j][0] in "{;"), len(tokens))
-            follow = [tokens[at][0]] if at < len(tokens) else []
-            in_class = bool(out.scopes) and out.scopes[-1][0] == "class" and bool(opened) and opened[-1] == depth
-            if follow[:1] == ["{"] and (before == "function" or in_class):
-                pending = ("function", t, _spaces(source[tokens[i + 1][2] : tokens[end][1]]))
-            elif before not in ("new", "function", "@") and not annotated(i) and not (in_class and language == "java" and follow[:1] == [";"]):
-                out.call(t)
+    """Walks over the tokens; a definition's scope lasts from its name to the end of its body."""
+    tokens = _Tokens(source, language)
+    step = _Java(tokens, out) if language == "java" else _JavaScript(tokens, out)
+    for i, t in enumerate(tokens.text):
+        while step.ends and i > step.ends[-1]:
+            step.ends.pop()
+            out.leave()
+        while step.open and i >= tokens.close(step.open[-1]):
+            step.open.pop()
+        step.visit(i, t)
+        if t in ("(", "[", "{"):
+            step.open.append(i)
+
+
+class _Walk:
+    def __init__(self, tokens: _Tokens, out: Structure) -> None:
+        self.tokens, self.out = tokens, out
+        self.ends: list[int] = []  # last tokens of the scopes that are open
+        self.open: list[int] = []  # brackets that are open
+        self.bodies: dict[int, tuple[str, str]] = {}  # bracket of a type's body: kind and name of the type
+        self.names: set[int] = set()  # names that are no calls
+
+    def define(self, kind: str, name: str, params: str, end: int) -> None:
+        self.out.define(kind, name, params)
+        self.ends.append(end)
+
+    def inside(self) -> tuple[str, str] | None:
+        """The type in whose body this token is, with no other bracket between."""
+        return self.bodies.get(self.open[-1]) if self.open else None
+
+
+class _JavaScript(_Walk):
+    def _declared(self, i: int) -> bool:
+        before = self.tokens.at(i - 1)
+        return before not in _EXPECT and before not in (".", "?.")
+
+    def visit(self, i: int, t: str) -> None:
+        k = self.tokens
+        before, after = k.at(i - 1), k.at(i + 1)
+        member = before in (".", "?.")
+        if t == "class" and k.word(i) and not member and after not in (":", "("):
+            body = k.first(i + 1, "{;")
+            named = k.word(i + 1) and after != "extends"
+            self.bodies[body] = ("class", after if named else "")
+            if named and self._declared(i):
+                self.define("class", after, "", k.close(body))
+        elif t == "function" and k.word(i) and not member:
+            name = i + 1 + (after == "*")
+            self.names.update((i, name))
+            if name == i + 1 and k.word(name) and name + 1 in k.closing and self._declared(i - (before == "async")):
+                self.define("function", after, k.params(name + 1), k.close(k.first(name + 2, "{;")))
+        elif i not in self.names and (k.word(i) or t in ('"', "]")):
+            opened = i + 1 + (after == "?.")
+            if k.at(opened) == "(" and opened in k.closing:
+                self._named(i, t, before, member, opened)
+            elif k.at(opened) == "`" and k.word(i) and (member or t not in _JS_WORDS):
+                self.out.call(t)
+
+    def _named(self, i: int, t: str, before: str, member: bool, opened: int) -> None:
+        k = self.tokens
+        end = k.closing[opened]
+        first = i if t != "]" else next((a for a, b in k.closing.items() if b == i), i)
+        led = k.at(first - 1) in ("{", ",", "*", "get", "set", "async", "static")
+        in_braces = bool(self.open) and k.at(self.open[-1]) == "{"
+        control = t in ("if", "for", "while", "switch", "catch", "with") or t == "await" and before == "for"
+        if k.at(end + 1) == "{" and not member and opened == i + 1 and in_braces and (led or self.inside()) and (not control or led and self.inside()):
+            self.define("method", k.source[k.start[first] : k.end[i]], k.params(opened), k.close(end + 1))
+        elif k.word(i) and k.at(k.dotted(i) - 1) != "new" and (member or t not in _JS_WORDS):
+            loop = t == "of" and (k.word(i - 1) or before in ("]", "}")) and before not in _EXPECT
+            if not loop and not (t == "async" and k.at(end + 1) == "=>"):
+                self.out.call(t)
+
+
+class _Java(_Walk):
+    def __init__(self, tokens: _Tokens, out: Structure) -> None:
+        super().__init__(tokens, out)
+        self.valued: dict[int, bool] = {}  # by body: whether a field's value has begun
+
+    def visit(self, i: int, t: str) -> None:
+        k = self.tokens
+        before, after, body = k.at(i - 1), k.at(i + 1), self.inside()
+        if body and t in ("=", ";", "}"):
+            self.valued[self.open[-1]] = t == "="
+        if not k.word(i):
+            return
+        if t in ("class", "interface", "enum", "record") and before != "." and k.word(i + 1) and (t != "record" or k.at(i + 2) in ("(", "<")):
+            opened = k.first(i + 1, "{;")
+            self.bodies[opened] = ("annotation" if before == "@" else t, after)
+            self.names.add(i + 1)
+            if t == "class":
+                self.define("class", after, "", k.close(opened))
+        elif body and body[0] == "enum" and after == "{" and before in ("{", ","):
+            self.bodies[i + 1] = ("constant", t)
+        elif after == "(" and i + 1 in k.closing and i not in self.names:
+            self._named(i, t, before, body)
+
+    def _named(self, i: int, t: str, before: str, body: tuple[str, str] | None) -> None:
+        k = self.tokens
+        end, start = k.closing[i + 1], k.dotted(i)
+        if k.at(start - 1) == "new":
+            self.bodies[end + 1] = ("anonymous", "")  # only looked up if a bracket is there
+        elif k.at(start - 1) == "@" or t in _JAVA_WORDS:
+            return
+        elif body is None or before == "." or self.valued.get(self.open[-1]):
+            self.out.call(t)
+        elif body[0] == "annotation":
+            return
+        elif before in (">", "]") or k.word(i - 1) and before not in _MODIFIERS and k.at(k.dotted(i - 1) - 1) != "@":
+            last = k.first(end + 1, "{;")
+            self.define("method", t, k.params(i + 1), k.close(last) if k.at(last) == "{" else last)
+        elif body[0] == "enum" and t != body[1]:
+            self.bodies[end + 1] = ("constant", t)
 
 
 def parse_python(text: str) -> ast.Module:
@@ -159,10 +310,11 @@ def parse_python(text: str) -> ast.Module:
 
 def extract_code(path: str, text: str, languages: tuple[str, ...] = ("python", "javascript", "java")) -> tuple[list[dict], list[dict]]:
     """(triples, concepts) of a source file; a disabled language gives none, a line with a syntax error is left out."""
-    language = CODE_FORMATS.get("." + path.rsplit(".", 1)[-1].lower())
+    suffix = path.rsplit(".", 1)[-1].lower()
+    language = CODE_FORMATS.get("." + suffix)
     if language not in languages:
         return [], []
-    out = Structure(re.sub(r"(?<=.)\.[^.]*$", "", path.rsplit("/", 1)[-1]))
+    out = Structure(re.sub(r"(?<=.)\.[^.]*$", "", path.rsplit("/", 1)[-1]), suffix)
     if language == "python":
         try:
             _Python(out, text).visit(parse_python(text))
@@ -171,7 +323,7 @@ def extract_code(path: str, text: str, languages: tuple[str, ...] = ("python", "
     else:
         _scan(text, out, language)
     triples = [{"head": h, "relation": r, "tail": t, "confidence": "EXTRACTED", "source_file": path, "track": "code", "chunk_index": None} for h, r, t in out.triples]
-    concepts = [{"name": n, "description": d, "source_file": path, "confidence": "EXTRACTED", "node_type": "concept", "extra": {}} for n, d in out.about.items()]
+    concepts = [{"name": n, "description": d, "source_file": path, "confidence": "EXTRACTED", "node_type": k, "extra": {}} for n, (k, d) in out.about.items()]
     return triples, concepts
 
 

@@ -65,7 +65,7 @@ def test_code_structure():
     about = {c["name"]: c["description"] for c in concepts}
     assert (about["pack"], about["Crate"], about["load"]) == ("function pack(item)", "class Crate", "method Crate.load()")
     java = "class A extends B { int f(int x) throws E { if (x > 0) { g(x); } return new C(x).h(); } abstract void k(); }"
-    assert {(t["head"], t["relation"], t["tail"]) for t in extract_code("p/A.java", java)[0]} == {("A", "contains", "f"), ("f", "calls", "g"), ("f", "calls", "h")}
+    assert {(t["head"], t["relation"], t["tail"]) for t in extract_code("p/A.java", java)[0]} == {("A", "contains", "f"), ("f", "calls", "g"), ("f", "calls", "h"), ("A", "contains", "k")}
     assert extract_code("x.py", "def broken(:")[0] == [] and extract_code("x.py", "def f(): f()", ("java",)) == ([], [])
     assert not [t for t in extract_code("x.py", "def f(): f()")[0] if t["relation"] == "calls"]
 

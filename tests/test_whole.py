@@ -97,7 +97,7 @@ def test_java_annotations_are_no_calls():
 def test_java_method_with_a_long_throws_clause():
     java = "class A { void f() throws java.io.IOException, java.sql.SQLException, a.b.C, d.e.F { g(); } abstract void k() throws a.b.C, d.e.F, g.h.I, j.k.L, m.n.O; void l() { } }"
     triples, concepts = extract_code("p/A.java", java)
-    assert {(t["head"], t["relation"], t["tail"]) for t in triples} == {("A", "contains", "f"), ("f", "calls", "g"), ("A", "contains", "l")}
+    assert {(t["head"], t["relation"], t["tail"]) for t in triples} == {("A", "contains", "f"), ("f", "calls", "g"), ("A", "contains", "k"), ("A", "contains", "l")}
     assert "method A.f()" in {c["description"] for c in concepts}
 
 
