@@ -235,7 +235,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     th = F.unhex(F.substr(F.sha2(text, 256), F.lit(1), F.lit(32)))
     src = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), th.alias("th"), text.alias("text"))
     texts = src.groupBy("th").agg(F.first("text").alias("text"))
-    found = materialise(texts.select("th", "text").mapInArrow(_find, "th binary, start int, stop int, hi long, lo long"), "chunks")
+    # chunks of copies are found where they are read and combined as digests, so texts move only to be encoded
+    found = src.select("th", "text").mapInArrow(_find, "th binary, start int, stop int, hi long, lo long")
+    found = materialise(found.distinct(), "chunks")
     shared = materialise(shared_chunks(found), "shared-chunks")
     dealt = F.floor(F.col("n") / USES_A_PART + 1).cast("int")
     use = F.struct("start", "stop", "hi", "lo", dealt.alias("parts"), F.pmod(F.xxhash64("th", "start"), dealt).cast("int").alias("part"), (F.col("first") == F.struct("th", "start")).alias("own"))
