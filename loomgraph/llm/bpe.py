@@ -1,6 +1,6 @@
 """Byte-level BPE with content-defined chunk reuse.
 
-Each distinct text is taken once and cut where a rolling hash says so. Chunks that occur more than once are
+Texts are cut where a rolling hash says so, and the chunks of equal texts count once. Chunks that occur more than once are
 found by their digests (128 bits of BLAKE2b), at any number of chunks by joins, and one occurrence of each is
 encoded, once for all documents. Texts without a shared chunk are encoded whole. In the others the ids of
 shared chunks and of the runs between them are put together, and each join is repaired: the nearest places
