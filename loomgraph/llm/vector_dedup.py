@@ -42,6 +42,8 @@ from loomgraph.session import materialise, table
 THRESHOLD, TARGET_RECALL = 0.95, 0.999
 #: Vectors that the codebooks are fitted on (fewer of long ones: at most SAMPLE_FLOATS numbers), and vectors of a cell on average.
 SAMPLE, SAMPLE_FLOATS, CELL = 16_384, 1 << 22, 256
+#: Partners that are drawn, at least, to find the radius.
+DRAWS = 16_384
 #: Centroids of a codebook at most: with half a vector each they are sent to all tasks.
 CENTROIDS = 1_024
 #: Own centroids from which a bound is taken.
@@ -148,6 +150,7 @@ class Index:
 
     def _radius(self, sample: np.ndarray, threshold: float, target_recall: float) -> float:
         """The share target_recall of partners at the threshold, in random directions, has bounds within it."""
+        sample = np.tile(sample, (math.ceil(DRAWS / len(sample)), 1)) if len(sample) * self.dims < SAMPLE_FLOATS else sample
         drawn = np.random.default_rng(7).standard_normal(sample.shape)
         drawn -= (drawn * sample).sum(axis=1, keepdims=True) * sample
         partner = threshold * sample + math.sqrt(max(0.0, 1 - threshold * threshold)) * unit(drawn)
