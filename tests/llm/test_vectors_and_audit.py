@@ -47,7 +47,7 @@ def some_vectors(n=400, dims=64, seed=5):
     rows += [(n + i, rows[7][1]) for i in range(n // 2)]  # hot
     one = rows[0][1]
     rows += [(2000, None), (2001, []), (2002, [0.0] * dims), (2003, [*one[:-1], None]), (2004, [*one[:-1], math.nan]), (2005, [*one[:-1], math.inf]), (2006, one[:10]), (2007, one[:10]), (2008, one + one)]
-    rows += [(2009, [v * 1e30 for v in one]), (2010, [v * 1e-30 for v in one]), (None, rows[300][1]), (3, rows[3][1]), (3, rows[200][1]), (None, [0.5] * dims)]
+    rows += [(2009, [v * 1e30 for v in one]), (2010, [v * 1e-30 for v in one]), (None, rows[n - 20][1]), (3, rows[3][1]), (3, rows[n - 30][1]), (None, [0.5] * dims)]
     return rows
 
 
