@@ -71,7 +71,8 @@ LONG_RANGE = 128
 def fingerprints(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
     """Fingerprints of ranges of a buffer: eight bytes a step through a mixer, BLAKE2b beyond LONG_RANGE bytes.
 
-    Ranges of one length up to eight bytes never collide; no family of strings is known to.
+    Ranges of one length up to eight bytes never collide. Longer ones that do can be made on purpose, so equal
+    fingerprints make candidates; what depends on equality asks `exact_shingles`.
     """
     size = end - start
     h = mix64(size.astype(np.uint64) * _U(_BASE) + _U(seed))
@@ -168,3 +169,22 @@ def shingles(buf: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))
     at = np.flatnonzero(new)
     return text[at], h[at], np.diff(np.concatenate((at, [len(h)])))
+
+
+def exact_shingles(text: bytes, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-word shingles of one text as sorted BLAKE2b digests of 128 bits, and their counts."""
+    buf = np.frombuffer(text, np.uint8)
+    inside = _WORD[buf]
+    before = np.concatenate(([False], inside[:-1]))
+    kept = inside | before  # words and the one byte after each
+    own = inside[kept]
+    plain = np.where(own, _LOWER[buf[kept]], 32)
+    first = np.flatnonzero(own & ~np.concatenate(([False], own[:-1])))
+    last = np.flatnonzero(own & ~np.concatenate((own[1:], [False]))) + 1
+    if not len(first):
+        return np.zeros(0, "S16"), np.zeros(0, np.int64)
+    k = min(k, len(first))
+    view = memoryview(np.ascontiguousarray(plain.astype(np.uint8)))
+    ends = zip(first[: len(first) - k + 1].tolist(), last[k - 1 :].tolist(), strict=True)
+    digests = b"".join(hashlib.blake2b(view[a:b], digest_size=16, key=b"shingle").digest() for a, b in ends)
+    return np.unique(np.frombuffer(digests, "S16"), return_counts=True)

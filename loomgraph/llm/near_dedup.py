@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrays import mix64, shingles, slices
+from loomgraph.llm.arrays import exact_shingles, mix64, shingles, slices
 from loomgraph.llm.components import components
 from loomgraph.llm.exact_dedup import keep_rows
 from loomgraph.llm.skew import join_counted
@@ -115,9 +115,15 @@ def _signer(words: int, rows: int, bands: int):
     return run
 
 
+def exact_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """J_P of two texts from their `exact_shingles`."""
+    return probability_jaccard(*[(digest, weights(count)) for digest, count in (a, b)])
+
+
 def _verifier(words: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader: tuple | None = None  # the first row of each (a, part) has the leader's own text and no b
+        whole, exact = b"", None
         for batch in batches:
             for rows, buf, off in slices(batch, "text"):
                 text, element, count = shingles(buf, off, words)
@@ -126,9 +132,13 @@ def _verifier(words: int, threshold: float):
                 for i, (a, b) in enumerate(zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True)):
                     own = element[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]
                     if b is None:
-                        leader = own
-                    else:
-                        out.append((a, b, probability_jaccard(leader, own) >= threshold - 1e-12))
+                        leader, whole, exact = own, buf[off[i] : off[i + 1]].tobytes(), None
+                        continue
+                    ok = probability_jaccard(leader, own) >= threshold - 1e-12
+                    if ok:
+                        exact = exact or exact_shingles(whole, words)
+                        ok = exact_similarity(exact, exact_shingles(buf[off[i] : off[i + 1]].tobytes(), words)) >= threshold - 1e-12
+                    out.append((a, b, ok))
                 if out:
                     a, b, ok = (list(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(ok)], ["a", "b", "ok"])
@@ -210,11 +220,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     return src.mapInArrow(_signer(words, rows, bands), f"id {src.schema['id'].dataType.simpleString()}, uid long, th binary, keys array<long>")
 
 
-def text_classes(docs: DataFrame, signed: DataFrame, text_col: str, words: int, threshold: float) -> DataFrame:
-    """(node, comp) of the texts that have a similar different text."""
-    spread = signed.select("th", F.explode("keys").alias("key"))
+def text_classes(docs: DataFrame, distinct: DataFrame, text_col: str, words: int, threshold: float) -> DataFrame:
+    """(node, comp) of the texts that have a similar different text; distinct has th and keys of each text once."""
+    spread = distinct.select("th", F.explode("keys").alias("key"))
     many = materialise(spread.groupBy("key").agg(F.min("th").alias("leader"), F.max("th").alias("last")).filter("leader != last").select("key", "leader"), "buckets")
-    bucket = materialise(spread.join(many, "key").select("key", "th", "leader").distinct(), "members")
+    bucket = materialise(spread.join(many, "key").select("key", "th", "leader"), "members")
     texts = _Texts(docs, text_col, bucket.select("th").distinct())
     first = bucket.filter("th != leader").select(F.col("leader").alias("a"), F.col("th").alias("b")).distinct()
     seen = texts.verify(first, words, threshold)
@@ -258,12 +268,13 @@ def _several(rows: DataFrame, label: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, group_id (the id that stays), group_size, n_texts, kept and text_hash."""
     signed = materialise(signatures(docs, id_col, text_col, words), "signed")
-    label = text_classes(docs, signed, text_col, words, threshold)
-    texts = signed.groupBy("th").agg(F.max(F.struct("id", "uid")).alias("best"), F.count(F.lit(1)).alias("n"))
-    texts = materialise(texts.join(label.withColumnRenamed("node", "th"), "th", "left").withColumn("comp", F.coalesce("comp", "th")), "texts")
+    texts = materialise(signed.groupBy("th").agg(F.first("keys").alias("keys"), F.max(F.struct("id", "uid")).alias("best"), F.count(F.lit(1)).alias("n")), "digests")
+    label = text_classes(docs, texts, text_col, words, threshold)
+    texts = materialise(texts.drop("keys").join(label.withColumnRenamed("node", "th"), "th", "left").withColumn("comp", F.coalesce("comp", "th")), "texts")
     group = texts.groupBy("comp").agg(F.max("best").alias("top"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("n_texts"))
-    of = materialise(texts.select("th", "comp").join(group, "comp"), "groups")
-    out = signed.select("id", "uid", "th").join(of, "th")
+    group = materialise(group, "components")
+    of = join_counted(texts.select("th", "comp", "n"), group, ["comp"], ["th"], "n_texts").drop("comp")
+    out = join_counted(signed.select("id", "uid", "th"), materialise(of, "groups"), ["th"], ["uid"], "n")
     return out.select(F.col("id").alias(id_col), F.col("top.id").alias("group_id"), "group_size", "n_texts", (F.col("uid") == F.col("top.uid")).alias("kept"), F.lower(F.hex("th")).alias("text_hash"))
 
 
