@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.arrays import slices
 from loomgraph.llm.cdc import cuts
 from loomgraph.llm.names import own_columns, unused
+from loomgraph.llm.skew import join_counted
 from loomgraph.session import materialise, table
 
 _SKETCH = "uid long, sha string, n_bytes long, rk binary, recipe array<struct<d:binary,c:binary>>"
@@ -88,8 +89,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
     )
     same = listed.join(distinct.select("rk", "best", "n"), "rk").groupBy("ids").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"), F.collect_list("rk").alias("rks"))
-    groups = same.select(F.explode("rks").alias("rk"), "best", "group_size")
-    return sketch.join(groups, "rk").select(
+    groups = materialise(same.select(F.explode("rks").alias("rk"), "best", "group_size"), "groups")
+    # a text that a third of all rows hold is dealt to several tasks
+    return join_counted(sketch, groups, ["rk"], ["uid"], "n", counted=distinct).select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"), "n_bytes"
     )
 
