@@ -3,14 +3,14 @@
 Texts are cut where a rolling hash says so, and the chunks of equal texts count once. Chunks that occur more than once are
 found by their digests (128 bits of BLAKE2b), at any number of chunks by joins, and one occurrence of each is
 encoded, once for all documents. Texts without a shared chunk are encoded whole. In the others the ids of
-shared chunks and of the runs between them are put together, and each join is repaired: the nearest places
-on both sides where a word ends and a space and a letter follow are token boundaries in every
-encoding, so the bytes between them are encoded again and must agree with the ids outside. Where a
-chunk has no such place the window grows over all of it.
+shared chunks and of the runs between them are put together, and each join is repaired: a window of a few tokens on both
+sides is encoded again, and doubled until it agrees with the ids outside (`Engine.join` says what is asked), so a
+join costs a few windows whatever the script and the length of the words.
 
 The engine is built from the vocabulary file. Texts of the usual scripts go through a fast
 implementation of the same byte-pair ranks; texts with other characters, where Unicode tables of the two
-libraries might differ, go through the tokenizers library itself.
+libraries might differ, go through the tokenizers library itself. A file whose normaliser, splitting or model is not the
+byte-level one that these ranks and joins are made for is used through the library alone, text by text.
 
 Defined results: a null text is empty and has no tokens; special tokens in a text are encoded as such,
 as the tokenizers library does; a text of any length is taken whole (one text and its ids must fit in a task);
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -39,6 +40,11 @@ from loomgraph.session import materialise, table
 #: The uses of a chunk that meet its ids in one task; a chunk of more uses is dealt to several, with a copy of its ids in each.
 USES_A_PART = 1_000
 
+#: Tokens on each side of a join that are encoded again at first, and bytes that are, at least.
+WINDOW, REACH = 8, 32
+#: What a vocabulary file must say for ranks and joins; another one goes to the library as a whole.
+_PLAIN = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏΑ-Ωα-ωА-я‐-‧‰-⁞€]")
 
 
@@ -65,21 +71,36 @@ class Engine:
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.local = self._is_plain(spec)
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special, self.special_ids = set(special), set(special.values())
+        self.reach = max([REACH, *(len(x.encode()) for x in special)])
+        size = max([*spec["model"]["vocab"].values(), *special.values()]) + 1
+        self.names = [str(i) for i in range(size)]
+        self.width = np.uint16 if size <= 65536 else np.uint32
+        self.fast = None
+        if not self.local:
+            return
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
-        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-        self.special = set(special)
         merged = [a + b for a, b in ((x.split(" ") if isinstance(x, str) else x) for x in spec["model"]["merges"])]
         by_rank = [spec["model"]["vocab"][x] for x in merged]
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special) if by_rank == sorted(by_rank) else None
-        size = max([*ranks.values(), *special.values()]) + 1
+        if by_rank == sorted(by_rank):
+            self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.bytes = [b""] * size
         for k, v in (*ranks.items(), *((k.encode(), v) for k, v in special.items())):
             self.bytes[v] = k
-        self.names = [str(i) for i in range(size)]
-        self.width = np.uint16 if size <= 65536 else np.uint32
+
+    @staticmethod
+    def _is_plain(spec: dict) -> bool:
+        """Whether the file is a byte-level BPE with the usual splitting, as pattern and joins suppose."""
+        split, decoder = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        byte_level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and decoder.get("type") == "ByteLevel"
+        model = all((spec["model"].get(k) or v) == v for k, v in _PLAIN.items())
+        added = not any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        return bool(byte_level and model and added and spec.get("normalizer") is None and spec.get("post_processor") is None)
 
     @cached_property
     def exact(self):
@@ -106,31 +127,87 @@ class Engine:
         return b"".join(map(self.bytes.__getitem__, ids))
 
     def decode(self, ids) -> str:
+        if not self.local:
+            return self.exact.decode(list(ids), skip_special_tokens=False)
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def _boundary(self, left: int, right: int) -> bool:
-        """Between these tokens an ASCII letter ends a word, and a space and an ASCII letter follow."""
-        a, b = self.bytes[left], self.bytes[right]
-        return a[-1:].isalpha() and b[:1] == b" " and b[1:2].isalpha()
+    def _sides(self, ids: list[int], at: int) -> str:
+        """How the text can be cut before token `at` (between two tokens): "word" where a word or number ends in every
+        context, "run" inside a run of letters, numbers, signs or blanks, "" nowhere known."""
+        around = ids[max(0, at - 12) : at + 4]
+        if not self.special_ids.isdisjoint(around) or self.bytes[ids[at]][0] & 0xC0 == 0x80:
+            return ""
+        before = self.decode_bytes(ids[max(0, at - 12) : at]).decode("utf-8", "ignore")[-3:]
+        after = self.decode_bytes(ids[at : at + 4]).decode("utf-8", "ignore")[:2]
+        if not before or not after:
+            return ""
+        last, follow = _kind(before[-1]), _kind(after[0])
+        if follow == "Z" != last and last or last in ("L", "N") and follow in ("L", "N", "P") and last != follow:
+            return "word"
+        if last != follow or last == "?":
+            return ""
+        # an apostrophe takes up to two letters from the run after it, so three letters must stand before the cut; a
+        # cut before an apostrophe would make it one that takes letters; the last blank of a run may belong to a word
+        inside = {"L": len(before) == 3 and all(_kind(c) == "L" for c in before), "N": True, "P": after[0] != "'", "Z": len(after) == 2 and _kind(after[1]) == "Z"}
+        return "run" if last and inside[last] else ""
+
+    def _cut(self, ids: list[int], at: int, step: int) -> tuple[int, str]:
+        """The nearest place from `at` on, in this direction, where the text can be cut; the end of the ids is one."""
+        while 0 < at < len(ids):
+            if kind := self._sides(ids, at):
+                return at, kind
+            at += step
+        return max(0, min(at, len(ids))), "end"
+
+    def _window(self, ids: list[int], tokens: int, step: int) -> int:
+        """The place `tokens` tokens, and no fewer than `reach` bytes, from the end (step -1) or the start (1)."""
+        at, size = (len(ids), 0) if step < 0 else (0, 0)
+        while 0 <= at + min(step, 0) < len(ids) and (tokens > 0 or size < self.reach):
+            size += len(self.bytes[ids[at + min(step, 0)]])
+            at, tokens = at + step, tokens - 1
+        return at
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of two texts one after the other, from their encodings; left is changed."""
+        """The encoding of two texts one after the other, from their encodings; left is changed.
+
+        A window around the join is encoded again. Its cuts lie where a word or number ends in every context, so that the
+        text is split alike on both sides, or inside a run of one kind of characters. There the window's outermost token must equal the token
+        that was there before: then all neighbouring tokens of the run have been neighbours in an encoding, and such a sequence is the
+        encoding of its bytes. While that doesn't hold the window is doubled, so the work is a few times the last window.
+        """
         if not left or not right:
             left.extend(right)
             return left
-        i = next((i for i in range(len(left) - 1, 0, -1) if self._boundary(left[i - 1], left[i])), 0)
-        j = next((j for j in range(1, len(right)) if self._boundary(right[j - 1], right[j])), len(right))
-        middle = self.encode((self.decode_bytes(left[i:]) + self.decode_bytes(right[:j])).decode("utf-8"))
-        del left[i:]
-        left.extend(middle)
-        left.extend(right[j:])
-        return left
+        w, v = WINDOW, WINDOW
+        while True:
+            i, a = self._cut(left, self._window(left, w, -1), -1)
+            j, b = self._cut(right, self._window(right, v, 1), 1)
+            middle = self.encode((self.decode_bytes(left[i:]) + self.decode_bytes(right[:j])).decode("utf-8"))
+            good_left, good_right = a != "run" or middle[0] == left[i], b != "run" or middle[-1] == right[j - 1]
+            if good_left and good_right:
+                del left[i:]
+                left.extend(middle)
+                left.extend(right[j:])
+                return left
+            w, v = (w if good_left else 2 * w), (v if good_right else 2 * v)
 
     def summary(self, ids) -> tuple[int, bytes, bytes]:
         """Token count, SHA-256 of the ids joined by commas, and SHA-256 of the decoded text."""
         return len(ids), hashlib.sha256(",".join(map(self.names.__getitem__, ids)).encode()).digest(), hashlib.sha256(self.decode(ids).encode()).digest()
 
 
+def _kind(c: str) -> str:
+    """L, N, P (a sign) or Z (a blank) where all Unicode tables since 3.2 agree, "?" for what is at least no blank, else empty."""
+    if c in " \t\n\r":
+        return "Z"
+    now, then = unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)
+    if now in "ZC":
+        return ""
+    if now in "LN":
+        return now if then[0] == now else "?"
+    return "P" if then[0] in "PSM" or then == "Cn" else "?"
+
+
 def _chunks(buf: np.ndarray, off: np.ndarray) -> list[list[int]]:
     """Chunk ends of each text, moved on to the next start of a character."""
     out = []
@@ -237,6 +314,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     texts = src.groupBy("th").agg(F.first("text").alias("text"))
     # chunks of copies are found where they are read and combined as digests, so texts move only to be encoded
     found = src.select("th", "text").mapInArrow(_find, "th binary, start int, stop int, hi long, lo long")
+    if not Engine.of(path).local:
+        found = found.limit(0)  # chunks of such a vocabulary can't be joined
     found = materialise(found.distinct(), "chunks")
     shared = materialise(shared_chunks(found), "shared-chunks")
     dealt = F.floor(F.col("n") / USES_A_PART + 1).cast("int")

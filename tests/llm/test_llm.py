@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline: brute force, exact round trips, oracles and odd inputs."""
+"""The operators on texts, all oracles and the pipeline: brute force, exact round trips, oracles and odd inputs."""
 
 import collections
 import gzip
@@ -54,7 +54,7 @@ def values(frame, columns):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = c.sql(ORACLE[name]).df(), QUERIES[name](spark, SF).toPandas()
     assert sorted(want.columns) == sorted(got.columns) and values(got, sorted(got.columns)) == values(want, sorted(got.columns))
@@ -143,6 +143,54 @@ def test_bpe_hot_chunk_is_dealt_to_parts(spark, monkeypatch):
     assert ids == {i: hashlib.sha256(",".join(map(str, engine.exact.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t, *_ in rows}
 
 
+def long_texts():
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    yield " ".join(word("абвгдежзийклмнопрст") for _ in range(90_000))
+    yield "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(340_000))
+    yield "".join(rng.choice("abcdeéñ") for _ in range(900_000))
+
+
+def test_bpe_joins_of_long_texts_encode_little_again(monkeypatch):
+    """1 MB each of Cyrillic words, Chinese and one word: all joins together encode less than the text's length again."""
+    engine = bpe.Engine.of(bpe.vocabulary_path())
+    for text in long_texts():
+        raw = text.encode()
+        buf, parts, at = np.frombuffer(raw, np.uint8), [], 0
+        for end in bpe._chunks(buf, np.array([0, len(buf)]))[0]:
+            parts.append(engine.encode(raw[at:end].decode()))
+            at = end
+        want, again, encode = engine.encode(text), [], engine.encode
+        monkeypatch.setattr(engine, "encode", lambda x, encode=encode, again=again: again.append(len(x.encode())) or encode(x))
+        ids = []
+        for part in parts:
+            ids = engine.join(ids, part)
+        monkeypatch.undo()
+        assert ids == want and len(parts) > 500 and sum(again) < len(raw)
+
+
+def test_bpe_shared_chunks_of_other_scripts(spark):
+    rows = [(10 * k + i, text[:60_000] + f" {i}", "ru", "s") for k, text in enumerate(long_texts()) for i in range(3)]
+    path = bpe.vocabulary_path()
+    exact = bpe.Engine.of(path).exact
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode_documents(docs(spark, rows), path).collect()}
+    assert got == {i: hashlib.sha256(",".join(map(str, exact.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t, *_ in rows}
+
+
+def test_bpe_of_a_whole_table_and_of_another_kind_of_vocabulary(spark, odd):
+    from tokenizers import Tokenizer
+
+    for name, table in (("byte_bpe_50k.json", spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), ("word_bpe_49k.json", odd)):
+        path = bpe.vocabulary_path(name)
+        exact = Tokenizer.from_file(path)
+        assert bpe.Engine.of(path).local == (name == "byte_bpe_50k.json")
+        want = []
+        for i, t in texts_of(table):
+            ids = exact.encode(t or "", add_special_tokens=False).ids
+            want.append((str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(exact.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in bpe.encode_documents(table, path).collect()) == sorted(want)
+
+
 # 3 quality
 
 
@@ -601,6 +649,25 @@ def test_near_groups_tell_long_words_apart(spark):
     assert len(got) == 8 and {r["group_size"] for r in got} == {1}
 
 
+def test_near_groups_compare_bytes_where_fingerprints_agree(spark):
+    """Two words made to have one 64-bit fingerprint; the texts share no shingle."""
+    pair = ["mfxuqjwwaaaaeaaa p q r s", "jashffmnhdblzkdb p q r s"]
+    buf = np.frombuffer("".join(w.split()[0] for w in pair).encode(), np.uint8)
+    assert len(set(arrays.fingerprints(buf, np.array([0, 16]), np.array([16, 32]), 7).tolist())) == 1
+    got = near_dedup.near_groups(docs(spark, [(i, t, "en", "s") for i, t in enumerate(pair)])).collect()
+    assert sorted((r["doc_id"], r["group_size"], r["kept"]) for r in got) == [(0, 1, True), (1, 1, True)]
+    digests, count = arrays.exact_shingles(b"A b, c D e a B c d E a", 5)
+    assert sorted(count.tolist()) == [1, 1, 1, 2, 2] and len(arrays.exact_shingles(b" .,! ")[0]) == 0 and len(arrays.exact_shingles(b"one Two")[0]) == 1
+    assert near_dedup.exact_similarity(arrays.exact_shingles(b"a b c d e f"), arrays.exact_shingles(b"A B c d-e F")) == pytest.approx(1)
+
+
+def test_near_groups_of_hot_texts(spark, monkeypatch):
+    """A text that two thirds of all rows hold, and its near copies."""
+    monkeypatch.setattr(skew, "ROWS", 5)
+    base = " ".join(f"w{i}" for i in range(80))
+    check_groups(docs(spark, [(i, base if i % 3 else f"{base} {i}", "en", "s") for i in range(120)]))
+
+
 def test_join_counted_spreads_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(skew, "ROWS", 5)
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 60 + ["b", "c", None, "d"])], "k string, i long")

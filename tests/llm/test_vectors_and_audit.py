@@ -6,32 +6,14 @@ import itertools
 import math
 import re
 
-import duckdb
 import numpy as np
 import pytest
 
 from loomgraph.llm import centroids, filter_audit, vector_dedup
-from loomgraph.llm.catalog import ORACLE, QUERIES
 
-SF = "/root/testdata/sf0.001"
-NAMES = ["op11_centroid_clustering", "op12_embedding_near_dedup", "op13_filter_audit"]
 VECTORS = "vec_id long, embedding array<float>, label int, id string, uid long, q binary, node binary, n double, cluster int, cell string"
 
 
-def values(frame, columns):
-    frame = frame[columns].astype(object)
-    return sorted(map(repr, frame.where(frame.notna(), None).values.tolist()))
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_oracle(spark, name):
-    c = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want, got = c.sql(ORACLE[name]).df(), QUERIES[name](spark, SF).toPandas()
-    assert sorted(want.columns) == sorted(got.columns) and values(got, sorted(got.columns)) == values(want, sorted(got.columns))
-
-
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1, "x", 2, b"q", b"n", 0.5, 9, "c") for i, v in rows], VECTORS)
 
