@@ -11,7 +11,7 @@ from loomgraph.config import CODE_FORMATS, Settings, embedding_signature, extrac
 from loomgraph.extract.clients import EmbeddingClient, LLMClient, make_embedder, make_llm, probe_dim
 from loomgraph.extract.code import code_track
 from loomgraph.extract.semantic import semantic_track
-from loomgraph.functions.tokens import chunk_tokens, chunk_words
+from loomgraph.functions.tokens import RankTokenizer, chunk_segments, chunk_tokens
 from loomgraph.operators import changes, community, graph, keywords, vectors
 from loomgraph.progress import Progress, now
 from loomgraph.schemas import _C, _T, LOG
@@ -23,6 +23,12 @@ VERSION = "1"
 CACHE = f"key string, triples array<struct<{_T}>>, concepts array<struct<{_C}>>"
 
 
+def _log(rows: DataFrame, ts: str) -> DataFrame:
+    """Log records of source_file, op, triples and concepts; the store adds the version that they become part of."""
+    t, c = f"array<struct<{_T}>>", f"array<struct<{_C}>>"
+    return rows.select(F.lit(VERSION).alias("schema_version"), "op", "source_file", F.lit(ts).alias("ts"), F.col("triples").cast(t).alias("triples"), F.col("concepts").cast(c).alias("concepts"))
+
+
 @dataclass(frozen=True)
 class BuildResult:
     added: int = 0
@@ -38,7 +44,9 @@ class BuildResult:
 def extract(documents: DataFrame, settings: Settings, client: LLMClient, tokenizer=None) -> DataFrame:
     """source_file, triples, concepts, failed of each document: code by structure, prose by the model."""
     prose = documents.filter(~F.col("suffix").isin(*CODE_FORMATS)).withColumn("source_file", F.col("path"))
-    cut = chunk_words if tokenizer is None else lambda d, m, o: chunk_tokens(d, m, o, tokenizer)
+    if tokenizer is None and settings.token_ranks:
+        tokenizer = RankTokenizer(settings.token_ranks)
+    cut = chunk_segments if tokenizer is None else lambda d, m, o: chunk_tokens(d, m, o, tokenizer)
     chunks = cut(prose, settings.chunk_max_tokens, settings.chunk_overlap_tokens)
     said = semantic_track(chunks, client, settings.concept_description_strategy, settings.extract_concurrency)
     return code_track(documents, settings.code_languages).unionByName(said)
@@ -69,6 +77,7 @@ def compile_base(
     """One incremental build. Files that fail are skipped and tried again next time."""
     ship(spark)
     store = Store(spark, settings.out_dir)
+    store.pin()
     client, embedder = client or make_llm(settings), embedder or make_embedder(settings)
     state = {"extraction_config": extraction_signature(settings), "llm_model": settings.llm_model, "index_config": index_signature(settings), "embedding_config": embedding_signature(settings)}
     manifest = store.read("manifest")
@@ -103,6 +112,8 @@ def compile_base(
         progress.stage("graph", extract={"completed": n_known + n_made, "cached": n_known})
         empty = documents.select(F.col("path").alias("source_file")).join(extracted, "source_file", "left_anti")
         good = extracted.select("source_file").unionByName(empty)
+        # what a failed file has given stays in the graph, but the manifest doesn't list it: it is asked for again next time
+        done = good.join(made.filter("failed").select("source_file"), "source_file", "left_anti")
         out = changed.filter("change = 'deleted'").select(F.col("path").alias("source_file"))
         replaced = materialise(out.unionByName(good).distinct(), "replaced")
         old_edges, old_concepts = (store.read(t).limit(0) if force else store.read(t).join(replaced, "source_file", "left_anti") for t in ("edges", "concepts"))
@@ -115,7 +126,9 @@ def compile_base(
         other_dim = not stored.filter(F.size("embedding") != dim).isEmpty()
         kept = stored.join(replaced, "source_file", "left_anti").filter(F.size("embedding") == dim)
         kept = kept.limit(0) if force else kept
-        ends = graph.source_nodes(tables["edges"].join(replaced, "source_file", "left_semi"))
+        # sources that lose their vectors, also those of the other dimension, are embedded again
+        lost = replaced.unionByName(stored.filter(F.size("embedding") != dim).select("source_file")).distinct()
+        ends = graph.source_nodes(tables["edges"].join(lost, "source_file", "left_semi"))
         said = ends.join(tables["nodes"].select(F.col("name").alias("node"), "description"), "node").select("source_file", "node", "description")
         held = store.read_cache("embedding_cache", vectors.CACHE) if settings.enable_embed_cache else None
         texts = said.select(F.col("description").alias("text")).filter(F.trim("text") != "")
@@ -129,19 +142,17 @@ def compile_base(
         progress.update_vector(indexed=tables["vectors"].select("node").distinct().count(), flush=True)
         progress.stage("index")
         ts = now()
-        rows = here.join(good.withColumnRenamed("source_file", "path"), "path", "left_semi").select(
+        rows = here.join(done.withColumnRenamed("source_file", "path"), "path", "left_semi").select(
             "path", "sha256", F.lit(ts).alias("processed_at"), F.lit(settings.extractor_version).alias("extractor_version"), "llm_model", F.lit(settings.embedding_model).alias("embedding_model"), F.lit(dim).alias("embedding_dim"), "extraction_config", "index_config", "embedding_config"
         )
         gone = replaced.withColumnRenamed("source_file", "path")
         tables["manifest"] = manifest.join(gone, "path", "left_anti").unionByName(rows)
         progress.stage("finalize")
-        version = store.write(tables, None if force or other_dim else replaced)
+        upserts = extracted.select("source_file", "triples", "concepts", F.lit("upsert").alias("op"))
+        deletes = out.select("source_file", F.array().alias("triples"), F.array().alias("concepts"), F.lit("delete").alias("op"))
+        version = store.write(tables, None if force or other_dim else replaced, _log(upserts, ts).unionByName(_log(deletes, ts)))
         if settings.graph_serialization:
             store.export_graph(settings.graph_serialization)
-        t, c = f"array<struct<{_T}>>", f"array<struct<{_C}>>"
-        upserts = extracted.select(F.lit(VERSION).alias("schema_version"), F.lit("upsert").alias("op"), "source_file", F.lit(ts).alias("ts"), F.col("triples").cast(t).alias("triples"), F.col("concepts").cast(c).alias("concepts"), F.lit(version).cast("long").alias("seq"))
-        deletes = out.select(F.lit(VERSION).alias("schema_version"), F.lit("delete").alias("op"), "source_file", F.lit(ts).alias("ts"), F.array().cast(t).alias("triples"), F.array().cast(c).alias("concepts"), F.lit(version).cast("long").alias("seq"))
-        store.append("triples_log", upserts.unionByName(deletes))
         fallbacks = tables["nodes"].filter("node_type = 'entity'").count()
         result = BuildResult(count.get("added", 0), count.get("modified", 0), count.get("deleted", 0), n_made, n_known, rejects.count(), fallbacks, version)
         progress.done()
@@ -155,6 +166,7 @@ def replay(spark: SparkSession, settings: Settings) -> BuildResult:
     """Rebuild the graph from the log without model calls; vectors and manifest stay."""
     ship(spark)
     store = Store(spark, settings.out_dir)
+    store.pin()
     log = store.read_log()
     changes.check_versions(log, VERSION)
     last = materialise(changes.converge(log).filter("op = 'upsert'").select(*[x.split()[0] for x in LOG.split(", ")][2:3], "triples", "concepts"), "log")

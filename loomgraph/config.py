@@ -91,6 +91,7 @@ def extraction_signature(s: Settings) -> str:
         chunk_overlap_tokens=s.chunk_overlap_tokens,
         concept_description_strategy=s.concept_description_strategy,
         code_languages=sorted(s.code_languages),
+        **({"token_ranks": os.path.basename(s.token_ranks)} if s.token_ranks else {}),
     )
 
 

@@ -109,7 +109,8 @@ def merge_concepts(each: DataFrame, strategy: str) -> DataFrame:
     extra = F.when(F.col("n") > 1, F.create_map(F.lit("last_chunk_index"), F.col("last").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
     concept = F.struct("name", "description", "source_file", F.lit("EXTRACTED").alias("confidence"), "node_type", extra.alias("extra"))
     rows = one.select("source_file", "at", concept.alias("c"))
-    # maps can't be ordered, so the place of each concept is sorted and the concepts are looked up by it
-    listed = rows.groupBy("source_file").agg(F.collect_list("at").alias("ats"), F.collect_list(F.struct("at", "c")).alias("cs"))
-    ordered = F.transform(F.array_sort("ats"), lambda a: F.filter("cs", lambda x: x["at"] == a)[0]["c"])
-    return listed.select("source_file", ordered.cast(merged_type()).alias("concepts"))
+    # maps can't be ordered, so places are sorted with the index of their concept
+    listed = rows.groupBy("source_file").agg(F.collect_list(F.struct("at", "c")).alias("cs"))
+    places = F.array_sort(F.transform("cs", lambda x, i: F.struct(x["at"].alias("at"), i.alias("i"))))
+    listed = listed.select("source_file", "cs", places.alias("places"))
+    return listed.select("source_file", F.transform("places", lambda p: F.col("cs")[p["i"]]["c"]).cast(merged_type()).alias("concepts"))

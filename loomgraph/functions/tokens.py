@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -13,11 +14,14 @@ from loomgraph.schemas import CHUNKS
 
 
 class WordTokenizer:
-    """White-space separated words; the deterministic default."""
+    """White-space separated words."""
 
     def encode(self, text: str) -> list[str]:
         return text.split()
 
+    def starts(self, text: str) -> list[int]:
+        return [m.start() for m in re.finditer(r"\S+", text)]
+
     def decode(self, tokens: list[str]) -> str:
         return " ".join(tokens)
 
@@ -34,6 +38,11 @@ class RankTokenizer:
     def decode(self, tokens: list[int]) -> str:
         return _ranks(self.path, self.pattern).decode(tokens)
 
+    def starts(self, text: str) -> list[int]:
+        """The character at which each token begins; one that begins inside a character counts from that character."""
+        ranks = _ranks(self.path, self.pattern)
+        return ranks.decode_with_offsets(ranks.encode_ordinary(text))[1]
+
 
 @lru_cache(maxsize=32)
 def _ranks(path: str, pattern: str):
@@ -83,8 +92,50 @@ def chunk_words(files: DataFrame, most: int, overlap: int = 0, text: str = "text
     return part.select("source_file", "index", F.when(n <= most, F.col("whole")).otherwise(F.array_join(piece, " ")).alias("text"), F.size(piece).alias("token_count"))
 
 
+#: Blanks of all scripts that segments end at, and characters that are a segment each: scripts written without blanks
+#: (Thai, Lao, Burmese, Khmer, Chinese, Japanese) and their signs. A segment of other scripts has LONGEST characters at most.
+_BLANK = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SINGLE = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FFF}\x{3001}-\x{30FF}\x{3100}-\x{312F}\x{31A0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}"
+LONGEST = 32
+LEADING, TRAILING = f"^[{_BLANK}]+", f"[{_BLANK}]+$"
+SEGMENT = f"(?:[{_SINGLE}]|[^{_BLANK}{_SINGLE}]{{1,{LONGEST}}})[{_BLANK}]*"
+
+
+def segments(text: Column) -> Column:
+    """The segments of a text, each with the blanks after it: together the text without its leading blanks."""
+    return F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0))
+
+
+def chunk_segments(files: DataFrame, most: int, overlap: int = 0, text: str = "text", source: str = "source_file") -> DataFrame:
+    """Overlapping windows of segments, in native expressions: source_file, index, text, token_count and start.
+
+    Pieces are slices of the original text (start counts its characters, from 0) without blanks at the end; a text of
+    at most `most` segments stays verbatim, one without a segment gives nothing.
+    """
+    check_window(most, overlap)
+    whole, step = F.col("whole"), most - overlap
+    some = files.select(F.col(source).alias("source_file"), F.col(text).alias("whole")).filter(whole.rlike(f"[^{_BLANK}]"))
+    cut = some.select("source_file", "whole", segments(whole).alias("w"))
+    n = F.size("w")
+    last = F.greatest(F.lit(0), F.ceil((n - most) / step)).cast("int")
+
+    def piece(k: Column) -> Column:
+        part = F.slice("w", k * step + 1, most)
+        said = F.when(n <= most, whole).otherwise(F.regexp_replace(F.array_join(part, ""), TRAILING, ""))
+        return F.struct(said.alias("text"), F.size(part).alias("token_count"), F.length(F.array_join(F.slice(part, 1, step), "")).alias("own"))
+
+    # pieces are cut while the text is one row; then only they go on, with the lengths of all steps for their starts
+    cut = cut.select("source_file", F.length(F.regexp_extract(whole, LEADING, 0)).alias("lead"), F.transform(F.sequence(F.lit(0), last), piece).alias("pieces"))
+    part = cut.select("source_file", "lead", F.transform("pieces", lambda x: x["own"]).alias("owns"), F.posexplode_outer("pieces").alias("index", "p"))
+    before = F.aggregate(F.slice("owns", F.lit(1), F.col("index")), F.lit(0), lambda s, x: s + x)
+    return part.select("source_file", "index", "p.text", "p.token_count", F.when(F.size("owns") == 1, 0).otherwise(F.col("lead") + before).cast("int").alias("start"))
+
+
 def chunk_tokens(files: DataFrame, most: int, overlap: int = 0, tokenizer=None, text: str = "text", source: str = "source_file") -> DataFrame:
-    """Overlapping windows of any tokenizer's tokens; a text within `most` tokens stays verbatim."""
+    """Overlapping windows of any tokenizer's tokens; a text within `most` tokens stays verbatim.
+
+    Pieces of a tokenizer that tells where its tokens start are slices of the text, so no character is cut in two.
+    """
     check_window(most, overlap)
     tokenizer = tokenizer or WordTokenizer()
 
@@ -95,10 +146,12 @@ def chunk_tokens(files: DataFrame, most: int, overlap: int = 0, tokenizer=None,
                 tokens = tokenizer.encode(whole or "")
                 if not tokens:
                     continue
+                at_char = [*tokenizer.starts(whole), len(whole)] if hasattr(tokenizer, "starts") else None
                 starts = range(0, max(1, len(tokens) - overlap), most - overlap)
                 for i, at in enumerate(starts):
                     cut = tokens[at : at + most]
-                    rows.append((where, i, whole if len(tokens) <= most else tokenizer.decode(cut), len(cut)))
+                    piece = tokenizer.decode(cut) if at_char is None else whole[at_char[at] : at_char[at + len(cut)]].rstrip()
+                    rows.append((where, i, whole if len(tokens) <= most else piece, len(cut)))
             yield pd.DataFrame(rows, columns=["source_file", "index", "text", "token_count"])
 
     return files.select(F.col(source).alias("source_file"), F.col(text).alias("text")).mapInPandas(run, CHUNKS)

@@ -39,19 +39,85 @@ def fuzzy_candidates(entities: DataFrame, names: DataFrame, cutoff: float) -> Da
     return band.join(known, "len").select("entity_norm", "norm")
 
 
+#: Marks that two names must have in common among their rarest for the index to bring them together.
+SHARED_MARKS = 2
+
+
+def _least_common(a: Column, b: Column, cutoff: float) -> Column:
+    """Characters that names of these lengths have in common at least when 2 * M / (a + b) reaches the cutoff."""
+    return F.ceil((a + b) * cutoff / 2 - 1e-9).cast("int")
+
+
+def _marks(names: DataFrame) -> DataFrame:
+    """(norm, m): each name's characters as marks, the second `a` of a name being another mark than its first.
+
+    The multiset of characters becomes a set, so common characters are the common marks.
+    """
+    each = names.select("norm", F.posexplode(F.array_sort(F.split("norm", ""))).alias("i", "c")).filter("c != ''")
+    first = Window.partitionBy("norm", "c").orderBy("i")
+    return each.select("norm", F.concat("c", F.row_number().over(first).cast("string")).alias("m"))
+
+
+def name_index(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(norm, marks) of all names, rarest mark first, and (m, df) of all marks: the index that `similar_names` asks.
+
+    There are at most as many marks as characters in use times the repeats in one name.
+    """
+    marks = materialise(_marks(names.select("norm").distinct()), "marks")
+    seen = materialise(marks.groupBy("m").agg(F.count(F.lit(1)).alias("df")), "mark-counts")
+    return materialise(_by_rarity(marks, seen), "names"), seen
+
+
+def _by_rarity(marks: DataFrame, seen: DataFrame) -> DataFrame:
+    ranked = marks.join(seen, "m", "left").groupBy("norm").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "m"))).alias("x"))
+    return ranked.select("norm", F.transform("x", lambda x: x["m"]).alias("marks"))
+
+
+def _keyed(rows: DataFrame, cutoff: float) -> DataFrame:
+    """rows with key: each pair of marks among the rarest of a name.
+
+    Two names with t common marks have SHARED_MARKS of them among the first n - t + SHARED_MARKS of either name, in any
+    one order of marks. t is least for the shortest partner in the length band. A name too short for that has its single marks too.
+    """
+    n = F.size("marks")
+    low, _ = length_band(n, cutoff)
+    keep = F.least(n, n - _least_common(n, low, cutoff) + SHARED_MARKS)
+    rows = rows.withColumn("first", F.slice("marks", F.lit(1), keep))
+    pairs = F.flatten(F.transform("first", lambda a, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda b: F.array_join(F.array_sort(F.array(a, b)), " "))))
+    # where one common mark is enough, no pair is promised
+    alone = F.when(_least_common(n, low, cutoff) < SHARED_MARKS, F.col("first")).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("key", F.explode(F.concat(pairs, alone))).drop("first")
+
+
+def fuzzy_survivors(entities: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """(entity_norm, norm) that share enough characters and are of fitting lengths: all pairs that can reach the cutoff.
+
+    Similarity counts matched characters, which are common marks. Candidates meet on pairs of rare marks and are
+    counted then; a common pair of marks is dealt to as many tasks as there are names, never through a length alone.
+    """
+    index, seen = name_index(names)
+    asked = entities.select(normalize_entity(F.col("name")).alias("norm")).filter("norm != ''").distinct()
+    wanted = materialise(_by_rarity(_marks(asked), seen), "asked")
+    left = _keyed(wanted, cutoff).select(F.col("norm").alias("entity_norm"), F.col("marks").alias("asked"), "key")
+    low, high = length_band(F.size("asked"), cutoff)
+    n = F.size("marks")
+    fits = n.between(low, high) & (F.size(F.array_intersect("asked", "marks")) >= _least_common(F.size("asked"), n, cutoff))
+    return left.join(_keyed(index, cutoff), "key").filter(fits).select("entity_norm", "norm").distinct()
+
+
 def _similar(cutoff: float):
-    """Ratcliff-Obershelp similarity as difflib has it (name second), with its two quick upper bounds."""
+    """Ratcliff-Obershelp similarity as difflib has it (name second)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher, held = difflib.SequenceMatcher(), None
         for frame in frames:
-            ratio, matcher, held = [], difflib.SequenceMatcher(), None
+            ratio = []
             for a, b in zip(frame["entity_norm"], frame["norm"], strict=True):
                 if held != a:
                     matcher.set_seq2(a)
                     held = a
                 matcher.set_seq1(b)
-                near = matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff
-                ratio.append(matcher.ratio() if near else 0.0)
+                ratio.append(matcher.ratio())
             out = frame.assign(ratio=ratio)
             yield out[out["ratio"] >= cutoff]
 
@@ -60,7 +126,7 @@ def _similar(cutoff: float):
 
 def fuzzy_matches(entities: DataFrame, names: DataFrame, cutoff: float = 0.8, n: int = 3) -> DataFrame:
     """(entity_norm, norm, ratio, rank): the n most similar normal forms of each entity."""
-    near = fuzzy_candidates(entities, names, cutoff).mapInPandas(_similar(cutoff), "entity_norm string, norm string, ratio double")
+    near = fuzzy_survivors(entities, names, cutoff).mapInPandas(_similar(cutoff), "entity_norm string, norm string, ratio double")
     best = Window.partitionBy("entity_norm").orderBy(F.desc("ratio"), F.desc("norm"))
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 

@@ -201,6 +201,19 @@ def fuzzy_length_band(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.fuzzy_candidates(_asked(spark, d), names, 0.8)
 
 
+@query("fuzzy_survivors", """WITH n AS (SELECT DISTINCT lower(p_name) || ' ' || p_partkey AS norm FROM part), e AS (SELECT lower(replace(p_name, 'r', 'rr')) || ' ' || p_partkey || 'x' AS a FROM part WHERE p_partkey % 100 = 0),
+  m AS (SELECT norm, c, count(*) AS k FROM (SELECT norm, unnest(string_split(norm, '')) AS c FROM n) GROUP BY ALL), q AS (SELECT a, c, count(*) AS k FROM (SELECT a, unnest(string_split(a, '')) AS c FROM e) GROUP BY ALL),
+  j AS (SELECT a, norm, sum(least(m.k, q.k)) AS common FROM q JOIN m USING (c) GROUP BY ALL)
+  SELECT a AS entity_norm, norm FROM j WHERE common >= ceil((length(a) + length(norm)) * 0.8 / 2 - 1e-9)
+    AND length(norm) BETWEEN greatest(1, ceil(length(a) * 0.8 / 1.2 - 1e-9)) AND floor(length(a) * 1.2 / 0.8 + 1e-9)""")
+def fuzzy_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of misspelt and right part names that share enough characters, by the index of rare marks."""
+    part = table(spark, d, "part")
+    key = F.col("p_partkey").cast("string")
+    typed = part.filter("p_partkey % 100 = 0").select(F.concat(F.replace("p_name", F.lit("r"), F.lit("rr")), F.lit(" "), key, F.lit("x")).alias("name"))
+    return retrieve.fuzzy_survivors(typed, retrieve.normalized_nodes(part.select(F.concat("p_name", F.lit(" "), key).alias("name"))), 0.8)
+
+
 @query("fuzzy_match")
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     nodes = retrieve.normalized_nodes(node_table(triples(spark, d)))

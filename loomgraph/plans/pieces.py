@@ -21,7 +21,7 @@ from loomgraph.plans.fixture import ORACLE_TRIPLES, node_table, triples
 from loomgraph.plans.registry import query
 from loomgraph.schemas import _C, _T
 from loomgraph.session import materialise, table, work_dir
-from loomgraph.snapshot import Store, graphml, review_lines
+from loomgraph.snapshot import TABLES, Store, graphml, review_lines
 from loomgraph.sources.files import load, scan, write_texts
 from loomgraph.streaming.watch import debounced, moves_as_two
 
@@ -56,6 +56,21 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tk.word_count(F.col("text")).alias("words"), tk.quarter_count(F.col("text")).alias("quarter"))
 
 
+_CJK = "CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeiou', '的一是在不') ELSE text END"
+
+
+@query("chunk_segments", f"""WITH d AS (SELECT source || '/' || doc_id || '.md' AS source_file, {_CJK} AS x FROM documents),
+  w AS (SELECT *, regexp_extract_all(x, '{tk.SEGMENT}') AS w, length(regexp_extract(x, '{tk.LEADING}')) AS lead FROM d),
+  k AS (SELECT *, unnest(range(0, 1 + CAST(greatest(0, ceil((len(w) - 100) / 80)) AS BIGINT))) AS k FROM w WHERE len(w) > 0)
+  SELECT source_file, CAST(k AS INTEGER) AS index, CASE WHEN len(w) <= 100 THEN x ELSE regexp_replace(array_to_string(w[k * 80 + 1 : k * 80 + 100], ''), '{tk.TRAILING}', '') END AS text,
+    CAST(len(w[k * 80 + 1 : k * 80 + 100]) AS INTEGER) AS token_count, CAST(CASE WHEN len(w) <= 100 THEN 0 ELSE lead + length(array_to_string(w[1 : k * 80], '')) END AS INTEGER) AS start FROM k""")
+def chunk_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over documents of which every third is written without blanks for its vowels."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "aeiou", "的一是在不")).otherwise(F.col("text"))
+    files = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"), text.alias("text"))
+    return tk.chunk_segments(files, 100, 20)
+
+
 @query("json_lenient", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def json_lenient(spark: SparkSession, d: str) -> DataFrame:
     def read(raw: pd.Series) -> pd.Series:
@@ -370,8 +385,15 @@ def log_round_trip(spark: SparkSession, d: str) -> DataFrame:
     store, empty = _store(spark), [F.array().cast(t).alias(c) for c, t in _EMPTY.items()]
     op = F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op")
     events = table(spark, d, "events")
-    store.append("triples_log", events.select((F.col("event_id") % 3).cast("string").alias("schema_version"), op, F.col("user_id").cast("string").alias("source_file"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), *empty, F.col("event_id").alias("seq")))
-    return changes.converge(store.read_log()).select("source_file", "pos", "op")
+    # each event's number stands in its first concept, since the store's own number is that of the version
+    concept = F.array(F.struct(*[F.col("event_id").cast("string").alias("name"), *[F.lit(None).cast("string").alias(x) for x in ("description", "source_file", "confidence", "node_type")], F.create_map().cast("map<string,string>").alias("extra")]))
+    log = events.select((F.col("event_id") % 3).cast("string").alias("schema_version"), op, F.col("user_id").cast("string").alias("source_file"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), empty[0], concept.alias("concepts"))
+    tables = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+    # two versions, so the log is read from two places
+    for odd in (0, 1):
+        store.write(tables, None, log.filter(F.col("concepts")[0]["name"].cast("long") % 2 == odd))
+    read = store.read_log().withColumn("pos", F.col("concepts")[0]["name"].cast("long"))
+    return changes.converge(read).select("source_file", "pos", "op")
 
 
 @query("review_round_trip", """SELECT 'what | of ' || n_name || '?' AS question, CASE WHEN n_regionkey % 2 = 0 THEN 'low_hit_count' ELSE 'ambiguous_conflict' END AS reason, n_name || ', x' AS entities,

@@ -1,9 +1,10 @@
-"""Versioned tables with one pointer file; readers see the old or the new version, never a mixture."""
+"""Versioned tables; one file makes a version, so readers see the old or the new one, never a mixture."""
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -35,11 +36,16 @@ def bucket(source: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(source, F.lit(""))), F.lit(BUCKETS)).cast("int")
 
 
+class ConcurrentBuildError(RuntimeError):
+    """Another build has committed the version that this one was to become."""
+
+
 class Store:
     """The tables below out_dir, on any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, out_dir: str) -> None:
         self.spark, self.out = spark, out_dir.rstrip("/")
+        self.pinned: int | None = None
         self.jvm = spark._jvm.org.apache.hadoop
         self.conf = spark._jsc.hadoopConfiguration()
 
@@ -71,61 +77,128 @@ class Store:
         context = self.jvm.fs.FileContext.getFileContext(fs.makeQualified(path).toUri(), self.conf)
         replace_with_retry(lambda: context.rename(fs.makeQualified(new), fs.makeQualified(path), options))
 
+    # A version is one file, versions/<N>.json: the folders that hold each table's buckets, and the folders of the log up
+    # to it. Publishing that file is the commit; it fails if the file is there, so of two builds on one version one wins.
+
     @property
     def version(self) -> int:
-        return int(self.read_text("CURRENT") or 0)
+        return self.pinned if self.pinned is not None else self._latest()
+
+    def _latest(self) -> int:
+        fs, path = self._path("versions")
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+
+    def pin(self) -> int:
+        """From now on read this version, and commit on top of it alone."""
+        self.pinned = self._latest()
+        return self.pinned
+
+    def _about(self, version: int) -> dict:
+        return json.loads(self.read_text(f"versions/{version}.json") or '{"tables": {}, "log": []}')
 
-    def layout(self, version: int) -> dict[str, dict[str, int]]:
-        """Of each table of a version the buckets (one without a name for whole tables) and the version that wrote them."""
-        return json.loads(self.read_text(f"v={version}/LAYOUT.json") or "{}")
+    def layout(self, version: int) -> dict[str, dict[str, str]]:
+        """Of each table of a version the buckets (one without a name for whole tables) and the folder that holds them."""
+        return self._about(version)["tables"]
 
     def read(self, name: str) -> DataFrame:
-        version = self.version
-        parts = self.layout(version).get(name, {}) if version else {}
+        parts = self.layout(self.version).get(name, {})
         if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        paths = [f"{self.out}/v={v}/{name}" + (f"/bucket={k}" if k else "") for k, v in parts.items()]
+        paths = [f"{self.out}/{at}/{name}" + (f"/bucket={k}" if k else "") for k, at in parts.items()]
         return self.spark.read.schema(TABLES[name]).parquet(*paths)
 
-    def write(self, tables: dict[str, DataFrame], touched: DataFrame | None = None) -> int:
-        """Write a new version, then commit it by the pointer.
+    def write(self, tables: dict[str, DataFrame], touched: DataFrame | None = None, log: DataFrame | None = None) -> int:
+        """Write a new version with its part of the log, then commit both by one file.
 
         Tables of sources are kept in BUCKETS buckets by source. With touched (source_file), the sources that have
-        changed, only their buckets are written; the others stay where an older version has put them.
+        changed, only their buckets are written; the others stay where an older version has put them. A version that
+        another build has committed meanwhile raises ConcurrentBuildError, and nothing of this one stays.
         """
         old = self.version
-        new, before = old + 1, self.layout(old) if old else {}
+        new, about = old + 1, self._about(old)
+        before, mine = about["tables"], f"v={new}-{uuid.uuid4().hex[:12]}"
         wanted = None if touched is None or not old else {r[0] for r in touched.select(bucket(F.col("source_file"))).distinct().collect()}
-        after: dict[str, dict[str, int]] = {}
+        after: dict[str, dict[str, str]] = {}
         for name in TABLES:
-            path = f"{self.out}/v={new}/{name}"
+            path = f"{self.out}/{mine}/{name}"
             if name not in KEYED:
-                tables[name].write.mode("overwrite").parquet(path)
-                after[name] = {"": new}
+                tables[name].write.parquet(path)
+                after[name] = {"": mine}
                 continue
             rows = tables[name].withColumn("bucket", bucket(F.col(KEYED[name])))
             if wanted is not None:
                 rows = rows.filter(F.col("bucket").isin(*wanted)) if wanted else rows.limit(0)
-            rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-            written = {str(k): new for k in range(BUCKETS) if self.exists(f"v={new}/{name}/bucket={k}")}
+            rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+            written = {str(k): mine for k in range(BUCKETS) if self.exists(f"{mine}/{name}/bucket={k}")}
             after[name] = written | {k: v for k, v in before.get(name, {}).items() if wanted is not None and int(k) not in wanted}
-        self.write_text(f"v={new}/LAYOUT.json", json.dumps(after))
-        self.write_text("CURRENT", str(new))
-        self._sweep(new, before, after)
+        logs = list(about["log"])
+        if log is not None:
+            log.withColumn("seq", F.lit(new).cast("long")).write.json(f"{self.out}/triples_log/{mine}")
+            logs.append(mine)
+        if not self._publish(f"versions/{new}.json", json.dumps({"tables": after, "log": logs})):
+            for left in (mine, f"triples_log/{mine}"):
+                self._delete(left)
+            raise ConcurrentBuildError(f"version {new} has been committed by another build")
+        if self.pinned is not None:
+            self.pinned = new
+        self._sweep(new)
         return new
 
-    def _sweep(self, new: int, *kept: dict[str, dict[str, int]]) -> None:
-        """Delete what neither this version nor the last one uses; readers of the last may still be at work."""
-        used = {(name, v) for layout in kept for name, parts in layout.items() for v in parts.values()}
-        for v in range(1, new - 1):
-            fs, path = self._path(f"v={v}")
-            if not fs.exists(path):
+    def _publish(self, name: str, text: str) -> bool:
+        """Put a whole file in its place, unless there is one: False then.
+
+        Locally by a hard link; elsewhere by a rename that does not overwrite, which file systems like HDFS do in one step.
+        """
+        fs, path = self._path(name)
+        _, new = self._path(f"{name}.{uuid.uuid4().hex}.new")
+        stream = fs.create(new, False)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        path, new = fs.makeQualified(path), fs.makeQualified(new)
+        try:
+            if fs.getScheme() == "file":
+                of = self.spark._jvm.java.nio.file.Paths.get
+                self.spark._jvm.java.nio.file.Files.createLink(of(path.toUri()), of(new.toUri()))
+            else:
+                self.jvm.fs.FileContext.getFileContext(path.toUri(), self.conf).rename(new, path, self.spark.sparkContext._gateway.new_array(self.jvm.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            fs.delete(new, False)
+        return True
+
+    def _delete(self, name: str) -> None:
+        fs, path = self._path(name)
+        fs.delete(path, True)
+
+    def _sweep(self, new: int) -> None:
+        """Delete what neither this version nor the last one uses; readers of the last may still be at work.
+
+        Folders of builds that crashed or lost on an older version go too; the log stays.
+        """
+        used = {at for v in (new, new - 1) for parts in self.layout(v).values() for at in parts.values()}
+        tables = {(name, at) for v in (new, new - 1) for name, parts in self.layout(v).items() for at in parts.values()}
+        fs, top = self._path("")
+        for found in fs.listStatus(top):
+            at = found.getPath().getName()
+            if not at.startswith("v=") or int(at[2:].split("-")[0]) >= new - 1 and at in used or int(at[2:].split("-")[0]) > new:
+                continue
+            if at not in used:
+                fs.delete(found.getPath(), True)
                 continue
             for name in TABLES:
-                if (name, v) not in used:
-                    fs.delete(self._path(f"v={v}/{name}")[1], True)
-            if not any(x == v for _, x in used):
-                fs.delete(path, True)
+                if (name, at) not in tables:
+                    self._delete(f"{at}/{name}")
+        fs, path = self._path("versions")
+        for found in fs.listStatus(path):
+            name = found.getPath().getName()
+            if name.endswith(".json") and int(name[:-5]) < new - 1:
+                fs.delete(found.getPath(), False)
 
     def export_graph(self, kind: str = "json") -> None:
         """The current graph as lines below graph.json or graph.graphml, for other programs."""
@@ -147,10 +220,11 @@ class Store:
         rows.write.mode("append").json(f"{self.out}/{name}")
 
     def read_log(self) -> DataFrame:
-        """All log records with pos, the build that wrote them; a malformed line is an error."""
-        if not self.exists("triples_log"):
+        """All log records of committed versions, with pos, the build that wrote them; a malformed line is an error."""
+        parts = self._about(self.version)["log"]
+        if not parts:
             return self.spark.createDataFrame([], LOG).withColumn("pos", F.lit(0).cast("long"))
-        rows = self.spark.read.schema(LOG).option("mode", "FAILFAST").json(f"{self.out}/triples_log")
+        rows = self.spark.read.schema(LOG).option("mode", "FAILFAST").json([f"{self.out}/triples_log/{at}" for at in parts])
         return rows.withColumn("pos", F.coalesce("seq", F.lit(0).cast("long")))
 
     def read_cache(self, name: str, schema: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import json
 import logging
+import os
 import threading
 import time
 import urllib.error
@@ -13,16 +14,16 @@ from pyspark.sql import functions as F
 
 from loomgraph import progress as pg
 from loomgraph import session
-from loomgraph.build import compile_base
+from loomgraph.build import compile_base, replay
 from loomgraph.config import Settings, find_env_file
 from loomgraph.extract import clients
 from loomgraph.extract.clients import EmbedderError, HttpClient, OfflineClient, probe_dim
 from loomgraph.extract.semantic import semantic_track
 from loomgraph.functions.text import parse_json_loose
-from loomgraph.functions.tokens import RankTokenizer
+from loomgraph.functions.tokens import RankTokenizer, chunk_segments, chunk_tokens
 from loomgraph.logs import setup_logging
 from loomgraph.operators import vectors
-from loomgraph.snapshot import Store, bucket, replace_with_retry
+from loomgraph.snapshot import TABLES, ConcurrentBuildError, Store, bucket, replace_with_retry
 from loomgraph.sources.files import docx_text
 
 
@@ -73,19 +74,23 @@ def test_only_two_versions_stay_and_the_graph_is_exported(spark, tmp_path):
         (raw / f"{i}.md").write_text(f"Item{i} uses Tool{i}.")
         compile_base(spark, Settings(raw_dir=str(raw), out_dir=str(tmp_path / "out"), graph_serialization=kind))
     out, store = tmp_path / "out", Store(spark, str(tmp_path / "out"))
-    assert not (out / "v=1" / "nodes").exists() and (out / "v=2" / "nodes").exists()
+    folder = lambda v: next(out.glob(f"v={v}-*"))
+    number = lambda at: int(at[2:].split("-")[0])
+    assert not (folder(1) / "nodes").exists() and (folder(2) / "nodes").exists()
     edges = {r["source_file"] for r in store.read("edges").collect()}
     assert edges == {"0.md", "1.md", "2.md"} and store.read("manifest").count() == 3
     mine = spark.range(1).select(bucket(F.lit("2.md"))).first()[0]
-    assert [p.name for p in (out / "v=3" / "edges").iterdir() if p.name.startswith("bucket=")] == [f"bucket={mine}"]
-    assert set(store.layout(3)["edges"].values()) <= {1, 2, 3} and store.layout(3)["edges"][str(mine)] == 3
+    assert [p.name for p in (folder(3) / "edges").iterdir() if p.name.startswith("bucket=")] == [f"bucket={mine}"]
+    parts = store.layout(3)["edges"]
+    assert set(map(number, parts.values())) <= {1, 2, 3} and number(parts[str(mine)]) == 3
     (raw / "0.md").unlink()
     compile_base(spark, Settings(raw_dir=str(raw), out_dir=str(out)))
     assert {r["source_file"] for r in store.read("edges").collect()} == {"1.md", "2.md"} == {r["source_file"] for r in store.read("vectors").collect()}
     compile_base(spark, Settings(raw_dir=str(raw), out_dir=str(out)), force=True)
-    assert {v for parts in store.layout(5).values() for v in parts.values()} == {5} and store.read("manifest").count() == 2
+    assert {number(v) for parts in store.layout(5).values() for v in parts.values()} == {5} and store.read("manifest").count() == 2
     compile_base(spark, Settings(raw_dir=str(raw), out_dir=str(out)), force=True)
-    assert sorted(p.name for p in out.iterdir() if p.name.startswith("v=")) == ["v=5", "v=6"]
+    assert sorted(p.name.split("-")[0] for p in out.iterdir() if p.name.startswith("v=")) == ["v=5", "v=6"]
+    assert sorted(p.name for p in (out / "versions").iterdir() if not p.name.startswith(".")) == ["5.json", "6.json"]
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out" / "graph.json")).collect()]
     assert {x["kind"] for x in lines} == {"node", "link"} and any(x.get("link", {}).get("head") == "Item0" for x in lines)
     assert spark.read.text(str(tmp_path / "out" / "graph.graphml")).filter("value like '<graphml%'").count() == 1
@@ -284,3 +289,112 @@ def test_work_folder_is_removed(spark, tmp_path, monkeypatch):
     assert any(tmp_path.iterdir())
     session.clean(spark)
     assert not any(tmp_path.iterdir())
+
+
+class Outage(OfflineClient):
+    """A model that is not there, until it is."""
+
+    def __init__(self, flag) -> None:
+        super().__init__(64)
+        self.flag = str(flag)
+
+    def complete(self, *args, **how) -> str:
+        if not os.path.exists(self.flag):
+            raise ConnectionError("no model")
+        return super().complete(*args, **how)
+
+
+def test_a_build_during_an_outage_is_tried_again(spark, tmp_path):
+    raw, flag = tmp_path / "raw", tmp_path / "up"
+    raw.mkdir()
+    (raw / "a.md").write_text("Mortar uses Lime.")
+    s = Settings(raw_dir=str(raw), out_dir=str(tmp_path / "out"))
+    compile_base(spark, s, client=Outage(flag))
+    store = Store(spark, s.out_dir)
+    assert [r["relation"] for r in store.read("edges").collect()] == ["extraction_failed"] and store.read("manifest").isEmpty()
+    flag.touch()
+    again = compile_base(spark, s, client=Outage(flag))
+    assert again.extracted == 1 and [r["relation"] for r in store.read("edges").collect()] == ["uses"] and store.read("manifest").count() == 1
+    replay(spark, s)
+    assert [r["relation"] for r in store.read("edges").collect()] == ["uses"]
+
+
+def test_the_log_is_part_of_the_version(spark, tmp_path, monkeypatch):
+    """A crash at the commit leaves neither graph nor log of that build; the next one has both."""
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.md").write_text("Mortar uses Lime.")
+    s = Settings(raw_dir=str(raw), out_dir=str(tmp_path / "out"))
+    compile_base(spark, s)
+    (raw / "b.md").write_text("Roof has Tiles.")
+
+    def crash(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(Store, "_publish", crash)
+        compile_base(spark, s)
+    store = Store(spark, s.out_dir)
+    heads = lambda: sorted(r["head"] for r in store.read("edges").collect())
+    assert store.version == 1 and heads() == ["Mortar"] and {r["source_file"] for r in store.read_log().collect()} == {"a.md"}
+    assert compile_base(spark, s).version == 2 and heads() == ["Mortar", "Roof"]
+    replay(spark, s)
+    assert heads() == ["Mortar", "Roof"] and store.version == 3
+
+
+def test_of_two_builds_on_one_version_one_commits(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.md").write_text("Mortar uses Lime.")
+    s = Settings(raw_dir=str(raw), out_dir=str(tmp_path / "out"))
+    compile_base(spark, s)
+    slow = Store(spark, s.out_dir)
+    slow.pin()
+    old = {name: slow.read(name) for name in TABLES}
+    (raw / "b.md").write_text("Roof has Tiles.")
+    compile_base(spark, s)
+    assert slow.read("edges").count() == 1  # it still reads what it has begun with
+    with pytest.raises(ConcurrentBuildError):
+        slow.write(old)
+    store = Store(spark, s.out_dir)
+    assert store.version == 2 and store.read("edges").count() == 2 and len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("v=2-")]) == 1
+
+
+def test_another_dimension_embeds_all_sources(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.md").write_text("Mortar uses Lime.")
+    s = Settings(raw_dir=str(raw), out_dir=str(tmp_path / "out"))
+    compile_base(spark, s, embedder=OfflineClient(8))
+    (raw / "b.md").write_text("Roof has Tiles.")
+    compile_base(spark, s, embedder=OfflineClient(16))
+    rows = Store(spark, s.out_dir).read("vectors").collect()
+    assert {len(r["embedding"]) for r in rows} == {16} and {r["source_file"] for r in rows} == {"a.md", "b.md"}
+
+
+def test_windows_of_any_script(spark):
+    chinese = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(100_000))
+    rows = [("c", chinese), ("w", "x" * 100_000), ("m", "  ab 日本\u3000語 cd"), ("e", " \u3000 "), ("n", None), ("t", "tail  \n")]
+    files = spark.createDataFrame(rows, "source_file string, text string")
+    got = [r for r in chunk_segments(files, 3000, 200).collect()]
+    own = sorted((r for r in got if r["source_file"] == "c"), key=lambda r: r["index"])
+    assert len(own) == 36 and all(r["text"] == chinese[r["start"] : r["start"] + r["token_count"]] for r in own)
+    assert {r["start"] for r in own} == set(range(0, 2800 * 36, 2800)) and max(r["token_count"] for r in got) <= 3000
+    assert sum(r["source_file"] == "w" for r in got) == 2  # a word of 100,000 letters is 3125 segments
+    assert [r["text"] for r in got if r["source_file"] in "ment"] == ["  ab 日本\u3000語 cd", "tail  \n"]
+    small = sorted(((r["index"], r["text"], r["start"]) for r in chunk_segments(files.filter("length(text) < 100"), 2, 1).collect() if r["source_file"] == "m"))
+    assert small == [(0, "ab 日", 2), (1, "日本", 5), (2, "本\u3000語", 6), (3, "語 cd", 8)]
+
+
+def test_builds_cut_by_the_ranks_that_settings_name(spark, tmp_path):
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    text = "日本語の文章 " * 400
+    files = spark.createDataFrame([("a", text)], "source_file string, text string")
+    parts = [r["text"] for r in chunk_tokens(files, 50, 0, RankTokenizer(ranks)).collect()]
+    assert len(parts) > 20 and "\ufffd" not in "".join(parts) and "".join(parts).replace(" ", "") == text.replace(" ", "")
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.md").write_text("Mortar uses Lime. " * 60)
+    s = Settings(raw_dir=str(raw), out_dir=str(tmp_path / "out"), token_ranks=ranks, chunk_max_tokens=40, chunk_overlap_tokens=0)
+    compile_base(spark, s)
+    assert Store(spark, s.out_dir).read("edges").agg({"chunk_index": "max"}).first()[0] > 3
