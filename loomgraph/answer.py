@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.config import Settings
 from loomgraph.extract.clients import EmbeddingClient, LLMClient, make_embedder, make_llm, question_entities
 from loomgraph.functions.tokens import RankTokenizer, quarter_count, token_counter
-from loomgraph.operators import retrieve, vectors
+from loomgraph.operators import ann, retrieve, vectors
 from loomgraph.progress import NullProgressReporter, ProgressReporter, now
 from loomgraph.schemas import HITS
 from loomgraph.session import materialise, ship
@@ -62,6 +62,7 @@ class Session:
         self.store = Store(spark, settings.out_dir)
         self.client, self.embedder = client or make_llm(settings), embedder or make_embedder(settings)
         self.held: dict[str, DataFrame] = {}
+        self.index: tuple | None = None
         self.extra: dict[str, Callable[[str, DataFrame], DataFrame]] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -79,8 +80,23 @@ class Session:
 
     def _vector(self, question: str) -> DataFrame:
         asked = self.embedder.embed([question])[0]
+        if self.s.vector_index == "ivf" and self.s.vector_metric == "l2":
+            return retrieve.vector_hits(self._near(asked))
         return retrieve.vector_hits(vectors.search(self.table("vectors"), asked, 10, self.s.vector_metric))
 
+    def _near(self, asked: list[float]) -> DataFrame:
+        """The rows of vectors.search by the index, which is fitted and written once for a session."""
+        rows = self.table("vectors")
+        if self.index is None:
+            fitted = ann.fit(rows.select("id", "embedding"))
+            self.index = (fitted, None if fitted is None else ann.assign(rows, fitted))
+        fitted, held = self.index
+        if fitted is None:
+            return vectors.search(rows, asked, 10)
+        query = self.spark.createDataFrame([("q", list(map(float, asked)))], "query string, embedding array<float>")
+        near = rows.join(ann.search(held, query, fitted, 10).select("id", "distance"), "id")
+        return near.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
+
     def recall(self, question: str, mode: str = "query") -> list[DataFrame]:
         names = [r for r in ROUTES[mode] if mode != "query" or r == "graph" or (r == "vector" and self.s.enable_vector_recall) or (r == "community" and self.s.enable_community_recall)]
         found = question_entities(self.client, question) if {"graph", "community"} & set(names) else []

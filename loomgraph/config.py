@@ -50,6 +50,7 @@ class Settings:
     min_confidence_score: float = 0.3
     max_subgraph_edges: int = 0
     vector_metric: str = "l2"
+    vector_index: str = ""
     graph_serialization: str = ""
 
     @classmethod

@@ -21,7 +21,7 @@ from loomgraph.functions.text import community_summary, normalize_entity
 from loomgraph.operators.graph import symmetrize, weighted_pairs
 from loomgraph.session import materialise, numbered
 
-SYSTEM = "You are a knowledge graph community summarizer."
+SYSTEM = "You are given names of things that belong together. Say what unites them."
 
 #: Pairs that one task holds as arrays, some 100 bytes each; it decides where the work is done, not the result.
 ONE_TASK = 2_000_000
@@ -272,7 +272,7 @@ def _summaries(client: LLMClient):
             out = []
             for some, plain in zip(frame["some"], frame["summary"], strict=True):
                 try:
-                    said = client.complete(SYSTEM, f"Summarize the shared theme of the following knowledge graph nodes in one concise sentence: {', '.join(some)}. Reply in the same language as the nodes.", "text", 0.0).strip()
+                    said = client.complete(SYSTEM, "One sentence, in the language of these names:\n" + "\n".join(some), "text", 0.0).strip()
                 except Exception:
                     said = ""
                 out.append(said or plain)

@@ -220,13 +220,51 @@ def budget(ranked: DataFrame, tokens: Column, most: int, order: list, spent: int
     return out.filter((F.col("__n") == 1) | (F.col("__s") + spent <= most)).drop("__t", "__n", "__s")
 
 
+BINS = 1_024
+
+
+def _bound(rows: DataFrame, column: str, most: int, smallest: bool) -> tuple[float | None, int, bool]:
+    """The value up to which the first `most` rows by column reach, how many rows are before it, and whether the rows at it are too many.
+
+    A histogram of BINS bins is looked at and then the bin of the cut anew, so only counts come to the driver. It ends when
+    no more than twice the wanted rows are left, or when the bin holds one value.
+    """
+    x = F.col(column).cast("double")
+    low, high = rows.agg(F.min(x), F.max(x)).first()
+    before = 0
+    while low is not None and low < high:
+        place = F.least(F.floor((x - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+        bins = rows.filter(x.between(low, high)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).collect()
+        for r in sorted(bins, key=lambda r: r["bin"] if smallest else -r["bin"]):
+            if before + r["n"] >= most or (r["high"] if smallest else r["low"]) == (high if smallest else low):
+                low, high = r["low"], r["high"]
+                break
+            before += r["n"]
+        if before + r["n"] <= 2 * most:
+            return (high if smallest else low), before, False
+    return low, before, True
+
+
+def first_hits(ranked: DataFrame, most: int) -> DataFrame:
+    """At least the first `most` rows by weighted (largest first) and pos, and not many more; no total order of all rows."""
+    keys = materialise(ranked.select("weighted", "pos"), "weights")
+    weight, before, many = _bound(keys, "weighted", most, smallest=False)
+    if weight is None:
+        return ranked
+    if not many:
+        return ranked.filter(F.col("weighted") >= weight)
+    pos, _, _ = _bound(keys.filter(F.col("weighted") == weight), "pos", most - before, smallest=True)
+    return ranked.filter((F.col("weighted") > weight) | ((F.col("weighted") == weight) & (F.col("pos") <= int(pos))))
+
+
 def fuse(hits: DataFrame, most_tokens: int = 4000, count: Callable[[Column], Column] = quarter_count) -> DataFrame:
     """Without repeats, by confidence weight times score, cut to the budget; rank from 1."""
     line = render_hit(F.col("triple"), F.col("concept"), F.col("community_summary"))
     ranked = dedup_hits(hits).withColumns({"weighted": confidence_weight(hit_confidence()) * F.col("score"), "line": line}).filter("line != ''")
-    # a top-k of every partition would be merged in one task; numbered rows are cut where they are
-    ranked = numbered(ranked, [F.desc("weighted"), F.col("pos")], "rank").withColumn("rank", F.col("rank").cast("int"))
-    return budget(ranked.filter(F.col("rank") <= max(1, most_tokens)), count(F.col("line")), most_tokens, [F.col("rank")])
+    # a line has a token at least, so no more than the first most_tokens rows can fit; these are some thousands
+    some = materialise(first_hits(ranked, max(1, most_tokens)), "first-hits")
+    order = Window.orderBy(F.desc("weighted"), "pos")
+    return budget(some.withColumn("rank", F.row_number().over(order)), count(F.col("line")), most_tokens, [F.col("rank")])
 
 
 def context(fused: DataFrame, most_tokens: int = 4000, count: Callable[[Column], Column] = quarter_count, header_tokens: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from loomgraph.config import Settings
 from loomgraph.extract import semantic
 from loomgraph.functions import text as tx
 from loomgraph.functions import tokens as tk
-from loomgraph.operators import changes, community, graph, keywords, retrieve, vectors
+from loomgraph.operators import ann, changes, community, graph, keywords, retrieve, vectors
 from loomgraph.plans.fixture import ORACLE_TRIPLES, node_table, triples
 from loomgraph.plans.registry import ORACLE, QUERIES, query
 from loomgraph.session import materialise, table
@@ -148,6 +148,17 @@ def vector_topk_l2_whole(spark: SparkSession, d: str) -> DataFrame:
     return near.select("query", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("vector_ann")
+def vector_ann(spark: SparkSession, d: str) -> DataFrame:
+    """The search of vector_topk_l2_whole by the inverted-file index."""
+    v = table(spark, d, "embeddings")
+    rows = v.select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query"), "embedding")
+    index = ann.fit(rows, 10)
+    found = ann.search(ann.assign(rows, index), asked, index, 10)
+    return found.select("query", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("vector_delete_source", "SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE label <> 1")
 def vector_delete_source(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("source_file"))
