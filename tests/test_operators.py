@@ -224,3 +224,50 @@ def test_debounce_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["paths"] for r in spark.table("debounced").collect()] == [["a.md", "b.py"]]
+
+
+def test_fuzzy_index_equals_difflib_over_all_pairs(spark):
+
+    rng = random.Random(4)
+    names = {"".join(rng.choice("abcdefgh 1é日") for _ in range(rng.randint(1, 24))).strip() for _ in range(250)} | {"a", "aa", "ab", "supplier:12", "supplier:21"}
+    names = sorted({" ".join(n.split()) for n in names} - {""})
+    asked = sorted({n[:i] + rng.choice("abz") + n[i + 1 :] for n in names for i in [rng.randrange(len(n))]} | {"a", "ab", "suplier:12"})
+    asked = [a for a in (" ".join(x.split()) for x in asked) if a]
+    index = retrieve.normalized_nodes(spark.createDataFrame([(n,) for n in names], "name string"))
+    for cutoff in (0.8, 0.5):
+        want = set()
+        for a in set(asked):
+            near = [(difflib.SequenceMatcher(None, b, a).ratio(), b) for b in names]
+            want |= {(a, b, round(r, 9)) for r, b in sorted((x for x in near if x[0] >= cutoff), reverse=True)[:3]}
+        got = retrieve.fuzzy_matches(spark.createDataFrame([(a,) for a in asked], "name string"), index, cutoff).collect()
+        assert {(r["entity_norm"], r["norm"], round(r["ratio"], 9)) for r in got} == want and want
+
+
+def test_first_hits_of_ties_and_of_many_weights(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BINS", 4)
+    rows = spark.range(3000).select((F.col("id") * 7 % 3000).alias("pos"), F.when(F.col("id") % 3 == 0, 0.9).when(F.col("id") % 3 == 1, F.rand(2)).otherwise(1.0).alias("weighted"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    order = sorted(((-r["weighted"], r["pos"]) for r in rows.collect()))
+    for most in (1, 10, 900, 1100, 2500, 5000):
+        got = sorted(((-r["weighted"], r["pos"]) for r in retrieve.first_hits(rows, most).collect()))
+        assert got == order[: len(got)] and min(most, 3000) <= len(got) <= 3 * most
+    assert retrieve.first_hits(rows.limit(0), 5).count() == 0
+
+
+def test_vector_index_recall_and_hot_cells(spark, monkeypatch):
+    import numpy as np
+
+    from loomgraph.operators import ann
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate((rng.standard_normal((600, 16)), rng.standard_normal((1, 16)) + 0.01 * rng.standard_normal((300, 16))))
+    rows = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    asked = rows.filter("cast(id as int) % 20 = 0").withColumnRenamed("id", "query")
+    monkeypatch.setattr(ann, "MEMBERS", 50)
+    monkeypatch.setattr(ann, "ASKED", 7)
+    index = ann.fit(rows, 10)
+    got = ann.search(ann.assign(rows, index), asked, index, 10).collect()
+    want = {(r["query"], r["id"]): r["distance"] for r in vectors.search_many(rows, asked, 10).collect()}
+    hit = [r for r in got if (r["query"], r["id"]) in want]
+    assert len(got) == 450 and len(hit) >= 0.9 * len(want) and all(r["distance"] == pytest.approx(want[r["query"], r["id"]]) for r in hit)
+    assert ann.fit(rows.limit(0)) is None
