@@ -94,8 +94,9 @@ def test_bounds_of_cells_hold():
 
 def brute_lloyd(rows, k=40, rounds=5):
     kept = [(i, [max(-(1 << 27), min(1 << 27, math.floor(256 * float(np.float32(x))))) for x in v]) for i, v in rows if v and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
-    first = sorted((hashlib.sha256(f"2:{'' if i is None else i}".encode()).hexdigest(), q) for i, q in kept)
-    own = [q for _, q in first[:k]]
+    packed = lambda q: b"".join(x.to_bytes(2 if all(-32768 <= y < 32768 for y in q) else 4, "little", signed=True) for x in q)
+    first = sorted((hashlib.sha256(f"2:{'' if i is None else i}".encode()).hexdigest(), packed(q), q) for i, q in kept)
+    own = [q for _, _, q in first[:k]]
     far = lambda q, c: sum((x - y) ** 2 for x, y in zip(q, c, strict=True))
     best = lambda q: min((far(q, c), n) for n, c in enumerate(own))
     for _ in range(rounds):
