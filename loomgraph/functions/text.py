@@ -126,6 +126,17 @@ def elapsed(seconds: float | None) -> str:
     return f"{whole // 60}m {whole % 60}s" if whole < 3600 else f"{whole // 3600}h {whole % 3600 // 60}m"
 
 
+def elapsed_label(seconds: Column) -> Column:
+    """`elapsed` as a native expression."""
+    whole = F.greatest(F.lit(0), F.floor(seconds)).cast("long")
+    part = lambda x, unit: F.concat(x.cast("long").cast("string"), F.lit(unit))
+    minutes, hours = F.floor(whole / 60), F.floor(whole / 3600)
+    return (
+        F.when(seconds.isNull() | F.isnan(seconds.cast("double")), "未知").when(whole < 60, part(whole, "s"))
+        .when(whole < 3600, F.concat_ws(" ", part(minutes, "m"), part(whole % 60, "s"))).otherwise(F.concat_ws(" ", part(hours, "h"), part(minutes % 60, "m")))
+    )
+
+
 def parse_json_loose(raw: str | None) -> dict | None:
     """The text as a JSON object, else the object that starts at its first brace; None if neither is one."""
     if not raw:

@@ -83,10 +83,7 @@ def json_lenient(spark: SparkSession, d: str) -> DataFrame:
 @query("elapsed_text", """SELECT event_id, CASE WHEN event_id < 60 THEN event_id || 's' WHEN event_id < 3600 THEN event_id // 60 || 'm ' || event_id % 60 || 's'
   ELSE event_id // 3600 || 'h ' || event_id % 3600 // 60 || 'm' END AS elapsed FROM events""")
 def elapsed_text(spark: SparkSession, d: str) -> DataFrame:
-    def show(seconds: pd.Series) -> pd.Series:
-        return seconds.map(lambda x: tx.elapsed(float(x)))
-
-    return table(spark, d, "events").select("event_id", F.pandas_udf(show, "string")("event_id").alias("elapsed"))
+    return table(spark, d, "events").select("event_id", tx.elapsed_label(F.col("event_id")).alias("elapsed"))
 
 
 @query("config_signatures", """SELECT sha256('{"chunk_max_tokens": 3000, "chunk_overlap_tokens": 200, "code_languages": ["java", "javascript", "python"], "concept_description_strategy": "last_write_wins", "extractor_version": "1"}') AS extraction,
