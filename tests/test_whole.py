@@ -103,11 +103,11 @@ def test_java_method_with_a_long_throws_clause():
 
 class Summarizer(OfflineClient):
     def complete(self, system, user, response_format="json", temperature=0.0):
-        if "summarizer" not in system:
+        if system != community.SYSTEM:
             return super().complete(system, user, response_format, temperature)
         if "Python" in user:
             raise RuntimeError("no answer")
-        return " All about " + user.split("sentence: ")[1].split(". Reply")[0] + " "
+        return " All about " + ", ".join(user.split("\n")[1:]) + " "
 
 
 def test_summaries_are_the_models_or_the_heuristic(spark, tmp_path):
