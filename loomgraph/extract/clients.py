@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
+import math
 import re
 import threading
 import time
 import urllib.error
 import urllib.request
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
 from loomgraph.config import Settings
 
 
@@ -83,20 +90,53 @@ class OfflineClient:
 
 
 class RateLimiter:
-    """At least `interval` seconds between calls of this process; 0 is free."""
+    """At least `interval` seconds between calls of this process; 0 is free.
+
+    Tasks that share a limit take turns: of `parts` tasks each starts its calls at every parts-th interval of the
+    clock. They need no word of each other, and a task that is run again, wherever, has the turn it had before.
+    Hosts keep the limit as far as their clocks agree.
+    """
 
-    def __init__(self, interval: float) -> None:
-        self.interval, self.lock, self.next = interval, threading.Lock(), 0.0
+    def __init__(self, interval: float, part: int = 0, parts: int = 1) -> None:
+        self.interval, self.part, self.parts, self.lock, self.next = interval, part, parts, threading.Lock(), 0.0
 
     def acquire(self) -> None:
-        if self.interval > 0:
-            with self.lock:
+        if self.interval <= 0:
+            return
+        with self.lock:
+            if self.parts == 1:
                 now = time.monotonic()
                 time.sleep(max(0.0, self.next - now))
                 self.next = max(now, self.next) + self.interval
+            else:
+                now = time.time()
+                turn = max(int(self.next), math.ceil(now / self.interval))
+                turn += (self.part - turn) % self.parts
+                time.sleep(max(0.0, turn * self.interval - now))
+                self.next = turn + 1
 
     def __reduce__(self):
-        return RateLimiter, (self.interval,)
+        return RateLimiter, (self.interval, self.part, self.parts)
+
+
+def ask_in_turns(rows: DataFrame, client, work: Callable, schema: str) -> DataFrame:
+    """rows.mapInPandas(work(client), schema); if the client has a limit, its tasks keep it together by taking turns.
+
+    Each partition of the one stage that asks has a turn of its own, so there are as many as tasks can run at a time.
+    Two jobs that ask at the same time don't know of each other.
+    """
+    limit = getattr(client, "limit", None)
+    if limit is None or limit.interval <= 0:
+        return rows.mapInPandas(work(client), schema)
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = copy.copy(client)
+        # a union before the stage's end shifts all numbers alike, so they still differ
+        own.limit = RateLimiter(limit.interval, TaskContext.get().partitionId() % parts, parts)
+        return work(own)(frames)
+
+    return rows.repartition(parts).mapInPandas(run, schema)
 
 
 def backoff(attempt: int) -> float:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.extract.clients import LLMClient
+from loomgraph.extract.clients import LLMClient, ask_in_turns
 from loomgraph.functions.text import parse_json_loose, sentences, stem
 
 SYSTEM = (
@@ -59,18 +59,21 @@ def semantic_track(chunks: DataFrame, client: LLMClient, strategy: str = "last_w
     whatever the order in which they were answered.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(max(1, concurrency)) as pool:
-            yield from (answered(frame, pool) for frame in frames)
+    def work(own: LLMClient):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            with ThreadPoolExecutor(max(1, concurrency)) as pool:
+                yield from (answered(own, frame, pool) for frame in frames)
 
-    def answered(frame: pd.DataFrame, pool: ThreadPoolExecutor) -> pd.DataFrame:
+        return run
+
+    def answered(own: LLMClient, frame: pd.DataFrame, pool: ThreadPoolExecutor) -> pd.DataFrame:
         rows = []
-        for where, index, found in zip(frame["source_file"], frame["index"], pool.map(lambda text: ask(client, text), frame["text"]), strict=True):
+        for where, index, found in zip(frame["source_file"], frame["index"], pool.map(lambda text: ask(own, text), frame["text"]), strict=True):
             t, c = clean(found) if found else ([], [])
             rows.append((where, index, found is None, [dict(zip(("head", "relation", "tail", "confidence"), x, strict=True)) for x in t], [dict(zip(("name", "description", "node_type"), x, strict=True)) for x in c]))
         return pd.DataFrame(rows, columns=["source_file", "chunk_index", "failed", "triples", "concepts"])
 
-    answers = chunks.select("source_file", "index", "text").mapInPandas(run, _ANSWER)
+    answers = ask_in_turns(chunks.select("source_file", "index", "text"), client, work, _ANSWER)
     lost = F.array(F.struct(stem(F.col("source_file")).alias("head"), F.lit("extraction_failed").alias("relation"), F.concat(F.lit("chunk_"), "chunk_index").alias("tail"), F.lit("AMBIGUOUS").alias("confidence")))
     said = F.when(F.col("failed"), lost).otherwise(F.col("triples"))
     full = F.transform(said, lambda x: F.struct(x["head"].alias("head"), x["relation"].alias("relation"), x["tail"].alias("tail"), x["confidence"].alias("confidence"), F.col("source_file"), F.lit("semantic").alias("track"), F.col("chunk_index")))

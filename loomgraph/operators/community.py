@@ -3,8 +3,9 @@
 One rule at every size. In a round each node looks for the label among its neighbours' that gains most (ties by
 a hash of the label); about half of the nodes may move, others each time, since moves made at once can undo each
 other. A graph of up to ONE_TASK pairs is worked on in one task with arrays, a larger one by DataFrames; both
-take the same decisions, so results don't depend on the size. Numbers go by size, largest first, then by the
-first member.
+take the same decisions, so results don't depend on the size. Nodes move one by one, so a community can lose what held
+it together: at the end each is split into its connected parts, which can only raise modularity. Numbers go by
+size, largest first, then by the first member.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.extract.clients import LLMClient
+from loomgraph.extract.clients import LLMClient, ask_in_turns
 from loomgraph.functions.text import community_summary, normalize_entity
 from loomgraph.operators.graph import symmetrize, weighted_pairs
 from loomgraph.session import materialise, numbered
@@ -106,6 +107,21 @@ def _settle_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, label: np.ndarra
         k += 1
 
 
+def _parts_arrays(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The smallest node that each node reaches by links (x, y) inside its own label."""
+    same = label[x] == label[y]
+    x, y, low = x[same], y[same], np.arange(len(label))
+    while True:
+        to = low.copy()
+        np.minimum.at(to, low[x], low[y])
+        np.minimum.at(to, low[y], low[x])
+        while (to[to] != to).any():
+            to = to[to]
+        if (to == low).all():
+            return low
+        low = to[low]
+
+
 def leiden_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
     """The label of each of n nodes; pairs (a, b, w) are undirected, each once."""
     other = a != b
@@ -113,14 +129,14 @@ def leiden_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, seed: int
     total = w.sum()
     if not total:
         return np.zeros(n, np.int64)
-    top, label, reached = np.arange(n), np.arange(n), -np.inf
+    top, label, reached, ends = np.arange(n), np.arange(n), -np.inf, (a, b)
     while True:
         size = len(label)
         degree, loop = np.bincount(a, w, size), a == b
         x, y, v = a[~loop], b[~loop], w[~loop]
         found, q = _settle_arrays(x, y, v, label, degree, total, w[loop].sum(), seed)
         if q <= reached + LEAST_GAIN:
-            return label[top]
+            return _parts_arrays(*ends, label[top])
         reached, label = q, found
         same = label[x] == label[y]
         fine, _ = _settle_arrays(x[same], y[same], v[same], np.arange(size), degree, total, w[loop].sum(), seed)
@@ -199,6 +215,31 @@ def _renamed(links: DataFrame, of: DataFrame) -> DataFrame:
     return ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
 
 
+def connected_parts(member: DataFrame, pairs: DataFrame) -> DataFrame:
+    """member (node, id) with part: the smallest node reached by pairs (a, b) inside the same id. Nodes may be of any type.
+
+    Each round hangs the ends of what links are left below their smallest neighbour, follows these to their roots and
+    keeps the links between different roots, so the links shrink and paths of any length take few rounds.
+    """
+    of = lambda end, name: member.select(F.col("node").alias(end), F.col("id").alias(name))
+    links = pairs.select("a", "b").filter("a != b").join(of("a", "x"), "a").join(of("b", "y"), "b").filter("x = y").select("a", "b").distinct()
+    links, low = materialise(links, "inside"), member.withColumn("part", F.col("node"))
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = materialise(both.groupBy("a").agg(F.min("b").alias("to")).filter("`to` < a"), "up")
+        while True:
+            above = up.select(F.col("a").alias("to"), F.col("to").alias("over"))
+            up = materialise(up.join(above, "to", "left").select("a", F.coalesce("over", "to").alias("to"), F.col("over").isNotNull().alias("moved")), "up")
+            if up.filter("moved").isEmpty():
+                break
+        up = up.select("a", "to")
+        low = materialise(low.join(up.withColumnRenamed("a", "part"), "part", "left").select(*member.columns, F.coalesce("to", "part").alias("part")), "parts")
+        for _ in range(2):  # one end, then the other
+            links = links.join(up, "a", "left").select(F.col("b").alias("a"), F.coalesce("to", "a").alias("b"))
+        links = materialise(links.filter("a != b").distinct(), "inside")
+    return low
+
+
 def leiden_frames(nodes: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
     """(node, id) for nodes (name) and pairs (a, b, weight), by the same steps as leiden_arrays."""
     name = materialise(numbered(nodes.select(F.col("name").alias("node")), ["node"], "i").select("node", (F.col("i") - 1).alias("i")), "numbers")
@@ -211,7 +252,7 @@ def leiden_frames(nodes: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFra
     if not total:
         return name.select("node", F.lit(0).alias("id"))
     label = name.select(F.col("i").alias("node"), F.col("i").alias("label"))
-    member, reached = name.select("node", F.col("i").alias("top")), float("-inf")
+    member, reached = name.select(F.col("i").alias("node"), F.col("i").alias("top")), float("-inf")
     while True:
         degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
         label = materialise(label.join(degree, "node", "left").select("node", "label", F.coalesce("degree", F.lit(0.0)).alias("degree")), "labels")
@@ -234,10 +275,11 @@ def leiden_frames(nodes: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFra
         links = materialise(_renamed(links, place), "links")
         member = materialise(member.join(place.withColumnRenamed("node", "top"), "top").select("node", F.col("part").alias("top")), "members")
         label = part_of.join(first, "community").select(F.col("part").alias("node"), "label")
-    own = member.join(label.select(F.col("node").alias("top"), "label"), "top").select("node", "label")
+    own = member.join(label.select(F.col("node").alias("top"), F.col("label").alias("id")), "top").select("node", "id")
+    own = materialise(connected_parts(materialise(own, "members"), ends), "parts").select("node", F.col("part").alias("label"))
     size = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
     number = numbered(size, [F.desc("n"), "first"], "id").select("label", (F.col("id") - 1).cast("int").alias("id"))
-    return own.join(number, "label").select("node", "id")
+    return own.join(number, "label").select(F.col("node").alias("i"), "id").join(name, "i").select("node", "id")
 
 
 def membership(nodes: DataFrame, edges: DataFrame, strategy: str = "sum", seed: int = 42, one_task: int = ONE_TASK) -> DataFrame:
@@ -290,7 +332,7 @@ def communities(nodes: DataFrame, edges: DataFrame, member: DataFrame, client: L
     group = member.groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("members"), F.count(F.lit(1)).cast("int").alias("size"))
     out = group.join(files, "id", "left").withColumn("summary", community_summary(F.col("members"), F.col("size")))
     if client is not None:
-        asked = out.select("id", F.slice("members", 1, 20).alias("some"), "summary").mapInPandas(_summaries(client), "id int, summary string")
+        asked = ask_in_turns(out.select("id", F.slice("members", 1, 20).alias("some"), "summary"), client, _summaries, "id int, summary string")
         out = out.drop("summary").join(materialise(asked, "summaries"), "id")  # model calls run once
     return out.select("id", "members", "size", "summary", F.coalesce("source_files", F.array().cast("array<string>")).alias("source_files"))
 

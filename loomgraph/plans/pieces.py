@@ -6,7 +6,7 @@ import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.answer import Session
@@ -23,7 +23,7 @@ from loomgraph.schemas import _C, _T
 from loomgraph.session import materialise, table, work_dir
 from loomgraph.snapshot import TABLES, Store, graphml, review_lines
 from loomgraph.sources.files import load, scan, write_texts
-from loomgraph.streaming.watch import debounced, moves_as_two
+from loomgraph.streaming.watch import debounced, moves_as_two, session_paths
 
 # text functions
 
@@ -297,6 +297,20 @@ def community_quality(spark: SparkSession, d: str) -> DataFrame:
     return member.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(both)).select("nodes", (F.col("modularity") > F.col("given")).alias("better"))
 
 
+@query("community_parts", """WITH g AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 10 HOUR THEN 0 ELSE 1 END AS new FROM events),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT event_id AS node, user_id AS id, min(event_id) OVER (PARTITION BY user_id, k) AS part FROM s""")
+def community_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Events linked to their user's next one within ten hours, users as communities; events of different users are linked too."""
+    seen = table(spark, d, "events").select("event_id", "user_id", "ts")
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    far = F.unix_micros(F.col("ts").cast("timestamp"))
+    chain = seen.select("event_id", F.lag("event_id").over(before).alias("b"), (far - F.lag(far).over(before)).alias("gap")).filter("gap <= 36000000000")
+    other = seen.select((F.col("event_id") + 1).alias("event_id"), F.col("event_id").alias("b"), F.col("user_id").alias("u")).join(seen, "event_id").filter("user_id != u")
+    pairs = chain.select(F.col("event_id").alias("a"), "b").unionByName(other.select(F.col("event_id").alias("a"), "b"))
+    return community.connected_parts(seen.select(F.col("event_id").alias("node"), F.col("user_id").alias("id")), pairs)
+
+
 # changes and streams
 
 _EMPTY = {"triples": f"array<struct<{_T}>>", "concepts": f"array<struct<{_C}>>"}
@@ -311,12 +325,22 @@ def to_process(spark: SparkSession, d: str) -> DataFrame:
     return changes.to_process(changes.detect_changes(now, old, ("sha256",)))
 
 
+def _changes_seen(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"))
+
+
+@query("debounce_paths", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 700 SECOND THEN 0 ELSE 1 END AS new FROM events),
+  s AS (SELECT *, sum(new) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT strftime(min(min(ts)) OVER (PARTITION BY k), '%Y-%m-%d %H:%M:%S') AS start, 'u' || user_id AS path, count(*) AS n FROM s GROUP BY k, user_id""")
+def debounce_paths(spark: SparkSession, d: str) -> DataFrame:
+    return session_paths(_changes_seen(spark, d), "700 seconds").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "path", "n")
+
+
 @query("debounce", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 600500 MILLISECOND THEN 0 ELSE 1 END AS new FROM events),
   s AS (SELECT *, sum(new) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
   SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, sha256((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT unnest(list('u' || user_id)) AS x))) AS paths FROM s GROUP BY k""")
 def debounce(spark: SparkSession, d: str) -> DataFrame:
-    seen = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"))
-    return debounced(seen, "600500 milliseconds").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.sha2(F.array_join("paths", ","), 256).alias("paths"))
+    return debounced(_changes_seen(spark, d), "600500 milliseconds").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.sha2(F.array_join("paths", ","), 256).alias("paths"))
 
 
 @query("watch_moves", "SELECT event_id, 'a' || user_id AS path FROM events UNION ALL SELECT event_id, 'b' || user_id FROM events WHERE event_id % 3 = 0")

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -80,5 +80,22 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "pos") -> Dat
     return held.join(F.broadcast(first), "__p").withColumn(name, F.col("__s") + i.bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__i", "__p", "__s")
 
 
+def carried(df: DataFrame, order: str, value: str) -> DataFrame:
+    """df with `value` filled by the last one that is not null up to each row, in the order of a column.
+
+    As in `numbered` rows are sorted in ranges; one row a range comes to the driver, to start the next one.
+    """
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order)
+    held = materialise(ranges.withColumn("__p", F.spark_partition_id()), "carried")
+    known, last = [], None
+    for r in held.groupBy("__p").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("v")).orderBy("__p").collect():
+        known.append((r["__p"], last))
+        last = last if r["v"] is None else r["v"]
+    before = spark.createDataFrame(known, df.select(F.lit(0).alias("__p"), F.col(value).alias("__v")).schema)
+    here = F.last(value, ignorenulls=True).over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn(value, here).join(F.broadcast(before), "__p").withColumn(value, F.coalesce(value, "__v")).drop("__p", "__v")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

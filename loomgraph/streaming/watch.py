@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomgraph.session import materialise
+from loomgraph.session import carried, materialise
 from loomgraph.sources.files import scan
 
 log = logging.getLogger("loomgraph")
@@ -77,17 +77,51 @@ class Watch:
             self.query.stop()
 
 
+def slices(events: DataFrame, gap: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions of (ts, path) without a common key: (slice, path, n) and (slice, start, until) in microseconds.
+
+    Time is cut into slices of the gap's length. Events of a slice are closer than the gap, so they are one session, and
+    its first and last event are all that counts; a slice goes on from the one before it if that ended less than
+    a gap ago. Starts are then carried along the slices in ranges. Rows without time or path are no events.
+    """
+    gap_us = events.sparkSession.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.lit(gap).cast("interval"))).first()[0]
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.filter("ts IS NOT NULL AND path IS NOT NULL").select("path", t.alias("t"), (t - F.pmod(t, F.lit(gap_us))).alias("slice"))
+    seen = materialise(rows.groupBy("slice", "path").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n")), "slices")
+    each = seen.groupBy("slice").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    before = each.select((F.col("slice") + gap_us).alias("slice"), F.col("last").alias("before"))
+    opens = F.col("before").isNull() | (F.col("first") - F.col("before") >= gap_us)
+    run = carried(each.join(before, "slice", "left").select("slice", "last", F.when(opens, F.col("first")).alias("start")), "slice", "start")
+    return seen.select("slice", "path", "n"), run.select("slice", "start", (F.col("last") + gap_us).alias("until"))
+
+
+def session_paths(events: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
+    """(start, path, n): the distinct paths of each session of a table of events, a row each; no session is held as one row."""
+    seen, run = slices(events, gap)
+    return seen.join(run, "slice").groupBy(F.timestamp_micros("start").alias("start"), "path").agg(F.sum("n").alias("n"))
+
+
+def _table_sessions(events: DataFrame, gap: str) -> DataFrame:
+    seen, run = slices(events, gap)
+    run = materialise(run, "runs")
+    path = seen.join(run, "slice").groupBy("start", "path").agg(F.sum("n").alias("n"))
+    own = path.groupBy("start").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.sum("n").alias("n"))
+    ends = run.groupBy("start").agg(F.max("until").alias("end"))
+    return own.join(ends, "start").select(F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "paths", "n")
+
+
 def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 minutes", formats: tuple[str, ...] | None = None) -> DataFrame:
-    """Sessions of a stream of (ts, path): the sorted distinct paths of each stretch without a gap.
+    """Sessions of (ts, path): the sorted distinct paths of each stretch without a gap.
 
-    Each event restarts the gap, as a debounce timer does; late events are dropped by the watermark.
+    Each event restarts the gap, as a debounce timer does. Of a stream late events are dropped by the watermark;
+    a table is cut into slices and no task gets all of it. For long sessions of a table see session_paths.
     """
     if formats:
         events = events.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*formats))
-    if events.isStreaming:
-        events = events.withWatermark("ts", late)
+    if not events.isStreaming:
+        return _table_sessions(events, gap)
     # a streaming session needs a key; all events of the folder have the same
-    events = events.withColumn("folder", F.when(F.col("path").isNotNull(), "watched"))
+    events = events.filter("path IS NOT NULL").withWatermark("ts", late).withColumn("folder", F.when(F.col("path").isNotNull(), "watched"))
     out = events.groupBy("folder", F.session_window("ts", gap).alias("w")).agg(F.sort_array(F.collect_set("path")).alias("paths"), F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths", "n")
 

@@ -1,6 +1,11 @@
 import difflib
+import json
+import os
 import random
+import time
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +221,87 @@ def test_debounce(spark):
     assert fingerprint(old) == fingerprint(old.orderBy("mark", F.desc("path"))) != fingerprint(new) and fingerprint(old.limit(0))[0] == 0
 
 
+def test_sessions_of_a_table_need_no_common_key(spark):
+    from pyspark.sql import Window
+
+    from loomgraph.session import carried
+    from loomgraph.streaming.watch import session_paths
+
+    rng, at, rows = random.Random(3), 0, []
+    for i in range(400):
+        at += rng.choice((0, 1, 499_999, 500_000, 500_001, 3_000_000))  # ties, and gaps at the limit on either side
+        rows.append((at, f"p{rng.randrange(9)}"))
+    rows += [(at + 10_000_000, "hot")] * 300 + [(None, "x"), (at, None)]
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "t long, path string").select(F.timestamp_micros("t").alias("ts"), "path", F.lit(1).alias("start"), F.lit(2).alias("slice"))
+    want, last = [], None
+    for t, p in sorted((t, p) for t, p in rows if t is not None and p is not None):
+        if last is None or t - last >= 500_000:
+            want.append([t, {}])
+        want[-1][1][p] = want[-1][1].get(p, 0) + 1
+        last, want[-1][2:] = t, [t + 500_000]
+    us = lambda c: F.unix_micros(c).alias(c)
+    got = debounced(events).select(us("start"), us("end"), "paths", "n").orderBy("start").collect()
+    assert [tuple(r) for r in got] == [(s, end, sorted(n), sum(n.values())) for s, n, end in want]
+    each = session_paths(events).select(us("start"), "path", "n").collect()
+    assert sorted(map(tuple, each)) == sorted((s, p, k) for s, n, _ in want for p, k in n.items())
+    plan = debounced(events)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert debounced(events.limit(0)).count() == 0 and session_paths(events.filter("path IS NULL")).count() == 0
+    known = spark.createDataFrame([(i, i if i % 7 == 3 else None) for i in range(50)], "o int, v int")
+    assert [r["v"] for r in carried(known, "o", "v").orderBy("o").collect()] == [None if i < 3 else i - (i - 3) % 7 for i in range(50)]
+
+
+class Noting:
+    """A client that notes when it is called."""
+
+    def __init__(self, folder, interval):
+        self.folder, self.limit = folder, RateLimiter(interval)
+
+    def complete(self, system, user, response_format="json", temperature=0.0):
+        self.limit.acquire()
+        at = time.time()
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{at} {os.getpid()}")
+        return json.dumps({"triples": [], "concepts": []})
+
+
+def test_tasks_keep_one_rate_limit_together(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"f{i}", 0, "t") for i in range(24)], "source_file string, index int, text string")
+    assert semantic_track(chunks, Noting(str(tmp_path), 0.1), concurrency=3).count() == 24
+    calls = [(tmp_path / f).read_text().split() for f in os.listdir(tmp_path)]
+    times = sorted(float(t) for t, _ in calls)
+    assert len(calls) == 24 and len({p for _, p in calls}) > 1  # each chunk once, by several processes
+    assert min(b - a for a, b in zip(times, times[1:], strict=False)) > 0.06  # a late wake-up shortens the next gap
+    assert times[-1] - times[0] < 24 * 0.1 * 3
+    turns = [RateLimiter(0.05, part, 3) for part in range(3)]
+    for limiter in turns * 2:
+        limiter.acquire()
+        assert int(time.time() / 0.05 + 0.1) % 3 == limiter.part
+
+
+def test_connected_parts(spark):
+    rng = random.Random(5)
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
+    loose = [(f"r{rng.randrange(40):02}", f"r{rng.randrange(40):02}") for _ in range(35)]
+    nodes = {x for p in chain + loose for x in p} | {"alone"}
+    of = {x: 0 if x[0] == "c" else rng.randrange(2) for x in nodes} | {"c030": 1}
+    member = spark.createDataFrame(sorted(of.items()), "node string, id int")
+    pairs = spark.createDataFrame(chain + loose + loose[:5], "a string, b string")
+    low = {x: x for x in nodes}
+    for _ in range(len(nodes)):
+        for a, b in chain + loose:
+            if of[a] == of[b]:
+                low[a] = low[b] = min(low[a], low[b])
+    assert {r["node"]: r["part"] for r in community.connected_parts(member, pairs).collect()} == low
+    assert low["c060"] == "c031" and low["c030"] == "c030"
+    names = sorted(nodes)
+    x, y = (np.array([names.index(p[k]) for p in chain + loose]) for k in (0, 1))
+    got = community._parts_arrays(x, y, np.array([of[n] for n in names]))
+    assert {n: names[k] for n, k in zip(names, got, strict=True)} == low
+    assert community.connected_parts(member.limit(0), pairs).count() == 0 and community.connected_parts(member, pairs.limit(0)).filter("part = node").count() == len(nodes)
+
+
 def test_debounce_stream(spark, tmp_path):
     rows = spark.createDataFrame([(float(t), p) for t, p in ((0, "a.md"), (0.2, "b.py"), (9, "x.exe"), (4000, "z.md"))], "t double, path string").withColumn("ts", F.timestamp_seconds("t"))
     rows.write.parquet(str(tmp_path / "in"))

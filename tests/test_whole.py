@@ -9,10 +9,10 @@ from loomgraph.build import compile_base
 from loomgraph.config import Settings
 from loomgraph.extract.clients import OfflineClient
 from loomgraph.extract.code import extract_code
-from loomgraph.operators import community, vectors
+from loomgraph.operators import community, graph, vectors
 from loomgraph.plans import catalog
 from loomgraph.plans.fixture import node_table, triples
-from loomgraph.session import numbered
+from loomgraph.session import materialise, numbered
 from loomgraph.snapshot import Store
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +38,15 @@ def test_communities_hold_every_node(spark):
     assert sizes.agg(F.sum("size")).first()[0] == node_table(triples(spark, SF)).count()
 
 
+def test_communities_are_connected_and_keep_their_modularity(spark):
+    edges = triples(spark, SF.replace("0.001", "0.01"))
+    pairs = graph.symmetrize(graph.weighted_pairs(edges))
+    member = materialise(community.membership(node_table(edges), edges))
+    parts = community.connected_parts(member, pairs)
+    assert parts.select("id").distinct().count() == parts.select("id", "part").distinct().count()
+    assert community.frame_modularity(pairs, member).first()[0] > 0.07
+
+
 def test_both_community_routes_find_long_chains_and_large_groups(spark):
     rows = [(f"c{i:02}", f"c{i + 1:02}", 1) for i in range(39)]
     rows += [(f"{g}{i:02}", f"{g}{j:02}", 1) for g in "xy" for i in range(25) for j in range(i)] + [("x00", "y00", 1), ("z", "z", 3)]
