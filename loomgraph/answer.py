@@ -55,7 +55,7 @@ def compose(question: str, context: str, verdict: dict, client: LLMClient) -> An
 class Session:
     """Tables are read once and kept; a route that fails gives no hits."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, client: LLMClient | None = None, embedder: EmbeddingClient | None = None, count: Callable | None = None, reporter: ProgressReporter | None = None) -> None:
+    def __init__(self, spark: SparkSession, settings: Settings, client: LLMClient | None = None, embedder: EmbeddingClient | None = None, count: Callable | None = None, reporter: ProgressReporter | None = None, backend: vectors.VectorStoreBackend | None = None) -> None:
         self.spark, self.s, self.reporter = ship(spark), settings, reporter or NullProgressReporter()
         # exact counts where the settings name a file of ranks
         self.count = count or (token_counter(RankTokenizer(settings.token_ranks)) if settings.token_ranks else quarter_count)
@@ -63,6 +63,7 @@ class Session:
         self.client, self.embedder = client or make_llm(settings), embedder or make_embedder(settings)
         self.held: dict[str, DataFrame] = {}
         self.index: tuple | None = None
+        self.backend = backend
         self.extra: dict[str, Callable[[str, DataFrame], DataFrame]] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -80,6 +81,8 @@ class Session:
 
     def _vector(self, question: str) -> DataFrame:
         asked = self.embedder.embed([question])[0]
+        if self.backend is not None:
+            return retrieve.vector_hits(self.backend.search(asked, 10))
         if self.s.vector_index == "ivf" and self.s.vector_metric == "l2":
             return retrieve.vector_hits(self._near(asked))
         return retrieve.vector_hits(vectors.search(self.table("vectors"), asked, 10, self.s.vector_metric))

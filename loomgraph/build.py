@@ -72,9 +72,9 @@ def _tables(edges: DataFrame, concepts: DataFrame, settings: Settings) -> dict[s
 
 
 def compile_base(
-    spark: SparkSession, settings: Settings, client: LLMClient | None = None, embedder: EmbeddingClient | None = None, force: bool = False, loaders: Loaders | None = None, tokenizer=None
+    spark: SparkSession, settings: Settings, client: LLMClient | None = None, embedder: EmbeddingClient | None = None, force: bool = False, loaders: Loaders | None = None, tokenizer=None, backend: vectors.VectorStoreBackend | None = None
 ) -> BuildResult:
-    """One incremental build. Files that fail are skipped and tried again next time."""
+    """One incremental build. Files that fail are skipped and tried again next time. A backend gets the changes of the vectors too."""
     ship(spark)
     store = Store(spark, settings.out_dir)
     store.pin()
@@ -127,7 +127,7 @@ def compile_base(
         kept = stored.join(replaced, "source_file", "left_anti").filter(F.size("embedding") == dim)
         kept = kept.limit(0) if force else kept
         # sources that lose their vectors, also those of the other dimension, are embedded again
-        lost = replaced.unionByName(stored.filter(F.size("embedding") != dim).select("source_file")).distinct()
+        lost = materialise(replaced.unionByName(stored.filter(F.size("embedding") != dim).select("source_file")).distinct(), "lost")
         ends = graph.source_nodes(tables["edges"].join(lost, "source_file", "left_semi"))
         said = ends.join(tables["nodes"].select(F.col("name").alias("node"), "description"), "node").select("source_file", "node", "description")
         held = store.read_cache("embedding_cache", vectors.CACHE) if settings.enable_embed_cache else None
@@ -139,6 +139,9 @@ def compile_base(
             keys = keys if held is None else keys.join(held, "key", "left_anti")
             materialise(keys, "fresh").write.mode("append").parquet(f"{store.out}/embedding_cache")
         tables["vectors"] = materialise(vectors.upsert(kept, vectors.index_nodes(said, embedded)), "vectors")
+        if backend is not None:
+            backend.delete_by_source(lost)
+            backend.index_nodes(materialise(said, "said"), embedded)
         progress.update_vector(indexed=tables["vectors"].select("node").distinct().count(), flush=True)
         progress.stage("index")
         ts = now()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -289,22 +290,60 @@ class _Java(_Walk):
             self.bodies[end + 1] = ("constant", t)
 
 
+def _error(lines: list[str]) -> SyntaxError | None:
+    try:
+        ast.parse("\n".join(lines))
+    except SyntaxError as e:
+        return e
+    return None
+
+
+def _make_plain(lines: list[str], at: int, first: int, e: SyntaxError) -> bool:
+    """Put a plain line in place of the one with the error; False if there is none with text from `first` on."""
+    while at > first and not lines[at].strip():
+        at -= 1  # an error at the end belongs to the last line with text
+    line = lines[at]
+    if not line.strip():
+        return False
+    indent = line[: len(line) - len(line.lstrip())]
+    plain = f"{indent}if True:" if line.rstrip().endswith(":") else f"{indent}pass"
+    lines[at] = "" if line == plain or isinstance(e, IndentationError) and "unindent" in str(e) else plain
+    return True
+
+
+def _mend(lines: list[str]) -> None:
+    """Make the lines with errors plain, a few statements of the outermost level at a time, so a file of many such lines takes linear time."""
+    tops = [i for i, x in enumerate(lines) if x[:1].strip() and not x.startswith((")", "]", "}", "#", "elif", "else", "except", "finally"))] + [len(lines)]
+    last, at, width = len(tops) - 1, 0, 1
+    while at < last:
+        end = min(at + width, last)
+        e = _error(lines[tops[at] : tops[end]])
+        if e is None:
+            at, width = end, 2 * width
+            continue
+        line = tops[at] + min(max((e.lineno or 1) - 1, 0), tops[end] - tops[at] - 1)
+        top = bisect_right(tops, line) - 1
+        if top > at and _error(lines[tops[at] : tops[top]]) is None:
+            at, width = top, 1
+        elif end < last and ("never closed" in str(e) or "unterminated triple" in str(e)):
+            width = 2 * (end - at)  # it may be closed later
+        elif _make_plain(lines, line, tops[at], e):
+            width = 1
+        else:
+            return
+
+
 def parse_python(text: str) -> ast.Module:
     """The syntax tree; a line that can't be parsed is left out (a block's head becomes a plain one), the rest stays."""
     lines = text.split("\n")
-    for _ in range(2 * len(lines) + 1):
+    if _error(lines) is not None:
+        _mend(lines)
+    for _ in range(2 * len(lines) + 1):  # what spans statements of the outermost level, such as a try without its end, is left
         try:
             return ast.parse("\n".join(lines))
         except SyntaxError as e:
-            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
-            while at > 0 and not lines[at].strip():
-                at -= 1  # an error at the end belongs to the last line with text
-            line = lines[at]
-            if not line.strip():
+            if not _make_plain(lines, min(max((e.lineno or 1) - 1, 0), len(lines) - 1), 0, e):
                 break
-            indent = line[: len(line) - len(line.lstrip())]
-            plain = f"{indent}if True:" if line.rstrip().endswith(":") else f"{indent}pass"
-            lines[at] = "" if line == plain or isinstance(e, IndentationError) and "unindent" in str(e) else plain
     return ast.Module([], [])
 
 

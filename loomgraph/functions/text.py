@@ -89,7 +89,7 @@ def citations(text: Column) -> Column:
 
 def community_summary(members: Column, size: Column) -> Column:
     head = F.array_join(F.slice(members, 1, 10), ", ")
-    return F.concat(F.lit("Community of: "), head, F.when(size > 10, F.concat(F.lit(" (+"), (size - 10).cast("string"), F.lit(" more)"))).otherwise(""))
+    return F.concat(F.lit("Community of: "), head, F.when(size > 10, F.concat(F.lit(" 等 "), size.cast("string"), F.lit(" 个节点"))).otherwise(""))
 
 
 def schema_number(version: Column) -> Column:

@@ -132,11 +132,19 @@ def delete_sources(vectors: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 class VectorStoreBackend(Protocol):
-    """What a store of vectors of one's own must do; TableStore is the default."""
+    """What a store of vectors of one's own must do. A build tells it what its version of the table `vectors` changes.
 
-    def delete_by_source(self, sources: DataFrame) -> None: ...
+    Both calls come before the version is committed and may come again for the same sources, if the build fails after them.
+    """
+
+    def delete_by_source(self, sources: DataFrame) -> None:
+        """sources (source_file): all their vectors go; those that stay are indexed after this call."""
 
-    def index_nodes(self, nodes: DataFrame, embedded: DataFrame) -> None: ...
+    def index_nodes(self, nodes: DataFrame, embedded: DataFrame) -> None:
+        """nodes (source_file, node, description) and embedded (text, embedding), one row a text."""
+
+    def search(self, query: list[float], k: int = 10) -> DataFrame:
+        """The k nearest, with the columns of the function `search`."""
 
 
 class TableStore:
@@ -151,6 +159,9 @@ class TableStore:
     def index_nodes(self, nodes: DataFrame, embedded: DataFrame) -> None:
         self.vectors = upsert(self.vectors, index_nodes(nodes, embedded))
 
+    def search(self, query: list[float], k: int = 10) -> DataFrame:
+        return search(self.vectors, query, k)
+
 
 def list_ids(vectors: DataFrame) -> DataFrame:
     return vectors.select("id")

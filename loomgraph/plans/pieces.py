@@ -269,7 +269,7 @@ def _by_region(spark: SparkSession, d: str) -> DataFrame:
   g AS (SELECT id, CAST(count(*) AS INTEGER) AS size, sha256(string_agg(node, ',' ORDER BY node)) AS members, string_agg(node, ', ' ORDER BY node) FILTER (WHERE rn <= 10) AS ten FROM r GROUP BY id),
   e AS (SELECT head AS node, source_file FROM triples UNION SELECT tail, source_file FROM triples),
   f AS (SELECT id, source_file FROM m JOIN e USING (node) UNION SELECT id, 'nation' FROM m JOIN e USING (node))
-  SELECT id, size, members, 'Community of: ' || ten || CASE WHEN size > 10 THEN ' (+' || (size - 10) || ' more)' ELSE '' END AS summary, files FROM g
+  SELECT id, size, members, 'Community of: ' || ten || CASE WHEN size > 10 THEN ' 等 ' || size || ' 个节点' ELSE '' END AS summary, files FROM g
   LEFT JOIN (SELECT id, string_agg(source_file, ',' ORDER BY source_file) AS files FROM f GROUP BY id) USING (id)""")
 def community_table(spark: SparkSession, d: str) -> DataFrame:
     edges = triples(spark, d)

@@ -4,6 +4,8 @@ from loomgraph.answer import ColdStartError, Session
 from loomgraph.build import compile_base, replay
 from loomgraph.cli import main
 from loomgraph.config import Settings
+from loomgraph.extract.clients import OfflineClient
+from loomgraph.operators import vectors
 from loomgraph.snapshot import Store, graphml, node_link_json
 from loomgraph.streaming.watch import Watch
 
@@ -74,6 +76,25 @@ def test_moved_file_is_known_and_keeps_its_new_path(spark, base, tmp_path):
     assert ("sub/a.md", "Transformer", "uses", "Attention") in edges and not [e for e in edges if e[0] == "a.md"]
 
 
+def test_backend_follows_builds_and_answers(spark, base, tmp_path):
+    own = vectors.TableStore(vectors.empty(spark))
+    rows = lambda df: sorted((r["id"], r["document"], r["embedding"]) for r in df.collect())
+    compile_base(spark, base, backend=own)
+    assert rows(own.vectors) == rows(Store(spark, base.out_dir).read("vectors")) != []
+    (tmp_path / "raw" / "a.md").unlink()
+    (tmp_path / "raw" / "b.txt").write_text("Python uses Indentation.")
+    compile_base(spark, base, backend=own)
+    assert rows(own.vectors) == rows(Store(spark, base.out_dir).read("vectors"))
+    compile_base(spark, base, embedder=OfflineClient(32), backend=own)  # nothing changed, so nothing is embedded again
+    compile_base(spark, base, embedder=OfflineClient(32), force=True, backend=own)
+    assert {len(e) for _, _, e in rows(own.vectors)} == {32} and rows(own.vectors) == rows(Store(spark, base.out_dir).read("vectors"))
+    got = Session(spark, base, embedder=OfflineClient(32), backend=own)._vector("Python").collect()
+    assert got and [tuple(r) for r in got] == [tuple(r) for r in Session(spark, base, embedder=OfflineClient(32))._vector("Python").collect()]
+    asked = []
+    own.search = lambda query, k=10: asked.append(len(query)) or vectors.search(own.vectors, query, k)
+    assert Session(spark, base, embedder=OfflineClient(32), backend=own).recall("What is Python?", "ask") and asked == [32]
+
+
 def test_broken_route_stops_no_other(spark, base):
     compile_base(spark, base)
     session = Session(spark, base)

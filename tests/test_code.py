@@ -1,6 +1,9 @@
 """Definitions and calls of JavaScript and Java, in the forms that a search for names alone gets wrong."""
 
-from loomgraph.extract.code import extract_code
+import ast
+import time
+
+from loomgraph.extract.code import extract_code, parse_python
 
 
 def structure(path, text):
@@ -79,3 +82,14 @@ def test_broken_text_ends():
     for text in ("", "class", "class A {", "function f(", "f(", "`${", "`", "\"", "/", "}})", "a.", "new", "class A { m() {", "${`", "/*"):
         extract_code("x.js", text)
         extract_code("x.java", text)
+
+
+def test_python_with_many_broken_lines_takes_linear_time():
+    began = time.time()
+    tree = parse_python("\n".join(f"def f{i}(x):\n    print 'x{i}'\n    return g{i}(x)\n" for i in range(4000)))
+    assert len(tree.body) == 4000 and all(ast.unparse(f.body[1]).startswith("return g") for f in tree.body)
+    assert time.time() - began < 20  # all lines anew for each error would take minutes
+    kept = ast.unparse(parse_python('class A:\n    """doc\nmore (\nif so:\n    """\n    def m(self):\n        print "x"\n        return g()\n\nx = (1,\n2,\n)\nexec "a"\ndef h():\n    try:\n        pass\n    except E, e:\n        k()\n\ndef z():\n    w()\n'))
+    assert all(x in kept for x in ("if so:", "return g()", "x = (1, 2)", "def z():", "w()"))
+    assert [n.name for n in parse_python("try:\n    pass\nprint 'x'\ndef q():\n    pass\n").body if isinstance(n, ast.FunctionDef)] == ["q"]
+    assert parse_python("y = (1\n").body is not None and parse_python("").body == []
