@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,70 +41,81 @@ def fuzzy_candidates(entities: DataFrame, names: DataFrame, cutoff: float) -> Da
     return band.join(known, "len").select("entity_norm", "norm")
 
 
-#: Marks that two names must have in common among their rarest for the index to bring them together.
-SHARED_MARKS = 2
+#: Characters of a block of names and of a block of entities: what one task holds of either at a time.
+NAME_CHARS, ENTITY_CHARS, SCORES = 1 << 19, 1 << 17, 1 << 23
 
 
-def _least_common(a: Column, b: Column, cutoff: float) -> Column:
-    """Characters that names of these lengths have in common at least when 2 * M / (a + b) reaches the cutoff."""
-    return F.ceil((a + b) * cutoff / 2 - 1e-9).cast("int")
+def _blocked(rows: DataFrame, chars: int, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """rows (norm) with length and block, and the number of blocks of each length; a block holds about `chars` characters."""
+    rows = materialise(rows.select("norm", F.length("norm").alias(f"{prefix}_len")), prefix)
+    size = rows.groupBy(f"{prefix}_len").agg(F.ceil(F.count(F.lit(1)) * F.col(f"{prefix}_len") / chars).alias("n"))
+    block = F.pmod(F.xxhash64("norm"), F.col("n")).alias(f"{prefix}_block")
+    return rows.join(F.broadcast(size), f"{prefix}_len").select("norm", f"{prefix}_len", block), size
 
 
-def _marks(names: DataFrame) -> DataFrame:
-    """(norm, m): each name's characters as marks, the second `a` of a name being another mark than its first.
+def _marks(names: pa.ChunkedArray, size: int) -> np.ndarray:
+    """A row for each name of this many characters: these as sorted marks, the second `a` of a name being another mark than its first.
 
     The multiset of characters becomes a set, so common characters are the common marks.
     """
-    each = names.select("norm", F.posexplode(F.array_sort(F.split("norm", ""))).alias("i", "c")).filter("c != ''")
-    first = Window.partitionBy("norm", "c").orderBy("i")
-    return each.select("norm", F.concat("c", F.row_number().over(first).cast("string")).alias("m"))
+    code = np.sort(np.frombuffer("".join(names.to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, size), axis=1)
+    place = np.broadcast_to(np.arange(size), code.shape)
+    starts = np.concatenate((np.ones((len(code), 1), bool), code[:, 1:] != code[:, :-1]), axis=1)
+    nth = place - np.maximum.accumulate(np.where(starts, place, 0), axis=1)
+    return (code.astype(np.int64) << 32) | nth
+
+
+def _incidence(marks: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the known marks each row has, as 0 and 1."""
+    at = np.minimum(np.searchsorted(known, marks), len(known) - 1)
+    row, column = np.nonzero(known[at] == marks)
+    out = np.zeros((len(marks), len(known)), np.float32)
+    out[row, at[row, column]] = 1
+    return out
+
+
+def _common_enough(cutoff: float):
+    """Pairs of a block of entities and a block of names with enough common marks, counted by products of 0-1 matrices."""
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        schema, out = pa.schema([("entity_norm", pa.string()), ("norm", pa.string())]), []
+        if asked.num_rows and known.num_rows:
+            a, b = asked["asked_len"][0].as_py(), known["known_len"][0].as_py()
+            # two names of lengths a and b reach the cutoff by 2 * M / (a + b) with M common characters
+            least = np.ceil((a + b) * cutoff / 2 - 1e-9)
+            entity, name = asked["norm"].combine_chunks(), known["norm"].combine_chunks()
+            mine, theirs = _marks(asked["norm"], a), _marks(known["norm"], b)
+            every = np.unique(mine)
+            mine, step = _incidence(mine, every), max(1, SCORES // len(every))
+            for i in range(0, len(theirs), step):
+                part = np.ascontiguousarray(_incidence(theirs[i : i + step], every).T)
+                rows = max(1, SCORES // part.shape[1])
+                for j in range(0, len(mine), rows):
+                    hit = np.flatnonzero(mine[j : j + rows] @ part >= least)
+                    if len(hit):
+                        x, y = np.divmod(hit, part.shape[1])
+                        out.append(pa.RecordBatch.from_arrays([entity.take(pa.array(x + j)), name.take(pa.array(y + i))], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
-
-def name_index(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(norm, marks) of all names, rarest mark first, and (m, df) of all marks: the index that `similar_names` asks.
-
-    There are at most as many marks as characters in use times the repeats in one name.
-    """
-    marks = materialise(_marks(names.select("norm").distinct()), "marks")
-    seen = materialise(marks.groupBy("m").agg(F.count(F.lit(1)).alias("df")), "mark-counts")
-    return materialise(_by_rarity(marks, seen), "names"), seen
-
-
-def _by_rarity(marks: DataFrame, seen: DataFrame) -> DataFrame:
-    ranked = marks.join(seen, "m", "left").groupBy("norm").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "m"))).alias("x"))
-    return ranked.select("norm", F.transform("x", lambda x: x["m"]).alias("marks"))
-
-
-def _keyed(rows: DataFrame, cutoff: float) -> DataFrame:
-    """rows with key: each pair of marks among the rarest of a name.
-
-    Two names with t common marks have SHARED_MARKS of them among the first n - t + SHARED_MARKS of either name, in any
-    one order of marks. t is least for the shortest partner in the length band. A name too short for that has its single marks too.
-    """
-    n = F.size("marks")
-    low, _ = length_band(n, cutoff)
-    keep = F.least(n, n - _least_common(n, low, cutoff) + SHARED_MARKS)
-    rows = rows.withColumn("first", F.slice("marks", F.lit(1), keep))
-    pairs = F.flatten(F.transform("first", lambda a, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda b: F.array_join(F.array_sort(F.array(a, b)), " "))))
-    # where one common mark is enough, no pair is promised
-    alone = F.when(_least_common(n, low, cutoff) < SHARED_MARKS, F.col("first")).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("key", F.explode(F.concat(pairs, alone))).drop("first")
+    return run
 
 
 def fuzzy_survivors(entities: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
     """(entity_norm, norm) that share enough characters and are of fitting lengths: all pairs that can reach the cutoff.
 
-    Similarity counts matched characters, which are common marks. Candidates meet on pairs of rare marks and are
-    counted then; a common pair of marks is dealt to as many tasks as there are names, never through a length alone.
+    Similarity counts matched characters, which are common marks. Entities and names are dealt to blocks of one length;
+    blocks of fitting lengths meet, each pair of blocks in one group, and a pair of names meets once. The pairs can be as
+    many as entities times names, but a task holds two blocks only.
     """
-    index, seen = name_index(names)
     asked = entities.select(normalize_entity(F.col("name")).alias("norm")).filter("norm != ''").distinct()
-    wanted = materialise(_by_rarity(_marks(asked), seen), "asked")
-    left = _keyed(wanted, cutoff).select(F.col("norm").alias("entity_norm"), F.col("marks").alias("asked"), "key")
-    low, high = length_band(F.size("asked"), cutoff)
-    n = F.size("marks")
-    fits = n.between(low, high) & (F.size(F.array_intersect("asked", "marks")) >= _least_common(F.size("asked"), n, cutoff))
-    return left.join(_keyed(index, cutoff), "key").filter(fits).select("entity_norm", "norm").distinct()
+    asked, asked_sizes = _blocked(asked, ENTITY_CHARS, "asked")
+    known, known_sizes = _blocked(names.select("norm").distinct(), NAME_CHARS, "known")
+    low, high = length_band(F.col("asked_len"), cutoff)
+    meet = asked_sizes.withColumnRenamed("n", "asked_n").join(F.broadcast(known_sizes), F.col("known_len").between(low, high))
+    meet = meet.select("asked_len", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked_n") - 1)).alias("asked_block"), "known_len", "n")
+    meet = materialise(meet.select("asked_len", "asked_block", "known_len", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("known_block")), "meetings")
+    left, right = asked.join(meet, ["asked_len", "asked_block"]), known.join(meet, ["known_len", "known_block"])
+    return left.groupBy(*meet.columns).cogroup(right.groupBy(*meet.columns)).applyInArrow(_common_enough(cutoff), "entity_norm string, norm string")
 
 
 def _similar(cutoff: float):

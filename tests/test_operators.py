@@ -1,9 +1,11 @@
 import difflib
 import json
+import math
 import os
 import random
 import time
 import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -357,3 +359,19 @@ def test_vector_index_recall_and_hot_cells(spark, monkeypatch):
     hit = [r for r in got if (r["query"], r["id"]) in want]
     assert len(got) == 450 and len(hit) >= 0.9 * len(want) and all(r["distance"] == pytest.approx(want[r["query"], r["id"]]) for r in hit)
     assert ann.fit(rows.limit(0)) is None
+
+
+def test_fuzzy_pairs_of_many_blocks_meet_once(spark, monkeypatch):
+    """Blocks of a few names, products of a few scores: every pair with enough common characters, and none twice."""
+    for name, size in (("NAME_CHARS", 40), ("ENTITY_CHARS", 30), ("SCORES", 50)):
+        monkeypatch.setattr(retrieve, name, size)
+    rng = random.Random(3)
+    names = ["".join(rng.choices("ab12é的😀 ", k=rng.choice((1, 2, 5, 9, 10)))) for _ in range(300)] + ["x" * 700]
+    asked = names[::9] + ["x" * 690 + "y" * 10, "", "a"]
+    frame = lambda some: spark.createDataFrame([(x,) for x in some], "name string")
+    for cutoff in (0.5, 0.8, 1.0):
+        got = sorted(map(tuple, retrieve.fuzzy_survivors(frame(asked), retrieve.normalized_nodes(frame(names)), cutoff).collect()))
+        clean = lambda some: {" ".join(x.split()) for x in some} - {""}
+        count = lambda a, b: sum((Counter(a) & Counter(b)).values())
+        band = lambda a, b: max(1, math.ceil(len(a) * cutoff / (2 - cutoff) - 1e-9)) <= len(b) <= math.floor(len(a) * (2 - cutoff) / cutoff + 1e-9)
+        assert got == sorted((a, b) for a in clean(asked) for b in clean(names) if band(a, b) and count(a, b) >= math.ceil((len(a) + len(b)) * cutoff / 2 - 1e-9))
