@@ -26,6 +26,8 @@ SYSTEM = "You are given names of things that belong together. Say what unites th
 
 #: Pairs that one task holds as arrays, some 100 bytes each; it decides where the work is done, not the result.
 ONE_TASK = 2_000_000
+#: Nodes whose labels are sent to all tasks in each round, 16 bytes each; those of more nodes are joined by shuffles.
+SENT_NODES = 2_000_000
 IDLE_ROUNDS, LEAST_GAIN = 4, 1e-9
 _U = np.uint64
 
@@ -129,14 +131,19 @@ def leiden_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, seed: int
     total = w.sum()
     if not total:
         return np.zeros(n, np.int64)
-    top, label, reached, ends = np.arange(n), np.arange(n), -np.inf, (a, b)
+    return _parts_arrays(a, b, _levels_arrays(a, b, w, np.arange(n), total, -np.inf, seed))
+
+
+def _levels_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, label: np.ndarray, total: float, reached: float, seed: int) -> np.ndarray:
+    """The labels that all levels reach from these, which have modularity `reached`; links (a, b, w) go both ways, self-loops once, doubled."""
+    top = np.arange(len(label))
     while True:
         size = len(label)
         degree, loop = np.bincount(a, w, size), a == b
         x, y, v = a[~loop], b[~loop], w[~loop]
         found, q = _settle_arrays(x, y, v, label, degree, total, w[loop].sum(), seed)
         if q <= reached + LEAST_GAIN:
-            return _parts_arrays(*ends, label[top])
+            return label[top]
         reached, label = q, found
         same = label[x] == label[y]
         fine, _ = _settle_arrays(x[same], y[same], v[same], np.arange(size), degree, total, w[loop].sum(), seed)
@@ -183,16 +190,24 @@ def rank_labels(label: np.ndarray) -> np.ndarray:
 
 
 def _settle(links: DataFrame, label: DataFrame, total: float, loops: float, seed: int) -> tuple[DataFrame, float]:
-    """As _settle_arrays: links (a, b, w) without self-loops, label (node, label, degree)."""
+    """As _settle_arrays: links (a, b, w) without self-loops, label (node, label, degree).
+
+    Links are dealt to partitions by their first end once and kept there, each node with a link of weight 0 to itself for its
+    own label. So a round moves labels and masses of nodes, but no links, to where they are asked for.
+    """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = F.broadcast if label.count() <= SENT_NODES else lambda df: df
+    own = label.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("w"))
+    held = links.select("a", "b", "w").unionByName(own).join(label.select(F.col("node").alias("a"), "degree"), "a").repartition(parts, "a").persist()
     best, most, idle, k = label, float("-inf"), 0, 0
     while True:
         mass = label.groupBy("label").agg(F.sum("degree").alias("mass"))
-        to = links.join(label.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", "w")
-        to = to.unionByName(label.select("node", "label", F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
-        to = to.join(label.select("node", F.col("label").alias("own"), "degree"), "node").join(mass, "label")
-        stays = F.col("label") == F.col("own")
+        to = held.join(small(label.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node"), "label")
+        to = to.agg(F.sum("w").alias("w"), F.max(F.col("a") == F.col("b")).alias("stays"), F.max("degree").alias("degree")).join(small(mass), "label")
+        stays = F.col("stays")
         to = to.withColumn("gain", F.col("w") - F.col("degree") * (F.col("mass") - F.when(stays, F.col("degree")).otherwise(0.0)) / total)
-        choice = to.groupBy("node").agg(F.max_by("label", F.struct("gain", F.xxhash64("label"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(stays, F.col("gain"))).alias("now"), F.max(F.when(stays, F.col("w"))).alias("inside"), F.first("own").alias("own"), F.first("degree").alias("degree"))
+        mine = lambda c: F.max(F.when(stays, F.col(c)))
+        choice = to.groupBy("node").agg(F.max_by("label", F.struct("gain", F.xxhash64("label"))).alias("to"), F.max("gain").alias("gain"), mine("gain").alias("now"), mine("w").alias("inside"), mine("label").alias("own"), F.max("degree").alias("degree"))
         choice = materialise(choice, "choice")
         wants = F.col("gain") > F.col("now") + LEAST_GAIN
         one = choice.agg(F.sum("inside").alias("inside"), F.count_if(wants).alias("wants")).first()
@@ -203,12 +218,26 @@ def _settle(links: DataFrame, label: DataFrame, total: float, loops: float, seed
         else:
             idle += 1
         if not one["wants"] or idle == IDLE_ROUNDS:
+            held.unpersist()
             return best, most
         turn = F.xxhash64("node", F.lit(k + seed).cast("long")).bitwiseAND(F.lit(1)) == 0
-        label = materialise(choice.select("node", F.when(turn & wants, F.col("to")).otherwise(F.col("own")).alias("label"), "degree"), "labels")
+        label = choice.select("node", F.when(turn & wants, F.col("to")).otherwise(F.col("own")).alias("label"), "degree")
         k += 1
 
 
+def _levels_task(total: float, reached: float, seed: int):
+    """The levels that are left, for links (a, b, w) and labels (a, null, label) of nodes 0, 1, ..."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(list(frames))
+        of, links = whole[whole["b"].isna()].sort_values("a"), whole[whole["b"].notna()]
+        arrays = (links["a"].to_numpy(np.int64), links["b"].to_numpy(np.int64), links["w"].to_numpy(float))
+        label = _levels_arrays(*arrays, of["w"].to_numpy(np.int64), total, reached, seed)
+        yield pd.DataFrame({"node": np.arange(len(label)), "label": label})
+
+    return run
+
+
 def _renamed(links: DataFrame, of: DataFrame) -> DataFrame:
     """links between the parts that of (node, part) gives."""
     ends = links.join(of.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
@@ -240,8 +269,11 @@ def connected_parts(member: DataFrame, pairs: DataFrame) -> DataFrame:
     return low
 
 
-def leiden_frames(nodes: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
-    """(node, id) for nodes (name) and pairs (a, b, weight), by the same steps as leiden_arrays."""
+def leiden_frames(nodes: DataFrame, pairs: DataFrame, seed: int = 42, one_task: int = 0) -> DataFrame:
+    """(node, id) for nodes (name) and pairs (a, b, weight), by the same steps as leiden_arrays.
+
+    Parts have far fewer links than nodes: levels of at most one_task links and parts are worked on with arrays.
+    """
     name = materialise(numbered(nodes.select(F.col("name").alias("node")), ["node"], "i").select("node", (F.col("i") - 1).alias("i")), "numbers")
     w = F.col("weight").cast("double")
     ends = pairs.filter("weight > 0").join(name.select(F.col("node").alias("a"), F.col("i").alias("x")), "a").join(name.select(F.col("node").alias("b"), F.col("i").alias("y")), "b")
@@ -254,6 +286,10 @@ def leiden_frames(nodes: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFra
     label = name.select(F.col("i").alias("node"), F.col("i").alias("label"))
     member, reached = name.select(F.col("i").alias("node"), F.col("i").alias("top")), float("-inf")
     while True:
+        if max(label.count(), links.count()) <= one_task:
+            state = links.select("a", "b", "w").unionByName(label.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.col("label").cast("double").alias("w")))
+            label = materialise(state.coalesce(1).mapInPandas(_levels_task(total, reached, seed), "node long, label long"), "labels")
+            break
         degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
         label = materialise(label.join(degree, "node", "left").select("node", "label", F.coalesce("degree", F.lit(0.0)).alias("degree")), "labels")
         loops = links.filter("a = b").agg(F.sum("w")).first()[0] or 0.0
@@ -290,7 +326,7 @@ def membership(nodes: DataFrame, edges: DataFrame, strategy: str = "sum", seed:
     if n < 2:
         return nodes.select(F.col("name").alias("node"), F.lit(0).alias("id")).limit(0)
     if max(n, pairs.count()) > one_task:
-        return leiden_frames(nodes, pairs, seed)
+        return leiden_frames(nodes, pairs, seed, one_task)
     alone = nodes.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(0).cast("long").alias("weight"))
     return pairs.select("a", "b", "weight").unionByName(alone).coalesce(1).mapInPandas(_leiden_task(seed), "node string, id int")
 

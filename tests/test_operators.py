@@ -375,3 +375,13 @@ def test_fuzzy_pairs_of_many_blocks_meet_once(spark, monkeypatch):
         count = lambda a, b: sum((Counter(a) & Counter(b)).values())
         band = lambda a, b: max(1, math.ceil(len(a) * cutoff / (2 - cutoff) - 1e-9)) <= len(b) <= math.floor(len(a) * (2 - cutoff) / cutoff + 1e-9)
         assert got == sorted((a, b) for a in clean(asked) for b in clean(names) if band(a, b) and count(a, b) >= math.ceil((len(a) + len(b)) * cutoff / 2 - 1e-9))
+
+
+def test_small_levels_of_a_large_graph_are_finished_with_arrays(spark, monkeypatch):
+    rng, seen, make = np.random.default_rng(5), [], community._levels_task
+    ends = rng.integers(0, 12, (150, 2)) + 12 * rng.integers(0, 5, (150, 1))
+    e = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in ends.tolist()] + [("n0", "n12"), ("n12", "n24")], "head string, tail string")
+    nodes = e.select(F.explode(F.array("head", "tail")).alias("name"))
+    monkeypatch.setattr(community, "_levels_task", lambda *state: seen.append(state) or make(*state))
+    one, many = (sorted(map(tuple, community.membership(nodes, e, one_task=limit).collect())) for limit in (1000, 80))
+    assert one == many and len(seen) == 1
