@@ -210,14 +210,19 @@ def hit_confidence() -> Column:
     return F.coalesce(F.col("triple.confidence"), F.col("concept.confidence"), F.lit("EXTRACTED"))
 
 
-def dedup_hits(hits: DataFrame) -> DataFrame:
-    """The first hit of each key; the route is part of triple and concept keys, empty hits vanish."""
+def _hit_key() -> list[Column]:
+    """What makes two hits the same; the first column is null for empty hits."""
     t, c, s = F.col("triple"), F.col("concept"), F.col("community_summary")
     kind = F.when(t.isNotNull(), "t").when(s.isNotNull(), "s").when(c.isNotNull(), "c")
     one = F.when(kind == "t", t["head"]).when(kind == "s", s).otherwise(c["name"])
-    edge = [F.when(kind == "t", t[x]) for x in ("relation", "tail", "source_file")]
-    first = Window.partitionBy(kind, one, *edge, F.when(kind != "s", F.col("source"))).orderBy("pos")
-    return hits.filter(kind.isNotNull()).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    return [kind, one, *[F.when(kind == "t", t[x]) for x in ("relation", "tail", "source_file")], F.when(kind != "s", F.col("source"))]
+
+
+def dedup_hits(hits: DataFrame) -> DataFrame:
+    """The first hit of each key; the route is part of triple and concept keys, empty hits vanish."""
+    key = _hit_key()
+    first = Window.partitionBy(*key).orderBy("pos")
+    return hits.filter(key[0].isNotNull()).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
 def budget(ranked: DataFrame, tokens: Column, most: int, order: list, spent: int = 0) -> DataFrame:
@@ -260,7 +265,11 @@ def _bound(rows: DataFrame, column: str, most: int, smallest: bool) -> tuple[flo
 
 def first_hits(ranked: DataFrame, most: int) -> DataFrame:
     """At least the first `most` rows by weighted (largest first) and pos, and not many more; no total order of all rows."""
-    keys = materialise(ranked.select("weighted", "pos"), "weights")
+    return _cut(ranked, materialise(ranked.select("weighted", "pos"), "weights"), most)
+
+
+def _cut(ranked: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """first_hits of rows whose weighted and pos are stored as keys."""
     weight, before, many = _bound(keys, "weighted", most, smallest=False)
     if weight is None:
         return ranked
@@ -270,12 +279,37 @@ def first_hits(ranked: DataFrame, most: int) -> DataFrame:
     return ranked.filter((F.col("weighted") > weight) | ((F.col("weighted") == weight) & (F.col("pos") <= int(pos))))
 
 
+#: How many times more hits than are wanted fusion looks at before it deduplicates all.
+LOOKS = (2, 16)
+
+
+def _first_fused(hits: DataFrame, most: int) -> DataFrame:
+    """At least the first `most` of the deduplicated hits (weighted, line) by weighted and pos, and not many more.
+
+    The best hits of all are taken, and all hits with their keys tell which of them come first. Where repeats
+    leave too few, more are taken, and at last all hits are deduplicated.
+    """
+    key = _hit_key()
+    line = render_hit(F.col("triple"), F.col("concept"), F.col("community_summary"))
+    rows = hits.filter(key[0].isNotNull()).withColumns({"weighted": confidence_weight(hit_confidence()) * F.col("score"), "line": line, "__key": F.xxhash64(*key)})
+    keys = materialise(rows.select("weighted", "pos"), "weights")
+    n = keys.count()
+    for times in LOOKS:
+        if n <= times * most:
+            break
+        best = _cut(rows, keys, times * most).select("__key").distinct()
+        near = rows.join(F.broadcast(materialise(best, "best-keys")), "__key", "left_semi")  # whole keys, so what is first stays first
+        found = materialise(_cut(dedup_hits(near), keys, times * most).filter("line != ''").drop("__key"), "first-hits")
+        if found.count() >= most:
+            return found
+    ranked = dedup_hits(rows.drop("__key")).filter("line != ''")
+    return materialise(first_hits(ranked, most), "first-hits")
+
+
 def fuse(hits: DataFrame, most_tokens: int = 4000, count: Callable[[Column], Column] = quarter_count) -> DataFrame:
     """Without repeats, by confidence weight times score, cut to the budget; rank from 1."""
-    line = render_hit(F.col("triple"), F.col("concept"), F.col("community_summary"))
-    ranked = dedup_hits(hits).withColumns({"weighted": confidence_weight(hit_confidence()) * F.col("score"), "line": line}).filter("line != ''")
     # a line has a token at least, so no more than the first most_tokens rows can fit; these are some thousands
-    some = materialise(first_hits(ranked, max(1, most_tokens)), "first-hits")
+    some = _first_fused(hits, max(1, most_tokens))
     order = Window.orderBy(F.desc("weighted"), "pos")
     return budget(some.withColumn("rank", F.row_number().over(order)), count(F.col("line")), most_tokens, [F.col("rank")])
 

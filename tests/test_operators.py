@@ -385,3 +385,22 @@ def test_small_levels_of_a_large_graph_are_finished_with_arrays(spark, monkeypat
     monkeypatch.setattr(community, "_levels_task", lambda *state: seen.append(state) or make(*state))
     one, many = (sorted(map(tuple, community.membership(nodes, e, one_task=limit).collect())) for limit in (1000, 80))
     assert one == many and len(seen) == 1
+
+
+def test_fusion_deduplicates_only_keys_of_the_best_hits(spark, monkeypatch):
+    """A key's first hit counts though a later one weighs more; with many repeats on top more hits are looked at, at last all."""
+    t = "struct<head:string,relation:string,tail:string,confidence:string,source_file:string,track:string,chunk_index:int>"
+    c = "struct<name:string,description:string,source_file:string,confidence:string,node_type:string,extra:map<string,string>>"
+    seen, real = [], retrieve.dedup_hits
+    monkeypatch.setattr(retrieve, "dedup_hits", lambda x: seen.append(x.count()) or real(x))
+    for repeats, looks in ((1, 1), (60, 2), (600, 3)):
+        rows = [(1, 0.2, "a"), (2, 0.9, "a")] + [(10 + i, 0.8, "c") for i in range(repeats)] + [(1000 + i, 0.1 + (i % 3) / 100, f"n{i}") for i in range(900)]
+        hits = spark.createDataFrame([(pos, "graph", score, (head, "r", "b", "EXTRACTED", "f", "x", 0)) for pos, score, head in rows], f"pos long, source string, score double, triple {t}")
+        hits = hits.withColumns({"concept": F.lit(None).cast(c), "community_summary": F.lit(None).cast("string")})
+        first = {}
+        for pos, score, head in rows:
+            first.setdefault(head, (-score, pos, head))
+        seen.clear()
+        got = [(r["pos"], r["triple"]["head"]) for r in retrieve.fuse(hits, 30).orderBy("rank").collect()]
+        assert got and got == [(pos, head) for _, pos, head in sorted(first.values())][: len(got)] and got[:2] == [(10, "c"), (1, "a")]
+        assert len(seen) == looks and (looks == 3 or max(seen) < len(rows))
