@@ -404,3 +404,10 @@ def test_fusion_deduplicates_only_keys_of_the_best_hits(spark, monkeypatch):
         got = [(r["pos"], r["triple"]["head"]) for r in retrieve.fuse(hits, 30).orderBy("rank").collect()]
         assert got and got == [(pos, head) for _, pos, head in sorted(first.values())][: len(got)] and got[:2] == [(10, "c"), (1, "a")]
         assert len(seen) == looks and (looks == 3 or max(seen) < len(rows))
+
+
+def test_costly_work_on_a_small_file_is_dealt_to_tasks(spark):
+    """Names of one partition are read by as many tasks as shuffles have, whatever the file's bytes."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = spark.range(100).coalesce(1).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.lit("x y").alias("description"), F.lit("f").alias("source_file"), F.lit("concept").alias("node_type"))
+    assert keywords.postings(nodes).select(F.spark_partition_id()).distinct().count() == parts
