@@ -93,3 +93,13 @@ def test_python_with_many_broken_lines_takes_linear_time():
     assert all(x in kept for x in ("if so:", "return g()", "x = (1, 2)", "def z():", "w()"))
     assert [n.name for n in parse_python("try:\n    pass\nprint 'x'\ndef q():\n    pass\n").body if isinstance(n, ast.FunctionDef)] == ["q"]
     assert parse_python("y = (1\n").body is not None and parse_python("").body == []
+
+
+def test_files_of_one_partition_are_dealt_to_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.extract.code import code_track
+
+    files = spark.range(40).coalesce(1).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit(".py").alias("suffix"), F.lit("def f():\n    return g()\n").alias("text"))
+    rows = code_track(files, ("python",)).select(F.spark_partition_id().alias("p"), "source_file").collect()
+    assert len({r["source_file"] for r in rows}) == 40 and len({r["p"] for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
