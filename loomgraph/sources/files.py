@@ -16,6 +16,10 @@ from loomgraph.functions.text import relative_path, suffix
 from loomgraph.sources.pdf import pdf_text
 
 
+#: Tasks that files are read by at most, for each partition of a shuffle.
+FILE_TASKS = 8
+
+
 class Loaders:
     """Parsers of binary formats by suffix: bytes to text. Text formats need none."""
 
@@ -42,7 +46,11 @@ def scan(spark: SparkSession, raw_dir: str, formats: tuple[str, ...] = FORMATS)
         return spark.createDataFrame([], "path string, content binary, sha256 string, suffix string, size long, modified timestamp")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(raw_dir)
     root = _qualified(spark, raw_dir)
-    rows = raw.withColumn("suffix", suffix(F.col("path"))).filter(F.col("suffix").isin(*formats))
+    # the name comes from the files' metadata, so that filters on it, here and in load, leave out files before they are opened
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    rows = raw.withColumn("suffix", suffix(name)).filter(F.col("suffix").isin(*formats))
+    # Spark makes a task of some thirty small files
+    rows = rows.coalesce(FILE_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.select(relative_path(F.regexp_replace("path", "^file:/+", "file:///"), root).alias("path"), "content", F.sha2("content", 256).alias("sha256"), "suffix", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 

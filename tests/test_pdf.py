@@ -54,3 +54,13 @@ def test_files_are_loaded(spark, tmp_path):
     documents, rejects = load(scan(spark, str(tmp_path)), Loaders())
     assert [(r["path"], r["text"].split("\n")[0]) for r in documents.collect()] == [("a.pdf", "Pumps (large) use valves daily.")]
     assert [(r["path"], r["reason"]) for r in rejects.collect()] == [("b.pdf", "ValueError: not a PDF file")]
+
+
+def test_files_of_other_formats_are_not_opened(spark, tmp_path):
+    """Text files are read once, not again to look for files that need a parser; names may hold blanks and signs."""
+    for name in ("a b.md", "c+d%20.Txt", "é.md", "e.png", "md"):
+        (tmp_path / name).write_text(name)
+    files = scan(spark, str(tmp_path))
+    documents, _ = load(files)
+    assert not files.filter("suffix in ('.pdf', '.docx')").rdd.getNumPartitions()  # what load parses: no file, no task
+    assert {(r["path"], r["suffix"], r["text"]) for r in documents.collect()} == {(x, x[x.rindex(".") :].lower(), x) for x in ("a b.md", "c+d%20.Txt", "é.md")}
