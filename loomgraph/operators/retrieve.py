@@ -147,10 +147,10 @@ def fuzzy_matches(entities: DataFrame, names: DataFrame, cutoff: float = 0.8, n:
 def seeds(entities: DataFrame, nodes: DataFrame, cutoff: float = 0.8) -> DataFrame:
     """Names of nodes that match an entity, exactly or, only where that fails, by similarity."""
     names = normalized_nodes(nodes)
-    exact = exact_seeds(entities, names)
+    exact = materialise(exact_seeds(entities, names), "exact")
     out = exact.select("name")
-    if cutoff > 0:
-        rest = entities.join(exact.select(F.col("entity").alias("name")), "name", "left_anti")
+    rest = entities.join(exact.select(F.col("entity").alias("name")), "name", "left_anti")
+    if cutoff > 0 and not rest.isEmpty():
         out = out.unionByName(fuzzy_matches(rest, names, cutoff).select("norm").join(names, "norm").select("name"))
     return out.distinct()
 

@@ -411,3 +411,29 @@ def test_costly_work_on_a_small_file_is_dealt_to_tasks(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = spark.range(100).coalesce(1).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.lit("x y").alias("description"), F.lit("f").alias("source_file"), F.lit("concept").alias("node_type"))
     assert keywords.postings(nodes).select(F.spark_partition_id()).distinct().count() == parts
+
+
+def test_names_found_exactly_are_not_looked_for_by_similarity(spark, monkeypatch):
+    nodes = spark.createDataFrame([("Compressor",), ("Turbine",)], "name string")
+    monkeypatch.setattr(retrieve, "fuzzy_matches", lambda *a: pytest.fail("all names are known"))
+    asked = spark.createDataFrame([(" TURBINE",)], "name string")
+    assert [r["name"] for r in retrieve.seeds(asked, nodes).collect()] == ["Turbine"]
+
+
+def _counted(df, seen):
+    def run(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    return df.mapInPandas(run, df.schema)
+
+
+def test_each_hop_reads_the_edges_twice(spark):
+    """Once for heads and once for tails, and not again for later hops."""
+    seen = spark.sparkContext.accumulator(0)
+    edges = spark.range(100).select(F.lit("f").alias("source_file"), F.concat(F.lit("n"), "id").alias("head"), F.lit("r").alias("relation"), F.concat(F.lit("n"), F.col("id") + 1).alias("tail"), F.col("id").alias("seq"))
+    for hops in (1, 2, 3):
+        seen.value = 0
+        found = graph.expand(_counted(edges, seen), spark.createDataFrame([("n50",)], "name string"), hops)[1]
+        assert found.count() == 2 * hops and seen.value == hops * 200
