@@ -359,9 +359,9 @@ def _store(spark: SparkSession) -> Store:
 
 def _stored(spark: SparkSession, d: str) -> Store:
     """One version of all tables, from the star schema."""
-    store, edges = _store(spark), triples(spark, d)
+    store, edges = _store(spark), materialise(triples(spark, d), "edges")  # both go into several tables
     nation = table(spark, d, "nation")
-    nodes = node_table(edges)
+    nodes = materialise(node_table(edges), "nodes")
     given = community.communities(nodes, edges, _by_region(spark, d))
     words = nation.select(F.lower("n_name").alias("keyword"), F.col("n_name").alias("node"), F.lit("nation").alias("source_file"), F.lit("concept").alias("node_type"))
     vector = nation.select(F.concat(F.lit("nation::"), "n_name").alias("id"), F.lit("nation").alias("source_file"), F.col("n_name").alias("node"), F.col("n_name").alias("document"), F.array(F.lit(1.0).cast("float")).alias("embedding"))

@@ -437,3 +437,13 @@ def test_each_hop_reads_the_edges_twice(spark):
         seen.value = 0
         found = graph.expand(_counted(edges, seen), spark.createDataFrame([("n50",)], "name string"), hops)[1]
         assert found.count() == 2 * hops and seen.value == hops * 200
+
+
+def test_a_version_of_the_star_schema_derives_its_edges_once(spark, monkeypatch):
+    from loomgraph.plans import pieces
+
+    seen, d = spark.sparkContext.accumulator(0), "/root/testdata/sf0.001"
+    n = pieces.triples(spark, d).count()
+    monkeypatch.setattr(pieces, "triples", lambda spark, d, make=pieces.triples: _counted(make(spark, d), seen))
+    store = pieces._stored(spark, d)
+    assert store.read("edges").count() == n == seen.value
