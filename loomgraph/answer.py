@@ -157,4 +157,7 @@ class Session:
         self.held.clear()
 
     def counts(self) -> dict[str, int]:
-        return {t: self.table(t).count() for t in ("nodes", "edges", "vectors", "communities")} | {"keywords": self.table("keywords").select("keyword").distinct().count(), "sources": self.table("edges").agg(F.count_distinct("source_file")).first()[0]}
+        """Sizes of the tables. Whole tables are not kept for it: counts read only the columns that they need."""
+        rows = {t: self.held[t] if t in self.held else self.store.read(t) for t in ("nodes", "edges", "vectors", "communities", "keywords")}
+        distinct = {"keywords": rows.pop("keywords").select("keyword"), "sources": rows["edges"].select("source_file").filter("source_file is not null")}
+        return {t: x.count() for t, x in rows.items()} | {t: x.distinct().count() for t, x in distinct.items()}

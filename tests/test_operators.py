@@ -447,3 +447,16 @@ def test_a_version_of_the_star_schema_derives_its_edges_once(spark, monkeypatch)
     monkeypatch.setattr(pieces, "triples", lambda spark, d, make=pieces.triples: _counted(make(spark, d), seen))
     store = pieces._stored(spark, d)
     assert store.read("edges").count() == n == seen.value
+
+
+def test_counts_keep_no_tables(spark):
+    from loomgraph.answer import Session
+    from loomgraph.config import Settings
+    from loomgraph.plans import pieces
+
+    session = Session(spark, Settings(out_dir=pieces._stored(spark, "/root/testdata/sf0.001").out))
+    first = session.counts()
+    assert not session.held and first["keywords"] == first["vectors"] == 25 and first["sources"] == 4
+    session.table("edges").count()
+    assert session.counts() == first and list(session.held) == ["edges"]
+    session.close()
