@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -97,8 +98,12 @@ def chunk_words(files: DataFrame, most: int, overlap: int = 0, text: str = "text
 _BLANK = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _SINGLE = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FFF}\x{3001}-\x{30FF}\x{3100}-\x{312F}\x{31A0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}"
 LONGEST = 32
+#: Segments that one match of `chunk_segments` holds at most: Java's matcher goes a call deeper with each.
+LONGEST_RUN = 200
 LEADING, TRAILING = f"^[{_BLANK}]+", f"[{_BLANK}]+$"
 SEGMENT = f"(?:[{_SINGLE}]|[^{_BLANK}{_SINGLE}]{{1,{LONGEST}}})[{_BLANK}]*"
+#: The same for Java's matcher, which asks the ranges of a class one after the other: ASCII signs first.
+_SEGMENT = f"(?:(?:[!-~[^{_BLANK}{_SINGLE}]]{{1,{LONGEST}}}|[{_SINGLE}])[{_BLANK}]*)"
 
 
 def segments(text: Column) -> Column:
@@ -114,21 +119,27 @@ def chunk_segments(files: DataFrame, most: int, overlap: int = 0, text: str = "t
     """
     check_window(most, overlap)
     whole, step = F.col("whole"), most - overlap
+    # windows begin and end at multiples of both: so many segments are one match, so a text has few elements to look at
+    both = math.gcd(most, step)
+    run = next(n for n in range(min(both, LONGEST_RUN), 0, -1) if both % n == 0)
     some = files.select(F.col(source).alias("source_file"), F.col(text).alias("whole")).filter(whole.rlike(f"[^{_BLANK}]"))
-    cut = some.select("source_file", "whole", segments(whole).alias("w"))
-    n = F.size("w")
-    last = F.greatest(F.lit(0), F.ceil((n - most) / step)).cast("int")
+    runs = F.regexp_extract_all(whole, F.lit(f"{_SEGMENT}{{1,{run}}}"), F.lit(0))
+    cut = some.select("source_file", "whole", runs.alias("w"))
+    cut = cut.select("*", ((F.size("w") - 1) * run + F.size(segments(F.element_at("w", -1)))).alias("n"))
+    last = F.greatest(F.lit(0), F.ceil((F.col("n") - most) / step)).cast("int")
 
     def piece(k: Column) -> Column:
-        part = F.slice("w", k * step + 1, most)
-        said = F.when(n <= most, whole).otherwise(F.regexp_replace(F.array_join(part, ""), TRAILING, ""))
-        return F.struct(said.alias("text"), F.size(part).alias("token_count"), F.length(F.array_join(F.slice(part, 1, step), "")).alias("own"))
+        part = F.array_join(F.slice("w", k * (step // run) + 1, most // run), "")
+        said = F.when(F.col("n") <= most, whole).otherwise(F.regexp_replace(part, TRAILING, ""))
+        own = F.length(F.array_join(F.slice("w", k * (step // run) + 1, step // run), ""))
+        return F.struct(said.alias("text"), F.least(F.lit(most), F.col("n") - k * step).cast("int").alias("token_count"), own.alias("own"))
 
-    # pieces are cut while the text is one row; then only they go on, with the lengths of all steps for their starts
+    # pieces are cut while the text is one row; each then goes on with its own start
     cut = cut.select("source_file", F.length(F.regexp_extract(whole, LEADING, 0)).alias("lead"), F.transform(F.sequence(F.lit(0), last), piece).alias("pieces"))
-    part = cut.select("source_file", "lead", F.transform("pieces", lambda x: x["own"]).alias("owns"), F.posexplode_outer("pieces").alias("index", "p"))
-    before = F.aggregate(F.slice("owns", F.lit(1), F.col("index")), F.lit(0), lambda s, x: s + x)
-    return part.select("source_file", "index", "p.text", "p.token_count", F.when(F.size("owns") == 1, 0).otherwise(F.col("lead") + before).cast("int").alias("start"))
+    starts = F.aggregate("pieces", F.array("lead"), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["own"])))
+    starts = F.when(F.size("pieces") == 1, F.array(F.lit(0))).otherwise(starts)
+    part = cut.select("source_file", F.posexplode(F.zip_with("pieces", F.slice(starts, F.lit(1), F.size("pieces")), lambda x, at: x.withField("start", at))).alias("index", "p"))
+    return part.select("source_file", "index", "p.text", "p.token_count", "p.start")
 
 
 def chunk_tokens(files: DataFrame, most: int, overlap: int = 0, tokenizer=None, text: str = "text", source: str = "source_file") -> DataFrame:

@@ -460,3 +460,25 @@ def test_counts_keep_no_tables(spark):
     session.table("edges").count()
     assert session.counts() == first and list(session.held) == ["edges"]
     session.close()
+
+
+def test_long_texts_are_cut_into_windows(spark):
+    """Windows of all sizes equal slices of the segments; a text of many windows is not looked at anew for each."""
+    odd = "".join(chr(c) + " " * (c % 3) for c in (*range(9, 0x250), *range(0xE00, 0x1100), *range(0x1FF8, 0x2070), *range(0x2E78, 0x3130), *range(0x3FF0, 0x4E10), *range(0xFDF0, 0x10000), *range(0x1FFF0, 0x20010)))
+    texts = spark.createDataFrame([("odd", odd), ("long", "x" * 999 + " y"), ("lead", "\u3000 a b c"), ("blank", " \t")], "source_file string, text string")
+    segs = {r[0]: r[1] for r in texts.select("source_file", tk.segments(F.col("text"))).collect()}
+    whole = {r[0]: r[1] for r in texts.collect()}
+    for most, overlap in ((100, 20), (3000, 200), (7, 3), (400, 0), (3, 2)):
+        want, step = [], most - overlap
+        for name, w in segs.items():
+            lead = len(whole[name]) - len("".join(w))
+            for k in range(max(0, -((most - len(w)) // step)) + 1 if w else 0):
+                text = whole[name] if len(w) <= most else "".join(w[k * step : k * step + most])
+                at = 0 if len(w) <= most else lead + len("".join(w[: k * step]))
+                want.append((name, k, text.rstrip() if len(w) > most else text, len(w[k * step : k * step + most]), at))
+        got = tk.chunk_segments(texts, most, overlap).collect()
+        assert sorted((r[0], r[1], r[2].rstrip() if len(segs[r[0]]) > most else r[2], r[3], r[4]) for r in got) == sorted(want)
+    n = 400_000
+    big = spark.range(1).select(F.lit("big").alias("source_file"), F.repeat(F.lit("字"), n).alias("text"))
+    last = -((100 - n) // 80)
+    assert tk.chunk_segments(big, 100, 20).agg(F.sum("start")).first()[0] == 40 * last * (last + 1)
