@@ -28,6 +28,8 @@ SYSTEM = "You are given names of things that belong together. Say what unites th
 ONE_TASK = 2_000_000
 #: Nodes whose labels are sent to all tasks in each round, 16 bytes each; those of more nodes are joined by shuffles.
 SENT_NODES = 2_000_000
+#: Links that a task works on at a time, 24 bytes each; a node with more has them in one block.
+BLOCK = 250_000
 IDLE_ROUNDS, LEAST_GAIN = 4, 1e-9
 _U = np.uint64
 
@@ -79,36 +81,54 @@ def _sums(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(w, first)
 
 
-def _settle_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, label: np.ndarray, degree: np.ndarray, total: float, loops: float, seed: int) -> tuple[np.ndarray, float]:
-    """The best labels that rounds of moves over links (a, b, w) reach, and their modularity."""
+def _largest(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Where x is the largest of its group; groups lie together."""
+    first = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1))
+    return np.flatnonzero(x == np.repeat(np.maximum.reduceat(x, first), np.diff(np.concatenate((first, [len(x)])))))
+
+
+def _moves(at: np.ndarray, b: np.ndarray, w: np.ndarray, own: np.ndarray, degree: np.ndarray, total: float, label: np.ndarray, mass: np.ndarray, mark: int) -> tuple[float, bool, np.ndarray, np.ndarray]:
+    """What a round does with nodes own of these degrees: the weight inside labels, whether any node wants to move, those that do and where to.
+
+    Links (own[at], b, w) are all links of these nodes; each has one of weight 0 to itself.
+    """
     n = len(label)
+    key, weight = _sums(at * n + label[b], w)
+    node, to = key // n, key % n
+    stays = to == label[own][node]
+    gain = weight - degree[node] * (mass[to] - np.where(stays, degree[node], 0.0)) / total
+    best = _largest(gain, node)  # keys are sorted, and each node has one
+    last = best[_largest(hash_long(to[best]), node[best])]  # no two labels have one hash
+    wants = gain[last] > gain[stays] + LEAST_GAIN
+    turn = (hash_long(np.full(len(own), mark), hash_long(own)) & 1) == 0
+    return float(weight[stays].sum()), bool(wants.any()), own[turn & wants], to[last][turn & wants]
+
+
+def _rounds(step: Callable[[np.ndarray, np.ndarray, int], tuple], label: np.ndarray, degree: np.ndarray, total: float, loops: float, seed: int) -> tuple[np.ndarray, float]:
+    """The best labels that rounds of moves reach, and their modularity; step is _moves of all nodes."""
     best, most, idle, k = label, -np.inf, 0, 0
-    own = np.arange(n)
-    spread, links = hash_long(own, 42), np.concatenate((w, np.zeros(n)))
     while True:
-        mass = np.bincount(label, degree, n)
-        key, weight = _sums(np.concatenate((a * n + label[b], own * n + label)), links)
-        node, to = key // n, key % n
-        stays = to == label[node]
-        gain = weight - degree[node] * (mass[to] - np.where(stays, degree[node], 0.0)) / total
-        first = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1))  # keys are sorted, and each node has one
-        best_here = np.flatnonzero(gain == np.repeat(np.maximum.reduceat(gain, first), np.diff(np.concatenate((first, [len(node)])))))
-        ties = best_here[np.lexsort((spread[to[best_here]], node[best_here]))]
-        last = ties[np.concatenate((node[ties][1:] != node[ties][:-1], [True]))]
-        now, inside = gain[stays], weight[stays].sum()
-        wants = gain[last] > now + LEAST_GAIN
+        mass = np.bincount(label, degree, len(label))
+        inside, wants, node, to = step(label, mass, k + seed)
         q = (inside + loops) / total - float((mass / total) @ (mass / total))
         if q > most + LEAST_GAIN:
             best, most, idle = label, q, 0
         else:
             idle += 1
-        if not wants.any() or idle == IDLE_ROUNDS:
+        if not wants or idle == IDLE_ROUNDS:
             return best, most
-        turn = (hash_long(np.full(n, k + seed), hash_long(np.arange(n))) & 1) == 0
-        label = np.where(turn & wants, to[last], label)
+        label = label.copy()
+        label[node] = to
         k += 1
 
 
+def _settle_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, label: np.ndarray, degree: np.ndarray, total: float, loops: float, seed: int) -> tuple[np.ndarray, float]:
+    """The best labels that rounds of moves over links (a, b, w) reach, and their modularity."""
+    own = np.arange(len(label))
+    links = np.concatenate((a, own)), np.concatenate((b, own)), np.concatenate((w, np.zeros(len(own))))
+    return _rounds(lambda *state: _moves(*links, own, degree, total, *state), label, degree, total, loops, seed)
+
+
 def _parts_arrays(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
     """The smallest node that each node reaches by links (x, y) inside its own label."""
     same = label[x] == label[y]
@@ -189,21 +209,93 @@ def rank_labels(label: np.ndarray) -> np.ndarray:
 # DataFrames
 
 
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrays of whole nodes with all their links, some BLOCK links a row, of links (a, b, w) that are sorted by a.
+
+    A link of a node to itself brings the node's degree as its weight.
+    """
+
+    def packed(block: pd.DataFrame) -> pd.DataFrame:
+        own, at = np.unique(block["a"].to_numpy(np.int64), return_inverse=True)
+        b, w = block["b"].to_numpy(np.int64), block["w"].to_numpy(float)
+        itself = own[at] == b
+        columns = {"own": own, "degree": w[itself], "at": at.astype(np.int64), "b": b, "w": np.where(itself, 0.0, w)}
+        return pd.DataFrame({name: [x.tobytes()] for name, x in columns.items()})
+
+    rest, size, most = [], 0, BLOCK
+    for frame in frames:
+        rest.append(frame)
+        size += len(frame)
+        if size >= most:
+            whole = pd.concat(rest)
+            last = (whole["a"] == whole["a"].iloc[-1]).to_numpy()
+            if not last.all():
+                yield packed(whole[~last])
+            rest, size = [whole[last]], int(last.sum())
+            most = max(BLOCK, 2 * size)
+    if size:
+        yield packed(pd.concat(rest))
+
+
+def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            yield tuple(np.frombuffer(x, float if name in ("degree", "w") else np.int64) for name, x in zip(frame.columns, row, strict=True))
+
+
 def _settle(links: DataFrame, label: DataFrame, total: float, loops: float, seed: int) -> tuple[DataFrame, float]:
-    """As _settle_arrays: links (a, b, w) without self-loops, label (node, label, degree).
+    """As _settle_arrays: links (a, b, w) without self-loops, label (node, label, degree) of nodes 0, 1, ...
 
-    Links are dealt to partitions by their first end once and kept there, each node with a link of weight 0 to itself for its
-    own label. So a round moves labels and masses of nodes, but no links, to where they are asked for.
+    Links are dealt by their first end once and kept as arrays. So a round is one job: labels and masses of nodes are sent
+    to all tasks, and those that change come back.
     """
+    spark = links.sparkSession
+    if label.count() > SENT_NODES:
+        return _settle_joined(links, label, total, loops, seed)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), links.count() // BLOCK + 1)
+    own = label.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("degree").alias("w"))
+    held = links.select("a", "b", "w").unionByName(own).repartition(parts, "a").sortWithinPartitions("a")
+    held = held.mapInPandas(_blocks, "own binary, degree binary, at binary, b binary, w binary").persist()
+
+    def step(now: np.ndarray, mass: np.ndarray, mark: int) -> tuple[float, bool, np.ndarray, np.ndarray]:
+        sent = spark.sparkContext.broadcast((now, mass))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for nodes, degree, at, b, w in _unpacked(frames):
+                inside, wants, node, to = _moves(at, b, w, nodes, degree, total, *sent.value, mark)
+                yield pd.DataFrame({"inside": [inside], "wants": [wants], "node": [node.tobytes()], "to": [to.tobytes()]})
+
+        rows = held.mapInPandas(run, "inside double, wants boolean, node binary, to binary").collect()
+        sent.destroy()
+        node, to = (np.frombuffer(b"".join(r[c] for r in rows), np.int64) for c in ("node", "to"))
+        return sum(r["inside"] for r in rows), any(r["wants"] for r in rows), node, to
+
+    start = label.select("node", "label", "degree").toArrow()
+    order = np.argsort(start["node"].to_numpy())
+    best, most = _rounds(step, start["label"].to_numpy()[order], start["degree"].to_numpy()[order], total, loops, seed)
+    sent = spark.sparkContext.broadcast(best)
+
+    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for nodes, degree, *_ in _unpacked(frames):
+            yield pd.DataFrame({"node": nodes, "label": sent.value[nodes], "degree": degree})
+
+    found = materialise(held.mapInPandas(named, "node long, label long, degree double"), "labels")
+    held.unpersist()
+    sent.destroy()
+    return found, most
+
+
+def _settle_joined(links: DataFrame, label: DataFrame, total: float, loops: float, seed: int) -> tuple[DataFrame, float]:
+    """As _settle, for more nodes than are sent: each node with a link of weight 0 to itself for its own label, and labels and
+    masses are joined by shuffles."""
     parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = F.broadcast if label.count() <= SENT_NODES else lambda df: df
     own = label.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("w"))
     held = links.select("a", "b", "w").unionByName(own).join(label.select(F.col("node").alias("a"), "degree"), "a").repartition(parts, "a").persist()
     best, most, idle, k = label, float("-inf"), 0, 0
     while True:
         mass = label.groupBy("label").agg(F.sum("degree").alias("mass"))
-        to = held.join(small(label.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node"), "label")
-        to = to.agg(F.sum("w").alias("w"), F.max(F.col("a") == F.col("b")).alias("stays"), F.max("degree").alias("degree")).join(small(mass), "label")
+        to = held.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label")
+        to = to.agg(F.sum("w").alias("w"), F.max(F.col("a") == F.col("b")).alias("stays"), F.max("degree").alias("degree")).join(mass, "label")
         stays = F.col("stays")
         to = to.withColumn("gain", F.col("w") - F.col("degree") * (F.col("mass") - F.when(stays, F.col("degree")).otherwise(0.0)) / total)
         mine = lambda c: F.max(F.when(stays, F.col(c)))

@@ -88,6 +88,22 @@ def test_community_routes_take_the_same_decisions(spark):
     assert community.hash_long(np.full(100, 3), community.hash_long(x)).tolist() == [hashed[i] for i in x.tolist()]
 
 
+def test_rounds_of_communities_write_no_tables(spark, monkeypatch):
+    """Blocks of a few links, with a hub that fills several, give what joins of all labels give."""
+    rng, tables, write = random.Random(3), [], materialise
+    ends = {(min(a, b), max(a, b)): rng.randint(1, 4) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(250))}
+    ends |= {(0, b): 1 for b in range(1, 60)}
+    pairs = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", w) for (a, b), w in ends.items()], "a string, b string, weight long")
+    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(61)], "name string")
+    monkeypatch.setattr(community, "BLOCK", 20)
+    monkeypatch.setattr(community, "materialise", lambda df, name="table": tables.append(name) or write(df, name))
+    sent = sorted(map(tuple, community.leiden_frames(nodes, pairs).collect()))
+    assert "choice" not in tables
+    monkeypatch.setattr(community, "SENT_NODES", 0)
+    assert sorted(map(tuple, community.leiden_frames(nodes, pairs).collect())) == sent
+    assert tables.count("choice") > 10 and len({i for _, i in sent}) > 2
+
+
 def test_python_with_broken_lines_keeps_the_rest():
     text = "import os\ndef good(a):\n    return helper(a)\nx = = 3\nclass Box:\n    def put(self, y:\n        pass\n    def take(self):\n        return good(1)\n"
     triples, _ = extract_code("m.py", text)
