@@ -95,12 +95,23 @@ def config_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 @query("files_scanned", "SELECT source || '/' || doc_id || '.md' AS path, '.md' AS suffix, 'md' AS format, sha256(coalesce(text, '')) AS sha256, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
 def files_scanned(spark: SparkSession, d: str) -> DataFrame:
-    """Every document as a file, then scanned, hashed and decoded."""
+    """Every document as a file, then scanned, hashed and decoded.
+
+    A path may be that of several documents, missing, hidden, or lead out of the folder. So a file is named by its row and the
+    encoded path (none if it is missing), in a folder for each task, and paths are read back from the names.
+    """
     folder = f"{work_dir(spark)}/raw-{uuid.uuid4().hex}"
-    docs = table(spark, d, "documents")
-    write_texts(docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text"), folder)
+    path, row = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")), F.monotonically_increasing_id()
+    docs = table(spark, d, "documents").select(path.alias("path"), "text", row.alias("row"))
+    # names have at most 255 bytes, and those that begin with a dot or a line are hidden
+    encoded = F.regexp_replace(F.url_encode("path"), "(.{100})", "$1/x")
+    task, number = F.shiftright("row", 33).cast("string"), F.col("row").bitwiseAND(F.lit((1 << 33) - 1)).cast("string")
+    name = F.concat(task, F.lit("/"), number, F.coalesce(F.concat(F.lit("-"), encoded), F.lit("")), F.lit(".md"))
+    write_texts(docs.select(name.alias("path"), "text"), folder)
     documents, _ = load(scan(spark, folder))
-    return documents.select("path", "suffix", "format", "sha256", F.sha2("text", 256).alias("text_sha256"))
+    named = F.regexp_extract("path", "^[0-9]+/[0-9]+-(.*)[.]md$", 1)
+    back = F.when(named != "", F.url_decode(F.replace(named, F.lit("/x"), F.lit(""))))
+    return documents.select(back.alias("path"), "suffix", "format", "sha256", F.sha2("text", 256).alias("text_sha256"))
 
 
 # extraction

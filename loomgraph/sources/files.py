@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.config import FORMATS
@@ -51,7 +51,26 @@ def scan(spark: SparkSession, raw_dir: str, formats: tuple[str, ...] = FORMATS)
     rows = raw.withColumn("suffix", suffix(name)).filter(F.col("suffix").isin(*formats))
     # Spark makes a task of some thirty small files
     rows = rows.coalesce(FILE_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.select(relative_path(F.regexp_replace("path", "^file:/+", "file:///"), root).alias("path"), "content", F.sha2("content", 256).alias("sha256"), "suffix", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    columns = ["path", "content", "suffix", F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    every = rows.select(*columns).unionByName(_empty(raw).withColumn("suffix", suffix(F.col("path"))).filter(F.col("suffix").isin(*formats)).select(*columns))
+    return every.select(relative_path(local("path"), root).alias("path"), "content", F.sha2("content", 256).alias("sha256"), "suffix", "size", "modified")
+
+
+def local(uri: str) -> Column:
+    """Local files are named in one of two ways."""
+    return F.regexp_replace(uri, "^file:/+", "file:///")
+
+
+def _empty(raw: DataFrame) -> DataFrame:
+    """The files without a byte in a folder read as binaryFile: Spark lists them but never makes rows of them."""
+    spark, jvm, names = raw.sparkSession, raw.sparkSession._jvm, raw._jdf.inputFiles()
+    objects = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, len(names))  # names stay in the JVM: one by one they take minutes to reach Python
+    jvm.java.lang.System.arraycopy(names, 0, objects, 0, len(names))
+    listed = spark._jsparkSession.createDataset(jvm.java.util.Arrays.asList(objects), jvm.org.apache.spark.sql.Encoders.STRING())
+    listed = DataFrame(listed.toDF(), spark).select(local("value").alias("at"))
+    read = raw.select(local("_metadata.file_path").alias("at")).coalesce(FILE_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = F.url_decode(F.replace("at", F.lit("+"), F.lit("%2B")))
+    return listed.join(read, "at", "left_anti").select(path.alias("path"), F.lit(b"").alias("content"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
 
 
 def write_texts(rows: DataFrame, folder: str) -> int:

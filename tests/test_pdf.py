@@ -1,9 +1,11 @@
 """PDF files made by hand, read as text."""
 
+import hashlib
 import zlib
 
 import pytest
 
+from loomgraph.plans import catalog
 from loomgraph.sources.files import Loaders, load, scan
 from loomgraph.sources.pdf import pdf_text
 
@@ -64,3 +66,19 @@ def test_files_of_other_formats_are_not_opened(spark, tmp_path):
     documents, _ = load(files)
     assert not files.filter("suffix in ('.pdf', '.docx')").rdd.getNumPartitions()  # what load parses: no file, no task
     assert {(r["path"], r["suffix"], r["text"]) for r in documents.collect()} == {(x, x[x.rindex(".") :].lower(), x) for x in ("a b.md", "c+d%20.Txt", "é.md")}
+
+
+def test_empty_files_are_files_and_any_path_comes_back(spark, tmp_path):
+    """Spark makes no row of an empty file; documents may share a path, have none, or one that is hidden or leads elsewhere."""
+    (tmp_path / "raw" / "b").mkdir(parents=True)
+    for name, text in (("e +%20é.md", ""), ("b/full.md", "x"), ("b/none.txt", ""), ("other.png", "")):
+        (tmp_path / "raw" / name).write_text(text)
+    files = scan(spark, str(tmp_path / "raw"))
+    assert {(r["path"], r["text"]) for r in load(files)[0].collect()} == {("e +%20é.md", ""), ("b/full.md", "x"), ("b/none.txt", "")}
+    assert {(r["path"], r["size"]) for r in files.collect()} == {("e +%20é.md", 0), ("b/full.md", 1), ("b/none.txt", 0)}
+    rows = [(1, "a", "s"), (1, "a", "s"), (1, "b", "s"), (2, None, "s"), (3, "", "s"), (None, "c", "s"), (4, "d", None), (5, "e", ".."), (6, "f", "_h/.i"), (7, "g", "k-v w+%41*" * 30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    digest = lambda text: hashlib.sha256((text or "").encode()).hexdigest()
+    want = [(None if n is None or s is None else f"{s}/{n}.md", ".md", "md", digest(t), digest(t)) for n, t, s in rows]
+    got = catalog.QUERIES["files_scanned"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
